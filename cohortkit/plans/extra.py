@@ -1,0 +1,2 @@
+"""Model-based queries (propensity, matching, Cox, GBT/SHAP): checked by
+NumPy oracles in the tests; no SQL oracle exists for them."""
