@@ -242,8 +242,8 @@ def interaction_vector(leaves: LeafTable, x: np.ndarray, fi: int, fj: int) -> np
 
 # --------------------------------------------------------------------------- G4
 def tree_shap(model: GBTClassificationModel, df: DataFrame, features: Sequence[str], keep: Sequence[str] = (), interaction: tuple[str, str] | None = None) -> tuple[DataFrame, float]:
-    """Per-row SHAP values ``shap_<feature>`` on the log-odds scale plus
-    ``predicted_proba``; returns (frame, base value in log-odds).
+    """Per-row feature values, SHAP values ``shap_<feature>`` on the log-odds
+    scale and ``predicted_proba``; returns (frame, base value in log-odds).
 
     With ``interaction=(a, b)`` a column ``shap_interaction`` holds the
     (a, b) interaction value. Rows with NULL features are dropped.
@@ -255,8 +255,8 @@ def tree_shap(model: GBTClassificationModel, df: DataFrame, features: Sequence[s
     pair = (feats.index(interaction[0]), feats.index(interaction[1])) if interaction else None
     keep = list(keep)
     data = complete_rows(df, feats).select(*keep, *[F.col(f).cast("double").alias(f) for f in feats])
-    fields = [data.schema[c].simpleString().replace(":", " ", 1) for c in keep]
-    schema = ", ".join(fields + [f"shap_{f} double" for f in feats] + ["predicted_proba double"] + (["shap_interaction double"] if pair else []))
+    fields = [f"`{c}` {data.schema[c].dataType.simpleString()}" for c in keep]
+    schema = ", ".join(fields + [f"`{f}` double" for f in feats] + [f"`shap_{f}` double" for f in feats] + ["predicted_proba double"] + (["shap_interaction double"] if pair else []))
 
     def run(it):
         lv = b_leaves.value
@@ -264,7 +264,7 @@ def tree_shap(model: GBTClassificationModel, df: DataFrame, features: Sequence[s
             x = pdf[feats].to_numpy(dtype=float)
             phi = shap_matrix(lv, x)
             margin = phi.sum(axis=1) + lv.base_margin
-            out = pdf[keep].copy() if keep else pd.DataFrame(index=pdf.index)
+            out = pdf[keep + feats].copy()
             for j, f in enumerate(feats):
                 out[f"shap_{f}"] = 2.0 * phi[:, j]
             out["predicted_proba"] = 1.0 / (1.0 + np.exp(-2.0 * margin))
