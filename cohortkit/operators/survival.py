@@ -62,8 +62,9 @@ def kaplan_meier(df: DataFrame, duration: str, event: str, by: str | Sequence[st
     inner = F.lit(z) * F.sqrt(F.col("var_greenwood")) / v
     mid = F.log(-v)
     ok = (F.col("survival") > 0) & (F.col("survival") < 1)
-    t = t.withColumn("ci_lower", F.when(ok, F.exp(-F.exp(mid + inner))).otherwise(F.col("survival"))).withColumn(
-        "ci_upper", F.when(ok, F.exp(-F.exp(mid - inner))).otherwise(F.col("survival"))
+    # log(S) < 0, so "mid - inner" is the larger exponent and gives the lower bound
+    t = t.withColumn("ci_lower", F.when(ok, F.exp(-F.exp(mid - inner))).otherwise(F.col("survival"))).withColumn(
+        "ci_upper", F.when(ok, F.exp(-F.exp(mid + inner))).otherwise(F.col("survival"))
     )
     return t.select(*keys, "time", "n_at_risk", "events", "censored", "survival", "ci_lower", "ci_upper", "var_greenwood")
 

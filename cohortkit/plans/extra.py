@@ -1,2 +1,138 @@
-"""Model-based queries (propensity, matching, Cox, GBT/SHAP): checked by
-NumPy oracles in the tests; no SQL oracle exists for them."""
+"""Model-based queries (propensity, matching, Cox, GBT/SHAP).
+
+No SQL oracle can fit these models, so they are registered without one;
+pytest checks each operator against a NumPy / brute-force oracle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import balance, cox, interpret, survival
+from . import analysis, study
+from .registry import register
+
+CONT = study.CONTINUOUS
+
+
+@register("propensity_score", "stay_id:i, treatment_group:i, propensity_score:d, logit_ps:d")
+def q_ps(spark, sf):
+    return analysis.scored(spark, sf)
+
+
+@register("match_nearest", "match_id:i, treated_id:i, control_id:i, distance:d")
+def q_match(spark, sf):
+    return analysis.matched(spark, sf)[0]
+
+
+@register("matched_cohort", "stay_id:i, match_id:i, treatment_group:i, propensity_score:d, logit_ps:d, time_to_event_days:i, event_observed:i")
+def q_matched(spark, sf):
+    return analysis.matched(spark, sf)[1]
+
+
+@register(
+    "balance_table",
+    "covariate:s, mean_treated_before:d, mean_control_before:d, smd_before:d, mean_treated_after:d, mean_control_after:d, smd_after:d, balanced_after:b",
+)
+def q_balance(spark, sf):
+    enc, _, _ = analysis.encoded(spark, sf)
+    return balance.balance_table(enc, analysis.matched(spark, sf)[1], CONT)
+
+
+@register("kaplan_meier_matched", "treatment_label:s, time:i, n_at_risk:i, events:i, censored:i, survival:d, ci_lower:d, ci_upper:d")
+def q_km_matched(spark, sf):
+    return survival.kaplan_meier(analysis.matched(spark, sf)[1], "time_to_event_days", "event_observed", "treatment_label")
+
+
+@register("logrank_test", "observed_1:d, expected_1:d, variance:d, chi2:d, p_value:d")
+def q_logrank_p(spark, sf):
+    return survival.logrank(analysis.matched(spark, sf)[1], "time_to_event_days", "event_observed", "treatment_group", 1)
+
+
+@register("screen_covariates", "covariate:s, reason:s")
+def q_screen(spark, sf):
+    _, _, kept, dropped = analysis.cox_model(spark, sf)
+    rows = [(c, "kept") for c in kept] + list(dropped)
+    return spark.createDataFrame(rows, "covariate string, reason string")
+
+
+@register("cox_ph", "covariate:s, coef:d, hr:d, se:d, ci_lower:d, ci_upper:d, z:d, p_value:d")
+def q_cox(spark, sf):
+    return cox.cox_summary(spark, analysis.cox_model(spark, sf)[0])
+
+
+@register("cox_crude", "covariate:s, coef:d, hr:d, se:d, ci_lower:d, ci_upper:d, z:d, p_value:d")
+def q_cox_crude(spark, sf):
+    return cox.cox_summary(spark, analysis.crude_model(spark, sf))
+
+
+@register("ph_test", "covariate:s, test_statistic:d, p_value:d")
+def q_ph(spark, sf):
+    return spark.createDataFrame(cox.ph_test(analysis.cox_model(spark, sf)[0]), cox.PH_SCHEMA)
+
+
+@register("cox_concordance", "c_index:d, n_comparable:i, n_concordant:i, n_tied_risk:i")
+def q_cox_c(spark, sf):
+    model, clean, _, _ = analysis.cox_model(spark, sf)
+    return survival.concordance(clean.withColumn("risk", cox.predict_risk(model)), "time_to_event_days", "event_observed", "risk")
+
+
+@register("results_summary", "n_matched_total:i, n_exposed:i, n_comparator:i, event_rate_exposed:d, event_rate_comparator:d, logrank_p:d, hr_treatment:d, hr_ci_lower:d, hr_ci_upper:d, hr_p_value:d, c_index:d, hr_crude:d, hr_shift:d")
+def q_summary(spark, sf):
+    return analysis.results_summary(spark, sf)
+
+
+@register("stratified_folds", "event_observed:i, fold:i, n:i")
+def q_folds(spark, sf):
+    _, mc, _, _ = analysis.matched(spark, sf)
+    f = interpret.stratified_folds(interpret.complete_rows(mc, analysis.SHAP_FEATURES + ["event_observed"]), "event_observed", "stay_id", 5, 42)
+    return f.groupBy("event_observed", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("gbt_cv_auc", "fold:i, auc:d")
+def q_cv(spark, sf):
+    _, mc, _, _ = analysis.matched(spark, sf)
+    return interpret.stratified_cv_auc(mc, analysis.SHAP_FEATURES, "event_observed", "stay_id", 5, **analysis.GBT)
+
+
+@register("gbt_train_auc", "auc:d, n_pairs:i")
+def q_train_auc(spark, sf):
+    shap_df, _ = analysis.shap_values(spark, sf)
+    return survival.roc_auc(shap_df, "predicted_proba", "event_observed")
+
+
+SHAP_SPEC = "stay_id:i, " + ", ".join(f"shap_{f}:d" for f in analysis.SHAP_FEATURES) + ", predicted_proba:d, event_observed:i, shap_interaction:d"
+
+
+@register("tree_shap", SHAP_SPEC)
+def q_shap(spark, sf):
+    return analysis.shap_values(spark, sf)[0]
+
+
+@register("shap_importance", "feature:s, mean_abs_shap:d")
+def q_shap_imp(spark, sf):
+    return interpret.shap_importance(analysis.shap_values(spark, sf)[0], analysis.SHAP_FEATURES)
+
+
+@register("shap_top_features", "feature:s, mean_abs_shap:d")
+def q_shap_top(spark, sf):
+    imp = interpret.shap_importance(analysis.shap_values(spark, sf)[0], analysis.SHAP_FEATURES)
+    return imp.orderBy(F.col("mean_abs_shap").desc(), "feature").limit(4)
+
+
+@register("shap_treatment_signs", "n:i, mean:d, n_pos:i, n_neg:i, share_pos:d, share_neg:d")
+def q_shap_sign(spark, sf):
+    from ..operators.describe import sign_summary
+
+    return sign_summary(analysis.shap_values(spark, sf)[0], "shap_treatment_group")
+
+
+@register("shap_interaction_summary", "n:i, mean_abs_interaction:d")
+def q_shap_inter(spark, sf):
+    shap_df, _ = analysis.shap_values(spark, sf)
+    return shap_df.agg(F.count("shap_interaction").alias("n"), F.avg(F.abs("shap_interaction")).alias("mean_abs_interaction"))
+
+
+@register("explain_rows", "which:s, stay_id:i, score:d, feature:s, value:d, shap:d, rank:i")
+def q_explain(spark, sf):
+    return interpret.explain_rows(analysis.shap_values(spark, sf)[0], analysis.SHAP_FEATURES, "stay_id")

@@ -660,8 +660,8 @@ km AS (
         KM_CTES,
         f"""
         SELECT treatment_label, time, n_at_risk, events, censored, survival,
-          CASE WHEN survival > 0 AND survival < 1 THEN exp(-exp(ln(-ln(survival)) + {S.Z95!r} * sqrt(var_greenwood) / ln(survival))) ELSE survival END AS ci_lower,
-          CASE WHEN survival > 0 AND survival < 1 THEN exp(-exp(ln(-ln(survival)) - {S.Z95!r} * sqrt(var_greenwood) / ln(survival))) ELSE survival END AS ci_upper,
+          CASE WHEN survival > 0 AND survival < 1 THEN exp(-exp(ln(-ln(survival)) - {S.Z95!r} * sqrt(var_greenwood) / ln(survival))) ELSE survival END AS ci_lower,
+          CASE WHEN survival > 0 AND survival < 1 THEN exp(-exp(ln(-ln(survival)) + {S.Z95!r} * sqrt(var_greenwood) / ln(survival))) ELSE survival END AS ci_upper,
           var_greenwood
         FROM km
         """,

@@ -203,3 +203,25 @@ def test_screening(spark):
     assert reasons == {"const": "constant", "sparse": "missing", "a2": "collinear"}
     assert kept == ["a", "b"]
     assert out.where(F.col("b").isNull()).count() == 0
+
+
+def test_km_ci_against_greenwood(spark):
+    rng = np.random.default_rng(9)
+    t = rng.integers(0, 8, 120)
+    e = (rng.random(120) < 0.5).astype(int)
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(t, e)], "t int, e int")
+    rows = {r["time"]: r for r in S.kaplan_meier(df, "t", "e").collect()}
+    s, v, n = 1.0, 0.0, len(t)
+    for time in sorted(set(t)):
+        d = int(((t == time) & (e == 1)).sum())
+        s *= 1 - d / n
+        if n > d:
+            v += d / (n * (n - d))
+        r = rows[time]
+        if 0 < s < 1:
+            lv = math.log(s)
+            lo = math.exp(-math.exp(math.log(-lv) - S.Z95 * math.sqrt(v) / lv))
+            hi = math.exp(-math.exp(math.log(-lv) + S.Z95 * math.sqrt(v) / lv))
+            assert abs(r["ci_lower"] - lo) < 1e-12 and abs(r["ci_upper"] - hi) < 1e-12
+            assert r["ci_lower"] <= r["survival"] <= r["ci_upper"]
+        n -= int((t == time).sum())
