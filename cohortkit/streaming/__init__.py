@@ -1,0 +1,3 @@
+"""Structured Streaming: exactly-once incremental load of raw files."""
+
+from .loader import incremental_load  # noqa: F401
