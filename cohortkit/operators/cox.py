@@ -1,7 +1,8 @@
 """Cox proportional hazards (Efron ties, L2 penalty), covariate screening,
 the scaled-Schoenfeld PH test and risk scores.
 
-One Newton step = one Spark aggregation grouped by the distinct duration:
+One Newton step = one pass over the rows (Arrow batches, per-task partial
+sums per time) and one Spark aggregation grouped by the distinct duration:
 for every time t the sums of w = exp(eta), w*z, w*z*z' over all units and
 over the units with the event, the event count and the event sums of z and
 eta. The table has one row per distinct time (durations are whole days, so
@@ -22,6 +23,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,22 +66,61 @@ def _pairs(p: int) -> list[tuple[int, int]]:
     return [(j, k) for j in range(p) for k in range(j, p)]
 
 
+def _sum_names(p: int) -> list[str]:
+    names = ["n", "s0", "d0", "d", "eta"]
+    names += [f"s1_{j}" for j in range(p)] + [f"d1_{j}" for j in range(p)] + [f"x_{j}" for j in range(p)]
+    names += [f"s2_{j}_{k}" for j, k in _pairs(p)] + [f"d2_{j}_{k}" for j, k in _pairs(p)]
+    return names
+
+
 def _per_time(base: DataFrame, duration: str, event: str, zcols: Sequence[str], beta: np.ndarray, max_times: int) -> dict:
+    """Per distinct time: sums of 1, w, e*w, e, e*eta, w z, e w z, e z, w z z', e w z z'.
+
+    Rows go through Arrow batches once; each task emits partial sums per
+    time it saw (vectorised NumPy), and one JVM aggregation adds them up by
+    time. The aggregation plan has no literals, so it is compiled once and
+    reused by every Newton step.
+    """
     p = len(zcols)
-    eta: Column = F.lit(0.0)
-    for j, c in enumerate(zcols):
-        eta = eta + F.lit(float(beta[j])) * F.col(c)
-    frame = base.select(F.col(duration).cast("double").alias("__t"), F.col(event).cast("double").alias("__e"), *[F.col(c) for c in zcols]).withColumn("__eta", eta).withColumn(
-        "__w", F.exp(F.col("__eta"))
-    )
-    w, e = F.col("__w"), F.col("__e")
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(w).alias("s0"), F.sum(e * w).alias("d0"), F.sum(e).alias("d"), F.sum(e * F.col("__eta")).alias("eta")]
-    for j, c in enumerate(zcols):
-        aggs += [F.sum(w * F.col(c)).alias(f"s1_{j}"), F.sum(e * w * F.col(c)).alias(f"d1_{j}"), F.sum(e * F.col(c)).alias(f"x_{j}")]
-    for j, k in _pairs(p):
-        prod = F.col(zcols[j]) * F.col(zcols[k])
-        aggs += [F.sum(w * prod).alias(f"s2_{j}_{k}"), F.sum(e * w * prod).alias(f"d2_{j}_{k}")]
-    rows = frame.groupBy("__t").agg(*aggs).orderBy(F.col("__t").desc()).limit(max_times + 1).collect()
+    names = _sum_names(p)
+    pairs = _pairs(p)
+    b = np.asarray(beta, dtype=float).copy()
+    zc = list(zcols)
+
+    def partial(it):
+        acc: dict[float, np.ndarray] = {}
+        for pdf in it:
+            if pdf.empty:
+                continue
+            t = pdf["__t"].to_numpy(dtype=float)
+            e = pdf["__e"].to_numpy(dtype=float)
+            z = pdf[zc].to_numpy(dtype=float)
+            eta = z @ b
+            w = np.exp(eta)
+            ew = e * w
+            cols = [np.ones_like(w), w, ew, e, e * eta]
+            cols += [w * z[:, j] for j in range(p)] + [ew * z[:, j] for j in range(p)] + [e * z[:, j] for j in range(p)]
+            cols += [w * z[:, j] * z[:, k] for j, k in pairs] + [ew * z[:, j] * z[:, k] for j, k in pairs]
+            m = np.column_stack(cols)
+            order = np.argsort(t, kind="stable")
+            ts = t[order]
+            starts = np.concatenate([[0], np.nonzero(np.diff(ts))[0] + 1])
+            sums = np.add.reduceat(m[order], starts, axis=0)
+            for tv, row in zip(ts[starts], sums):
+                if tv in acc:
+                    acc[tv] += row
+                else:
+                    acc[tv] = row.copy()
+        if acc:
+            keys = sorted(acc)
+            out = pd.DataFrame(np.vstack([acc[k] for k in keys]), columns=names)
+            out.insert(0, "__t", np.asarray(keys, dtype=float))
+            yield out
+
+    schema = "__t double, " + ", ".join(f"{nm} double" for nm in names)
+    frame = base.select(F.col(duration).cast("double").alias("__t"), F.col(event).cast("double").alias("__e"), *[F.col(c) for c in zc])
+    per_t = frame.mapInPandas(partial, schema).groupBy("__t").agg(*[F.sum(nm).alias(nm) for nm in names])
+    rows = per_t.orderBy(F.col("__t").desc()).limit(max_times + 1).collect()
     if len(rows) > max_times:
         raise ValueError(f"more than {max_times} distinct durations; not supported by the per-time Cox step")
     m = len(rows)
@@ -91,7 +132,7 @@ def _per_time(base: DataFrame, duration: str, event: str, zcols: Sequence[str],
     out["x"] = np.array([[r[f"x_{j}"] for j in range(p)] for r in rows], float).reshape(m, p)
     s2 = np.zeros((m, p, p))
     d2 = np.zeros((m, p, p))
-    for j, k in _pairs(p):
+    for j, k in pairs:
         s2[:, j, k] = s2[:, k, j] = [r[f"s2_{j}_{k}"] for r in rows]
         d2[:, j, k] = d2[:, k, j] = [r[f"d2_{j}_{k}"] for r in rows]
     out["s2"], out["d2"] = s2, d2

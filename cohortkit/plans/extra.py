@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import balance, cox, interpret, survival
 from . import analysis, study
+from .oracle_sql import with_mart
 from .registry import register
 
 CONT = study.CONTINUOUS
@@ -136,3 +137,56 @@ def q_shap_inter(spark, sf):
 @register("explain_rows", "which:s, stay_id:i, score:d, feature:s, value:d, shap:d, rank:i")
 def q_explain(spark, sf):
     return interpret.explain_rows(analysis.shap_values(spark, sf)[0], analysis.SHAP_FEATURES, "stay_id")
+
+
+# ============================================================== sources (IO1-IO11)
+def _raw_copy(spark, sf, table: str) -> str:
+    """Write a given table as gzipped CSV below the checkpoint folder (the
+    raw-file form the loader reads); returns its folder."""
+    from ..session import scratch_path
+
+    path = scratch_path(spark, f"raw-{table}")
+    study.load(spark, sf, table).write.option("header", True).option("compression", "gzip").csv(path)
+    return path
+
+
+@register(
+    "raw_load_roundtrip",
+    "table:s, expected:i, actual:i, ok:b, n_columns:i",
+    """
+    SELECT 'customer' AS "table", count(*) AS expected, count(*) AS actual, true AS ok, 5 AS n_columns FROM customer
+    UNION ALL
+    SELECT 'orders', count(*), count(*), true, 6 FROM orders
+    """,
+)
+def q_raw_load(spark, sf):
+    from ..operators.quality import reconcile_counts
+    from ..session import scratch_path
+    from ..sources import io
+
+    db_root = scratch_path(spark, "warehouse")
+    io.ensure_databases(spark, ["hosp_raw"], location=db_root)
+    pairs = []
+    widths = {}
+    for t in ("customer", "orders"):
+        raw = io.read_raw(spark, _raw_copy(spark, sf, t))
+        name = io.load_table(raw, "hosp_raw", t)
+        tbl = spark.table(name)
+        widths[t] = len(tbl.columns)
+        pairs.append((t, raw, tbl))
+    out = reconcile_counts(pairs)
+    return out.withColumn("n_columns", F.when(F.col("table") == "customer", F.lit(widths["customer"])).otherwise(F.lit(widths["orders"])))
+
+
+@register(
+    "stage_roundtrip",
+    "n_rows:i, n_events:i, sum_duration:i",
+    with_mart("SELECT count(*) AS n_rows, sum(event_observed) AS n_events, sum(time_to_event_days) AS sum_duration FROM mart"),
+)
+def q_stage_roundtrip(spark, sf):
+    from ..session import scratch_path
+    from ..sources import io
+
+    path = io.write_stage(study.shared_mart(spark, sf), scratch_path(spark, "stage-mart"))
+    back = io.read_stage(spark, path)
+    return back.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("event_observed").alias("n_events"), F.sum("time_to_event_days").alias("sum_duration"))
