@@ -147,33 +147,40 @@ def first_event_after(
     A hot key is split over its buckets; ``bucket_hours`` bounds each group.
     """
     bucket_us = int(bucket_hours * 3_600_000_000)
-    idx = index_df.withColumn("__b", F.floor(_epoch_micros(F.col(index_ts)) / bucket_us)).withColumn("__rid", F.monotonically_increasing_id())
-    ev = events_df.select(F.col(key), F.col(event_ts).alias("__t")).where(F.col("__t").isNotNull())
+    row_type = index_df.schema
+    idx = index_df.select(
+        F.col(key).alias("__key"),
+        F.floor(_epoch_micros(F.col(index_ts)) / bucket_us).alias("__b"),
+        F.col(index_ts).alias("__t"),
+        F.struct(*[F.col(f"`{c}`") for c in index_df.columns]).alias("__row"),
+    )
+    ev = events_df.select(F.col(key).alias("__key"), F.col(event_ts).alias("__t")).where(F.col("__t").isNotNull())
     ev = ev.withColumn("__b", F.floor(_epoch_micros(F.col("__t")) / bucket_us))
 
-    # 1. inside the bucket
+    # 1. inside the bucket: the index row itself travels through the window,
+    #    so no generated row id is needed to join the answer back
     idx_kind, ev_kind = (0, 1) if strict else (1, 0)
-    merged = idx.select(key, "__b", F.col(index_ts).alias("__t"), F.lit(idx_kind).alias("__k"), "__rid").unionByName(
-        ev.select(key, "__b", "__t", F.lit(ev_kind).alias("__k"), F.lit(None).cast("long").alias("__rid"))
+    merged = idx.select("__key", "__b", "__t", F.lit(idx_kind).alias("__k"), "__row").unionByName(
+        ev.select("__key", "__b", "__t", F.lit(ev_kind).alias("__k"), F.lit(None).cast(row_type).alias("__row"))
     )
-    w_in = Window.partitionBy(key, "__b").orderBy(F.col("__t").desc(), F.col("__k").asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w_in = Window.partitionBy("__key", "__b").orderBy(F.col("__t").desc(), F.col("__k").asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     in_bucket = (
-        merged.withColumn("__first_in", F.min(F.when(F.col("__rid").isNull(), F.col("__t"))).over(w_in))
-        .where(F.col("__rid").isNotNull())
-        .select("__rid", "__first_in")
+        merged.withColumn("__first_in", F.min(F.when(F.col("__row").isNull(), F.col("__t"))).over(w_in))
+        .where(F.col("__row").isNotNull())
+        .select("__key", "__b", "__row", "__first_in")
     )
 
     # 2. later buckets
-    per_bucket = ev.groupBy(key, "__b").agg(F.min("__t").alias("__bt"))
-    idx_buckets = idx.select(key, "__b").distinct()
-    both = idx_buckets.select(key, "__b", F.lit(None).cast(per_bucket.schema["__bt"].dataType).alias("__bt"), F.lit(0).alias("__k")).unionByName(
-        per_bucket.select(key, "__b", "__bt", F.lit(1).alias("__k"))
+    per_bucket = ev.groupBy("__key", "__b").agg(F.min("__t").alias("__bt"))
+    idx_buckets = idx.select("__key", "__b").distinct()
+    both = idx_buckets.select("__key", "__b", F.lit(None).cast(per_bucket.schema["__bt"].dataType).alias("__bt"), F.lit(0).alias("__k")).unionByName(
+        per_bucket.select("__key", "__b", "__bt", F.lit(1).alias("__k"))
     )
-    w_key = Window.partitionBy(key).orderBy(F.col("__b").desc(), F.col("__k").asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    later = both.withColumn("__first_later", F.min("__bt").over(w_key)).where(F.col("__k") == 0).select(key, "__b", "__first_later")
+    w_key = Window.partitionBy("__key").orderBy(F.col("__b").desc(), F.col("__k").asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = both.withColumn("__first_later", F.min("__bt").over(w_key)).where(F.col("__k") == 0).select("__key", "__b", "__first_later")
 
-    res = idx.join(in_bucket, on="__rid", how="left").join(later, on=[key, "__b"], how="left")
-    return res.withColumn(out, F.least(F.col("__first_in"), F.col("__first_later"))).drop("__b", "__rid", "__first_in", "__first_later")
+    res = in_bucket.join(later, on=["__key", "__b"], how="left")
+    return res.select("__row.*", F.least(F.col("__first_in"), F.col("__first_later")).alias(out))
 
 
 # --------------------------------------------------------------------------- K3
