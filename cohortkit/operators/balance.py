@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import logit
-from .describe import unpivot
 
 
 # --------------------------------------------------------------------------- B1
@@ -19,25 +18,36 @@ def smd_table(df: DataFrame, cols: Sequence[str], treat: str = "treatment_group"
     ``smd = |mean1 - mean0| / sqrt((var1 + var0) / 2)`` with sample variances
     over non-null values; NULL when the pooled SD is 0. Output:
     ``(covariate, treated_mean, control_mean, treated_n, control_n, smd)``
-    sorted by smd descending.
+    sorted by smd descending. All covariates are aggregated side by side in
+    one wide aggregation (no row-multiplying unpivot of the input); only the
+    one-row result is stacked.
     """
-    long = unpivot(df, [treat], cols, "covariate", "value")
-    v = F.col("value")
     t1 = F.col(treat) == 1
     t0 = F.col(treat) == 0
-    agg = long.groupBy("covariate").agg(
-        F.avg(F.when(t1, v)).alias("treated_mean"),
-        F.avg(F.when(t0, v)).alias("control_mean"),
-        F.count(F.when(t1, v)).alias("treated_n"),
-        F.count(F.when(t0, v)).alias("control_n"),
-        F.var_samp(F.when(t1, v)).alias("__v1"),
-        F.var_samp(F.when(t0, v)).alias("__v0"),
-    )
+    aggs = []
+    for i, c in enumerate(cols):
+        v = F.col(c).cast("double")
+        aggs += [
+            F.avg(F.when(t1, v)).alias(f"m1_{i}"),
+            F.avg(F.when(t0, v)).alias(f"m0_{i}"),
+            F.count(F.when(t1, v)).alias(f"n1_{i}"),
+            F.count(F.when(t0, v)).alias(f"n0_{i}"),
+            F.var_samp(F.when(t1, v)).alias(f"v1_{i}"),
+            F.var_samp(F.when(t0, v)).alias(f"v0_{i}"),
+        ]
+    wide = df.agg(*aggs)
+    parts = ", ".join(f"'{c}', m1_{i}, m0_{i}, n1_{i}, n0_{i}, v1_{i}, v0_{i}" for i, c in enumerate(cols))
+    long = wide.selectExpr(f"stack({len(cols)}, {parts}) as (covariate, treated_mean, control_mean, treated_n, control_n, __v1, __v0)")
     pooled = F.sqrt((F.col("__v1") + F.col("__v0")) / F.lit(2.0))
-    out = agg.withColumn("smd", F.abs(F.col("treated_mean") - F.col("control_mean")) / F.nullif(pooled, F.lit(0.0)))
+    out = long.withColumn("smd", F.abs(F.col("treated_mean") - F.col("control_mean")) / F.nullif(pooled, F.lit(0.0)))
     return out.drop("__v1", "__v0").orderBy(F.col("smd").desc_nulls_last(), "covariate")
 
 
+def love_plot(smd: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """Love-plot data from an SMD table: ``covariate, smd, above_threshold``."""
+    return smd.select("covariate", "smd", (F.col("smd") > F.lit(threshold)).alias("above_threshold"))
+
+
 # --------------------------------------------------------------------------- B2 / B3
 def balance_table(before: DataFrame, after: DataFrame, cols: Sequence[str], treat: str = "treatment_group", threshold: float = 0.1) -> DataFrame:
     """SMD and arm means before vs after matching, with the balance flag.

@@ -190,3 +190,26 @@ def q_stage_roundtrip(spark, sf):
     path = io.write_stage(study.shared_mart(spark, sf), scratch_path(spark, "stage-mart"))
     back = io.read_stage(spark, path)
     return back.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("event_observed").alias("n_events"), F.sum("time_to_event_days").alias("sum_duration"))
+
+
+@register("shap_long", "stay_id:i, feature:s, value:d, shap:d")
+def q_shap_long(spark, sf):
+    return interpret.shap_long(analysis.shap_values(spark, sf)[0], analysis.SHAP_FEATURES, "stay_id")
+
+
+@register("shap_treatment_histogram", "bin:i, lo:d, hi:d, n:i, density:d")
+def q_shap_hist(spark, sf):
+    from ..operators.describe import histogram
+
+    return histogram(analysis.shap_values(spark, sf)[0], "shap_treatment_group", None, 40)
+
+
+@register("verify_tables", "db:s, table:s, exists:b, rows:i, ok:b")
+def q_verify(spark, sf):
+    from ..session import scratch_path
+    from ..sources import io
+
+    io.ensure_databases(spark, ["marts_check"], location=scratch_path(spark, "warehouse"))
+    io.materialize(study.shared_mart(spark, sf), "marts_check", "mart_analysis_cohort", kind="table")
+    io.materialize(study.shared_cohort(spark, sf), None, "int_cohort_view", kind="view")
+    return io.verify_tables(spark, [("marts_check", "mart_analysis_cohort"), ("marts_check", "not_built")])

@@ -750,3 +750,38 @@ def q_auc(spark, sf):
     docs = L(spark, sf, "documents").select("doc_id", "n_chars")
     labels = L(spark, sf, "labels").select("doc_id", "quality")
     return S.roc_auc(docs.join(labels, "doc_id"), "n_chars", "quality")
+
+
+# ============================================================== more reports
+@register(
+    "love_plot",
+    "covariate:s, smd:d, above_threshold:b",
+    with_mart(
+        "SELECT covariate, smd, smd > 0.1 AS above_threshold FROM ("
+        + SMD_SQL.format(inner="\nUNION ALL\n".join(SMD_ROW.format(c=c, t="treatment_group", src="mart") for c in CONT))
+        + ")"
+    ),
+)
+def q_love(spark, sf):
+    return balance.love_plot(balance.smd_table(MART(spark, sf), CONT, "treatment_group"))
+
+
+PIVOT_FLAGS = {"qty_a": "A", "qty_n": "N", "qty_r": "R"}
+
+
+@register(
+    "pivot_first",
+    "l_orderkey:i, qty_a:d, qty_n:d, qty_r:d",
+    f"""
+    SELECT l_orderkey,
+      max(CASE WHEN l_returnflag = 'A' AND rn = 1 THEN l_quantity END) AS qty_a,
+      max(CASE WHEN l_returnflag = 'N' AND rn = 1 THEN l_quantity END) AS qty_n,
+      max(CASE WHEN l_returnflag = 'R' AND rn = 1 THEN l_quantity END) AS qty_r
+    FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY {", ".join(LINE_ORDER)}) AS rn FROM lineitem)
+    WHERE l_returnflag IN ('A', 'N', 'R')
+    GROUP BY l_orderkey
+    """,
+)
+def q_pivot_first(spark, sf):
+    li = L(spark, sf, "lineitem")
+    return K.pivot_first(li, "l_orderkey", "l_returnflag", "l_quantity", LINE_ORDER, PIVOT_FLAGS)
