@@ -14,4 +14,5 @@ from .exprs import (  # noqa: F401
     los_days,
     null_tokens,
     to_numeric,
+    wall_micros,
 )

@@ -58,10 +58,20 @@ def categorize(key: ColumnOrName, mapping: Mapping[str, Iterable[object]], defau
     return F.lit(default) if expr is None else expr.otherwise(F.lit(default))
 
 
-def _epoch_micros(ts: ColumnOrName) -> Column:
-    # TIMESTAMP_NTZ is read as wall-clock time; with the session zone at UTC the
-    # cast keeps the wall clock, so boundary counts do not depend on DST.
-    return F.unix_micros(_c(ts).cast("timestamp"))
+def wall_micros(ts: ColumnOrName) -> Column:
+    """Microseconds since 1970-01-01 00:00 of the wall-clock reading of ``ts``.
+
+    Built from the date and time fields, so a TIMESTAMP_NTZ gives the same
+    number in any session time zone (no cast through the session zone, no
+    DST shift).
+    """
+    t = _c(ts)
+    days = F.unix_date(F.to_date(t)).cast("long")
+    secs = (F.date_part(F.lit("SECOND"), t) * F.lit(1_000_000)).cast("long")
+    return days * F.lit(86_400_000_000) + F.hour(t).cast("long") * F.lit(3_600_000_000) + F.minute(t).cast("long") * F.lit(60_000_000) + secs
+
+
+_epoch_micros = wall_micros
 
 
 def boundary_diff(unit: str, start: ColumnOrName, end: ColumnOrName) -> Column:

@@ -22,7 +22,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import add_hours, assign_arm, flag
+from ..functions.exprs import add_hours, assign_arm, flag, wall_micros
 
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
@@ -32,7 +32,7 @@ def _cols(x: str | Sequence[str]) -> list[str]:
 
 
 def _epoch_micros(c: Column) -> Column:
-    return F.unix_micros(c.cast("timestamp"))
+    return wall_micros(c)
 
 
 # --------------------------------------------------------------------------- W1

@@ -103,7 +103,10 @@ def histogram(df: DataFrame, col: str, by: str | None = None, bins: int = 30) ->
         .withColumn("__w", (F.col("__hi") - F.col("__lo")) / F.lit(float(bins)))
     )
     if keys:
-        binned = x.join(stats, on=keys, how="inner")
+        # one stats row per group: broadcast once the group count is checked,
+        # so a hot group is not funnelled through one join partition
+        n_groups = stats.count()
+        binned = x.join(F.broadcast(stats) if n_groups <= 100_000 else stats, on=keys, how="inner")
     else:
         # one group: its range is two scalars
         r = stats.first()

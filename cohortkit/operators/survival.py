@@ -147,7 +147,11 @@ def concordance(df: DataFrame, duration: str, event: str, risk: str, partitions:
         raise ValueError(f"more than {max_times} distinct times; bin the duration first")
     times_arr = np.asarray(times, dtype=float)
     n_t = len(times_arr)
-    nparts = partitions or max(1, min(spark.sparkContext.defaultParallelism, 64))
+    if partitions is None:
+        n_rows = units.count()
+        partitions = max(spark.sparkContext.defaultParallelism, math.ceil(n_rows / 1_000_000))
+    # the driver holds one histogram of the distinct times per partition
+    nparts = max(1, min(partitions, max(1, 50_000_000 // max(n_t, 1))))
     ranged = units.repartitionByRange(nparts, "r").checkpoint(eager=True)
 
     def pass1(it):

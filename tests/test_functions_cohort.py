@@ -128,3 +128,18 @@ def test_outcome(spark):
     )
     r = K.add_outcome(df, "t0", "death", "out", 28).collect()
     assert [(x["outcome_mortality_28d"], x["time_to_event_days"], x["event_observed"]) for x in r] == [(1, 28, 1), (0, 29, 1), (0, 4, 0), (1, -4, 1)]
+
+
+def test_boundaries_ignore_session_zone(spark):
+    rows = [(ts("2024-03-10 01:59:00"), ts("2024-03-10 03:01:00")), (ts("2024-01-01 00:59:00"), ts("2024-01-01 04:01:00"))]
+    df = spark.createDataFrame(rows, "a timestamp_ntz, b timestamp_ntz")
+    expr = [X.boundary_diff("hour", "a", "b").alias("h"), X.wall_micros("a").alias("m")]
+    base = [tuple(r) for r in df.select(*expr).collect()]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("Asia/Kolkata", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert [tuple(r) for r in df.select(*expr).collect()] == base
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert [h for h, _ in base] == [2, 4]
