@@ -226,7 +226,7 @@ def exposure_flags(
     n.update(names or {})
     keep = [key, event_ts, category, amount, item] + ([unit_col] if unit_col else [])
     ev = events.select(*dict.fromkeys(keep)).where(F.col(category).isin(exposed, comparator))
-    index = cohort.select(unit_id, key, F.col(index_ts).alias("__index_ts"))
+    index = cohort.select(*dict.fromkeys([unit_id, key]), F.col(index_ts).alias("__index_ts"))
     pairs = events_in_window(index, ev, key, "__index_ts", event_ts, lo_hours, hi_hours, broadcast_rows=broadcast_rows)
 
     is_exp = F.col(category) == F.lit(exposed)
@@ -279,8 +279,8 @@ def baseline_covariates(
     valid value are absent; left-join onto the cohort).
     """
     wanted = list(items.values())
-    ev = events.select(key, event_ts, item, value, tiebreak).where(F.col(item).isin(wanted) & F.col(value).isNotNull() & (F.col(value) > 0))
-    index = cohort.select(unit_id, key, F.col(index_ts).alias("__index_ts"))
+    ev = events.select(*dict.fromkeys([key, event_ts, item, value, tiebreak])).where(F.col(item).isin(wanted) & F.col(value).isNotNull() & (F.col(value) > 0))
+    index = cohort.select(*dict.fromkeys([unit_id, key]), F.col(index_ts).alias("__index_ts"))
     pairs = events_in_window(index, ev, key, "__index_ts", event_ts, lo_hours, hi_hours, broadcast_rows=broadcast_rows)
     aggs = []
     for name, code in items.items():

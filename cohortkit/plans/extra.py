@@ -93,7 +93,7 @@ def q_folds(spark, sf):
 @register("gbt_cv_auc", "fold:i, auc:d")
 def q_cv(spark, sf):
     _, mc, _, _ = analysis.matched(spark, sf)
-    return interpret.stratified_cv_auc(mc, analysis.SHAP_FEATURES, "event_observed", "stay_id", 5, **analysis.GBT)
+    return interpret.stratified_cv_auc(mc, analysis.SHAP_FEATURES, "event_observed", "stay_id", 5, **analysis.TEST_SPEC.gbt)
 
 
 @register("gbt_train_auc", "auc:d, n_pairs:i")
