@@ -134,10 +134,28 @@ def first_event_after(
 ) -> DataFrame:
     """Forward as-of lookup: for each index row, the first ``event_ts`` of the
     same ``key`` after ``index_ts`` (``>`` when strict, else ``>=``); NULL if none.
+    See ``first_events_after``."""
+    return first_events_after(index_df, events_df, key, index_ts, event_ts, {out: None}, strict, bucket_hours)
+
+
+def first_events_after(
+    index_df: DataFrame,
+    events_df: DataFrame,
+    key: str,
+    index_ts: str,
+    event_ts: str,
+    outs: Mapping[str, Column | None],
+    strict: bool = True,
+    bucket_hours: float = 24.0,
+) -> DataFrame:
+    """Several forward as-of lookups in one pass: ``outs`` maps an output
+    column to an event condition (``None`` = any event); each output is the
+    first matching ``event_ts`` of the same ``key`` after ``index_ts``.
 
     Exact and linear, no window bound needed:
       1. inside a (key, time bucket) the index rows and events are merged and
          a running ``min`` over the later rows gives the in-bucket answer;
+         the index row itself travels through the window (no row ids);
       2. per (key, bucket) the first event time is aggregated (partial agg);
          a running ``min`` over later buckets of the same key gives the answer
          for everything past the bucket. Index rows are reduced to distinct
@@ -145,42 +163,46 @@ def first_event_after(
          per non-empty bucket of a key;
       3. the answer is the least of the two.
     A hot key is split over its buckets; ``bucket_hours`` bounds each group.
+    All outputs share the scan, the shuffles and the windows.
     """
     bucket_us = int(bucket_hours * 3_600_000_000)
     row_type = index_df.schema
+    names = list(outs)
     idx = index_df.select(
         F.col(key).alias("__key"),
         F.floor(_epoch_micros(F.col(index_ts)) / bucket_us).alias("__b"),
         F.col(index_ts).alias("__t"),
         F.struct(*[F.col(f"`{c}`") for c in index_df.columns]).alias("__row"),
     )
-    ev = events_df.select(F.col(key).alias("__key"), F.col(event_ts).alias("__t")).where(F.col("__t").isNotNull())
+    ev = events_df.where(F.col(event_ts).isNotNull()).select(
+        F.col(key).alias("__key"),
+        F.col(event_ts).alias("__t"),
+        *[(F.lit(True) if cond is None else F.coalesce(cond, F.lit(False))).alias(f"__m{i}") for i, cond in enumerate(outs.values())],
+    )
     ev = ev.withColumn("__b", F.floor(_epoch_micros(F.col("__t")) / bucket_us))
+    match_cols = [f"__m{i}" for i in range(len(names))]
 
-    # 1. inside the bucket: the index row itself travels through the window,
-    #    so no generated row id is needed to join the answer back
+    # 1. inside the bucket
     idx_kind, ev_kind = (0, 1) if strict else (1, 0)
-    merged = idx.select("__key", "__b", "__t", F.lit(idx_kind).alias("__k"), "__row").unionByName(
-        ev.select("__key", "__b", "__t", F.lit(ev_kind).alias("__k"), F.lit(None).cast(row_type).alias("__row"))
+    merged = idx.select("__key", "__b", "__t", F.lit(idx_kind).alias("__k"), "__row", *[F.lit(False).alias(m) for m in match_cols]).unionByName(
+        ev.select("__key", "__b", "__t", F.lit(ev_kind).alias("__k"), F.lit(None).cast(row_type).alias("__row"), *match_cols)
     )
     w_in = Window.partitionBy("__key", "__b").orderBy(F.col("__t").desc(), F.col("__k").asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    in_bucket = (
-        merged.withColumn("__first_in", F.min(F.when(F.col("__row").isNull(), F.col("__t"))).over(w_in))
-        .where(F.col("__row").isNotNull())
-        .select("__key", "__b", "__row", "__first_in")
-    )
+    in_cols = [F.min(F.when(F.col(m), F.col("__t"))).over(w_in).alias(f"__in{i}") for i, m in enumerate(match_cols)]
+    in_bucket = merged.select("__key", "__b", "__row", *in_cols).where(F.col("__row").isNotNull())
 
     # 2. later buckets
-    per_bucket = ev.groupBy("__key", "__b").agg(F.min("__t").alias("__bt"))
+    per_bucket = ev.groupBy("__key", "__b").agg(*[F.min(F.when(F.col(m), F.col("__t"))).alias(f"__bt{i}") for i, m in enumerate(match_cols)])
+    ts_type = per_bucket.schema["__bt0"].dataType
     idx_buckets = idx.select("__key", "__b").distinct()
-    both = idx_buckets.select("__key", "__b", F.lit(None).cast(per_bucket.schema["__bt"].dataType).alias("__bt"), F.lit(0).alias("__k")).unionByName(
-        per_bucket.select("__key", "__b", "__bt", F.lit(1).alias("__k"))
+    both = idx_buckets.select("__key", "__b", *[F.lit(None).cast(ts_type).alias(f"__bt{i}") for i in range(len(names))], F.lit(0).alias("__k")).unionByName(
+        per_bucket.select("__key", "__b", *[f"__bt{i}" for i in range(len(names))], F.lit(1).alias("__k"))
     )
     w_key = Window.partitionBy("__key").orderBy(F.col("__b").desc(), F.col("__k").asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    later = both.withColumn("__first_later", F.min("__bt").over(w_key)).where(F.col("__k") == 0).select("__key", "__b", "__first_later")
+    later = both.select("__key", "__b", "__k", *[F.min(f"__bt{i}").over(w_key).alias(f"__lt{i}") for i in range(len(names))]).where(F.col("__k") == 0).drop("__k")
 
     res = in_bucket.join(later, on=["__key", "__b"], how="left")
-    return res.select("__row.*", F.least(F.col("__first_in"), F.col("__first_later")).alias(out))
+    return res.select("__row.*", *[F.least(F.col(f"__in{i}"), F.col(f"__lt{i}")).alias(n) for i, n in enumerate(names)])
 
 
 # --------------------------------------------------------------------------- K3

@@ -30,7 +30,7 @@ from ..operators.cohort import (
     analysis_mart,
     baseline_covariates,
     exposure_flags,
-    first_event_after,
+    first_events_after,
     first_per,
     has_any,
 )
@@ -86,7 +86,7 @@ def hadm_key(subject: str, ts: str):
 def admissions(ev: DataFrame) -> DataFrame:
     return (
         ev.withColumn("hadm_id", hadm_key("subject_id", "ts"))
-        .groupBy("hadm_id")
+        .groupBy("hadm_id", "subject_id")
         .agg(F.min("ts").alias("admit_time"), F.max("ts").alias("discharge_time"))
         .withColumn("hospital_los_days", los_days("admit_time", "discharge_time"))
     )
@@ -98,7 +98,10 @@ def flagged_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.where(flag_codes("o_orderpriority", "o_orderstatus", CODE_SETS) == 1).select(F.col("o_custkey").alias("subject_id"))
 
 
-def stays(ev: DataFrame) -> DataFrame:
+def stays(ev: DataFrame, outcome: bool = False) -> DataFrame:
+    """Index events (first signup per admission) with the stay end (next event
+    of the user) and, with ``outcome``, the outcome time (next error) — both
+    from one as-of pass over the events."""
     signups = ev.where(F.col("event_type") == "signup").select(
         F.col("event_id").alias("stay_id"),
         "subject_id",
@@ -106,19 +109,23 @@ def stays(ev: DataFrame) -> DataFrame:
         F.col("ts").alias("index_date"),
     )
     first = first_per(signups, "hadm_id", ["index_date"], "stay_id")
-    with_end = first_event_after(first, ev, "subject_id", "index_date", "ts", out="icu_outtime", strict=True)
+    outs = {"icu_outtime": None}
+    if outcome:
+        outs["death_time"] = F.col("event_type") == "error"
+    with_end = first_events_after(first, ev, "subject_id", "index_date", "ts", outs, strict=True)
     return with_end.withColumn("icu_los_days", los_days("index_date", "icu_outtime"))
 
 
 def cohort(spark: SparkSession, sf_dir: str, checkpoint: bool = True) -> DataFrame:
     """Eligible index cohort with outcome columns (K1 + K2)."""
     ev = events(spark, sf_dir)
-    st = stays(ev)
-    st = first_event_after(st, ev.where(F.col("event_type") == "error"), "subject_id", "index_date", "ts", out="death_time", strict=True)
-    last_seen = ev.groupBy("subject_id").agg(F.max("ts").alias("censor_time"))
+    st = stays(ev, outcome=True)
+    adm = admissions(ev)
+    # the user's last event = latest discharge over the user's admissions
+    last_seen = adm.groupBy("subject_id").agg(F.max("discharge_time").alias("censor_time"))
     eligible = has_any(subjects(spark, sf_dir), flagged_subjects(spark, sf_dir), "subject_id")
     coh = (
-        st.join(admissions(ev), on="hadm_id", how="inner")
+        st.join(adm.drop("subject_id"), on="hadm_id", how="inner")
         .join(eligible, on="subject_id", how="inner")
         .join(last_seen, on="subject_id", how="inner")
         .where(

@@ -143,3 +143,18 @@ def test_boundaries_ignore_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert [h for h, _ in base] == [2, 4]
+
+
+def test_first_events_after_multi(spark):
+    rng = np.random.default_rng(8)
+    base = dt.datetime(2024, 1, 1)
+    ev = [(int(k), int(i), base + dt.timedelta(minutes=int(m)), ["a", "b", "c"][int(c)]) for i, (k, m, c) in enumerate(zip(rng.integers(0, 3, 400), rng.integers(0, 60 * 24 * 4, 400) // 20 * 20, rng.integers(0, 3, 400)))]
+    idx_rows = [(int(1000 + j), int(k), base + dt.timedelta(minutes=int(m))) for j, (k, m) in enumerate(zip(rng.integers(0, 3, 80), rng.integers(0, 60 * 24 * 4, 80) // 20 * 20))]
+    evdf = spark.createDataFrame(ev, "k long, event_id long, ts timestamp_ntz, typ string")
+    idx = spark.createDataFrame(idx_rows, "rid long, k long, t0 timestamp_ntz")
+    res = K.first_events_after(idx, evdf, "k", "t0", "ts", {"any": None, "only_b": F.col("typ") == "b"}, strict=True, bucket_hours=6)
+    got = {r["rid"]: (r["any"], r["only_b"]) for r in res.collect()}
+    for rid, k, t0 in idx_rows:
+        a = [t for kk, _, t, _ in ev if kk == k and t > t0]
+        b = [t for kk, _, t, typ in ev if kk == k and t > t0 and typ == "b"]
+        assert got[rid] == (min(a) if a else None, min(b) if b else None)
