@@ -33,13 +33,22 @@ def _list(x):
 
 
 # --------------------------------------------------------------------------- S1
-def kaplan_meier(df: DataFrame, duration: str, event: str, by: str | Sequence[str] | None = None, z: float = Z95) -> DataFrame:
+def _small(per_t: DataFrame, window_rows: int) -> bool:
+    """True when the per-time table is small enough for window running sums."""
+    return per_t.limit(window_rows + 1).count() <= window_rows
+
+
+def kaplan_meier(df: DataFrame, duration: str, event: str, by: str | Sequence[str] | None = None, z: float = Z95, window_rows: int = 1_000_000) -> DataFrame:
     """Kaplan–Meier table per group and distinct time.
 
     Columns: ``by..., time, n_at_risk, events, censored, survival, ci_lower,
     ci_upper, var_greenwood``. ``survival`` is 0 from the first time all
     units at risk have the event. CI: exponential Greenwood (log(-log)
     transform); it is [1, 1] while survival is 1 and [0, 0] at 0.
+
+    Running sums run over the per-(group, time) table: as windows while it
+    has at most ``window_rows`` rows, else with the range-partitioned
+    ``running_sums`` (continuous durations).
     """
     keys = _list(by)
     base = df.where(F.col(duration).isNotNull() & F.col(event).isNotNull())
@@ -47,16 +56,25 @@ def kaplan_meier(df: DataFrame, duration: str, event: str, by: str | Sequence[st
         F.count(F.lit(1)).alias("n_t"),
         F.sum(F.col(event).cast("long")).alias("events"),
     )
-    w_desc = Window.partitionBy(*keys).orderBy(F.col("time").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_asc = Window.partitionBy(*keys).orderBy(F.col("time").asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = per_t.withColumn("n_at_risk", F.sum("n_t").over(w_desc)).withColumn("censored", F.col("n_t") - F.col("events"))
     n = F.col("n_at_risk").cast("double")
     d = F.col("events").cast("double")
-    t = (
-        t.withColumn("__log", F.when(d < n, F.log(F.lit(1.0) - d / n)).otherwise(F.lit(0.0)))
-        .withColumn("__dead", F.max(F.when(d >= n, F.lit(1)).otherwise(F.lit(0))).over(w_asc))
-        .withColumn("survival", F.when(F.col("__dead") == 1, F.lit(0.0)).otherwise(F.exp(F.sum("__log").over(w_asc))))
-        .withColumn("var_greenwood", F.sum(F.when(n > d, d / (n * (n - d))).otherwise(F.lit(0.0))).over(w_asc))
+    log_term = F.when(d < n, F.log(F.lit(1.0) - d / n)).otherwise(F.lit(0.0))
+    dead_term = F.when(d >= n, F.lit(1)).otherwise(F.lit(0))
+    gw_term = F.when(n > d, d / (n * (n - d))).otherwise(F.lit(0.0))
+    if _small(per_t, window_rows):
+        # per-time table of bounded size: running sums as windows per group
+        w_desc = Window.partitionBy(*keys).orderBy(F.col("time").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        w_asc = Window.partitionBy(*keys).orderBy(F.col("time").asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        t = per_t.withColumn("n_at_risk", F.sum("n_t").over(w_desc))
+        t = t.withColumn("__log_cum", F.sum(log_term).over(w_asc)).withColumn("__dead_cum", F.sum(dead_term).over(w_asc)).withColumn("var_greenwood", F.sum(gw_term).over(w_asc))
+    else:
+        from .running import running_sums
+
+        t = running_sums(per_t, "time", ["n_t"], keys, descending=True).withColumn("n_at_risk", F.col("n_t_cum").cast("long")).drop("n_t_cum")
+        t = t.withColumn("__log", log_term).withColumn("__dead", dead_term).withColumn("__gw", gw_term)
+        t = running_sums(t, "time", ["__log", "__dead", "__gw"], keys).withColumnRenamed("__gw_cum", "var_greenwood")
+    t = t.withColumn("censored", F.col("n_t") - F.col("events")).withColumn(
+        "survival", F.when(F.col("__dead_cum") > 0, F.lit(0.0)).otherwise(F.exp(F.col("__log_cum")))
     )
     v = F.log(F.col("survival"))
     inner = F.lit(z) * F.sqrt(F.col("var_greenwood")) / v
@@ -85,7 +103,7 @@ def survival_at(km: DataFrame, times: Sequence[float], by: str | Sequence[str] |
 
 
 # --------------------------------------------------------------------------- S3
-def logrank_stats(df: DataFrame, duration: str, event: str, group: str, group_one: object = 1) -> DataFrame:
+def logrank_stats(df: DataFrame, duration: str, event: str, group: str, group_one: object = 1, window_rows: int = 1_000_000) -> DataFrame:
     """Two-sample log-rank sums: ``(observed_1, expected_1, variance, chi2)``.
 
     Per distinct time: E1 = d * n1 / n, V = n1 n0 d (n - d) / (n^2 (n - 1)).
@@ -98,8 +116,14 @@ def logrank_stats(df: DataFrame, duration: str, event: str, group: str, group_on
         F.sum(F.col(event).cast("long")).alias("d"),
         F.sum(F.when(g1, F.col(event).cast("long")).otherwise(F.lit(0))).alias("d1"),
     )
-    w = Window.orderBy(F.col("time").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = per_t.withColumn("n", F.sum("n_t").over(w).cast("double")).withColumn("n1", F.sum("n1_t").over(w).cast("double"))
+    if _small(per_t, window_rows):
+        # one row per distinct time (bounded): a single ordered window
+        w = Window.orderBy(F.col("time").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        t = per_t.withColumn("n", F.sum("n_t").over(w).cast("double")).withColumn("n1", F.sum("n1_t").over(w).cast("double"))
+    else:
+        from .running import running_sums
+
+        t = running_sums(per_t, "time", ["n_t", "n1_t"], descending=True).withColumnRenamed("n_t_cum", "n").withColumnRenamed("n1_t_cum", "n1")
     d = F.col("d").cast("double")
     n = F.col("n")
     n1 = F.col("n1")

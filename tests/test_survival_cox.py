@@ -225,3 +225,23 @@ def test_km_ci_against_greenwood(spark):
             assert abs(r["ci_lower"] - lo) < 1e-12 and abs(r["ci_upper"] - hi) < 1e-12
             assert r["ci_lower"] <= r["survival"] <= r["ci_upper"]
         n -= int((t == time).sum())
+
+
+def test_km_and_logrank_distributed_path(spark):
+    rng = np.random.default_rng(21)
+    n = 500
+    t = np.round(rng.exponential(5, n), 3)  # continuous durations
+    e = (rng.random(n) < 0.6).astype(int)
+    g = rng.choice(["a", "b"], n)
+    gi = (g == "a").astype(int)
+    df = spark.createDataFrame([(float(a), int(b), str(c), int(d)) for a, b, c, d in zip(t, e, g, gi)], "t double, e int, g string, gi int")
+    cols = ["g", "time", "n_at_risk", "events", "censored", "survival", "ci_lower", "ci_upper", "var_greenwood"]
+    w = sorted(tuple(r) for r in S.kaplan_meier(df, "t", "e", "g").select(*cols).collect())
+    r = sorted(tuple(r) for r in S.kaplan_meier(df, "t", "e", "g", window_rows=0).select(*cols).collect())
+    assert len(w) == len(r)
+    for a, b in zip(w, r):
+        assert a[:5] == b[:5]
+        assert all(abs(x - y) < 1e-9 for x, y in zip(a[5:], b[5:]))
+    lw = S.logrank_stats(df, "t", "e", "gi").first()
+    lr = S.logrank_stats(df, "t", "e", "gi", window_rows=0).first()
+    assert abs(lw["chi2"] - lr["chi2"]) < 1e-9
