@@ -170,8 +170,8 @@ def sign_summary(df: DataFrame, col: str) -> DataFrame:
         F.avg(c).alias("mean"),
         F.count_if(c > 0).alias("n_pos"),
         F.count_if(c < 0).alias("n_neg"),
-        (F.count_if(c > 0) / n).alias("share_pos"),
-        (F.count_if(c < 0) / n).alias("share_neg"),
+        F.try_divide(F.count_if(c > 0), n).alias("share_pos"),
+        F.try_divide(F.count_if(c < 0), n).alias("share_neg"),
     )
 
 

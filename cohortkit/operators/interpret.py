@@ -115,13 +115,14 @@ def stratified_cv_auc(df: DataFrame, features: Sequence[str], label: str, id_col
     def one_fold(f: int) -> float:
         model = fit_gbt(data.where(F.col("fold") != f), features, label, seed=seed, **gbt)
         scored = predict_proba(model, data.where(F.col("fold") == f), features)
-        return float(roc_auc(scored, "predicted_proba", label).first()["auc"])
+        auc = roc_auc(scored, "predicted_proba", label).first()["auc"]
+        return float("nan") if auc is None else float(auc)  # one-class fold
 
     # folds are independent Spark jobs: submit them concurrently (as
     # CrossValidator's ``parallelism`` does) so small per-tree jobs overlap
     with ThreadPoolExecutor(max_workers=parallelism or k) as pool:
         aucs = list(pool.map(one_fold, range(k)))
-    rows = [(f, a) for f, a in enumerate(aucs)] + [(-1, float(np.mean(aucs))), (-2, float(np.std(aucs)))]
+    rows = [(f, a) for f, a in enumerate(aucs)] + [(-1, float(np.nanmean(aucs))), (-2, float(np.nanstd(aucs)))]
     return spark.createDataFrame(rows, "fold int, auc double")
 
 

@@ -90,7 +90,7 @@ def missingness(df: DataFrame, cols: Sequence[str] | None = None, only_missing:
     out = long.select(
         "column",
         F.col("n_missing").cast("long"),
-        (F.col("n_missing") * F.lit(100.0) / F.col("n_rows")).alias("pct_missing"),
+        F.try_divide(F.col("n_missing") * F.lit(100.0), F.col("n_rows")).alias("pct_missing"),
     )
     if only_missing:
         out = out.where(F.col("n_missing") > 0)

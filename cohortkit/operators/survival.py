@@ -130,7 +130,8 @@ def logrank_stats(df: DataFrame, duration: str, event: str, group: str, group_on
     e1 = d * n1 / n
     var = F.when(n > 1, n1 * (n - n1) * d * (n - d) / (n * n * (n - F.lit(1.0)))).otherwise(F.lit(0.0))
     s = t.agg(F.sum(F.col("d1")).cast("double").alias("observed_1"), F.sum(e1).alias("expected_1"), F.sum(var).alias("variance"))
-    return s.withColumn("chi2", (F.col("observed_1") - F.col("expected_1")) * (F.col("observed_1") - F.col("expected_1")) / F.col("variance"))
+    diff = F.col("observed_1") - F.col("expected_1")
+    return s.withColumn("chi2", F.try_divide(diff * diff, F.col("variance")))
 
 
 def chi2_1df_pvalue(chi2: float) -> float:
@@ -258,7 +259,7 @@ def concordance(df: DataFrame, duration: str, event: str, risk: str, partitions:
         F.sum("conc").alias("n_concordant"), F.sum("ties").alias("n_tied_risk"), F.sum("comp").alias("n_comparable")
     )
     return sums.select(
-        ((F.col("n_concordant") + F.lit(0.5) * F.col("n_tied_risk")) / F.col("n_comparable")).alias("c_index"),
+        F.try_divide(F.col("n_concordant") + F.lit(0.5) * F.col("n_tied_risk"), F.col("n_comparable")).alias("c_index"),
         F.col("n_comparable").cast("long"),
         F.col("n_concordant").cast("long"),
         F.col("n_tied_risk").cast("long"),

@@ -580,7 +580,7 @@ def _dummy_name(col: str, lvl: str) -> str:
     ),
 )
 def q_onehot(spark, sf):
-    out, _ = balance.one_hot(MART(spark, sf), ["race", "insurance"])
+    out, _ = balance.one_hot(MART(spark, sf), ["race", "insurance"], levels=study.category_levels(spark, sf))
     return out
 
 

@@ -78,6 +78,13 @@ def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def category_levels(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
+    """Levels of the categorical roles, read from their dimension tables."""
+    race = [r[0] for r in load(spark, sf_dir, "region").select("r_name").distinct().collect()]
+    seg = [r[0] for r in load(spark, sf_dir, "customer").select("c_mktsegment").distinct().limit(1001).collect()]
+    return {"race": sorted(race), "insurance": sorted(seg)}
+
+
 def hadm_key(subject: str, ts: str):
     """Admission id of a user-day."""
     return F.col(subject) * F.lit(1_000_000) + F.datediff(F.to_date(F.col(ts)), F.lit("1970-01-01").cast("date"))
