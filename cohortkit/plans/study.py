@@ -212,18 +212,23 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 # Checkpointed cohort / mart per (session, data folder): several registered
 # queries start from them; the checkpoint lives in the reliable folder.
-_SHARED: dict[tuple[int, str, str], DataFrame] = {}
+_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def session_key(spark: SparkSession) -> str:
+    """Identity of the running application (a restarted session gets a new one)."""
+    return spark.sparkContext.applicationId
 
 
 def shared_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (id(spark), sf_dir, "cohort")
+    key = (session_key(spark), sf_dir, "cohort")
     if key not in _SHARED:
         _SHARED[key] = cohort(spark, sf_dir)
     return _SHARED[key]
 
 
 def shared_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (id(spark), sf_dir, "mart")
+    key = (session_key(spark), sf_dir, "mart")
     if key not in _SHARED:
         coh = shared_cohort(spark, sf_dir)
         t = treatment(spark, sf_dir, coh).select("stay_id", "treatment_group", "treatment_label", "total_amount", "exposed_count")
