@@ -210,6 +210,6 @@ def q_verify(spark, sf):
     from ..sources import io
 
     io.ensure_databases(spark, ["marts_check"], location=scratch_path(spark, "warehouse"))
-    io.materialize(study.shared_mart(spark, sf), "marts_check", "mart_analysis_cohort", kind="table")
+    io.materialize(study.shared_mart(spark, sf), "marts_check", "analysis_mart", kind="table")
     io.materialize(study.shared_cohort(spark, sf), None, "int_cohort_view", kind="view")
-    return io.verify_tables(spark, [("marts_check", "mart_analysis_cohort"), ("marts_check", "not_built")])
+    return io.verify_tables(spark, [("marts_check", "analysis_mart"), ("marts_check", "not_built")])
