@@ -213,3 +213,21 @@ def q_verify(spark, sf):
     io.materialize(study.shared_mart(spark, sf), "marts_check", "analysis_mart", kind="table")
     io.materialize(study.shared_cohort(spark, sf), None, "int_cohort_view", kind="view")
     return io.verify_tables(spark, [("marts_check", "analysis_mart"), ("marts_check", "not_built")])
+
+
+@register("result_files", "artifact:s, format:s, n_rows:i")
+def q_result_files(spark, sf):
+    """G10 / IO9 / IO10: SHAP table as parquet, importance and the result
+    summary as JSON, read back."""
+    from ..session import scratch_path
+    from ..sources import io
+
+    shap_df, _ = analysis.shap_values(spark, sf)
+    out = []
+    p1 = io.write_stage(shap_df, scratch_path(spark, "shap-values"))
+    out.append(("shap_values", "parquet", io.read_stage(spark, p1).count()))
+    p2 = io.write_json(interpret.shap_importance(shap_df, analysis.SHAP_FEATURES), scratch_path(spark, "shap-importance"))
+    out.append(("shap_importance", "json", spark.read.json(p2).count()))
+    p3 = io.write_json(analysis.results_summary(spark, sf), scratch_path(spark, "results-summary"))
+    out.append(("results_summary", "json", spark.read.json(p3).count()))
+    return spark.createDataFrame(out, "artifact string, format string, n_rows long")
