@@ -203,26 +203,64 @@ def _poly(o_cols: list[np.ndarray], z_vals: list[float], m: int) -> list[np.ndar
     return coefs
 
 
+def _leaf_groups(leaves: LeafTable, block: int = 128):
+    """Leaves grouped by path length, as stacked arrays in blocks (cached)."""
+    cached = getattr(leaves, "_groups", None)
+    if cached is not None:
+        return cached
+    by_d: dict[int, list[int]] = {}
+    for l_, fs in enumerate(leaves.features):
+        if len(fs):
+            by_d.setdefault(len(fs), []).append(l_)
+    groups = []
+    for d, ids in sorted(by_d.items()):
+        for i in range(0, len(ids), block):
+            sel = ids[i : i + block]
+            groups.append(
+                (
+                    d,
+                    np.stack([leaves.features[j] for j in sel]),  # (L, d)
+                    np.stack([leaves.lo[j] for j in sel]),
+                    np.stack([leaves.hi[j] for j in sel]),
+                    np.stack([leaves.z[j] for j in sel]),
+                    leaves.weight_value[sel],
+                )
+            )
+    object.__setattr__(leaves, "_groups", groups)
+    return groups
+
+
 def shap_matrix(leaves: LeafTable, x: np.ndarray) -> np.ndarray:
-    """SHAP values (m x n_features) on Spark's margin scale for a batch."""
+    """SHAP values (m x n_features) on Spark's margin scale for a batch.
+
+    Leaves with the same path length are evaluated together: indicators are
+    (m, L, d) arrays, the subset sums are polynomial coefficients over the
+    other path features, and the per-leaf contributions are added into the
+    feature columns with one matrix product per path position.
+    """
     m = x.shape[0]
-    phi = np.zeros((m, leaves.n_features))
-    for l_ in range(len(leaves.weight_value)):
-        fs = leaves.features[l_]
-        d = len(fs)
-        if d == 0:
-            continue
-        v = leaves.weight_value[l_]
-        o = [((x[:, f] > leaves.lo[l_][k]) & (x[:, f] <= leaves.hi[l_][k])).astype(float) for k, f in enumerate(fs)]
-        z = leaves.z[l_]
+    nf = leaves.n_features
+    phi = np.zeros((m, nf))
+    for d, feats, lo, hi, z, v in _leaf_groups(leaves):
+        xv = x[:, feats]  # (m, L, d)
+        o = ((xv > lo[None]) & (xv <= hi[None])).astype(float)
         wts = _shapley_weights(d)
+        n_leaves = feats.shape[0]
         for i in range(d):
             others = [k for k in range(d) if k != i]
-            coefs = _poly([o[k] for k in others], [z[k] for k in others], m)
-            acc = np.zeros(m)
-            for s, c in enumerate(coefs):
-                acc += wts[s] * c
-            phi[:, fs[i]] += v * (o[i] - z[i]) * acc
+            coefs = [np.ones((m, n_leaves))]
+            for k in others:
+                ok, zk = o[:, :, k], z[None, :, k]
+                nxt = [coefs[0] * zk]
+                for s_ in range(1, len(coefs)):
+                    nxt.append(coefs[s_] * zk + coefs[s_ - 1] * ok)
+                nxt.append(coefs[-1] * ok)
+                coefs = nxt
+            acc = sum(wts[s_] * c for s_, c in enumerate(coefs))
+            contrib = v[None, :] * (o[:, :, i] - z[None, :, i]) * acc  # (m, L)
+            onehot = np.zeros((n_leaves, nf))
+            onehot[np.arange(n_leaves), feats[:, i]] = 1.0
+            phi += contrib @ onehot
     return phi
 
 
