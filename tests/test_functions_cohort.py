@@ -158,3 +158,18 @@ def test_first_events_after_multi(spark):
         a = [t for kk, _, t, _ in ev if kk == k and t > t0]
         b = [t for kk, _, t, typ in ev if kk == k and t > t0 and typ == "b"]
         assert got[rid] == (min(a) if a else None, min(b) if b else None)
+
+
+def test_window_join_hot_key_shuffle_path(spark):
+    """A key holding most rows, joined without broadcast (shuffle on key and
+    time bucket), equals the brute-force window relation."""
+    rng = np.random.default_rng(12)
+    base = dt.datetime(2024, 1, 1)
+    keys = np.where(rng.random(3000) < 0.7, 0, rng.integers(1, 20, 3000))
+    ev = [(int(k), int(i), base + dt.timedelta(minutes=int(m))) for i, (k, m) in enumerate(zip(keys, rng.integers(0, 60 * 24 * 20, 3000)))]
+    idx_rows = [(int(10_000 + j), int(k), base + dt.timedelta(minutes=int(m))) for j, (k, m) in enumerate(zip(np.where(rng.random(300) < 0.7, 0, rng.integers(1, 20, 300)), rng.integers(0, 60 * 24 * 20, 300)))]
+    evdf = spark.createDataFrame(ev, "k long, event_id long, ts timestamp_ntz")
+    idx = spark.createDataFrame(idx_rows, "rid long, k long, t0 timestamp_ntz")
+    got = sorted((r["rid"], r["event_id"]) for r in K.events_in_window(idx, evdf, "k", "t0", "ts", 2, 30, broadcast_rows=None).collect())
+    exp = sorted((rid, eid) for rid, k, t0 in idx_rows for kk, eid, t in ev if kk == k and t0 + dt.timedelta(hours=2) <= t < t0 + dt.timedelta(hours=30))
+    assert got == exp
