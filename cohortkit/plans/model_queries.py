@@ -231,3 +231,54 @@ def q_result_files(spark, sf):
     p3 = io.write_json(analysis.results_summary(spark, sf), scratch_path(spark, "results-summary"))
     out.append(("results_summary", "json", spark.read.json(p3).count()))
     return spark.createDataFrame(out, "artifact string, format string, n_rows long")
+
+
+# ============================================================== per-stage reports of the study
+@register("propensity_describe", "treatment_label:s, column:s, count:i, mean:d, std:d, min:d, q25:d, median:d, q75:d, max:d")
+def q_ps_describe(spark, sf):
+    from ..operators.describe import describe
+
+    return describe(analysis.scored(spark, sf), ["propensity_score"], by="treatment_label")
+
+
+@register("propensity_histogram", "treatment_label:s, bin:i, lo:d, hi:d, n:i, density:d")
+def q_ps_hist(spark, sf):
+    from ..operators.describe import histogram
+
+    return histogram(analysis.scored(spark, sf), "propensity_score", "treatment_label", 50)
+
+
+@register("matched_counts", "treatment_label:s, n:i")
+def q_matched_counts(spark, sf):
+    from ..operators.describe import value_counts
+
+    return value_counts(analysis.matched(spark, sf)[1], "treatment_label")
+
+
+@register("matched_ps_histogram", "treatment_label:s, bin:i, lo:d, hi:d, n:i, density:d")
+def q_matched_ps_hist(spark, sf):
+    from ..operators.describe import histogram
+
+    return histogram(analysis.matched(spark, sf)[1], "propensity_score", "treatment_label", 40)
+
+
+@register("matched_event_rates", "treatment_label:s, n_events:d, n:i, rate:d")
+def q_matched_rates(spark, sf):
+    from ..operators.describe import rate_by_group
+
+    return rate_by_group(analysis.matched(spark, sf)[1], "treatment_label", "event_observed")
+
+
+@register("survival_at_matched", "treatment_label:s, time_point:d, survival:d")
+def q_surv_at_matched(spark, sf):
+    km = survival.kaplan_meier(analysis.matched(spark, sf)[1], "time_to_event_days", "event_observed", "treatment_label")
+    return survival.survival_at(km, [7.0, 14.0, 21.0, 28.0], "treatment_label")
+
+
+@register("cox_diagnostics", "column:s, n_missing:i, n_zero:i")
+def q_cox_diag(spark, sf):
+    from ..operators.quality import missingness, zero_counts
+
+    mc = analysis.matched(spark, sf)[1]
+    cols = analysis.TEST_SPEC.cox_covariates
+    return missingness(mc, cols).select("column", "n_missing").join(zero_counts(mc, cols), "column")
