@@ -81,3 +81,29 @@ def test_chain_across_seams(spark):
     got = sorted((r["treated_id"], r["control_id"]) for r in pairs.collect())
     exp = sorted(plain_greedy(ids[t == 1], x[t == 1], ids[t == 0], x[t == 0], 0.015))
     assert got == exp
+
+
+def test_propensity_matches_newton_solution(spark):
+    """Spark ML fit == NumPy Newton solve of C*sum(logloss) + ||w||^2/2
+    (intercept unpenalised) on population-SD standardised features."""
+    from cohortkit.operators.matching import propensity_score
+
+    rng = np.random.default_rng(13)
+    n = 400
+    X = np.column_stack([rng.normal(50, 10, n), rng.exponential(2, n), rng.integers(0, 2, n)])
+    y = (rng.random(n) < 1 / (1 + np.exp(-(0.05 * (X[:, 0] - 50) + 0.4 * X[:, 2] - 0.3)))).astype(int)
+    df = spark.createDataFrame([(i, float(a), float(b), float(c), int(t)) for i, (a, b, c), t in zip(range(n), X, y)], "id long, a double, b double, c double, t int")
+    got = {r["id"]: r["propensity_score"] for r in propensity_score(df, ["a", "b", "c"], "t").collect()}
+    Z = (X - X.mean(0)) / X.std(0)
+    A = np.column_stack([np.ones(n), Z])
+    w = np.zeros(4)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-A @ w))
+        g = A.T @ (p - y) + np.r_[0, w[1:]]  # C = 1
+        H = A.T @ (A * (p * (1 - p))[:, None]) + np.diag([0, 1, 1, 1])
+        step = np.linalg.solve(H, g)
+        w -= step
+        if np.abs(step).max() < 1e-12:
+            break
+    exp = 1 / (1 + np.exp(-A @ w))
+    assert max(abs(got[i] - exp[i]) for i in range(n)) < 1e-6
