@@ -60,14 +60,18 @@ def has_any(df: DataFrame, keys_df: DataFrame, key: str | Sequence[str]) -> Data
 
 
 # --------------------------------------------------------------------------- J4
-def _maybe_broadcast(df: DataFrame, max_rows: int | None) -> DataFrame:
-    """Broadcast ``df`` only when its row count is proven below ``max_rows``."""
+def broadcast_if_small(df: DataFrame, max_rows: int | None) -> DataFrame:
+    """Broadcast ``df`` only when its row count is proven to be at most
+    ``max_rows`` (one counting job); otherwise leave the join to a shuffle."""
     if max_rows is None or max_rows <= 0:
         return df
-    n = df.count()
+    n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
 
+_maybe_broadcast = broadcast_if_small
+
+
 def events_in_window(
     index_df: DataFrame,
     events_df: DataFrame,

@@ -98,7 +98,9 @@ def stratified_folds(df: DataFrame, label: str, id_col: str, k: int = 5, seed: i
     # (class, bucket) table: at most classes x buckets rows
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w_off), F.lit(0))).select(label, "__b", "__off")
     w = Window.partitionBy(label, "__b").orderBy("__h", id_col)
-    ranked = x.join(F.broadcast(offsets), on=[label, "__b"], how="inner").withColumn("__rn", F.row_number().over(w) - 1)
+    from .cohort import broadcast_if_small
+
+    ranked = x.join(broadcast_if_small(offsets, 1_000_000), on=[label, "__b"], how="inner").withColumn("__rn", F.row_number().over(w) - 1)
     return ranked.withColumn("fold", F.pmod(F.col("__off") + F.col("__rn"), F.lit(k)).cast("int")).drop("__h", "__b", "__rn", "__off")
 
 

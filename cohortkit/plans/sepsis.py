@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import boundary_diff, categorize, flag, flag_codes, is_present, los_days
-from ..operators.cohort import analysis_mart, baseline_covariates, exposure_flags, has_any, sequence_number
+from ..operators.cohort import analysis_mart, baseline_covariates, broadcast_if_small, exposure_flags, has_any, sequence_number
 
 # Fixed values of the reference study: diagnosis codes, input items, lab items.
 SEPSIS_ICD10 = ["A419", "A41.9", "A410", "A41.0", "A411", "A41.1", "A4150", "A41.50", "A4151", "A41.51", "A4152", "A41.52", "A4153", "A41.53", "A4159", "A41.59", "R6520", "R65.20", "R6521", "R65.21"]
@@ -154,8 +154,8 @@ def treatment_flags(cohort: DataFrame, inputevents: DataFrame, d_items: DataFram
     ie = _lower(inputevents).select(
         _long("stay_id").alias("stay_id"), _long("itemid").alias("itemid"), _ts("starttime").alias("starttime"), F.col("amount").try_cast("double").alias("amount"), "amountuom"
     )
-    # d_items is a dictionary table (one row per item)
-    labeled = ie.join(F.broadcast(items), "itemid").withColumn("input_category", categorize("itemid", {"vasopressor": VASOPRESSOR_ITEMS, "fluid": FLUID_ITEMS}))
+    # d_items is a dictionary table (one row per item): broadcast after a size check
+    labeled = ie.join(broadcast_if_small(items, 1_000_000), "itemid").withColumn("input_category", categorize("itemid", {"vasopressor": VASOPRESSOR_ITEMS, "fluid": FLUID_ITEMS}))
     flags = exposure_flags(
         cohort.select("stay_id", "index_date"),
         labeled,

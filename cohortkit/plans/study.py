@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import categorize, flag_codes, los_days
 from ..operators.cohort import (
     add_outcome,
+    broadcast_if_small,
     analysis_mart,
     baseline_covariates,
     exposure_flags,
@@ -44,6 +45,7 @@ MIN_STAY_DAYS = 4.0 / 24.0
 EXPOSURE_HOURS = 24
 BASELINE_HOURS = 72
 HORIZON_DAYS = 28
+DIMENSION_ROWS = 100_000
 
 CONTINUOUS = ["age_at_admission", "icu_los_days", "total_amount", "v_purchase", "v_view", "v_error", "v_click"]
 CATEGORICAL = ["race", "insurance"]
@@ -62,9 +64,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # nation (25 rows) and region (5 rows) are fixed-size dimensions
-    nation = F.broadcast(load(spark, sf_dir, "nation"))
-    region = F.broadcast(load(spark, sf_dir, "region"))
+    # nation and region are small dimensions; broadcast after a size check
+    nation = broadcast_if_small(load(spark, sf_dir, "nation"), DIMENSION_ROWS)
+    region = broadcast_if_small(load(spark, sf_dir, "region"), DIMENSION_ROWS)
     return (
         load(spark, sf_dir, "customer")
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
