@@ -173,3 +173,9 @@ def test_window_join_hot_key_shuffle_path(spark):
     got = sorted((r["rid"], r["event_id"]) for r in K.events_in_window(idx, evdf, "k", "t0", "ts", 2, 30, broadcast_rows=None).collect())
     exp = sorted((rid, eid) for rid, k, t0 in idx_rows for kk, eid, t in ev if kk == k and t0 + dt.timedelta(hours=2) <= t < t0 + dt.timedelta(hours=30))
     assert got == exp
+
+
+def test_administrative_censor(spark):
+    df = spark.createDataFrame([(10, 1), (40, 1), (40, 0), (28, 1)], "d int, e int")
+    out = [tuple(r) for r in K.administrative_censor(df, "d", "e", 28).collect()]
+    assert out == [(10, 1), (28, 0), (28, 0), (28, 1)]
