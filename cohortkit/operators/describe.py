@@ -46,31 +46,37 @@ def rate_by_group(df: DataFrame, by: str | Sequence[str], y: str) -> DataFrame:
 def describe(df: DataFrame, cols: Sequence[str], by: str | Sequence[str] | None = None, accuracy: int | None = None) -> DataFrame:
     """count, mean, sample SD, min, quartiles, max per column (and group).
 
-    Quartiles interpolate linearly between order statistics (pandas rule)
-    when exact; ``accuracy`` gives ``percentile_approx`` instead.
+    One wide aggregation over all columns side by side (no row-multiplying
+    unpivot of the input), then the small result is stacked. Quartiles
+    interpolate linearly between order statistics (pandas rule) when exact;
+    ``accuracy`` gives ``percentile_approx`` instead.
     """
     by = _list(by)
-    long = unpivot(df, by, cols)
-    v = F.col("value")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if accuracy is None else F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy)
-    agg = long.groupBy(*by, "column").agg(
-        F.count(v).alias("count"),
-        F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"),
-        q.alias("__q"),
-        F.max(v).alias("max"),
-    )
-    return agg.select(
+    aggs = []
+    for i, c in enumerate(cols):
+        v = F.col(c).cast("double")
+        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if accuracy is None else F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy)
+        aggs += [
+            F.count(v).alias(f"n_{i}"),
+            F.avg(v).alias(f"m_{i}"),
+            F.stddev_samp(v).alias(f"s_{i}"),
+            F.min(v).alias(f"lo_{i}"),
+            q.cast("array<double>").alias(f"q_{i}"),
+            F.max(v).alias(f"hi_{i}"),
+        ]
+    wide = df.groupBy(*by).agg(*aggs)
+    parts = ", ".join(f"'{c}', n_{i}, m_{i}, s_{i}, lo_{i}, q_{i}, hi_{i}" for i, c in enumerate(cols))
+    long = wide.selectExpr(*[f"`{b}`" for b in by], f"stack({len(cols)}, {parts}) as (column, count, mean, std, min, __q, max)")
+    return long.select(
         *by,
         "column",
         "count",
         "mean",
         "std",
         "min",
-        F.col("__q")[0].cast("double").alias("q25"),
-        F.col("__q")[1].cast("double").alias("median"),
-        F.col("__q")[2].cast("double").alias("q75"),
+        F.col("__q")[0].alias("q25"),
+        F.col("__q")[1].alias("median"),
+        F.col("__q")[2].alias("q75"),
         "max",
     )
 

@@ -35,7 +35,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .describe import unpivot
 
 
 # --------------------------------------------------------------------------- G1 / G11
@@ -326,13 +325,9 @@ def tree_shap(model: GBTClassificationModel, df: DataFrame, features: Sequence[s
 # --------------------------------------------------------------------------- G6 / G7
 def shap_importance(shap_df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Mean |SHAP| per feature, sorted descending: ``(feature, mean_abs_shap)``."""
-    long = unpivot(shap_df, [], [f"shap_{f}" for f in features], "feature", "shap")
-    return (
-        long.groupBy("feature")
-        .agg(F.avg(F.abs(F.col("shap"))).alias("mean_abs_shap"))
-        .withColumn("feature", F.regexp_replace(F.col("feature"), "^shap_", ""))
-        .orderBy(F.col("mean_abs_shap").desc(), "feature")
-    )
+    wide = shap_df.agg(*[F.avg(F.abs(F.col(f"shap_{f}"))).alias(f"a{i}") for i, f in enumerate(features)])
+    parts = ", ".join(f"'{f}', a{i}" for i, f in enumerate(features))
+    return wide.selectExpr(f"stack({len(features)}, {parts}) as (feature, mean_abs_shap)").orderBy(F.col("mean_abs_shap").desc(), "feature")
 
 
 def shap_long(shap_df: DataFrame, features: Sequence[str], id_col: str) -> DataFrame:
