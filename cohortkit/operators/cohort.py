@@ -118,7 +118,9 @@ def events_in_window(
         # parquet row groups outside every window
         bounds = index_df.agg(F.min(lo_c).alias("a"), F.max(hi_c).alias("b")).first()
         if bounds is not None and bounds["a"] is not None:
-            ev = ev.where((F.col(event_ts) >= F.lit(bounds["a"])) & (F.col(event_ts) < F.lit(bounds["b"])))
+            ts_type = events_df.schema[event_ts].dataType
+            a, b = F.lit(bounds["a"]).cast(ts_type), F.lit(bounds["b"]).cast(ts_type)
+            ev = ev.where((F.col(event_ts) >= a) & (F.col(event_ts) < b))
     ev = ev.withColumn("__bucket", F.floor(_epoch_micros(F.col(event_ts)) / bucket_us))
     idx = _maybe_broadcast(idx, broadcast_rows)
     joined = ev.join(idx, on=[key, "__bucket"], how="inner").where((F.col(event_ts) >= F.col("__lo")) & (F.col(event_ts) < F.col("__hi")))
