@@ -282,3 +282,35 @@ def q_cox_diag(spark, sf):
     mc = analysis.matched(spark, sf)[1]
     cols = analysis.TEST_SPEC.cox_covariates
     return missingness(mc, cols).select("column", "n_missing").join(zero_counts(mc, cols), "column")
+
+
+@register(
+    "load_all_manifest",
+    "run:i, db:s, table:s, action:s, expected:i, actual:i",
+    """
+    SELECT 1 AS run, 'raw_hosp' AS db, 'region' AS "table", 'loaded' AS action, count(*) AS expected, count(*) AS actual FROM region
+    UNION ALL SELECT 1, 'raw_hosp', 'nation', 'loaded', count(*), count(*) FROM nation
+    UNION ALL SELECT 1, 'raw_hosp', 'absent', 'missing_source', NULL, NULL
+    UNION ALL SELECT 2, 'raw_hosp', 'region', 'skipped', count(*), count(*) FROM region
+    UNION ALL SELECT 2, 'raw_hosp', 'nation', 'skipped', count(*), count(*) FROM nation
+    UNION ALL SELECT 2, 'raw_hosp', 'absent', 'missing_source', NULL, NULL
+    """,
+)
+def q_load_all(spark, sf):
+    """IO6: idempotent manifest load of raw gzipped CSV copies of two given
+    tables — first run loads, second run finds matching counts and skips."""
+    from ..session import scratch_path
+    from ..sources import io
+
+    base = scratch_path(spark, "raw-base")
+    for t in ("region", "nation"):
+        study.load(spark, sf, t).write.option("header", True).option("compression", "gzip").csv(f"{base}/raw_hosp/{t}.csv.gz")
+    io.ensure_databases(spark, ["raw_hosp"], location=scratch_path(spark, "warehouse"))
+    for t in ("region", "nation"):
+        spark.sql(f"DROP TABLE IF EXISTS raw_hosp.{t}")
+    manifest = {"raw_hosp": ["region", "nation", "absent"]}
+    rows = []
+    for run in (1, 2):
+        for r in io.load_all(spark, base, manifest):
+            rows.append((run, r.db, r.table, r.action, r.expected, r.actual))
+    return spark.createDataFrame(rows, "run int, db string, table string, action string, expected long, actual long")
