@@ -310,13 +310,38 @@ def baseline_covariates(
     ev = events.select(*dict.fromkeys([key, event_ts, item, value, tiebreak])).where(F.col(item).isin(wanted) & F.col(value).isNotNull() & (F.col(value) > 0))
     index = cohort.select(*dict.fromkeys([unit_id, key]), F.col(index_ts).alias("__index_ts"))
     pairs = events_in_window(index, ev, key, "__index_ts", event_ts, lo_hours, hi_hours, broadcast_rows=broadcast_rows)
+    order = order_key(pairs, event_ts, tiebreak)
     aggs = []
     for name, code in items.items():
         hit = F.col(item) == F.lit(code)
-        aggs.append(F.min_by(F.when(hit, F.col(value)), F.when(hit, F.struct(F.col(event_ts), F.col(tiebreak)))).alias(name))
+        aggs.append(F.min_by(F.when(hit, F.col(value)), F.when(hit, order)).alias(name))
     return pairs.groupBy(unit_id).agg(*aggs)
 
 
+_ID_SHIFT = "9223372036854775808"  # 2^63: moves a signed long id to [0, 2^64)
+_ID_SPACE = "100000000000000000000"  # 10^20 > 2^64
+
+
+def order_key(df: DataFrame, ts: str, tiebreak: str) -> Column:
+    """Ordering key for "earliest ``ts``, then lowest ``tiebreak``".
+
+    For a timestamp and an integral id both are packed exactly into one
+    DECIMAL(38,0) (wall-clock micros * 10^20 + shifted id): a fixed-width
+    key, so ``min_by`` runs as a hash aggregation. Other types fall back to
+    a struct key (sort-based aggregation).
+    """
+    from pyspark.sql import types as T
+
+    ts_type = df.schema[ts].dataType
+    tb_type = df.schema[tiebreak].dataType
+    if isinstance(ts_type, (T.TimestampType, T.TimestampNTZType)) and isinstance(tb_type, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        dec = "decimal(38,0)"
+        micros = wall_micros(F.col(ts)).cast(dec)
+        shifted = F.col(tiebreak).cast(dec) + F.lit(_ID_SHIFT).cast(dec)
+        return micros * F.lit(_ID_SPACE).cast(dec) + shifted
+    return F.struct(F.col(ts), F.col(tiebreak))
+
+
 def pivot_first(df: DataFrame, key: str, item: str, value: str, order: Sequence[str], items: Mapping[str, object]) -> DataFrame:
     """Long (key, item, value, order...) -> wide: first value per listed item by ``order``."""
     order_struct = F.struct(*[F.col(o) for o in order])

@@ -154,15 +154,15 @@ def corr_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def extreme_rows(df: DataFrame, id_col: str, score: str) -> DataFrame:
     """Rows with the highest and the lowest score: ``(which, id, score)``.
 
-    Ties go to the lowest id. One aggregation (``min_by``), no sort.
+    Ties go to the lowest id. Two hash aggregations, no sort: the extreme
+    scores (two scalars), then the lowest id at each of them.
     """
     s = F.col(score)
-    res = df.where(s.isNotNull()).agg(
-        F.min_by(F.col(id_col), F.struct(-s, F.col(id_col))).alias("__hi_id"),
-        F.max(s).alias("__hi"),
-        F.min_by(F.col(id_col), F.struct(s, F.col(id_col))).alias("__lo_id"),
-        F.min(s).alias("__lo"),
-    )
+    r = df.agg(F.max(s).alias("hi"), F.min(s).alias("lo")).first()
+    res = df.agg(
+        F.min(F.when(s == F.lit(r["hi"]), F.col(id_col))).alias("__hi_id"),
+        F.min(F.when(s == F.lit(r["lo"]), F.col(id_col))).alias("__lo_id"),
+    ).select("__hi_id", F.lit(r["hi"]).cast("double").alias("__hi"), "__lo_id", F.lit(r["lo"]).cast("double").alias("__lo"))
     return res.selectExpr(f"stack(2, 'highest', `__hi_id`, `__hi`, 'lowest', `__lo_id`, `__lo`) as (which, {id_col}, {score})")
 
 
