@@ -153,6 +153,7 @@ def first_events_after(
     outs: Mapping[str, Column | None],
     strict: bool = True,
     bucket_hours: float = 24.0,
+    broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS,
 ) -> DataFrame:
     """Several forward as-of lookups in one pass: ``outs`` maps an output
     column to an event condition (``None`` = any event); each output is the
@@ -171,27 +172,41 @@ def first_events_after(
     A hot key is split over its buckets; ``bucket_hours`` bounds each group.
     All outputs share the scan, the shuffles and the windows.
     """
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(index_df.sparkSession)
     bucket_us = int(bucket_hours * 3_600_000_000)
     row_type = index_df.schema
     names = list(outs)
+    # the index side is read three times (window input, bucket list, time
+    # bound): materialise it once in the reliable checkpoint folder
     idx = index_df.select(
         F.col(key).alias("__key"),
         F.floor(_epoch_micros(F.col(index_ts)) / bucket_us).alias("__b"),
         F.col(index_ts).alias("__t"),
         F.struct(*[F.col(f"`{c}`") for c in index_df.columns]).alias("__row"),
-    )
-    ev = events_df.where(F.col(event_ts).isNotNull()).select(
+    ).checkpoint(eager=True)
+    ev = events_df.where(F.col(event_ts).isNotNull())
+    # events before the earliest index time can never be an answer: a static
+    # bound (one scalar) that reaches the parquet scan
+    first_index = idx.agg(F.min(F.col("__t")).alias("m")).first()["m"]
+    if first_index is not None:
+        ev = ev.where(F.col(event_ts) >= F.lit(first_index).cast(events_df.schema[event_ts].dataType))
+    ev = ev.select(
         F.col(key).alias("__key"),
         F.col(event_ts).alias("__t"),
         *[(F.lit(True) if cond is None else F.coalesce(cond, F.lit(False))).alias(f"__m{i}") for i, cond in enumerate(outs.values())],
     )
     ev = ev.withColumn("__b", F.floor(_epoch_micros(F.col("__t")) / bucket_us))
     match_cols = [f"__m{i}" for i in range(len(names))]
+    idx_buckets = idx.select("__key", "__b").distinct()
 
-    # 1. inside the bucket
+    # 1. inside the bucket: only events of buckets that hold index rows take
+    #    part in the per-bucket window (semi join on the distinct buckets)
     idx_kind, ev_kind = (0, 1) if strict else (1, 0)
+    ev_in = ev.join(broadcast_if_small(idx_buckets, broadcast_rows), on=["__key", "__b"], how="left_semi")
     merged = idx.select("__key", "__b", "__t", F.lit(idx_kind).alias("__k"), "__row", *[F.lit(False).alias(m) for m in match_cols]).unionByName(
-        ev.select("__key", "__b", "__t", F.lit(ev_kind).alias("__k"), F.lit(None).cast(row_type).alias("__row"), *match_cols)
+        ev_in.select("__key", "__b", "__t", F.lit(ev_kind).alias("__k"), F.lit(None).cast(row_type).alias("__row"), *match_cols)
     )
     w_in = Window.partitionBy("__key", "__b").orderBy(F.col("__t").desc(), F.col("__k").asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     in_cols = [F.min(F.when(F.col(m), F.col("__t"))).over(w_in).alias(f"__in{i}") for i, m in enumerate(match_cols)]
@@ -200,7 +215,6 @@ def first_events_after(
     # 2. later buckets
     per_bucket = ev.groupBy("__key", "__b").agg(*[F.min(F.when(F.col(m), F.col("__t"))).alias(f"__bt{i}") for i, m in enumerate(match_cols)])
     ts_type = per_bucket.schema["__bt0"].dataType
-    idx_buckets = idx.select("__key", "__b").distinct()
     both = idx_buckets.select("__key", "__b", *[F.lit(None).cast(ts_type).alias(f"__bt{i}") for i in range(len(names))], F.lit(0).alias("__k")).unionByName(
         per_bucket.select("__key", "__b", *[f"__bt{i}" for i in range(len(names))], F.lit(1).alias("__k"))
     )
