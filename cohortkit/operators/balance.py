@@ -72,8 +72,17 @@ def balance_table(before: DataFrame, after: DataFrame, cols: Sequence[str], trea
 
 
 # --------------------------------------------------------------------------- M1
-def medians(df: DataFrame, cols: Sequence[str], accuracy: int | None = None) -> dict[str, float | None]:
-    """Exact medians (linear interpolation) of each column, one aggregation."""
+def medians(df: DataFrame, cols: Sequence[str], accuracy: int | None = None, distributed_above: int = 5_000_000) -> dict[str, float | None]:
+    """Exact medians (linear interpolation) of each column.
+
+    Up to ``distributed_above`` rows: one ``percentile`` aggregation. Above:
+    ``exact_quantiles`` (range partitioned, no group held in one task).
+    """
+    if accuracy is None and df.limit(distributed_above + 1).count() > distributed_above:
+        from .quantiles import exact_quantiles
+
+        got = {r["column"]: r["q_0"] for r in exact_quantiles(df, cols, [0.5]).collect()}
+        return {c: got.get(c) for c in cols}
     if accuracy is None:
         aggs = [F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in cols]
     else:
@@ -82,12 +91,12 @@ def medians(df: DataFrame, cols: Sequence[str], accuracy: int | None = None) ->
     return {c: (None if row[c] is None else float(row[c])) for c in cols}
 
 
-def impute_median(df: DataFrame, cols: Sequence[str], accuracy: int | None = None) -> tuple[DataFrame, dict[str, float | None]]:
+def impute_median(df: DataFrame, cols: Sequence[str], accuracy: int | None = None, distributed_above: int = 5_000_000) -> tuple[DataFrame, dict[str, float | None]]:
     """Fill NULLs with the column median; returns the frame and the medians used.
 
     Imputed columns become double (as a float imputer would return).
     """
-    med = medians(df, cols, accuracy)
+    med = medians(df, cols, accuracy, distributed_above)
     out = df
     for c in cols:
         fill = F.lit(med[c]).cast("double")

@@ -43,15 +43,30 @@ def rate_by_group(df: DataFrame, by: str | Sequence[str], y: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- A9
-def describe(df: DataFrame, cols: Sequence[str], by: str | Sequence[str] | None = None, accuracy: int | None = None) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str], by: str | Sequence[str] | None = None, accuracy: int | None = None, distributed_above: int = 5_000_000) -> DataFrame:
     """count, mean, sample SD, min, quartiles, max per column (and group).
 
     One wide aggregation over all columns side by side (no row-multiplying
     unpivot of the input), then the small result is stacked. Quartiles
     interpolate linearly between order statistics (pandas rule) when exact;
-    ``accuracy`` gives ``percentile_approx`` instead.
+    ``accuracy`` gives ``percentile_approx`` instead. Above
+    ``distributed_above`` rows the exact quartiles come from
+    ``exact_quantiles`` (no group's values held in one task).
     """
     by = _list(by)
+    if accuracy is None and df.limit(distributed_above + 1).count() > distributed_above:
+        from .quantiles import exact_quantiles
+
+        moments = []
+        for i, c in enumerate(cols):
+            v = F.col(c).cast("double")
+            moments += [F.count(v).alias(f"n_{i}"), F.avg(v).alias(f"m_{i}"), F.stddev_samp(v).alias(f"s_{i}"), F.min(v).alias(f"lo_{i}"), F.max(v).alias(f"hi_{i}")]
+        wide = df.groupBy(*by).agg(*moments)
+        parts = ", ".join(f"'{c}', n_{i}, m_{i}, s_{i}, lo_{i}, hi_{i}" for i, c in enumerate(cols))
+        long = wide.selectExpr(*[f"`{b}`" for b in by], f"stack({len(cols)}, {parts}) as (column, count, mean, std, min, max)")
+        q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], by=by).withColumnsRenamed({"q_0": "q25", "q_1": "median", "q_2": "q75"})
+        joined = long.join(q, on=[*by, "column"], how="left")
+        return joined.select(*by, "column", "count", "mean", "std", "min", "q25", "median", "q75", "max")
     aggs = []
     for i, c in enumerate(cols):
         v = F.col(c).cast("double")

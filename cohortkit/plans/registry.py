@@ -555,9 +555,8 @@ def q_impute(spark, sf):
 
 @register("medians", "column:s, median:d", with_mart(union_per_column("SELECT '{c}' AS \"column\", quantile_cont({c}, 0.5) AS median FROM mart")))
 def q_medians(spark, sf):
-    med = MART(spark, sf).agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(f"m{i}") for i, c in enumerate(CONT)])
-    parts = ", ".join(f"'{c}', m{i}" for i, c in enumerate(CONT))
-    return med.selectExpr(f"stack({len(CONT)}, {parts}) as (column, median)")
+    med = balance.medians(MART(spark, sf), CONT)
+    return spark.createDataFrame([(c, med[c]) for c in CONT], "column string, median double")
 
 
 RACE_LEVELS = ["AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
