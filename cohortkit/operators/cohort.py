@@ -201,10 +201,14 @@ def first_events_after(
     match_cols = [f"__m{i}" for i in range(len(names))]
     idx_buckets = idx.select("__key", "__b").distinct()
 
-    # 1. inside the bucket: only events of buckets that hold index rows take
-    #    part in the per-bucket window (semi join on the distinct buckets)
+    # 1. inside the bucket: when the distinct index buckets are proven small,
+    #    a broadcast semi join (a map-side filter) keeps events of buckets
+    #    without index rows out of the window's shuffle and sort. Otherwise
+    #    the semi join would itself shuffle every event, so it is skipped.
     idx_kind, ev_kind = (0, 1) if strict else (1, 0)
-    ev_in = ev.join(broadcast_if_small(idx_buckets, broadcast_rows), on=["__key", "__b"], how="left_semi")
+    ev_in = ev
+    if broadcast_rows and idx_buckets.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        ev_in = ev.join(F.broadcast(idx_buckets), on=["__key", "__b"], how="left_semi")
     merged = idx.select("__key", "__b", "__t", F.lit(idx_kind).alias("__k"), "__row", *[F.lit(False).alias(m) for m in match_cols]).unionByName(
         ev_in.select("__key", "__b", "__t", F.lit(ev_kind).alias("__k"), F.lit(None).cast(row_type).alias("__row"), *match_cols)
     )

@@ -154,6 +154,8 @@ def test_first_events_after_multi(spark):
     idx = spark.createDataFrame(idx_rows, "rid long, k long, t0 timestamp_ntz")
     res = K.first_events_after(idx, evdf, "k", "t0", "ts", {"any": None, "only_b": F.col("typ") == "b"}, strict=True, bucket_hours=6)
     got = {r["rid"]: (r["any"], r["only_b"]) for r in res.collect()}
+    res2 = K.first_events_after(idx, evdf, "k", "t0", "ts", {"any": None, "only_b": F.col("typ") == "b"}, strict=True, bucket_hours=6, broadcast_rows=None)
+    assert {r["rid"]: (r["any"], r["only_b"]) for r in res2.collect()} == got
     for rid, k, t0 in idx_rows:
         a = [t for kk, _, t, _ in ev if kk == k and t > t0]
         b = [t for kk, _, t, typ in ev if kk == k and t > t0 and typ == "b"]
