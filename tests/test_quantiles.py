@@ -32,3 +32,20 @@ def test_describe_and_medians_distributed_path(spark):
     for a, b in zip(small, big):
         assert a[:3] == b[:3] and np.allclose(a[3:], b[3:], atol=1e-12)
     assert abs(medians(df, ["v"])["v"] - medians(df, ["v"], distributed_above=10)["v"]) < 1e-12
+
+
+def test_running_sums_across_partitions(spark):
+    from pyspark.sql import Window
+
+    from cohortkit.operators.running import running_sums
+
+    rng = np.random.default_rng(17)
+    rows = [(str(g), int(t), float(v)) for g, t, v in zip(rng.choice(["a", "b", "c"], 600), range(600), rng.normal(size=600))]
+    df = spark.createDataFrame(rows, "g string, t long, v double")
+    for desc in (False, True):
+        got = {(r["g"], r["t"]): r["v_cum"] for r in running_sums(df, "t", ["v"], ["g"], descending=desc, rows_per_partition=37).collect()}
+        order = F.col("t").desc() if desc else F.col("t").asc()
+        w = Window.partitionBy("g").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        exp = {(r["g"], r["t"]): r["c"] for r in df.withColumn("c", F.sum("v").over(w)).collect()}
+        assert got.keys() == exp.keys()
+        assert max(abs(got[k] - exp[k]) for k in exp) < 1e-9
