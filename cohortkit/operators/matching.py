@@ -6,11 +6,12 @@ score order and each takes the nearest free control within the caliper.
 Because a match never reaches further than one caliper, the score line can
 be cut into chunks at least two calipers wide. A chunk only interacts with
 its left neighbour, through the set of controls that neighbour used near
-their common seam. Every round runs all chunks in parallel
-(``applyInPandas`` per chunk) with the seam sets of the previous round;
-after round r the first r chunks are final, and the loop stops as soon as
-no seam set changes, which gives exactly the sequential greedy result. The
-driver only sees cut points and the count of changed seam entries.
+their common seam. The first round runs all chunks in parallel
+(``applyInPandas`` per chunk) with empty seam sets; each later round reruns
+only the chunks whose incoming seam set changed. After round r the first r
+chunks are final, and the loop stops as soon as no seam set changes, which
+gives exactly the sequential greedy result. The driver only sees cut
+points and the ids of changed chunks.
 """
 
 from __future__ import annotations
@@ -244,20 +245,28 @@ def match_nearest(
 
     schema = "chunk int, seq long, treated_id long, control_id long, distance double, control_x double"
     incoming = visible.sparkSession.createDataFrame([], "chunk int, uid long")
-    rounds = 0
+    seam = F.element_at(F.array(*[F.lit(h) for h in hi_bounds[:-1]] + [F.lit(math.inf)]), F.col("chunk") + 1)
+
+    def run(chunks: list[int] | None, inc: DataFrame) -> DataFrame:
+        vis = visible if chunks is None else visible.where(F.col("chunk").isin(chunks))
+        inc = inc if chunks is None else inc.where(F.col("chunk").isin(chunks))
+        inp = vis.unionByName(inc.select("chunk", "uid", F.lit(None).cast("int").alias("t"), F.lit(None).cast("double").alias("x"), F.lit(1).alias("used")))
+        return inp.groupBy("chunk").applyInPandas(run_chunk, schema)
+
+    pairs = run(None, incoming).checkpoint(eager=True)
+    rounds = 1
     limit = max_rounds or (n_chunks + 1)
-    while True:
-        rounds += 1
-        inp = visible.unionByName(incoming.select("chunk", "uid", F.lit(None).cast("int").alias("t"), F.lit(None).cast("double").alias("x"), F.lit(1).alias("used")))
-        pairs = inp.groupBy("chunk").applyInPandas(run_chunk, schema).checkpoint(eager=True)
-        if n_chunks == 1:
-            break
-        seam = F.element_at(F.array(*[F.lit(h) for h in hi_bounds[:-1]] + [F.lit(math.inf)]), F.col("chunk") + 1)
+    while n_chunks > 1 and rounds < limit:
+        # controls each chunk used near its right seam go to the next chunk
         new_in = pairs.where((F.col("chunk") < n_chunks - 1) & (F.col("control_x") >= seam - F.lit(caliper))).select((F.col("chunk") + 1).alias("chunk"), F.col("control_id").alias("uid")).checkpoint(eager=True)
-        changed = new_in.exceptAll(incoming).count() + incoming.exceptAll(new_in).count()
+        diff = new_in.exceptAll(incoming).unionByName(incoming.exceptAll(new_in))
+        changed = sorted(r["chunk"] for r in diff.select("chunk").distinct().collect())  # at most one id per chunk
         incoming = new_in
-        if changed == 0 or rounds >= limit:
+        if not changed:
             break
+        rounds += 1
+        # rerun only the chunks whose incoming seam set changed
+        pairs = pairs.where(~F.col("chunk").isin(changed)).unionByName(run(changed, incoming)).checkpoint(eager=True)
 
     # match ids: per-chunk pair counts (one number per chunk) -> offsets
     counts = {r["chunk"]: r["n"] for r in pairs.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).collect()}
