@@ -155,6 +155,8 @@ def treatment_flags(cohort: DataFrame, inputevents: DataFrame, d_items: DataFram
         _long("stay_id").alias("stay_id"), _long("itemid").alias("itemid"), _ts("starttime").alias("starttime"), F.col("amount").try_cast("double").alias("amount"), "amountuom"
     )
     # d_items is a dictionary table (one row per item): broadcast after a size check
+    # only the listed items can be an arm: filter them before the join (reaches the scan)
+    ie = ie.where(F.col("itemid").isin(VASOPRESSOR_ITEMS + FLUID_ITEMS))
     labeled = ie.join(broadcast_if_small(items, 1_000_000), "itemid").withColumn("input_category", categorize("itemid", {"vasopressor": VASOPRESSOR_ITEMS, "fluid": FLUID_ITEMS}))
     flags = exposure_flags(
         cohort.select("stay_id", "index_date"),

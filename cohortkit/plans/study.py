@@ -165,9 +165,11 @@ def cohort(spark: SparkSession, sf_dir: str, checkpoint: bool = True) -> DataFra
 
 def treatment(spark: SparkSession, sf_dir: str, coh: DataFrame | None = None) -> DataFrame:
     coh = cohort(spark, sf_dir) if coh is None else coh
+    # filter on the raw event type so the restriction reaches the parquet scan
+    raw_types = [v for vals in CATEGORY_MAP.values() for v in vals]
     return exposure_flags(
         coh.select("stay_id", "subject_id", "index_date"),
-        events(spark, sf_dir),
+        events(spark, sf_dir).where(F.col("event_type").isin(raw_types)),
         unit_id="stay_id",
         key="subject_id",
         index_ts="index_date",
