@@ -113,16 +113,18 @@ def events_in_window(
         )
     )
     ev = events_df
-    if prune_range:
-        # two scalars from the (small, cached) index side let the scan skip
-        # parquet row groups outside every window
-        bounds = index_df.agg(F.min(lo_c).alias("a"), F.max(hi_c).alias("b")).first()
-        if bounds is not None and bounds["a"] is not None:
-            ts_type = events_df.schema[event_ts].dataType
-            a, b = F.lit(bounds["a"]).cast(ts_type), F.lit(bounds["b"]).cast(ts_type)
-            ev = ev.where((F.col(event_ts) >= a) & (F.col(event_ts) < b))
+    # one small job on the index side: the window range (two scalars that let
+    # the scan skip parquet row groups outside every window) and the exact
+    # number of (index row, bucket) rows, which decides the broadcast
+    span = F.floor((_epoch_micros(hi_c) - 1) / bucket_us) - F.floor(_epoch_micros(lo_c) / bucket_us) + 1
+    stats = index_df.agg(F.min(lo_c).alias("a"), F.max(hi_c).alias("b"), F.sum(span).alias("rows")).first()
+    if prune_range and stats is not None and stats["a"] is not None:
+        ts_type = events_df.schema[event_ts].dataType
+        a, b = F.lit(stats["a"]).cast(ts_type), F.lit(stats["b"]).cast(ts_type)
+        ev = ev.where((F.col(event_ts) >= a) & (F.col(event_ts) < b))
     ev = ev.withColumn("__bucket", F.floor(_epoch_micros(F.col(event_ts)) / bucket_us))
-    idx = _maybe_broadcast(idx, broadcast_rows)
+    if broadcast_rows and (stats["rows"] or 0) <= broadcast_rows:
+        idx = F.broadcast(idx)
     joined = ev.join(idx, on=[key, "__bucket"], how="inner").where((F.col(event_ts) >= F.col("__lo")) & (F.col(event_ts) < F.col("__hi")))
     return joined.drop("__bucket", "__lo", "__hi")
 
@@ -187,9 +189,11 @@ def first_events_after(
         F.struct(*[F.col(f"`{c}`") for c in index_df.columns]).alias("__row"),
     ).checkpoint(eager=True)
     ev = events_df.where(F.col(event_ts).isNotNull())
-    # events before the earliest index time can never be an answer: a static
-    # bound (one scalar) that reaches the parquet scan
-    first_index = idx.agg(F.min(F.col("__t")).alias("m")).first()["m"]
+    # one small job: the earliest index time (events before it can never be
+    # an answer; a static bound that reaches the parquet scan) and the number
+    # of distinct index buckets (decides the broadcast semi join below)
+    stats = idx.agg(F.min(F.col("__t")).alias("m"), F.count_distinct("__key", "__b").alias("nb")).first()
+    first_index = stats["m"]
     if first_index is not None:
         ev = ev.where(F.col(event_ts) >= F.lit(first_index).cast(events_df.schema[event_ts].dataType))
     ev = ev.select(
@@ -207,7 +211,7 @@ def first_events_after(
     #    the semi join would itself shuffle every event, so it is skipped.
     idx_kind, ev_kind = (0, 1) if strict else (1, 0)
     ev_in = ev
-    if broadcast_rows and idx_buckets.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if broadcast_rows and stats["nb"] <= broadcast_rows:
         ev_in = ev.join(F.broadcast(idx_buckets), on=["__key", "__b"], how="left_semi")
     merged = idx.select("__key", "__b", "__t", F.lit(idx_kind).alias("__k"), "__row", *[F.lit(False).alias(m) for m in match_cols]).unionByName(
         ev_in.select("__key", "__b", "__t", F.lit(ev_kind).alias("__k"), F.lit(None).cast(row_type).alias("__row"), *match_cols)
