@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import boundary_diff, categorize, flag, flag_codes, logit, los_days
+from ..functions.exprs import boundary_diff, categorize, flag, flag_codes, los_days
 from ..operators import balance, cohort as K, describe as A, quality as Q, survival as S
 from . import study
 from .oracle_sql import union_per_column, with_mart, with_mart_and
