@@ -150,12 +150,16 @@ def support_bounds(df: DataFrame, score: str, treat: str = "treatment_group") ->
         F.min(F.when(F.col(treat) == 0, F.col(score))).alias("c_min"),
         F.max(F.when(F.col(treat) == 0, F.col(score))).alias("c_max"),
     ).first()
+    if None in (r["t_min"], r["c_min"], r["t_max"], r["c_max"]):
+        return float("nan"), float("nan")  # an arm is empty: no common support
     return max(r["t_min"], r["c_min"]), min(r["t_max"], r["c_max"])
 
 
 def trim_common_support(df: DataFrame, score: str, treat: str = "treatment_group") -> tuple[DataFrame, tuple[float, float]]:
     """Keep rows whose score lies in the common support (inclusive)."""
     lo, hi = support_bounds(df, score, treat)
+    if lo != lo or hi != hi:  # NaN bounds select nothing
+        return df.where(F.lit(False)), (lo, hi)
     return df.where(F.col(score).between(F.lit(lo), F.lit(hi))), (lo, hi)
 
 
@@ -164,7 +168,7 @@ def caliper(df: DataFrame, score: str, k: float = 0.2, on_logit: bool = True) ->
     """``k`` times the sample SD of logit(score) (or of the score itself)."""
     x = logit(F.col(score)) if on_logit else F.col(score)
     sd = df.agg(F.stddev_samp(x).alias("sd")).first()["sd"]
-    return float(k * sd)
+    return float("nan") if sd is None else float(k * sd)
 
 
 def caliper_frame(df: DataFrame, score: str, k: float = 0.2) -> DataFrame:

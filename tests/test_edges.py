@@ -41,3 +41,11 @@ def test_screening_null_outcome(spark):
     assert kept == ["a", "b"] and dropped == []
     assert out.count() == 29  # the row with a NULL duration is dropped
     assert not math.isnan(C.cox_ph(out, "t", "e", kept).coef[0])
+
+
+def test_one_arm_support_and_caliper(spark):
+    df = spark.createDataFrame([(1, 0.2), (1, 0.4)], "t int, ps double")
+    out, (lo, hi) = balance.trim_common_support(df, "ps", "t")
+    assert out.count() == 0 and lo != lo
+    one = spark.createDataFrame([(1, 0.3)], "t int, ps double")
+    assert math.isnan(balance.caliper(one, "ps"))
