@@ -37,8 +37,12 @@ def _epoch_micros(c: Column) -> Column:
 
 # --------------------------------------------------------------------------- W1
 def sequence_number(df: DataFrame, partition_by: str | Sequence[str], order_by: Sequence[Column | str], tiebreak: str | Sequence[str], name: str = "seq") -> DataFrame:
-    """Add ``row_number()`` within ``partition_by`` ordered by ``order_by`` then the unique ``tiebreak``."""
-    order = [F.col(o) if isinstance(o, str) else o for o in order_by] + [F.col(t) for t in _cols(tiebreak)]
+    """Add ``row_number()`` within ``partition_by`` ordered by ``order_by`` then the unique ``tiebreak``.
+
+    Columns given by name sort ascending with NULLs last (the warehouse
+    default; Spark's own default puts NULLs first).
+    """
+    order = [F.col(o).asc_nulls_last() if isinstance(o, str) else o for o in order_by] + [F.col(t).asc_nulls_last() for t in _cols(tiebreak)]
     w = Window.partitionBy(*_cols(partition_by)).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w))
 

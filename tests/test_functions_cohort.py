@@ -181,3 +181,8 @@ def test_administrative_censor(spark):
     df = spark.createDataFrame([(10, 1), (40, 1), (40, 0), (28, 1)], "d int, e int")
     out = [tuple(r) for r in K.administrative_censor(df, "d", "e", 28).collect()]
     assert out == [(10, 1), (28, 0), (28, 0), (28, 1)]
+
+
+def test_first_per_nulls_last(spark):
+    df = spark.createDataFrame([(1, 10, None), (2, 10, ts("2024-01-01 09:00:00")), (3, 11, None)], "sid long, h long, t timestamp_ntz")
+    assert sorted(r["sid"] for r in K.first_per(df, "h", ["t"], "sid").collect()) == [2, 3]
