@@ -784,3 +784,49 @@ PIVOT_FLAGS = {"qty_a": "A", "qty_n": "N", "qty_r": "R"}
 def q_pivot_first(spark, sf):
     li = L(spark, sf, "lineitem")
     return K.pivot_first(li, "l_orderkey", "l_returnflag", "l_quantity", LINE_ORDER, PIVOT_FLAGS)
+
+
+@register(
+    "sequence_number",
+    "stay_id:i, hadm_id:i, seq:i",
+    with_mart(
+        "SELECT event_id AS stay_id, hadm_id, row_number() OVER (PARTITION BY hadm_id ORDER BY ts, event_id) AS seq "
+        "FROM ev WHERE event_type = 'signup'"
+    ),
+)
+def q_seq(spark, sf):
+    ev = study.events(spark, sf).where(F.col("event_type") == "signup")
+    s = ev.select(F.col("event_id").alias("stay_id"), study.hadm_key("subject_id", "ts").alias("hadm_id"), "ts")
+    return K.sequence_number(s, "hadm_id", ["ts"], "stay_id", "seq")
+
+
+@register(
+    "administrative_censor",
+    "stay_id:i, time_to_event_days:i, event_observed:i",
+    with_mart(
+        "SELECT stay_id, CASE WHEN time_to_event_days > 7 THEN 7 ELSE time_to_event_days END AS time_to_event_days, "
+        "CASE WHEN time_to_event_days > 7 THEN 0 ELSE event_observed END AS event_observed FROM mart"
+    ),
+)
+def q_admin_censor(spark, sf):
+    m = MART(spark, sf).select("stay_id", "time_to_event_days", "event_observed")
+    return K.administrative_censor(m, "time_to_event_days", "event_observed", 7)
+
+
+@register(
+    "age_at",
+    "o_orderkey:i, age:i",
+    """
+    SELECT o.o_orderkey, (c.c_nationkey + 20) + (year(o.o_orderdate) - 1995) AS age
+    FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey
+    """,
+)
+def q_age_at(spark, sf):
+    """P8 on the given tables: anchor age = nation key + 20 at anchor year 1995,
+    admission time = the order date as text (parsed safely)."""
+    from ..functions.exprs import age_at
+
+    o = L(spark, sf, "orders").select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("admit_text"))
+    c = L(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_nationkey") + 20).alias("anchor_age"))
+    j = o.join(c, "o_custkey").withColumn("anchor_year", F.lit(1995))
+    return j.select("o_orderkey", age_at("anchor_age", "admit_text", "anchor_year").alias("age"))
