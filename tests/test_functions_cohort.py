@@ -186,3 +186,16 @@ def test_administrative_censor(spark):
 def test_first_per_nulls_last(spark):
     df = spark.createDataFrame([(1, 10, None), (2, 10, ts("2024-01-01 09:00:00")), (3, 11, None)], "sid long, h long, t timestamp_ntz")
     assert sorted(r["sid"] for r in K.first_per(df, "h", ["t"], "sid").collect()) == [2, 3]
+
+
+def test_lookback_window(spark):
+    """Window before the index: [index - 48 h, index - 1 h)."""
+    rng = np.random.default_rng(23)
+    base = dt.datetime(2024, 1, 1)
+    ev = [(int(k), int(i), base + dt.timedelta(minutes=int(m))) for i, (k, m) in enumerate(zip(rng.integers(0, 4, 800), rng.integers(0, 60 * 24 * 10, 800)))]
+    idx_rows = [(int(100 + j), int(k), base + dt.timedelta(minutes=int(m))) for j, (k, m) in enumerate(zip(rng.integers(0, 4, 60), rng.integers(0, 60 * 24 * 10, 60)))]
+    evdf = spark.createDataFrame(ev, "k long, event_id long, ts timestamp_ntz")
+    idx = spark.createDataFrame(idx_rows, "rid long, k long, t0 timestamp_ntz")
+    got = sorted((r["rid"], r["event_id"]) for r in K.events_in_window(idx, evdf, "k", "t0", "ts", -48, -1).collect())
+    exp = sorted((rid, eid) for rid, k, t0 in idx_rows for kk, eid, t in ev if kk == k and t0 - dt.timedelta(hours=48) <= t < t0 - dt.timedelta(hours=1))
+    assert got == exp
