@@ -265,24 +265,41 @@ def shap_matrix(leaves: LeafTable, x: np.ndarray) -> np.ndarray:
 
 
 def interaction_vector(leaves: LeafTable, x: np.ndarray, fi: int, fj: int) -> np.ndarray:
-    """SHAP interaction value (i, j), i != j, on the margin scale."""
+    """SHAP interaction value (i, j), i != j, on the margin scale.
+
+    Vectorised over blocks of leaves whose path holds both features; their
+    positions differ per leaf, so in the subset polynomial those two
+    positions are replaced by the neutral factor (z = 1, o = 0).
+    """
     m = x.shape[0]
     out = np.zeros(m)
-    for l_ in range(len(leaves.weight_value)):
-        fs = list(leaves.features[l_])
-        if fi not in fs or fj not in fs:
+    for d, feats, lo, hi, z, v in _leaf_groups(leaves):
+        if d < 2:
+            continue
+        has_i, has_j = feats == fi, feats == fj
+        sel = has_i.any(axis=1) & has_j.any(axis=1)
+        if not sel.any():
             continue
-        d = len(fs)
-        ki, kj = fs.index(fi), fs.index(fj)
-        o = [((x[:, f] > leaves.lo[l_][k]) & (x[:, f] <= leaves.hi[l_][k])).astype(float) for k, f in enumerate(fs)]
-        z = leaves.z[l_]
-        others = [k for k in range(d) if k not in (ki, kj)]
-        coefs = _poly([o[k] for k in others], [z[k] for k in others], m)
+        f_, lo_, hi_, z_, v_ = feats[sel], lo[sel], hi[sel], z[sel], v[sel]
+        ki, kj = has_i[sel].argmax(axis=1), has_j[sel].argmax(axis=1)
+        n_leaves = f_.shape[0]
+        ar = np.arange(n_leaves)
+        xv = x[:, f_]
+        o = ((xv > lo_[None]) & (xv <= hi_[None])).astype(float)  # (m, L, d)
+        coefs = [np.ones((m, n_leaves))]
+        for k in range(d):
+            neutral = (ki == k) | (kj == k)
+            ok = np.where(neutral[None, :], 0.0, o[:, :, k])
+            zk = np.where(neutral, 1.0, z_[:, k])[None, :]
+            nxt = [coefs[0] * zk]
+            for s_ in range(1, len(coefs)):
+                nxt.append(coefs[s_] * zk + coefs[s_ - 1] * ok)
+            nxt.append(coefs[-1] * ok)
+            coefs = nxt
         wts = _interaction_weights(d)
-        acc = np.zeros(m)
-        for s, c in enumerate(coefs):
-            acc += wts[s] * c
-        out += leaves.weight_value[l_] * (o[ki] - z[ki]) * (o[kj] - z[kj]) * acc
+        acc = sum(wts[s_] * coefs[s_] for s_ in range(d - 1))
+        pair = (o[:, ar, ki] - z_[ar, ki][None, :]) * (o[:, ar, kj] - z_[ar, kj][None, :])
+        out += (v_[None, :] * pair * acc).sum(axis=1)
     return out
 
 

@@ -81,12 +81,17 @@ def test_shap_matches_brute_force(spark, fitted):
     trees = _tree_nodes(spark, model)
     leaves = G.leaf_table(model, spark)
     weights = list(model.treeWeights)
+    inters = []
     for r in range(12):
         exp = brute_shap(trees, weights, X[r], 4)
         got = G.shap_matrix(leaves, X[r : r + 1])[0]
         assert np.allclose(got, exp, atol=1e-12)
         inter = G.interaction_vector(leaves, X[r : r + 1], 1, 3)[0]
         assert abs(inter - brute_interaction(trees, weights, X[r], 4, 1, 3)) < 1e-12
+        inters.append(inter)
+    assert max(abs(v) for v in inters) > 1e-6  # the pair does interact in this model
+    # batch evaluation equals row-by-row evaluation
+    assert np.allclose(G.interaction_vector(leaves, X[:12], 1, 3), inters, atol=1e-12)
 
 
 def test_shap_sums_to_log_odds(spark, fitted):
