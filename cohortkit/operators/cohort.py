@@ -369,8 +369,13 @@ def order_key(df: DataFrame, ts: str, tiebreak: str) -> Column:
 
 
 def pivot_first(df: DataFrame, key: str, item: str, value: str, order: Sequence[str], items: Mapping[str, object]) -> DataFrame:
-    """Long (key, item, value, order...) -> wide: first value per listed item by ``order``."""
-    order_struct = F.struct(*[F.col(o) for o in order])
+    """Long (key, item, value, order...) -> wide: first value per listed item by ``order``.
+
+    A (timestamp, integral id) order packs into one fixed-width key (hash
+    aggregation); other orders use a struct key (sort-based aggregation).
+    """
+    order = list(order)
+    order_struct = order_key(df, order[0], order[1]) if len(order) == 2 else F.struct(*[F.col(o) for o in order])
     aggs = []
     for name, code in items.items():
         hit = F.col(item) == F.lit(code)

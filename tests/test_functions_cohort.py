@@ -199,3 +199,11 @@ def test_lookback_window(spark):
     got = sorted((r["rid"], r["event_id"]) for r in K.events_in_window(idx, evdf, "k", "t0", "ts", -48, -1).collect())
     exp = sorted((rid, eid) for rid, k, t0 in idx_rows for kk, eid, t in ev if kk == k and t0 - dt.timedelta(hours=48) <= t < t0 - dt.timedelta(hours=1))
     assert got == exp
+
+
+def test_pivot_first_packed_and_struct_orders(spark):
+    rows = [(1, "a", 5.0, ts("2024-01-01 10:00:00"), 3), (1, "a", 6.0, ts("2024-01-01 10:00:00"), 2), (1, "b", 7.0, ts("2024-01-01 09:00:00"), 9), (2, "a", 1.0, ts("2024-01-02 00:00:00"), 1)]
+    df = spark.createDataFrame(rows, "k long, item string, v double, t timestamp_ntz, id long")
+    packed = {r["k"]: (r["A"], r["B"]) for r in K.pivot_first(df, "k", "item", "v", ["t", "id"], {"A": "a", "B": "b"}).collect()}
+    struct = {r["k"]: (r["A"], r["B"]) for r in K.pivot_first(df, "k", "item", "v", ["t", "id", "v"], {"A": "a", "B": "b"}).collect()}
+    assert packed == struct == {1: (6.0, 7.0), 2: (1.0, None)}
