@@ -230,7 +230,8 @@ def first_events_after(
     both = idx_buckets.select("__key", "__b", *[F.lit(None).cast(ts_type).alias(f"__bt{i}") for i in range(len(names))], F.lit(0).alias("__k")).unionByName(
         per_bucket.select("__key", "__b", *[f"__bt{i}" for i in range(len(names))], F.lit(1).alias("__k"))
     )
-    w_key = Window.partitionBy("__key").orderBy(F.col("__b").desc(), F.col("__k").asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a NULL index time has a NULL bucket: it sorts first, so it sees no later bucket
+    w_key = Window.partitionBy("__key").orderBy(F.col("__b").desc_nulls_first(), F.col("__k").asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     later = both.select("__key", "__b", "__k", *[F.min(f"__bt{i}").over(w_key).alias(f"__lt{i}") for i in range(len(names))]).where(F.col("__k") == 0).drop("__k")
 
     res = in_bucket.join(later, on=["__key", "__b"], how="left")

@@ -207,3 +207,10 @@ def test_pivot_first_packed_and_struct_orders(spark):
     packed = {r["k"]: (r["A"], r["B"]) for r in K.pivot_first(df, "k", "item", "v", ["t", "id"], {"A": "a", "B": "b"}).collect()}
     struct = {r["k"]: (r["A"], r["B"]) for r in K.pivot_first(df, "k", "item", "v", ["t", "id", "v"], {"A": "a", "B": "b"}).collect()}
     assert packed == struct == {1: (6.0, 7.0), 2: (1.0, None)}
+
+
+def test_first_event_after_null_index_time(spark):
+    ev = spark.createDataFrame([(1, 10, ts("2024-01-02 00:00:00"))], "k long, event_id long, ts timestamp_ntz")
+    idx = spark.createDataFrame([(1, 1, None), (2, 1, ts("2024-01-01 00:00:00"))], "rid long, k long, t0 timestamp_ntz")
+    got = {r["rid"]: r["nxt"] for r in K.first_event_after(idx, ev, "k", "t0", "ts", "nxt").collect()}
+    assert got == {1: None, 2: ts("2024-01-02 00:00:00")}
