@@ -291,7 +291,9 @@ def exposure_flags(
         F.max(flag(is_exp)).alias("__rx"),
         F.max(flag(is_cmp)).alias("__rc"),
         F.sum(F.when(amount_cond, F.col(amount)).otherwise(F.lit(0))).alias("__amt"),
-        F.count_distinct(F.when(is_exp, F.col(item))).alias("__cnt"),
+        # distinct exposed items: bounded by the category's item list, so a
+        # set per unit is small; one hash aggregation, no distinct expansion
+        F.size(F.collect_set(F.when(is_exp, F.col(item)))).alias("__cnt"),
         F.min(F.when(is_exp, F.col(event_ts))).alias("__first"),
     )
     out = cohort.select(unit_id, *[c for c in cohort.columns if c != unit_id]).join(per_unit, on=unit_id, how="left")
