@@ -289,13 +289,15 @@ def screen_covariates(df: DataFrame, covariates: Sequence[str], duration: str, e
     for c in cols:
         x = x.withColumn(c, F.col(c).try_cast("double"))
     dropped: list[tuple[str, str]] = []
+    # "at most one distinct non-null value" is min == max (or all NULL):
+    # plain min/max, no distinct aggregation
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(cols):
-        aggs += [F.count_distinct(F.col(c)).alias(f"__d{i}"), F.count_if(F.col(c).isNull()).alias(f"__m{i}")]
+        aggs += [F.min(F.col(c)).alias(f"__lo{i}"), F.max(F.col(c)).alias(f"__hi{i}"), F.count_if(F.col(c).isNull()).alias(f"__m{i}")]
     r = x.agg(*aggs).first()
     kept = []
     for i, c in enumerate(cols):
-        if r[f"__d{i}"] <= 1:
+        if r[f"__lo{i}"] is None or r[f"__lo{i}"] == r[f"__hi{i}"]:
             dropped.append((c, "constant"))
         else:
             kept.append(c)
