@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortkit.llm import language_id, packing, slot_shards
+from cohortkit.llm import language_id, near_dup, packing, slot_shards
 from cohortkit.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op4_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_bayesian_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
+
+
 def op9_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,7 @@ def op9_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_virtual_slots": op2_virtual_slots,
     "op4_shortest_pack_first": op4_shortest_pack_first,
+    "op8_bayesian_near_dup": op8_bayesian_near_dup,
     "op9_hierarchical_language": op9_hierarchical_language,
 }
 
