@@ -5,14 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortkit.llm import language_id, near_dup, packing, slot_shards
+from cohortkit.llm import language_id, near_dup, packing, quality_divergence, slot_shards
 from cohortkit.llm.common import table
 
 
-def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
+def op1_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_divergence.quality_verdicts(table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("char_distance", 4).alias("char_distance"), F.round("word_distance", 4).alias("word_distance"),
+    )
+
 
+def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = slot_shards.shard_documents(table(spark, sf_dir, "documents"), n_shards=24)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version"
@@ -32,6 +39,7 @@ def op9_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_divergence_quality": op1_divergence_quality,
     "op2_virtual_slots": op2_virtual_slots,
     "op4_shortest_pack_first": op4_shortest_pack_first,
     "op8_bayesian_near_dup": op8_bayesian_near_dup,
