@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -76,8 +77,9 @@ class ByteBPE:
             pass
         if len(known) > CACHE:
             known.clear()
-        for c in set(chunks) - known.keys():
-            known[c] = np.asarray(self.encode(c), "<u4").tobytes()
+        for c in chunks:
+            if c not in known:
+                known[c] = array("I", self.encode(c)).tobytes()
         return np.frombuffer(b"".join([known[c] for c in chunks]), "<u4")
 
 
