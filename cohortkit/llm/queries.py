@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortkit.llm import decontaminate, language_id, near_dup, packing, quality_divergence, slot_shards
+from cohortkit.llm import decontaminate, language_id, license_scan, near_dup, packing, quality_divergence, slot_shards
 from cohortkit.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op9_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_divergence_quality": op1_divergence_quality,
     "op2_virtual_slots": op2_virtual_slots,
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash_containment": op7_minhash_containment,
     "op8_bayesian_near_dup": op8_bayesian_near_dup,
     "op9_hierarchical_language": op9_hierarchical_language,
+    "op10_license_templates": op10_license_templates,
 }
 
 SQL: dict[str, str] = {
