@@ -21,10 +21,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from cohortkit.llm.common import crc_remainder
 from cohortkit.llm.linear_svm import OneVersusOne
+from cohortkit.llm.sampling import bounded_sample
 
 #: Documented bound of the training sample, per language.
 SAMPLE = 500
@@ -87,18 +87,9 @@ class HierarchicalModel:
 
 
 def training_sample(docs: DataFrame, may_learn: Column, per_language: int = SAMPLE) -> DataFrame:
-    """At most ``per_language`` distinct labelled rows of each language: those with the least id hashes.
-
-    The hash bound of each language comes from a pass over two narrow columns;
-    texts are then filtered in the scan.
-    """
-    rows = docs.filter(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_h", F.xxhash64(F.lit(11), "doc_id"))
-    least = rows.select("lang", "_h").withColumn("_k", F.row_number().over(W.partitionBy("lang").orderBy("_h"))).filter(F.col("_k") <= per_language)
-    bounds = least.groupBy("lang").agg(F.max("_h").alias("h")).collect()  # one row per language
-    if not bounds:
-        return rows.limit(0).select("lang", "text")
-    bound = F.create_map(*[F.lit(v) for r in bounds for v in (r["lang"], r["h"])])
-    return rows.filter(F.col("_h") <= F.element_at(bound, F.col("lang"))).dropDuplicates(["lang", "_h"]).select("lang", "text")
+    """At most ``per_language`` distinct labelled rows of each language."""
+    rows = docs.filter(may_learn & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    return bounded_sample(rows, "lang", "doc_id", per_language, 11).select("lang", "text")
 
 
 def fit(docs: DataFrame, may_learn: Column, per_language: int = SAMPLE) -> HierarchicalModel | None:

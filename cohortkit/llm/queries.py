@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortkit.llm import decontaminate, language_id, license_scan, near_dup, packing, quality_divergence, slot_shards
+from cohortkit.llm import decontaminate, language_id, license_scan, near_dup, packing, quality_divergence, slot_shards, toxicity
 from cohortkit.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op4_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_fuzzy_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_divergence_quality": op1_divergence_quality,
     "op2_virtual_slots": op2_virtual_slots,
     "op4_shortest_pack_first": op4_shortest_pack_first,
+    "op6_fuzzy_toxicity": op6_fuzzy_toxicity,
     "op7_minhash_containment": op7_minhash_containment,
     "op8_bayesian_near_dup": op8_bayesian_near_dup,
     "op9_hierarchical_language": op9_hierarchical_language,
