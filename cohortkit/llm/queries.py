@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortkit.llm import decontaminate, language_id, license_scan, near_dup, packing, quality_divergence, slot_shards, toxicity
+from cohortkit.llm import decontaminate, language_id, license_scan, near_dup, packing, quality_divergence, secret_scan, slot_shards, toxicity
 from cohortkit.llm.common import table
 
 
@@ -30,6 +30,13 @@ def op4_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "word_no", F.length("value").cast("long").alias("length"), F.crc32("value").alias("value_crc32"), F.round("score", 4).alias("score"), "secret"
+    )
+
+
 def op6_fuzzy_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_divergence_quality": op1_divergence_quality,
     "op2_virtual_slots": op2_virtual_slots,
     "op4_shortest_pack_first": op4_shortest_pack_first,
+    "op5_forest_secrets": op5_forest_secrets,
     "op6_fuzzy_toxicity": op6_fuzzy_toxicity,
     "op7_minhash_containment": op7_minhash_containment,
     "op8_bayesian_near_dup": op8_bayesian_near_dup,
