@@ -7,7 +7,10 @@
 3. Every document is first compared with one pivot, the one it shares most
    buckets with; the links found join most of any large group of near copies.
 4. Buckets that still hold several components are compared in full, except
-   inside a component, where links cannot change the result.
+   inside a component, where links cannot change the result. Shingles that
+   only one text of these buckets has cannot lie in an intersection; counting
+   them bounds a text's similarity to any other, so most texts of a group that
+   are edited too far are told apart without comparing pairs.
 5. Pairs are checked in batches of signature values: a pair whose posterior
    chance of reaching the threshold falls below ``MISS`` is pruned. All
    survivors are confirmed on their whole shingle sets.
@@ -129,6 +132,20 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return pairs.join(one("b"), "b").join(one("a"), "a").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long").distinct()
 
 
+def own_counts(texts: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
+    """(id, n, own): how many of a chosen text's ``n`` shingles no other chosen document has."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t, n).astype("i8") for t in batch["text"]]
+            yield pd.DataFrame({"id": batch["doc_id"], "n": [len(s) for s in sets], "sh": sets})
+
+    rows = texts.join(chosen, "doc_id", "left_semi").mapInPandas(run, "id long, n long, sh array<long>")
+    rows = rows.select(F.struct("id", "n").alias("of"), F.explode("sh").alias("s"))
+    owners = rows.groupBy("s").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).filter("lo = hi")
+    return owners.groupBy("lo.id", "lo.n").agg(F.count(F.lit(1)).alias("own"))
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) of the nodes that ``links`` (a, b) name; component is the least node.
 
@@ -188,16 +205,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     # what still meets across components
     known = binned.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     known = stage(known, "known")
-    sizes = known.groupBy("bin", "comp").agg(F.count(F.lit(1)).alias("c"))
+    ends = known.groupBy("bin").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bin")
+    open_rows = stage(known.join(ends, "bin"), "open")
+    own = own_counts(texts, open_rows.select(F.col("id").alias("doc_id")).distinct(), n)
+    open_rows = open_rows.join(own, ["id", "n"], "left").withColumn("held", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    # isolated texts leave their buckets
+    open_rows = open_rows.filter(F.col("held") >= F.lit(threshold - 1e-9) * F.col("n"))
+    sizes = open_rows.groupBy("bin", "comp").agg(F.count(F.lit(1)).alias("c"))
     major = sizes.groupBy("bin").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("bin", F.col("m.comp").alias("major"))
-    open_rows = known.join(major, "bin")
+    open_rows = stage(open_rows.join(major, "bin"), "open")
     minor = open_rows.filter("comp != major").drop("major")
-    other = open_rows.select("bin", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("major"))
+    other = open_rows.select("bin", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("held").alias("held2"), F.col("comp").alias("comp2"), "major")
+    most = F.least("held", "held2")
+    reachable = most * F.lit(1 + threshold) >= F.lit(threshold) * (F.col("n") + F.col("n2")) - F.lit(1e-6)
     across = (
         minor.join(other, "bin")
         # between two minor rows the pair is met from both sides
         .filter((F.col("comp") != F.col("comp2")) & ((F.col("comp2") == F.col("major")) | (F.col("id") < F.col("id2"))))
-        .filter(near_size)
+        .filter(near_size & reachable)
         .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
