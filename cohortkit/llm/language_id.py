@@ -109,9 +109,8 @@ def fit(docs: DataFrame, may_learn: Column, per_language: int = SAMPLE) -> Hiera
     return HierarchicalModel(x, sample["lang"].to_numpy(object))
 
 
-def predict(docs: DataFrame, model: HierarchicalModel | None, keep: list[str] | None = None) -> DataFrame:
-    """Add lang_pred and score to the columns ``keep`` of ``docs``; the text alone decides."""
-    keep = docs.columns if keep is None else keep
+def with_prediction(docs: DataFrame, model: HierarchicalModel | None, name: str) -> DataFrame:
+    """Add the struct ``name`` of lang_pred and score; the text alone decides."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -122,12 +121,21 @@ def predict(docs: DataFrame, model: HierarchicalModel | None, keep: list[str] |
                 langs[part], scores[part] = shared.value.predict(features([batch.iloc[i] for i in part]))
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    found = F.pandas_udf(score, "lang_pred string, score double")
-    return docs.withColumn("_found", found(F.col("text"))).select(*[f"`{c}`" for c in keep], "_found.lang_pred", "_found.score")
+    return docs.withColumn(name, F.pandas_udf(score, "lang_pred string, score double")(F.col("text")))
+
+
+def accepted(docs: DataFrame, model: HierarchicalModel | None, languages: list[str] | None = None, at_least: float = 0.5) -> DataFrame:
+    """Rows of ``docs`` whose language is known (and among ``languages``) with a score of ``at_least``; same columns."""
+    found = with_prediction(docs, model, "_found")
+    good = (F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= at_least)
+    if languages is not None:
+        good = good & F.col("_found.lang_pred").isin(languages)
+    return found.filter(good).select(*[f"`{c}`" for c in docs.columns])
 
 
 def identify(docs: DataFrame, modulus: int = 4, held_out: int = 2, per_language: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row; rows held out are never learned from."""
     out = crc_remainder(F.col("doc_id"), modulus) == held_out
     model = fit(docs, ~out, per_language)
-    return predict(docs.select("doc_id", "text", out.alias("held_out")), model, ["doc_id", "held_out"])
+    found = with_prediction(docs.select("doc_id", "text", out.alias("held_out")), model, "_found")
+    return found.select("doc_id", "held_out", "_found.lang_pred", "_found.score")

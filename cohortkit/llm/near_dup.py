@@ -35,28 +35,33 @@ from pyspark.sql import functions as F
 from cohortkit.llm.common import stage
 from cohortkit.llm.shingles import mix, shingle_set
 
-#: 25 bands of 5: a pair at similarity 0.85 misses all bands with a chance below 5e-7.
-BANDS, ROWS = 25, 5
+#: Values per band, and the chance at which a pair at the threshold may miss all bands.
+ROWS, BAND_MISS = 5, 5e-7
 #: Signature values compared per step, and the miss probability of pruning a pair.
 BATCH, MISS = 25, 1e-7
 _RNG = np.random.default_rng(85)
-_FACTOR = _RNG.integers(1, 2**63, BANDS * ROWS, dtype="u8") * np.uint64(2) + np.uint64(1)
+_FACTOR = _RNG.integers(1, 2**63, 1000, dtype="u8") * np.uint64(2) + np.uint64(1)
 _FOLD = _RNG.integers(1, 2**63, ROWS, dtype="u8") * np.uint64(2) + np.uint64(1)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """MinHash values of a set under ``BANDS * ROWS`` multipliers."""
-    low = np.full(len(_FACTOR), np.uint64(2**64 - 1))
+def bands_for(threshold: float) -> int:
+    """Fewest bands that keep the miss chance: 25 at 0.85, 37 at 0.8."""
+    return max(1, min(len(_FACTOR) // ROWS, math.ceil(math.log(BAND_MISS) / math.log1p(-(threshold**ROWS) + 1e-12))))
+
+
+def signature(hashes: np.ndarray, size: int) -> np.ndarray:
+    """MinHash values of a set under ``size`` multipliers."""
+    low, factors = np.full(size, np.uint64(2**64 - 1)), _FACTOR[:size]
     for i in range(0, len(hashes), 2048):
-        low = np.minimum(low, (hashes[i : i + 2048, None] * _FACTOR).min(axis=0))
+        low = np.minimum(low, (hashes[i : i + 2048, None] * factors).min(axis=0))
     return low
 
 
-def signed(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signed(docs: DataFrame, n: int, bands: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, class digest (c1, c2), band keys and one byte of each MinHash value."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        salt = np.arange(BANDS, dtype="u8") << np.uint64(32)
+        salt = np.arange(bands, dtype="u8") << np.uint64(32)
         for batch in batches:
             out = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -64,8 +69,8 @@ def signed(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "tex
                 if not len(s):
                     out.append((doc, 0, None, None, None, None))
                     continue
-                low = mix(signature(s))
-                keys = mix((low.reshape(BANDS, ROWS) * _FOLD).sum(axis=1) + salt)
+                low = mix(signature(s, bands * ROWS))
+                keys = mix((low.reshape(bands, ROWS) * _FOLD).sum(axis=1) + salt)
                 digest = (mix(s ^ _FOLD[0]).sum(), mix(s ^ _FOLD[1]).sum())
                 out.append((doc, len(s), *(int(d.astype("i8")) for d in digest), keys.astype("i8"), low.astype("u1").tobytes()))
             made = pd.DataFrame(out, columns=["doc_id", "n_shingles", "c1", "c2", "keys", "sig"])
@@ -92,10 +97,10 @@ def least_matches(threshold: float, n: int, miss: float) -> int:
     return n
 
 
-def pruned(pairs: DataFrame, signs: DataFrame, threshold: float, miss: float = MISS, batch: int = BATCH) -> DataFrame:
+def pruned(pairs: DataFrame, signs: DataFrame, threshold: float, total: int, miss: float = MISS, batch: int = BATCH) -> DataFrame:
     """Candidate pairs (a, b) that pass the sequential posterior test."""
-    total = BANDS * ROWS
-    bounds = [(k, least_matches(threshold, k, miss)) for k in range(batch, total + 1, batch)]
+    steps = [0, *range(batch, total, batch), total]
+    bounds = [(i, k, least_matches(threshold, k, miss)) for i, k in zip(steps, steps[1:])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -104,8 +109,8 @@ def pruned(pairs: DataFrame, signs: DataFrame, threshold: float, miss: float = M
             a = np.frombuffer(b"".join(rows["sig_a"]), "u1").reshape(-1, total)
             b = np.frombuffer(b"".join(rows["sig_b"]), "u1").reshape(-1, total)
             alive, matches = np.arange(len(rows)), np.zeros(len(rows), int)
-            for k, least in bounds:
-                matches[alive] += (a[alive, k - batch : k] == b[alive, k - batch : k]).sum(axis=1)
+            for i, k, least in bounds:
+                matches[alive] += (a[alive, i:k] == b[alive, i:k]).sum(axis=1)
                 alive = alive[matches[alive] >= least]
             yield rows.iloc[alive][["a", "b"]]
 
@@ -175,7 +180,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     similarity of at least ``percent`` / 100; a component keeps its least id.
     """
     threshold = percent / 100
-    all_rows = stage(signed(docs, n, id_col, text_col), "signed")
+    bands = bands_for(threshold)
+    total = bands * ROWS
+    all_rows = stage(signed(docs, n, bands, id_col, text_col), "signed")
     rows = all_rows.filter("n_shingles > 0 and doc_id is not null")
     classes = stage(rows.groupBy("c1", "c2").agg(F.min("doc_id").alias("rid")), "classes")
     reps = (
@@ -199,7 +206,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     best = shared.groupBy("id").agg(F.max(F.struct("c", F.col("id2").alias("p"))).alias("m"))
     first = best.select(F.least("id", "m.p").alias("a"), F.greatest("id", "m.p").alias("b")).distinct()
     first = stage(first, "first-pairs")
-    links = stage(confirmed(pruned(first, reps, threshold), texts, n, percent), "links")
+    links = stage(confirmed(pruned(first, reps, threshold, total), texts, n, percent), "links")
     joined = connected_components(links)
 
     # what still meets across components
@@ -227,7 +234,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         .distinct()
         .join(first, ["a", "b"], "left_anti")
     )
-    more = confirmed(pruned(across, reps, threshold), texts, n, percent)
+    more = confirmed(pruned(across, reps, threshold, total), texts, n, percent)
     found = connected_components(links.union(more))
 
     named = classes.join(found.withColumnRenamed("node", "rid"), "rid", "left").select("c1", "c2", F.coalesce("component", "rid").alias("_comp"))
