@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortkit.llm import decontaminate, language_id, license_scan, near_dup, packing, quality_divergence, secret_scan, slot_shards, toxicity
+from cohortkit.llm import decontaminate, language_id, license_scan, near_dup, packing, quality_divergence, secret_scan, slot_shards, suffix_dedup, toxicity
 from cohortkit.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op4_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ def op10_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_divergence_quality": op1_divergence_quality,
     "op2_virtual_slots": op2_virtual_slots,
+    "op3_sparse_suffixes": op3_sparse_suffixes,
     "op4_shortest_pack_first": op4_shortest_pack_first,
     "op5_forest_secrets": op5_forest_secrets,
     "op6_fuzzy_toxicity": op6_fuzzy_toxicity,
