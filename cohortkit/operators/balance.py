@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import logit
+from .quantiles import exact_quantiles
 
 
 # --------------------------------------------------------------------------- B1
@@ -72,31 +73,21 @@ def balance_table(before: DataFrame, after: DataFrame, cols: Sequence[str], trea
 
 
 # --------------------------------------------------------------------------- M1
-def medians(df: DataFrame, cols: Sequence[str], accuracy: int | None = None, distributed_above: int = 5_000_000) -> dict[str, float | None]:
-    """Exact medians (linear interpolation) of each column.
-
-    Up to ``distributed_above`` rows: one ``percentile`` aggregation. Above:
-    ``exact_quantiles`` (range partitioned, no group held in one task).
-    """
-    if accuracy is None and df.limit(distributed_above + 1).count() > distributed_above:
-        from .quantiles import exact_quantiles
-
-        got = {r["column"]: r["q_0"] for r in exact_quantiles(df, cols, [0.5]).collect()}
-        return {c: got.get(c) for c in cols}
+def medians(df: DataFrame, cols: Sequence[str], accuracy: int | None = None) -> dict[str, float | None]:
+    """Exact medians (linear interpolation) of each column, or ``percentile_approx`` with ``accuracy``."""
     if accuracy is None:
-        aggs = [F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in cols]
-    else:
-        aggs = [F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(c) for c in cols]
-    row = df.agg(*aggs).first()
+        got = {r["column"]: r["q_0"] for r in exact_quantiles(df, cols, [0.5]).collect()}  # one row per column
+        return {c: got.get(c) for c in cols}
+    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(c) for c in cols]).first()
     return {c: (None if row[c] is None else float(row[c])) for c in cols}
 
 
-def impute_median(df: DataFrame, cols: Sequence[str], accuracy: int | None = None, distributed_above: int = 5_000_000) -> tuple[DataFrame, dict[str, float | None]]:
+def impute_median(df: DataFrame, cols: Sequence[str], accuracy: int | None = None) -> tuple[DataFrame, dict[str, float | None]]:
     """Fill NULLs with the column median; returns the frame and the medians used.
 
     Imputed columns become double (as a float imputer would return).
     """
-    med = medians(df, cols, accuracy, distributed_above)
+    med = medians(df, cols, accuracy)
     out = df
     for c in cols:
         fill = F.lit(med[c]).cast("double")
@@ -104,10 +95,6 @@ def impute_median(df: DataFrame, cols: Sequence[str], accuracy: int | None = Non
     return out, med
 
 
-def medians_frame(med: dict[str, float | None]) -> list[tuple[str, float | None]]:
-    return [(k, v) for k, v in med.items()]
-
-
 # --------------------------------------------------------------------------- M2
 def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = True, max_levels: int = 1000, levels: dict[str, Sequence[object]] | None = None) -> tuple[DataFrame, list[str]]:
     """Dummy columns ``<col>_<level>`` (double 0/1) for each categorical column.

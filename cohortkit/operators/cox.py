@@ -62,6 +62,10 @@ class CoxModel:
 SUMMARY_SCHEMA = "covariate string, coef double, hr double, se double, ci_lower double, ci_upper double, z double, p_value double"
 
 
+#: Tied events summed at once.
+TIE_BLOCK = 65_536
+
+
 def _pairs(p: int) -> list[tuple[int, int]]:
     return [(j, k) for j in range(p) for k in range(j, p)]
 
@@ -120,7 +124,7 @@ def _per_time(base: DataFrame, duration: str, event: str, zcols: Sequence[str],
     schema = "__t double, " + ", ".join(f"{nm} double" for nm in names)
     frame = base.select(F.col(duration).cast("double").alias("__t"), F.col(event).cast("double").alias("__e"), *[F.col(c) for c in zc])
     per_t = frame.mapInPandas(partial, schema).groupBy("__t").agg(*[F.sum(nm).alias(nm) for nm in names])
-    rows = per_t.orderBy(F.col("__t").desc()).limit(max_times + 1).collect()
+    rows = sorted(per_t.collect(), key=lambda r: -r["__t"])
     if len(rows) > max_times:
         raise ValueError(f"more than {max_times} distinct durations; not supported by the per-time Cox step")
     m = len(rows)
@@ -152,15 +156,21 @@ def efron_terms(pt: dict) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     means = np.zeros_like(r1)
     for i in np.nonzero(pt["d"] > 0)[0]:
         d = int(round(pt["d"][i]))
-        frac = np.arange(d) / d
-        phi = r0[i] - frac * pt["d0"][i]
-        phi1 = r1[i][None, :] - frac[:, None] * pt["d1"][i][None, :]
-        phi2 = r2[i][None, :, :] - frac[:, None, None] * pt["d2"][i][None, :, :]
-        ll += pt["eta"][i] - np.log(phi).sum()
-        ratio1 = phi1 / phi[:, None]
-        grad += pt["x"][i] - ratio1.sum(axis=0)
-        hess -= (phi2 / phi[:, None, None]).sum(axis=0) - np.einsum("lj,lk->jk", ratio1, ratio1)
-        means[i] = ratio1.mean(axis=0)
+        # phi and its derivatives are linear in the tie index, so sums of scalars suffice
+        a0 = a1 = b0 = b1 = b2 = 0.0
+        for first in range(0, d, TIE_BLOCK):
+            frac = np.arange(first, min(first + TIE_BLOCK, d)) / d
+            phi = r0[i] - frac * pt["d0"][i]
+            ll -= np.log(phi).sum()
+            a0, a1 = a0 + (1 / phi).sum(), a1 + (frac / phi).sum()
+            b0, b1, b2 = b0 + (1 / phi**2).sum(), b1 + (frac / phi**2).sum(), b2 + (frac**2 / phi**2).sum()
+        ll += pt["eta"][i]
+        risk, dead = r1[i], pt["d1"][i]
+        ratio = risk * a0 - dead * a1
+        grad += pt["x"][i] - ratio
+        cross = np.outer(risk, dead)
+        hess -= r2[i] * a0 - pt["d2"][i] * a1 - (np.outer(risk, risk) * b0 - (cross + cross.T) * b1 + np.outer(dead, dead) * b2)
+        means[i] = ratio / d
     return ll, grad, hess, means
 
 
@@ -210,12 +220,16 @@ def cox_ph(df: DataFrame, duration: str, event: str, covariates: Sequence[str],
             pt_c = _per_time(scaled, duration, event, zcols, cand, max_times)
             ll_c, g_c, h_c, _ = efron_terms(pt_c)
             pll_c, pg_c, ph_c = penalised(ll_c, g_c, h_c, cand)
-            if pll_c >= pll - 1e-12 or size < 1e-4:
+            if np.isfinite(pll_c) and pll_c >= pll - 1e-9 * max(1.0, abs(pll)):
                 break
             size /= 2.0
+            if size < 1e-6:
+                raise RuntimeError(f"Cox fit: no step raises the likelihood (step {step}, gradient norm {np.linalg.norm(pg):.3g})")
         beta, pt, pll, pg, ph = cand, pt_c, pll_c, pg_c, ph_c
         if np.linalg.norm(size * delta) < tol:
             break
+    else:
+        raise RuntimeError(f"Cox fit: not converged after {max_steps} steps (gradient norm {np.linalg.norm(pg):.3g})")
     _, _, _, emeans = efron_terms(pt)
     cov_scaled = np.linalg.inv(-ph)
     coef = beta / sds

@@ -2,8 +2,8 @@
 histograms, correlations, extreme rows, sign shares and top-k.
 
 All are aggregations with map-side partial combine; only the small report
-leaves the executors. Exact quantiles use ``percentile`` (keeps a value ->
-count map per group); pass ``accuracy`` to switch to ``percentile_approx``.
+leaves the executors. Quantiles are exact and never gather a group's values;
+pass ``accuracy`` for ``percentile_approx``.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+from .running import null_safe_join
+
 
 def _list(x: str | Sequence[str] | None) -> list[str]:
     if x is None:
@@ -20,12 +23,6 @@ def _list(x: str | Sequence[str] | None) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
-def unpivot(df: DataFrame, ids: Sequence[str], cols: Sequence[str], var: str = "column", value: str = "value") -> DataFrame:
-    """Wide -> long with the values cast to double."""
-    casted = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in cols])
-    return casted.unpivot(list(ids), list(cols), var, value)
-
-
 # --------------------------------------------------------------------------- A7
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """``(col, n)`` sorted by n descending (NULL kept as its own value)."""
@@ -43,57 +40,32 @@ def rate_by_group(df: DataFrame, by: str | Sequence[str], y: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- A9
-def describe(df: DataFrame, cols: Sequence[str], by: str | Sequence[str] | None = None, accuracy: int | None = None, distributed_above: int = 5_000_000) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str], by: str | Sequence[str] | None = None, accuracy: int | None = None) -> DataFrame:
     """count, mean, sample SD, min, quartiles, max per column (and group).
 
-    One wide aggregation over all columns side by side (no row-multiplying
-    unpivot of the input), then the small result is stacked. Quartiles
-    interpolate linearly between order statistics (pandas rule) when exact;
-    ``accuracy`` gives ``percentile_approx`` instead. Above
-    ``distributed_above`` rows the exact quartiles come from
-    ``exact_quantiles`` (no group's values held in one task).
+    Moments come from one wide aggregation over all columns side by side,
+    quartiles (linear between order statistics, the pandas rule) from
+    ``exact_quantiles``; ``accuracy`` gives ``percentile_approx`` instead.
+    NULL group keys form a group.
     """
     by = _list(by)
-    if accuracy is None and df.limit(distributed_above + 1).count() > distributed_above:
-        from .quantiles import exact_quantiles
-
-        moments = []
-        for i, c in enumerate(cols):
-            v = F.col(c).cast("double")
-            moments += [F.count(v).alias(f"n_{i}"), F.avg(v).alias(f"m_{i}"), F.stddev_samp(v).alias(f"s_{i}"), F.min(v).alias(f"lo_{i}"), F.max(v).alias(f"hi_{i}")]
-        wide = df.groupBy(*by).agg(*moments)
-        parts = ", ".join(f"'{c}', n_{i}, m_{i}, s_{i}, lo_{i}, hi_{i}" for i, c in enumerate(cols))
-        long = wide.selectExpr(*[f"`{b}`" for b in by], f"stack({len(cols)}, {parts}) as (column, count, mean, std, min, max)")
-        q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], by=by).withColumnsRenamed({"q_0": "q25", "q_1": "median", "q_2": "q75"})
-        joined = long.join(q, on=[*by, "column"], how="left")
-        return joined.select(*by, "column", "count", "mean", "std", "min", "q25", "median", "q75", "max")
     aggs = []
     for i, c in enumerate(cols):
         v = F.col(c).cast("double")
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if accuracy is None else F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy)
-        aggs += [
-            F.count(v).alias(f"n_{i}"),
-            F.avg(v).alias(f"m_{i}"),
-            F.stddev_samp(v).alias(f"s_{i}"),
-            F.min(v).alias(f"lo_{i}"),
-            q.cast("array<double>").alias(f"q_{i}"),
-            F.max(v).alias(f"hi_{i}"),
-        ]
+        aggs += [F.count(v).alias(f"n_{i}"), F.avg(v).alias(f"m_{i}"), F.stddev_samp(v).alias(f"s_{i}"), F.min(v).alias(f"lo_{i}"), F.max(v).alias(f"hi_{i}")]
+        if accuracy is not None:
+            aggs.append(F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).cast("array<double>").alias(f"q_{i}"))
     wide = df.groupBy(*by).agg(*aggs)
-    parts = ", ".join(f"'{c}', n_{i}, m_{i}, s_{i}, lo_{i}, q_{i}, hi_{i}" for i, c in enumerate(cols))
-    long = wide.selectExpr(*[f"`{b}`" for b in by], f"stack({len(cols)}, {parts}) as (column, count, mean, std, min, __q, max)")
-    return long.select(
-        *by,
-        "column",
-        "count",
-        "mean",
-        "std",
-        "min",
-        F.col("__q")[0].alias("q25"),
-        F.col("__q")[1].alias("median"),
-        F.col("__q")[2].alias("q75"),
-        "max",
-    )
+    quartiles = ", q_{0}" if accuracy is not None else ""
+    parts = ", ".join(f"'{c}', n_{i}, m_{i}, s_{i}, lo_{i}, hi_{i}" + quartiles.format(i) for i, c in enumerate(cols))
+    names = "column, count, mean, std, min, max" + (", __q" if accuracy is not None else "")
+    long = wide.selectExpr(*[f"`{b}`" for b in by], f"stack({len(cols)}, {parts}) as ({names})")
+    if accuracy is None:
+        q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], by=by).withColumnsRenamed({"q_0": "q25", "q_1": "median", "q_2": "q75"})
+        long = null_safe_join(long, q, [*by, "column"], "left")
+    else:
+        long = long.withColumns({name: F.col("__q")[k] for k, name in enumerate(("q25", "median", "q75"))})
+    return long.select(*by, "column", "count", "mean", "std", "min", "q25", "median", "q75", "max")
 
 
 # --------------------------------------------------------------------------- A12

@@ -1,107 +1,35 @@
 """Exact quantiles without holding a whole group in one task.
 
-Spark's exact ``percentile`` merges a value -> count map of the whole group in
-one task. ``exact_quantiles`` instead range-partitions the values by
-(group, column, value): pass 1 counts rows per partition and group (a few
-numbers per partition), the driver locates the partition and local rank of
-each needed order statistic, and pass 2 selects those ranks inside their
-partitions (``np.partition``). Quantiles interpolate linearly between the
-order statistics at floor/ceil of ``(n - 1) * p`` (the rule of ``percentile``
-and pandas).
+Values are first counted (a heavy repeated value becomes one row), the counts
+are summed up in value order with ``running_sums`` and each quantile is read
+off at its two ranks. Quantiles interpolate linearly between the order
+statistics at floor/ceil of ``(n - 1) * p`` (the rule of ``percentile`` and
+pandas). One plan at every size; NULL group keys form a group.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .running import null_safe_join, running_sums
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), rows_per_partition: int = 1_000_000) -> DataFrame:
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), rows_per_block: int = 500_000) -> DataFrame:
     """``(by..., column, q_0, q_1, ...)``: exact linear-interpolated quantiles
     of each column (NULLs ignored) per group; one output column per prob."""
-    from ..session import ensure_checkpoint_dir
-
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    by = list(by)
-    cols = list(cols)
-    probs = list(probs)
-    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(by, cols, "column", "value").where(F.col("value").isNotNull())
-    n_rows = long.count()
-    parts = max(1, math.ceil(n_rows / rows_per_partition))
-    gkeys = by + ["column"]
-    ranged = long.repartitionByRange(parts, *[F.col(k) for k in gkeys], F.col("value")).checkpoint(eager=True)
-
-    def counts(it):
-        pid = TaskContext.get().partitionId()
-        frames = [p for p in it if not p.empty]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        g = pdf.groupby(gkeys, dropna=False).size().reset_index(name="__n")
-        g.insert(0, "__pid", pid)
-        yield g
-
-    key_schema = ", ".join(f"`{k}` {ranged.schema[k].dataType.simpleString()}" for k in gkeys)
-    per_part = ranged.mapInPandas(counts, f"__pid int, {key_schema}, __n long").collect()
-
-    # per group: partitions in range order with their counts
-    layout: dict[tuple, list[tuple[int, int]]] = {}
-    for r in sorted(per_part, key=lambda r: r["__pid"]):
-        layout.setdefault(tuple(r[k] for k in gkeys), []).append((r["__pid"], r["__n"]))
-    wanted: dict[int, list[tuple[tuple, int, int]]] = {}  # pid -> (group, global rank, local rank)
-    plan: dict[tuple, list[tuple[float, int, int]]] = {}
-    for g, plist in layout.items():
-        n = sum(c for _, c in plist)
-        plan[g] = []
-        for p in probs:
-            pos = (n - 1) * p
-            lo, hi = int(math.floor(pos)), int(math.ceil(pos))
-            plan[g].append((pos, lo, hi))
-            for rank in {lo, hi}:
-                acc = 0
-                for pid, c in plist:
-                    if rank < acc + c:
-                        wanted.setdefault(pid, []).append((g, rank, rank - acc))
-                        break
-                    acc += c
-    b_wanted = spark.sparkContext.broadcast(wanted)
-
-    def select(it):
-        pid = TaskContext.get().partitionId()
-        asks = b_wanted.value.get(pid)
-        frames = [p for p in it if not p.empty]
-        if not asks or not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        rows = []
-        for g, grp in pdf.groupby(gkeys, dropna=False, sort=False):
-            g = g if isinstance(g, tuple) else (g,)
-            mine = [(rank, local) for gg, rank, local in asks if gg == g]
-            if not mine:
-                continue
-            vals = grp["value"].to_numpy(dtype=float)
-            locals_ = sorted({loc for _, loc in mine})
-            part = np.partition(vals, locals_)
-            for rank, loc in mine:
-                rows.append((*g, rank, float(part[loc])))
-        if rows:
-            yield pd.DataFrame(rows, columns=[*gkeys, "__rank", "__v"])
-
-    picked = ranged.mapInPandas(select, f"{key_schema}, __rank long, __v double").collect()
-    values = {(tuple(r[k] for k in gkeys), r["__rank"]): r["__v"] for r in picked}
-    out_rows = []
-    for g, specs in plan.items():
-        qs = []
-        for pos, lo, hi in specs:
-            v_lo, v_hi = values[(g, lo)], values[(g, hi)]
-            qs.append(v_lo + (pos - lo) * (v_hi - v_lo))
-        out_rows.append((*g, *qs))
-    schema = f"{key_schema}, " + ", ".join(f"q_{i} double" for i in range(len(probs)))
-    return spark.createDataFrame(out_rows, schema)
+    keys = [*by, "column"]
+    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(list(by), list(cols), "column", "value").where(F.col("value").isNotNull())
+    counts = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("__n"))
+    ranked = running_sums(counts, "value", ["__n"], keys, rows_per_block=rows_per_block)
+    last = ranked.groupBy(*keys).agg(F.max("__n_cum").alias("__total"))
+    rows = null_safe_join(ranked, last, keys)
+    at = lambda rank: F.min(F.when(F.col("__n_cum") > rank, F.col("value")))  # noqa: E731  the value of a 0-based rank
+    aggs = []
+    for i, p in enumerate(probs):
+        pos = (F.col("__total") - 1) * F.lit(float(p))
+        aggs += [at(F.floor(pos)).alias(f"__lo_{i}"), at(F.ceil(pos)).alias(f"__hi_{i}"), F.max(pos - F.floor(pos)).alias(f"__w_{i}")]
+    out = rows.groupBy(*keys).agg(*aggs)
+    return out.select(*keys, *[(F.col(f"__lo_{i}") + F.col(f"__w_{i}") * (F.col(f"__hi_{i}") - F.col(f"__lo_{i}"))).alias(f"q_{i}") for i in range(len(probs))])

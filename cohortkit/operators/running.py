@@ -1,10 +1,9 @@
 """Running (cumulative) sums without a window over a whole group.
 
-``running_sums`` range-partitions the rows by (keys, order), takes per
-partition and key the column totals (pass 1, a few numbers per partition),
-turns them into offsets on the driver, and adds the offset to an in-partition
-cumulative sum (pass 2, Arrow batches). Every task holds one range slice;
-no group is funnelled into one task however many rows it has.
+Rows are cut into blocks of the order column (quantile cuts, so each block
+holds about ``rows_per_block`` rows). A window sums inside each (keys, block)
+and a second one runs over the blocks' totals, which are a few rows per key.
+The same plan serves every size; a small table simply has one block.
 """
 
 from __future__ import annotations
@@ -12,74 +11,44 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_sums(df: DataFrame, order_col: str, cols: Sequence[str], keys: Sequence[str] = (), descending: bool = False, rows_per_partition: int = 1_000_000, out_suffix: str = "_cum") -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL equals NULL; the result keeps the left keys."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & left[k].eqNullSafe(renamed[f"__r_{k}"])
+    return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
+
+
+def running_sums(
+    df: DataFrame, order_col: str, cols: Sequence[str], keys: Sequence[str] = (), descending: bool = False, rows_per_block: int = 500_000, out_suffix: str = "_cum"
+) -> DataFrame:
     """Adds ``<col><out_suffix>`` = sum of ``col`` over rows of the same keys
     with ``order_col`` <= (or >= when descending) the current row, current row
-    included. ``order_col`` must be unique within keys (e.g. a per-time
-    aggregate)."""
+    included. ``order_col`` must be numeric, not NULL and unique within keys
+    (e.g. a per-time aggregate); keys may be NULL. Types are those of ``sum``.
+    """
     from ..session import ensure_checkpoint_dir
 
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(df.sparkSession)
     keys = list(keys)
-    cols = list(cols)
-    n = df.count()
-    parts = max(1, math.ceil(n / rows_per_partition))
-    sort_col = F.col(order_col) if not descending else -F.col(order_col)
-    ranged = df.withColumn("__ord", sort_col.cast("double")).repartitionByRange(parts, *[F.col(k) for k in keys], F.col("__ord")).checkpoint(eager=True)
-    key_names = keys
-
-    def totals(it):
-        pid = TaskContext.get().partitionId()
-        frames = [p for p in it if not p.empty]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        g = pdf.groupby(key_names, dropna=False)[cols].sum().reset_index() if key_names else pdf[cols].sum().to_frame().T
-        g.insert(0, "__pid", pid)
-        yield g
-
-    schema_keys = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    tot_schema = "__pid int" + (", " + schema_keys if keys else "") + ", " + ", ".join(f"`{c}` double" for c in cols)
-    casted = ranged.select(*keys, "__ord", *[F.col(c).cast("double").alias(c) for c in cols], *[c for c in ranged.columns if c not in keys + cols + ["__ord"]])
-    tot = casted.select(*keys, *cols).mapInPandas(totals, tot_schema).collect()
-    offsets: dict[tuple, dict[int, np.ndarray]] = {}
-    running: dict[tuple, np.ndarray] = {}
-    for r in sorted(tot, key=lambda r: r["__pid"]):
-        k = tuple(r[x] for x in keys)
-        acc = running.get(k, np.zeros(len(cols)))
-        offsets.setdefault(k, {})[r["__pid"]] = acc.copy()
-        running[k] = acc + np.array([r[c] for c in cols], dtype=float)
-    b_off = spark.sparkContext.broadcast(offsets)
-    out_cols = [f"{c}{out_suffix}" for c in cols]
-
-    def cumulate(it):
-        pid = TaskContext.get().partitionId()
-        off = b_off.value
-        frames = [p for p in it if not p.empty]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True).sort_values(keys + ["__ord"], kind="mergesort")
-        if keys:
-            for k_vals, idx in pdf.groupby(keys, dropna=False, sort=False).groups.items():
-                k = k_vals if isinstance(k_vals, tuple) else (k_vals,)
-                base = off.get(k, {}).get(pid, np.zeros(len(cols)))
-                sub = pdf.loc[idx, cols].to_numpy(dtype=float)
-                pdf.loc[idx, out_cols] = np.cumsum(sub, axis=0) + base
-        else:
-            base = off.get((), {}).get(pid, np.zeros(len(cols)))
-            pdf[out_cols] = np.cumsum(pdf[cols].to_numpy(dtype=float), axis=0) + base
-        yield pdf
-
-    schema = casted.schema
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    out_schema = StructType(list(schema.fields) + [StructField(c, DoubleType(), True) for c in out_cols])
-    return casted.mapInPandas(cumulate, out_schema).drop("__ord")
+    fixed = df.checkpoint(eager=True)
+    n_blocks = math.ceil(fixed.count() / rows_per_block)
+    x = F.col(order_col).cast("double")
+    block = F.lit(0)
+    if n_blocks > 1:
+        cuts = sorted(set(fixed.select(x.alias("x")).approxQuantile("x", [i / n_blocks for i in range(1, n_blocks)], 0.1 / n_blocks)))
+        block = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < x))
+    rows = fixed.withColumn("__block", (-block if descending else block).cast("int"))
+    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    inside = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "__block").agg(*[F.sum(c).alias(f"__t_{i}") for i, c in enumerate(cols)])
+    totals = totals.select(*keys, "__block", *[F.sum(f"__t_{i}").over(before).alias(f"__p_{i}") for i in range(len(cols))])
+    joined = null_safe_join(rows, totals, [*keys, "__block"])
+    out = [(F.sum(c).over(inside) + F.coalesce(F.col(f"__p_{i}"), F.lit(0))).alias(f"{c}{out_suffix}") for i, c in enumerate(cols)]
+    return joined.select(*df.columns, *out)

@@ -1,15 +1,9 @@
 """Kaplan–Meier, survival at time points, log-rank, concordance index and
 exact ROC AUC.
 
-KM and log-rank work on the per-(group, time) aggregate, never on raw rows:
-the raw table is reduced with partial aggregation, and the running sums are
-windows over at most (groups x distinct times) rows.
-
-The concordance index is a two-pass scan over the units range-partitioned
-by risk (no self join): pass 1 collects a per-partition histogram over the
-distinct times; pass 2 counts, inside each partition, the comparable units
-with lower / equal risk, starting from the prefix histogram of the earlier
-partitions. Equal risks always share a partition under range partitioning.
+All work on counted rows (per time, or per risk and time), reduced with
+partial aggregation, and on ``running_sums`` over them; no pair is formed
+and no group is gathered.
 """
 
 from __future__ import annotations
@@ -17,12 +11,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .running import running_sums
+
 Z95 = 1.959963984540054  # standard normal quantile at 0.975
 
 
@@ -33,12 +27,7 @@ def _list(x):
 
 
 # --------------------------------------------------------------------------- S1
-def _small(per_t: DataFrame, window_rows: int) -> bool:
-    """True when the per-time table is small enough for window running sums."""
-    return per_t.limit(window_rows + 1).count() <= window_rows
-
-
-def kaplan_meier(df: DataFrame, duration: str, event: str, by: str | Sequence[str] | None = None, z: float = Z95, window_rows: int = 1_000_000) -> DataFrame:
+def kaplan_meier(df: DataFrame, duration: str, event: str, by: str | Sequence[str] | None = None, z: float = Z95) -> DataFrame:
     """Kaplan–Meier table per group and distinct time.
 
     Columns: ``by..., time, n_at_risk, events, censored, survival, ci_lower,
@@ -46,9 +35,8 @@ def kaplan_meier(df: DataFrame, duration: str, event: str, by: str | Sequence[st
     units at risk have the event. CI: exponential Greenwood (log(-log)
     transform); it is [1, 1] while survival is 1 and [0, 0] at 0.
 
-    Running sums run over the per-(group, time) table: as windows while it
-    has at most ``window_rows`` rows, else with the range-partitioned
-    ``running_sums`` (continuous durations).
+    Running sums (``running_sums``) go over the per-(group, time) table; NULL
+    group keys form a group.
     """
     keys = _list(by)
     base = df.where(F.col(duration).isNotNull() & F.col(event).isNotNull())
@@ -61,18 +49,9 @@ def kaplan_meier(df: DataFrame, duration: str, event: str, by: str | Sequence[st
     log_term = F.when(d < n, F.log(F.lit(1.0) - d / n)).otherwise(F.lit(0.0))
     dead_term = F.when(d >= n, F.lit(1)).otherwise(F.lit(0))
     gw_term = F.when(n > d, d / (n * (n - d))).otherwise(F.lit(0.0))
-    if _small(per_t, window_rows):
-        # per-time table of bounded size: running sums as windows per group
-        w_desc = Window.partitionBy(*keys).orderBy(F.col("time").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        w_asc = Window.partitionBy(*keys).orderBy(F.col("time").asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        t = per_t.withColumn("n_at_risk", F.sum("n_t").over(w_desc))
-        t = t.withColumn("__log_cum", F.sum(log_term).over(w_asc)).withColumn("__dead_cum", F.sum(dead_term).over(w_asc)).withColumn("var_greenwood", F.sum(gw_term).over(w_asc))
-    else:
-        from .running import running_sums
-
-        t = running_sums(per_t, "time", ["n_t"], keys, descending=True).withColumn("n_at_risk", F.col("n_t_cum").cast("long")).drop("n_t_cum")
-        t = t.withColumn("__log", log_term).withColumn("__dead", dead_term).withColumn("__gw", gw_term)
-        t = running_sums(t, "time", ["__log", "__dead", "__gw"], keys).withColumnRenamed("__gw_cum", "var_greenwood")
+    t = running_sums(per_t, "time", ["n_t"], keys, descending=True).withColumnRenamed("n_t_cum", "n_at_risk")
+    t = t.withColumn("__log", log_term).withColumn("__dead", dead_term).withColumn("__gw", gw_term)
+    t = running_sums(t, "time", ["__log", "__dead", "__gw"], keys).withColumnRenamed("__gw_cum", "var_greenwood")
     t = t.withColumn("censored", F.col("n_t") - F.col("events")).withColumn(
         "survival", F.when(F.col("__dead_cum") > 0, F.lit(0.0)).otherwise(F.exp(F.col("__log_cum")))
     )
@@ -103,7 +82,7 @@ def survival_at(km: DataFrame, times: Sequence[float], by: str | Sequence[str] |
 
 
 # --------------------------------------------------------------------------- S3
-def logrank_stats(df: DataFrame, duration: str, event: str, group: str, group_one: object = 1, window_rows: int = 1_000_000) -> DataFrame:
+def logrank_stats(df: DataFrame, duration: str, event: str, group: str, group_one: object = 1) -> DataFrame:
     """Two-sample log-rank sums: ``(observed_1, expected_1, variance, chi2)``.
 
     Per distinct time: E1 = d * n1 / n, V = n1 n0 d (n - d) / (n^2 (n - 1)).
@@ -116,14 +95,8 @@ def logrank_stats(df: DataFrame, duration: str, event: str, group: str, group_on
         F.sum(F.col(event).cast("long")).alias("d"),
         F.sum(F.when(g1, F.col(event).cast("long")).otherwise(F.lit(0))).alias("d1"),
     )
-    if _small(per_t, window_rows):
-        # one row per distinct time (bounded): a single ordered window
-        w = Window.orderBy(F.col("time").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        t = per_t.withColumn("n", F.sum("n_t").over(w).cast("double")).withColumn("n1", F.sum("n1_t").over(w).cast("double"))
-    else:
-        from .running import running_sums
-
-        t = running_sums(per_t, "time", ["n_t", "n1_t"], descending=True).withColumnRenamed("n_t_cum", "n").withColumnRenamed("n1_t_cum", "n1")
+    t = running_sums(per_t, "time", ["n_t", "n1_t"], descending=True)
+    t = t.withColumn("n", F.col("n_t_cum").cast("double")).withColumn("n1", F.col("n1_t_cum").cast("double"))
     d = F.col("d").cast("double")
     n = F.col("n")
     n1 = F.col("n1")
@@ -152,122 +125,49 @@ def logrank(df: DataFrame, duration: str, event: str, group: str, group_one: obj
 
 
 # --------------------------------------------------------------------------- C6
-def concordance(df: DataFrame, duration: str, event: str, risk: str, partitions: int | None = None, max_times: int = 200_000) -> DataFrame:
+def concordance(df: DataFrame, duration: str, event: str, risk: str) -> DataFrame:
     """Harrell's C for a risk score (higher risk = shorter survival).
 
     Comparable pair: unit i has the event and unit j lived longer
     (T_j > T_i), or j is censored at the same time. Concordant when
     risk_j < risk_i; equal risk counts 1/2. Output one row:
     ``(c_index, n_comparable, n_concordant, n_tied_risk)``.
-    """
-    from ..session import ensure_checkpoint_dir
 
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    units = df.select(F.col(duration).cast("double").alias("t"), F.col(event).cast("int").alias("e"), F.col(risk).cast("double").alias("r")).where(
-        F.col("t").isNotNull() & F.col("e").isNotNull() & F.col("r").isNotNull()
-    )
-    times = [r[0] for r in units.select("t").distinct().orderBy("t").limit(max_times + 1).collect()]
-    if len(times) > max_times:
-        raise ValueError(f"more than {max_times} distinct times; bin the duration first")
-    times_arr = np.asarray(times, dtype=float)
-    n_t = len(times_arr)
-    if partitions is None:
-        n_rows = units.count()
-        partitions = max(spark.sparkContext.defaultParallelism, math.ceil(n_rows / 1_000_000))
-    # the driver holds one histogram of the distinct times per partition
-    nparts = max(1, min(partitions, max(1, 50_000_000 // max(n_t, 1))))
-    ranged = units.repartitionByRange(nparts, "r").checkpoint(eager=True)
-
-    def pass1(it):
-        pid = TaskContext.get().partitionId()
-        h_all = np.zeros(n_t, dtype=np.int64)
-        h_cen = np.zeros(n_t, dtype=np.int64)
-        for pdf in it:
-            idx = np.searchsorted(times_arr, pdf["t"].to_numpy())
-            np.add.at(h_all, idx, 1)
-            cen = pdf["e"].to_numpy() == 0
-            np.add.at(h_cen, idx[cen], 1)
-        yield pd.DataFrame({"pid": [pid], "h_all": [h_all.tolist()], "h_cen": [h_cen.tolist()]})
-
-    stats = ranged.mapInPandas(pass1, "pid int, h_all array<long>, h_cen array<long>").collect()
-    by_pid = {r["pid"]: (np.asarray(r["h_all"], dtype=np.int64), np.asarray(r["h_cen"], dtype=np.int64)) for r in stats}
-    prefix_all, prefix_cen = {}, {}
-    acc_all = np.zeros(n_t, dtype=np.int64)
-    acc_cen = np.zeros(n_t, dtype=np.int64)
-    for pid in sorted(by_pid):
-        prefix_all[pid], prefix_cen[pid] = acc_all.copy(), acc_cen.copy()
-        acc_all += by_pid[pid][0]
-        acc_cen += by_pid[pid][1]
-    total_gt = np.concatenate([np.cumsum(acc_all[::-1])[::-1][1:], [0]])  # units with T > times[k]
-    total_cen = acc_cen
-    b_prefix = spark.sparkContext.broadcast((prefix_all, prefix_cen, total_gt, total_cen))
-    block_rows = max(1, 4_000_000 // max(n_t, 1))
-
-    def pass2(it):
-        pid = TaskContext.get().partitionId()
-        pre_all, pre_cen, tot_gt, tot_cen = b_prefix.value
-        parts = list(it)
-        if not parts:
-            return
-        pdf = pd.concat(parts, ignore_index=True)
-        pdf = pdf.sort_values("r", kind="mergesort")
-        r = pdf["r"].to_numpy()
-        tidx = np.searchsorted(times_arr, pdf["t"].to_numpy())
-        ev = pdf["e"].to_numpy() == 1
-        carry_all = pre_all.get(pid, np.zeros(n_t, dtype=np.int64)).astype(np.int64).copy()
-        carry_cen = pre_cen.get(pid, np.zeros(n_t, dtype=np.int64)).astype(np.int64).copy()
-        _, run_start = np.unique(r, return_index=True)
-        run_start = list(run_start) + [len(r)]
-        conc = 0
-        ties = 0
-        comp = 0
-        k = 0
-        n_runs = len(run_start) - 1
-        while k < n_runs:
-            # a block of whole runs of equal risk
-            k_end = k + 1
-            while k_end < n_runs and run_start[k_end + 1] - run_start[k] <= block_rows:
-                k_end += 1
-            lo, hi = run_start[k], run_start[k_end]
-            runs = np.repeat(np.arange(k_end - k), np.diff(run_start[k : k_end + 1]))
-            m_all = np.zeros((k_end - k, n_t), dtype=np.int64)
-            m_cen = np.zeros((k_end - k, n_t), dtype=np.int64)
-            np.add.at(m_all, (runs, tidx[lo:hi]), 1)
-            cen_mask = ~ev[lo:hi]
-            np.add.at(m_cen, (runs[cen_mask], tidx[lo:hi][cen_mask]), 1)
-            before_all = np.cumsum(m_all, axis=0) - m_all + carry_all
-            before_cen = np.cumsum(m_cen, axis=0) - m_cen + carry_cen
-            e_rows = np.nonzero(ev[lo:hi])[0]
-            if len(e_rows):
-                er = runs[e_rows]
-                et = tidx[lo:hi][e_rows]
-                # strictly later times: suffix sum beyond et
-                gt_before = np.cumsum(before_all[:, ::-1], axis=1)[:, ::-1]
-                gt_run = np.cumsum(m_all[:, ::-1], axis=1)[:, ::-1]
-                later_before = np.where(et + 1 < n_t, gt_before[er, np.minimum(et + 1, n_t - 1)], 0)
-                later_run = np.where(et + 1 < n_t, gt_run[er, np.minimum(et + 1, n_t - 1)], 0)
-                conc += int((later_before + before_cen[er, et]).sum())
-                ties += int((later_run + m_cen[er, et]).sum())
-                comp += int((tot_gt[et] + tot_cen[et]).sum())
-            carry_all = carry_all + m_all.sum(axis=0)
-            carry_cen = carry_cen + m_cen.sum(axis=0)
-            k = k_end
-        yield pd.DataFrame({"conc": [conc], "ties": [ties], "comp": [comp]})
-
-    sums = ranged.mapInPandas(pass2, "conc long, ties long, comp long").agg(
-        F.sum("conc").alias("n_concordant"), F.sum("ties").alias("n_tied_risk"), F.sum("comp").alias("n_comparable")
+    Units are counted by (risk, time, event) first. Two times differ first at
+    one bit of their ranks: so each longer-lived pair meets under exactly one
+    (bit, higher bits) key, i with the bit off and j with it on, and there a
+    running sum over risk counts the units of lower risk. Work is the number
+    of distinct rows times the bits of the number of times.
+    """
+    units = df.select(F.col(duration).cast("double").alias("t"), F.col(event).cast("int").alias("e"), F.col(risk).cast("double").alias("r"))
+    units = units.where(F.col("t").isNotNull() & F.col("e").isNotNull() & F.col("r").isNotNull())
+    counted = units.groupBy("t", "r").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("e") == 1).alias("d"))
+    ranks = running_sums(counted.select("t").distinct().withColumn("one", F.lit(1)), "t", ["one"]).select("t", (F.col("one_cum") - 1).alias("rank"))
+    bits = int(ranks.agg(F.max("rank")).first()[0] or 0).bit_length()
+    rows = counted.join(ranks, "t")
+    # level -1 pairs events with units censored at the same time
+    level = F.explode(F.sequence(F.lit(-1), F.lit(bits - 1))) if bits else F.lit(-1)
+    rows = rows.withColumn("level", level).withColumn("prefix", F.expr("CASE WHEN level < 0 THEN rank ELSE shiftright(rank, level + 1) END"))
+    on = F.expr("shiftright(rank, greatest(level, 0)) & 1") == 1
+    later = F.when(F.col("level") < 0, F.col("n") - F.col("d")).when(on, F.col("n")).otherwise(F.lit(0))
+    dying = F.when((F.col("level") < 0) | ~on, F.col("d")).otherwise(F.lit(0))
+    keyed = rows.groupBy("level", "prefix", "r").agg(F.sum(later).alias("later"), F.sum(dying).alias("dying"))
+    t = running_sums(keyed, "r", ["later"], ["level", "prefix"])
+    big = lambda c: c.cast("decimal(38,0)")
+    keys = t.groupBy("level", "prefix").agg(
+        F.sum(big(F.col("dying")) * F.col("later")).alias("ties"),
+        F.sum(big(F.col("dying")) * (F.col("later_cum") - F.col("later"))).alias("conc"),
+        (big(F.sum("dying")) * F.sum("later")).alias("comp"),
     )
+    sums = keys.agg(F.sum("conc").alias("n_concordant"), F.sum("ties").alias("n_tied_risk"), F.sum("comp").alias("n_comparable"))
+    sums = sums.select(*[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in sums.columns])
     return sums.select(
-        F.try_divide(F.col("n_concordant") + F.lit(0.5) * F.col("n_tied_risk"), F.col("n_comparable")).alias("c_index"),
-        F.col("n_comparable").cast("long"),
-        F.col("n_concordant").cast("long"),
-        F.col("n_tied_risk").cast("long"),
+        F.try_divide(F.col("n_concordant") + F.lit(0.5) * F.col("n_tied_risk"), F.col("n_comparable")).alias("c_index"), "n_comparable", "n_concordant", "n_tied_risk"
     )
 
 
 # --------------------------------------------------------------------------- G3
-def roc_auc(df: DataFrame, score: str, label: str, partitions: int | None = None) -> DataFrame:
+def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Exact ROC AUC (ties count 1/2): the concordance of the score with a
     two-point "time" that puts negatives after positives."""
     u = df.select(
@@ -275,5 +175,5 @@ def roc_auc(df: DataFrame, score: str, label: str, partitions: int | None = None
         F.col(label).cast("int").alias("__e"),
         F.col(score).cast("double").alias("__r"),
     ).where(F.col("__e").isin(0, 1))
-    c = concordance(u, "__t", "__e", "__r", partitions=partitions)
+    c = concordance(u, "__t", "__e", "__r")
     return c.select(F.col("c_index").alias("auc"), F.col("n_comparable").alias("n_pairs"))

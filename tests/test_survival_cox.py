@@ -38,7 +38,7 @@ def test_concordance_brute_force(spark, seed):
     e = (rng.random(n) < 0.6).astype(int)
     r = np.round(rng.normal(size=n), 1)  # many ties in risk
     df = spark.createDataFrame([(float(a), int(b), float(c)) for a, b, c in zip(t, e, r)], "t double, e int, r double")
-    row = S.concordance(df, "t", "e", "r", partitions=5).first()
+    row = S.concordance(df, "t", "e", "r").first()
     c, den = brute_cindex(t, e, r)
     assert row["n_comparable"] == den
     assert abs(row["c_index"] - c) < 1e-12
@@ -227,21 +227,28 @@ def test_km_ci_against_greenwood(spark):
         n -= int((t == time).sum())
 
 
-def test_km_and_logrank_distributed_path(spark):
+def test_km_over_many_blocks_and_a_null_group(spark, monkeypatch):
+    from cohortkit.operators import running
+
     rng = np.random.default_rng(21)
-    n = 500
-    t = np.round(rng.exponential(5, n), 3)  # continuous durations
-    e = (rng.random(n) < 0.6).astype(int)
-    g = rng.choice(["a", "b"], n)
-    gi = (g == "a").astype(int)
-    df = spark.createDataFrame([(float(a), int(b), str(c), int(d)) for a, b, c, d in zip(t, e, g, gi)], "t double, e int, g string, gi int")
-    cols = ["g", "time", "n_at_risk", "events", "censored", "survival", "ci_lower", "ci_upper", "var_greenwood"]
-    w = sorted(tuple(r) for r in S.kaplan_meier(df, "t", "e", "g").select(*cols).collect())
-    r = sorted(tuple(r) for r in S.kaplan_meier(df, "t", "e", "g", window_rows=0).select(*cols).collect())
-    assert len(w) == len(r)
-    for a, b in zip(w, r):
-        assert a[:5] == b[:5]
-        assert all(abs(x - y) < 1e-9 for x, y in zip(a[5:], b[5:]))
-    lw = S.logrank_stats(df, "t", "e", "gi").first()
-    lr = S.logrank_stats(df, "t", "e", "gi", window_rows=0).first()
-    assert abs(lw["chi2"] - lr["chi2"]) < 1e-9
+    n = 300
+    t, e = np.round(rng.exponential(5, n), 3), (rng.random(n) < 0.6).astype(int)  # continuous durations
+    g = [None if k % 3 == 0 else "ab"[k % 2] for k in range(n)]
+    df = spark.createDataFrame([(float(a), int(b), c, int(c == "a")) for a, b, c in zip(t, e, g)], "t double, e int, g string, gi int")
+    read = lambda: (sorted(map(tuple, S.kaplan_meier(df, "t", "e", "g").collect()), key=str), S.logrank_stats(df, "t", "e", "gi").first()["chi2"], S.concordance(df, "t", "e", "t").first())
+    one = read()
+    whole = running.running_sums
+    monkeypatch.setattr(S, "running_sums", lambda *a, **k: whole(*a, **k, rows_per_block=40))
+    many = read()
+    assert len(one[0]) == len(many[0]) and {r[0] for r in one[0]} == {None, "a", "b"}
+    for a, b in zip(one[0], many[0]):
+        assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], atol=1e-9)
+    assert abs(one[1] - many[1]) < 1e-9 and one[2] == many[2]
+
+
+def test_concordance_of_two_valued_risk(spark):
+    rows = [(float(k % 7), int(k % 3 > 0), float(k % 2)) for k in range(200)]
+    row = S.concordance(spark.createDataFrame(rows, "t double, e int, r double"), "t", "e", "r").first()
+    t, e, r = (np.array(x) for x in zip(*rows))
+    c, den = brute_cindex(t, e, r)
+    assert row["n_comparable"] == den and abs(row["c_index"] - c) < 1e-12
