@@ -154,6 +154,13 @@ def band(x: ColumnOrName, cuts: Sequence[float], labels: Sequence[str]) -> Colum
     return last if expr is None else expr.when(_c(x).isNotNull(), F.lit(labels[-1]))
 
 
-def null_tokens(c: ColumnOrName, tokens: Iterable[str] = ("", "NA", "N/A", "NULL", "null", "NaN", "nan", "n/a", "#N/A", "None")) -> Column:
+#: Spellings of a missing value in raw text files.
+NULL_TOKENS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
+
+def null_tokens(c: ColumnOrName, tokens: Iterable[str] = NULL_TOKENS) -> Column:
     """Turn the usual missing-value spellings of a raw string column into NULL."""
     return F.when(_c(c).isin(list(tokens)), F.lit(None).cast("string")).otherwise(_c(c))

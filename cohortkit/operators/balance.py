@@ -96,7 +96,7 @@ def impute_median(df: DataFrame, cols: Sequence[str], accuracy: int | None = Non
 
 
 # --------------------------------------------------------------------------- M2
-def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = True, max_levels: int = 1000, levels: dict[str, Sequence[object]] | None = None) -> tuple[DataFrame, list[str]]:
+def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = True, levels: dict[str, Sequence[object]] | None = None) -> tuple[DataFrame, list[str]]:
     """Dummy columns ``<col>_<level>`` (double 0/1) for each categorical column.
 
     Levels are the sorted distinct non-null values of the data, or the sorted
@@ -111,16 +111,12 @@ def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = True, max_lev
     for c in cols:
         if levels is not None and c in levels:
             lv = sorted(set(v for v in levels[c] if v is not None))
-            if len(lv) > max_levels:
-                raise ValueError(f"{c} has more than {max_levels} levels; not a categorical")
             for lvl in lv[1:] if drop_first else lv:
                 name = f"{c}_{lvl}"
                 out = out.withColumn(name, F.when(F.col(c) == F.lit(lvl), F.lit(1.0)).otherwise(F.lit(0.0)))
                 new_cols.append(name)
             continue
-        levels_c = [r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).limit(max_levels + 1).collect()]
-        if len(levels_c) > max_levels:
-            raise ValueError(f"{c} has more than {max_levels} levels; not a categorical")
+        levels_c = [r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).collect()]
         for lvl in levels_c[1:] if drop_first else levels_c:
             name = f"{c}_{lvl}"
             out = out.withColumn(name, F.when(F.col(c) == F.lit(lvl), F.lit(1.0)).otherwise(F.lit(0.0)))

@@ -69,11 +69,10 @@ def broadcast_if_small(df: DataFrame, max_rows: int | None) -> DataFrame:
     ``max_rows`` (one counting job); otherwise leave the join to a shuffle."""
     if max_rows is None or max_rows <= 0:
         return df
-    n = df.limit(max_rows + 1).count()
+    n = df.count()
     return F.broadcast(df) if n <= max_rows else df
 
 
-_maybe_broadcast = broadcast_if_small
 
 
 def events_in_window(

@@ -169,7 +169,7 @@ def sign_summary(df: DataFrame, col: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- T3
-def top_k(df: DataFrame, order_col: str, k: int, tiebreak: str | None = None) -> DataFrame:
-    """The k rows with the largest ``order_col`` (ties by ``tiebreak`` ascending)."""
-    order = [F.col(order_col).desc()] + ([F.col(tiebreak).asc()] if tiebreak else [])
+def top_k(df: DataFrame, order_col: str, k: int, tiebreak: str | Sequence[str] | None = None) -> DataFrame:
+    """The k rows with the largest ``order_col`` (ties by the ``tiebreak`` columns ascending)."""
+    order = [F.col(order_col).desc(), *[F.col(c).asc() for c in _list(tiebreak)]]
     return df.orderBy(*order).limit(k)

@@ -22,7 +22,6 @@
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -191,18 +190,6 @@ def _interaction_weights(d: int) -> np.ndarray:
     return np.array([math.factorial(s) * math.factorial(d - s - 2) / (2.0 * math.factorial(d - 1)) for s in range(max(d - 1, 0))], float)
 
 
-def _poly(o_cols: list[np.ndarray], z_vals: list[float], m: int) -> list[np.ndarray]:
-    """Coefficients c_s(x) = sum_{|S|=s} prod_S o prod_rest z over the given features."""
-    coefs = [np.ones(m)]
-    for o, z in zip(o_cols, z_vals):
-        nxt = [coefs[0] * z]
-        for s in range(1, len(coefs)):
-            nxt.append(coefs[s] * z + coefs[s - 1] * o)
-        nxt.append(coefs[-1] * o)
-        coefs = nxt
-    return coefs
-
-
 def _leaf_groups(leaves: LeafTable, block: int = 128):
     """Leaves grouped by path length, as stacked arrays in blocks (cached)."""
     cached = getattr(leaves, "_groups", None)
@@ -348,17 +335,19 @@ def shap_importance(shap_df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def shap_long(shap_df: DataFrame, features: Sequence[str], id_col: str) -> DataFrame:
     """Beeswarm / dependence data: ``(id, feature, value, shap)``."""
-    pieces = [shap_df.select(F.col(id_col), F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"), F.col(f"shap_{f}").alias("shap")) for f in features]
-    out = pieces[0]
-    for p_ in pieces[1:]:
-        out = out.unionByName(p_)
-    return out
+    entries = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"), F.col(f"shap_{f}").alias("shap")) for f in features]
+    return shap_df.select(F.col(id_col), F.explode(F.array(*entries)).alias("__x")).select(id_col, "__x.*")
 
 
 # --------------------------------------------------------------------------- G9
-def explain_rows(shap_df: DataFrame, features: Sequence[str], id_col: str, score: str = "predicted_proba") -> DataFrame:
+def explain_rows(shap_df: DataFrame, features: Sequence[str], id_col: str, score: str = "predicted_proba", base_value: float | None = None, show: Sequence[str] = ()) -> DataFrame:
     """Highest- and lowest-score rows with their per-feature contributions
-    ordered by |SHAP|: ``(which, id, score, feature, value, shap, rank)``."""
+    ordered by |SHAP|: ``(which, id, score, feature, value, shap, rank)``.
+
+    Waterfall data: ``base_value`` adds the model's base value and ``total``
+    (base plus all contributions of the row); ``show`` adds columns of the row
+    such as the actual outcome and the arm, as ``row_<name>``.
+    """
     from pyspark.sql import Window
 
     from .describe import extreme_rows
@@ -366,10 +355,11 @@ def explain_rows(shap_df: DataFrame, features: Sequence[str], id_col: str, score
     ext = extreme_rows(shap_df, id_col, score).select("which", id_col)
     rows = shap_df.join(ext, on=id_col, how="inner")
     long = shap_long(rows.withColumn("__which", F.col("which")).withColumn("__score", F.col(score)), features, id_col)
-    meta = rows.select(id_col, "which", F.col(score).alias("score"))
+    meta = rows.select(id_col, "which", F.col(score).alias("score"), *[F.col(c).alias(f"row_{c}") for c in show])
+    more = [f"row_{c}" for c in show]
+    if base_value is not None:
+        meta = meta.withColumn("base_value", F.lit(float(base_value)))
+        long = long.withColumn("total", F.lit(float(base_value)) + F.sum("shap").over(Window.partitionBy(id_col)))
+        more += ["base_value", "total"]
     w = Window.partitionBy(id_col).orderBy(F.abs(F.col("shap")).desc(), F.col("feature"))
-    return long.join(meta, on=id_col).withColumn("rank", F.row_number().over(w)).select("which", id_col, "score", "feature", "value", "shap", "rank")
-
-
-def model_summary(model: GBTClassificationModel) -> str:
-    return json.dumps({"trees": model.getNumTrees, "weights_head": list(model.treeWeights)[:3], "features": model.numFeatures})
+    return long.join(meta, on=id_col).withColumn("rank", F.row_number().over(w)).select("which", id_col, "score", "feature", "value", "shap", "rank", *more)

@@ -76,10 +76,21 @@ def propensity_score(df: DataFrame, features: Sequence[str], treat: str = "treat
         predictionCol="__pred",
     )
     model = lr.fit(assembled)
+    _check_gradient(model, assembled, zcols, 1.0 / (c * n))
     scored = model.transform(assembled).withColumn(out, vector_to_array(F.col("__prob"))[1])
     return scored.withColumn("logit_ps", logit(F.col(out))).drop("__features", "__label", "__prob", "__raw", "__pred", *zcols)
 
 
+def _check_gradient(model, assembled: DataFrame, zcols: Sequence[str], ridge: float, limit: float = 1e-5) -> None:
+    """Raise if the penalised objective is not at its minimum (one aggregation)."""
+    gap = vector_to_array(F.col("__prob"))[1] - F.col("__label")
+    row = model.transform(assembled).agg(F.avg(gap).alias("g"), *[F.avg(gap * F.col(z)).alias(f"g{i}") for i, z in enumerate(zcols)]).first()
+    slopes = [row["g"]] + [row[f"g{i}"] + ridge * w for i, w in enumerate(model.coefficients)]
+    worst = max(abs(s) for s in slopes)
+    if not worst < limit:
+        raise RuntimeError(f"propensity model did not converge: largest slope {worst:.3g}")
+
+
 # --------------------------------------------------------------------------- M5 kernel
 class _FreeList:
     """Free slots of a sorted array with skip pointers in both directions."""
@@ -125,9 +136,8 @@ def greedy_match(t_ids: np.ndarray, t_scores: np.ndarray, c_ids: np.ndarray, c_s
     xs = c_scores[order_c].astype(float)
     ids = c_ids[order_c]
     n = len(xs)
-    run_start = np.zeros(n, dtype=np.int64)
-    for i in range(1, n):
-        run_start[i] = run_start[i - 1] if xs[i] == xs[i - 1] else i
+    fresh = np.concatenate([[True], xs[1:] != xs[:-1]])[:n]
+    run_start = np.maximum.accumulate(np.where(fresh, np.arange(n), 0)) if n else np.zeros(0, dtype=np.int64)
     free = _FreeList(n)
     xs_list = xs.tolist()
     out = []
@@ -186,17 +196,17 @@ def match_nearest(
     score: str,
     caliper: float,
     rows_per_chunk: int = 100_000,
-    max_rounds: int | None = None,
 ) -> DataFrame:
     """Exact greedy 1:1 nearest-neighbour matching on ``score`` (e.g. logit PS).
 
     Returns pairs ``(match_id, treated_id, control_id, distance)``;
-    ``match_id`` follows the greedy order (ascending treated score).
+    ``match_id`` follows the greedy order (ascending treated score). Ids may
+    be of any ordered type.
     """
     from ..session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(df.sparkSession)
-    units = df.select(F.col(id_col).cast("long").alias("uid"), F.col(treat).cast("int").alias("t"), F.col(score).cast("double").alias("x")).where(
+    units = df.select(F.col(id_col).alias("uid"), F.col(treat).cast("int").alias("t"), F.col(score).cast("double").alias("x")).where(
         F.col("x").isNotNull() & F.col("t").isin(0, 1)
     )
     cuts = chunk_cuts(units, "x", caliper, rows_per_chunk)
@@ -233,18 +243,21 @@ def match_nearest(
         base = pdf[pdf["used"] == 0]
         tr = base[base["t"] == 1]
         co = base[(base["t"] == 0) & (~base["uid"].isin(used))]
-        pairs = greedy_match(tr["uid"].to_numpy(), tr["x"].to_numpy(), co["uid"].to_numpy(), co["x"].to_numpy(), caliper)
-        if not pairs:
-            return pd.DataFrame({"chunk": pd.Series([], dtype="int32"), "seq": pd.Series([], dtype="int64"), "treated_id": pd.Series([], dtype="int64"), "control_id": pd.Series([], dtype="int64"), "distance": pd.Series([], dtype="float64"), "control_x": pd.Series([], dtype="float64")})
+        # the kernel works on the ids' ranks, so ids may be of any ordered type
+        ids, rank = np.unique(np.concatenate([tr["uid"].to_numpy(), co["uid"].to_numpy()]), return_inverse=True)
+        pairs = greedy_match(rank[: len(tr)], tr["x"].to_numpy(), rank[len(tr) :], co["x"].to_numpy(), caliper)
         xmap = dict(zip(co["uid"].tolist(), co["x"].tolist()))
         res = pd.DataFrame(pairs, columns=["treated_id", "control_id", "distance"])
+        for side in ("treated_id", "control_id"):
+            res[side] = ids[res[side].to_numpy(dtype="int64")]
         res.insert(0, "seq", np.arange(len(res), dtype=np.int64))
         res.insert(0, "chunk", np.int32(c))
         res["control_x"] = res["control_id"].map(xmap).astype(float)
         return res
 
-    schema = "chunk int, seq long, treated_id long, control_id long, distance double, control_x double"
-    incoming = visible.sparkSession.createDataFrame([], "chunk int, uid long")
+    kind = units.schema["uid"].dataType.simpleString()
+    schema = f"chunk int, seq long, treated_id {kind}, control_id {kind}, distance double, control_x double"
+    incoming = visible.sparkSession.createDataFrame([], f"chunk int, uid {kind}")
     seam = F.element_at(F.array(*[F.lit(h) for h in hi_bounds[:-1]] + [F.lit(math.inf)]), F.col("chunk") + 1)
 
     def run(chunks: list[int] | None, inc: DataFrame) -> DataFrame:
@@ -254,9 +267,8 @@ def match_nearest(
         return inp.groupBy("chunk").applyInPandas(run_chunk, schema)
 
     pairs = run(None, incoming).checkpoint(eager=True)
-    rounds = 1
-    limit = max_rounds or (n_chunks + 1)
-    while n_chunks > 1 and rounds < limit:
+    # after r rounds the first r chunks are final, so this ends
+    while n_chunks > 1:
         # controls each chunk used near its right seam go to the next chunk
         new_in = pairs.where((F.col("chunk") < n_chunks - 1) & (F.col("control_x") >= seam - F.lit(caliper))).select((F.col("chunk") + 1).alias("chunk"), F.col("control_id").alias("uid")).checkpoint(eager=True)
         diff = new_in.exceptAll(incoming).unionByName(incoming.exceptAll(new_in))
@@ -264,7 +276,6 @@ def match_nearest(
         incoming = new_in
         if not changed:
             break
-        rounds += 1
         # rerun only the chunks whose incoming seam set changed
         pairs = pairs.where(~F.col("chunk").isin(changed)).unionByName(run(changed, incoming)).checkpoint(eager=True)
 

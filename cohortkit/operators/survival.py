@@ -81,6 +81,16 @@ def survival_at(km: DataFrame, times: Sequence[float], by: str | Sequence[str] |
     return wide.selectExpr(*[f"`{k}`" for k in keys], f"stack({len(times)}, {parts}) as (time_point, survival)")
 
 
+def at_risk_at(km: DataFrame, times: Sequence[float], by: str | Sequence[str] | None = None) -> DataFrame:
+    """Units of a KM table still under observation at the given times
+    (duration >= t): ``(by..., time_point, n_at_risk)``."""
+    keys = _list(by)
+    # risk sets shrink with time, so the largest one from t on is that of the first time >= t
+    aggs = [F.coalesce(F.max(F.when(F.col("time") >= F.lit(tp), F.col("n_at_risk"))), F.lit(0)).alias(f"__n{i}") for i, tp in enumerate(times)]
+    parts = ", ".join(f"CAST({float(tp)!r} AS DOUBLE), `__n{i}`" for i, tp in enumerate(times))
+    return km.groupBy(*keys).agg(*aggs).selectExpr(*[f"`{k}`" for k in keys], f"stack({len(times)}, {parts}) as (time_point, n_at_risk)")
+
+
 # --------------------------------------------------------------------------- S3
 def logrank_stats(df: DataFrame, duration: str, event: str, group: str, group_one: object = 1) -> DataFrame:
     """Two-sample log-rank sums: ``(observed_1, expected_1, variance, chi2)``.

@@ -6,6 +6,8 @@ pytest checks each operator against a NumPy / brute-force oracle.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import balance, cox, interpret, survival
@@ -204,17 +206,6 @@ def q_shap_hist(spark, sf):
     return histogram(analysis.shap_values(spark, sf)[0], "shap_treatment_group", None, 40)
 
 
-@register("verify_tables", "db:s, table:s, exists:b, rows:i, ok:b")
-def q_verify(spark, sf):
-    from ..session import scratch_path
-    from ..sources import io
-
-    io.ensure_databases(spark, ["marts_check"], location=scratch_path(spark, "warehouse"))
-    io.materialize(study.shared_mart(spark, sf), "marts_check", "analysis_mart", kind="table")
-    io.materialize(study.shared_cohort(spark, sf), None, "int_cohort_view", kind="view")
-    return io.verify_tables(spark, [("marts_check", "analysis_mart"), ("marts_check", "not_built")])
-
-
 @register("result_files", "artifact:s, format:s, n_rows:i")
 def q_result_files(spark, sf):
     """G10 / IO9 / IO10: SHAP table as parquet, importance and the result
@@ -303,14 +294,16 @@ def q_load_all(spark, sf):
     from ..sources import io
 
     base = scratch_path(spark, "raw-base")
+    db = f"raw_hosp_{uuid.uuid4().hex[:10]}"  # of this run; dropped at the end
     for t in ("region", "nation"):
-        study.load(spark, sf, t).write.option("header", True).option("compression", "gzip").csv(f"{base}/raw_hosp/{t}.csv.gz")
-    io.ensure_databases(spark, ["raw_hosp"], location=scratch_path(spark, "warehouse"))
-    for t in ("region", "nation"):
-        spark.sql(f"DROP TABLE IF EXISTS raw_hosp.{t}")
-    manifest = {"raw_hosp": ["region", "nation", "absent"]}
+        study.load(spark, sf, t).write.option("header", True).option("compression", "gzip").csv(f"{base}/{db}/{t}.csv.gz")
+    manifest = {db: ["region", "nation", "absent"]}
     rows = []
-    for run in (1, 2):
-        for r in io.load_all(spark, base, manifest):
-            rows.append((run, r.db, r.table, r.action, r.expected, r.actual))
+    io.ensure_databases(spark, [db], location=scratch_path(spark, "warehouse"))
+    try:
+        for run in (1, 2):
+            for r in io.load_all(spark, base, manifest):
+                rows.append((run, "raw_hosp", r.table, r.action, r.expected, r.actual))
+    finally:
+        spark.sql(f"DROP DATABASE {db} CASCADE")
     return spark.createDataFrame(rows, "run int, db string, table string, action string, expected long, actual long")

@@ -506,8 +506,7 @@ def q_sign(spark, sf):
     "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 10",
 )
 def q_topk(spark, sf):
-    li = L(spark, sf, "lineitem")
-    return li.orderBy(F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").limit(10)
+    return A.top_k(L(spark, sf, "lineitem"), "l_extendedprice", 10, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
 
 
 # ============================================================== balance (B1, M1-M3, M6)

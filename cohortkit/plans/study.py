@@ -19,8 +19,6 @@ Role map (see FIXTURES.md §2):
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,7 +81,7 @@ def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def category_levels(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
     """Levels of the categorical roles, read from their dimension tables."""
     race = [r[0] for r in load(spark, sf_dir, "region").select("r_name").distinct().collect()]
-    seg = [r[0] for r in load(spark, sf_dir, "customer").select("c_mktsegment").distinct().limit(1001).collect()]
+    seg = [r[0] for r in load(spark, sf_dir, "customer").select("c_mktsegment").distinct().collect()]
     return {"race": sorted(race), "insurance": sorted(seg)}
 
 
@@ -210,10 +208,6 @@ def mart(spark: SparkSession, sf_dir: str, checkpoint: bool = True) -> DataFrame
     return m.checkpoint(eager=True) if checkpoint else m
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
-
-
 # Checkpointed cohort / mart per (session, data folder): several registered
 # queries start from them; the checkpoint lives in the reliable folder.
 _SHARED: dict[tuple[str, str, str], DataFrame] = {}
@@ -238,7 +232,3 @@ def shared_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = treatment(spark, sf_dir, coh).select("stay_id", "treatment_group", "treatment_label", "total_amount", "exposed_count")
         _SHARED[key] = analysis_mart(coh, t, covariates(spark, sf_dir, coh), "stay_id").checkpoint(eager=True)
     return _SHARED[key]
-
-
-def clear_shared() -> None:
-    _SHARED.clear()

@@ -7,7 +7,6 @@ from .io import (  # noqa: F401
     materialize,
     read_raw,
     read_stage,
-    scan,
     table_exists,
     verify_tables,
     write_json,

@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,14 +21,15 @@ from ..functions.exprs import null_tokens
 
 
 # --------------------------------------------------------------------------- IO1
-def read_raw(spark: SparkSession, path: str, columns: Sequence[str] | None = None, upper: bool = True, partitions: int | None = None) -> DataFrame:
+def read_raw(spark: SparkSession, path: str, columns: Sequence[str] | None = None, upper: bool = True, partitions: int | None = None, multi_line: bool = True) -> DataFrame:
     """Read headered CSV (optionally .gz) with every column as string.
 
-    Quoted newlines are parsed (multiLine). The usual missing-value tokens
-    become NULL. A gzip file is not splittable (one task per file), so the
-    rows are spread over ``partitions`` afterwards when given.
+    The usual missing-value tokens become NULL. ``multi_line`` parses quoted
+    newlines, at the price of one task per file; set it to False for plain
+    files without them, which are then split. A gzip file is never splittable, so the rows are spread over
+    ``partitions`` afterwards when given.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "FAILFAST")
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("mode", "FAILFAST")
     if columns is not None:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType(), True) for c in columns]))
     else:
@@ -96,11 +97,12 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def load_all(spark: SparkSession, base: str, manifest: dict[str, Sequence[str]], suffix: str = ".csv.gz", partitions: int | None = None) -> list[LoadResult]:
+def load_all(spark: SparkSession, base: str, manifest: dict[str, Sequence[str]], suffix: str = ".csv.gz", partitions: int | None = None, multi_line: bool = True) -> list[LoadResult]:
     """Idempotent load of ``base/<db lower>/<table><suffix>`` into ``db.table``.
 
     Missing file -> skipped; existing table with matching parsed row count ->
-    kept; otherwise (re)loaded and reconciled.
+    kept; otherwise (re)loaded and reconciled. A first load parses its source
+    once: the parsed rows are counted while they are written.
     """
     ensure_databases(spark, manifest.keys())
     out = []
@@ -110,9 +112,9 @@ def load_all(spark: SparkSession, base: str, manifest: dict[str, Sequence[str]],
             if not _path_exists(spark, path):
                 out.append(LoadResult(db, t, "missing_source", None, None))
                 continue
-            src = read_raw(spark, path, partitions=partitions)
-            expected = src.count()
+            src = read_raw(spark, path, partitions=partitions, multi_line=multi_line)
             if table_exists(spark, db, t):
+                expected = src.count()
                 actual = spark.table(f"`{db}`.`{t}`").count()
                 if actual == expected:
                     out.append(LoadResult(db, t, "skipped", expected, actual))
@@ -120,7 +122,9 @@ def load_all(spark: SparkSession, base: str, manifest: dict[str, Sequence[str]],
                 action = "reloaded"
             else:
                 action = "loaded"
-            load_table(src, db, t)
+            parsed = Observation()
+            load_table(src.observe(parsed, F.count(F.lit(1)).alias("rows")), db, t)
+            expected = parsed.get["rows"]
             out.append(LoadResult(db, t, action, expected, spark.table(f"`{db}`.`{t}`").count()))
     return out
 
@@ -136,11 +140,7 @@ def verify_tables(spark: SparkSession, names: Sequence[tuple[str, str]]) -> Data
     return spark.createDataFrame(rows, "db string, table string, exists boolean, rows long, ok boolean")
 
 
-# --------------------------------------------------------------------------- IO8 / IO9 / IO10
-def scan(spark: SparkSession, name: str) -> DataFrame:
-    return spark.table(name)
-
-
+# --------------------------------------------------------------------------- IO9 / IO10 (IO8 is spark.table)
 def write_stage(df: DataFrame, path: str, partition_by: Sequence[str] | None = None) -> str:
     w = df.write.mode("overwrite")
     if partition_by:
@@ -153,13 +153,7 @@ def read_stage(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_json(df: DataFrame, path: str, max_rows: int = 100_000) -> str:
-    """Small result tables (scalars, importances) as one JSON-lines file.
-
-    One output file needs one task, so the row count is checked first.
-    """
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"{n} rows is not a small result; write parquet instead")
-    df.coalesce(1).write.mode("overwrite").json(path)
+def write_json(df: DataFrame, path: str) -> str:
+    """Result tables as JSON lines, one file per partition."""
+    df.write.mode("overwrite").json(path)
     return path
