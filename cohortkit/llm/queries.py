@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortkit.llm import decontaminate, language_id, license_scan, near_dup, packing, quality_divergence, secret_scan, slot_shards, suffix_dedup, toxicity
+from cohortkit.llm import decontaminate, language_id, license_scan, near_dup, oracles, packing, quality_divergence, secret_scan, slot_shards, suffix_dedup, toxicity
 from cohortkit.llm.common import table
 
 
@@ -75,17 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
-    "op7_minhash_containment": """
-WITH words AS (
-  SELECT 'd' AS side, doc_id AS id, text, regexp_extract_all(lower(text), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents WHERE text IS NOT NULL
-  UNION SELECT 'i', item_id, text, regexp_extract_all(lower(text), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark WHERE text IS NOT NULL
-), shingles AS (
-  SELECT DISTINCT side, id, text, array_to_string(w[k : k + 4], ' ') AS s
-  FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM words WHERE len(w) > 0)
-), sized AS (SELECT *, count(*) OVER (PARTITION BY id, text) AS q FROM shingles WHERE side = 'i')
-SELECT d.id AS doc_id, i.id AS item_id, i.q AS item_shingles, count(*) AS hits, round(count(*) / i.q, 6) AS containment
-FROM shingles d JOIN sized i ON d.s = i.s AND d.side = 'd'
-GROUP BY d.id, d.text, i.id, i.text, i.q
-HAVING 100 * count(*) >= 80 * i.q
-""",
+    "op1_divergence_quality": oracles.QUALITY,
+    "op3_sparse_suffixes": oracles.PASSAGES,
+    "op7_minhash_containment": oracles.CONTAINED,
+    "op8_bayesian_near_dup": oracles.NEAR_DUPLICATES,
+    "op10_license_templates": oracles.LICENSES,
 }
