@@ -153,11 +153,11 @@ def run(mart: DataFrame, spec: StudySpec, with_gbt: bool = True) -> dict[str, ob
 
 
 # --------------------------------------------------------------------------- memoised test-table study
-_MEMO: dict[tuple[str, str, str], object] = {}
+_MEMO: dict[tuple[str, str], object] = {}
 
 
 def _memo(spark: SparkSession, sf_dir: str, name: str, fn):
-    key = (study.session_key(spark), sf_dir, name)
+    key = (study.data_key(spark, sf_dir), name)
     if key not in _MEMO:
         _MEMO[key] = fn()
     return _MEMO[key]

@@ -208,25 +208,33 @@ def mart(spark: SparkSession, sf_dir: str, checkpoint: bool = True) -> DataFrame
     return m.checkpoint(eager=True) if checkpoint else m
 
 
-# Checkpointed cohort / mart per (session, data folder): several registered
-# queries start from them; the checkpoint lives in the reliable folder.
-_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+# Checkpointed cohort / mart per (session, data): several registered queries
+# start from them; the checkpoint lives in the reliable folder.
+_SHARED: dict[tuple[str, str], DataFrame] = {}
+STUDY_TABLES = ["region", "nation", "customer", "orders", "events"]
 
 
-def session_key(spark: SparkSession) -> str:
-    """Identity of the running application (a restarted session gets a new one)."""
-    return spark.sparkContext.applicationId
+def data_key(spark: SparkSession, sf_dir: str) -> str:
+    """Identity of the application and of the study's files (path, length, time),
+    so changed files are never answered from an earlier result."""
+    jvm = spark.sparkContext._jvm
+    parts = [spark.sparkContext.applicationId, sf_dir]
+    for t in STUDY_TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+        parts += sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files)
+    return "|".join(parts)
 
 
 def shared_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (session_key(spark), sf_dir, "cohort")
+    key = (data_key(spark, sf_dir), "cohort")
     if key not in _SHARED:
         _SHARED[key] = cohort(spark, sf_dir)
     return _SHARED[key]
 
 
 def shared_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (session_key(spark), sf_dir, "mart")
+    key = (data_key(spark, sf_dir), "mart")
     if key not in _SHARED:
         coh = shared_cohort(spark, sf_dir)
         t = treatment(spark, sf_dir, coh).select("stay_id", "treatment_group", "treatment_label", "total_amount", "exposed_count")
