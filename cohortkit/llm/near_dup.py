@@ -7,10 +7,12 @@
 3. Every document is first compared with one pivot, the one it shares most
    buckets with; the links found join most of any large group of near copies.
 4. Buckets that still hold several components are compared in full, except
-   inside a component, where links cannot change the result. Shingles that
-   only one text of these buckets has cannot lie in an intersection; counting
-   them bounds a text's similarity to any other, so most texts of a group that
-   are edited too far are told apart without comparing pairs.
+   inside a component, where links cannot change the result. In large buckets
+   (texts that drifted from one source) rare shingles decide which pairs are
+   met: a linked text can miss only so many of another's shingles, so a text
+   with more rare ones than that shares some of them with each text it is
+   linked to, and is found through these; only texts with few rare shingles
+   are compared bucket by bucket. No pair that reaches the threshold is lost.
 5. Pairs are checked in batches of signature values: a pair whose posterior
    chance of reaching the threshold falls below ``MISS`` is pruned. All
    survivors are confirmed on their whole shingle sets.
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortkit.llm.common import stage
@@ -39,6 +41,8 @@ from cohortkit.llm.shingles import mix, shingle_set
 ROWS, BAND_MISS = 5, 5e-7
 #: Signature values compared per step, and the miss probability of pruning a pair.
 BATCH, MISS = 25, 1e-7
+#: Buckets above so many texts go by rare shingles: those that so many texts of such buckets have at most.
+LARGE, RARE = 64, 16
 _RNG = np.random.default_rng(85)
 _FACTOR = _RNG.integers(1, 2**63, 1000, dtype="u8") * np.uint64(2) + np.uint64(1)
 _FOLD = _RNG.integers(1, 2**63, ROWS, dtype="u8") * np.uint64(2) + np.uint64(1)
@@ -137,18 +141,22 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return pairs.join(one("b"), "b").join(one("a"), "a").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long").distinct()
 
 
-def own_counts(texts: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
-    """(id, n, own): how many of a chosen text's ``n`` shingles no other chosen document has."""
+def rare_shingles(texts: DataFrame, chosen: DataFrame, n: int, most: int = RARE) -> DataFrame:
+    """(s, id, n): the shingles of the chosen documents that ``most`` of their texts have at most."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t, n).astype("i8") for t in batch["text"]]
             yield pd.DataFrame({"id": batch["doc_id"], "n": [len(s) for s in sets], "sh": sets})
 
-    rows = texts.join(chosen, "doc_id", "left_semi").mapInPandas(run, "id long, n long, sh array<long>")
-    rows = rows.select(F.struct("id", "n").alias("of"), F.explode("sh").alias("s"))
-    owners = rows.groupBy("s").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).filter("lo = hi")
-    return owners.groupBy("lo.id", "lo.n").agg(F.count(F.lit(1)).alias("own"))
+    rows = texts.join(chosen, "doc_id", "left_semi").mapInPandas(run, "id long, n long, sh array<long>").select("id", "n", F.explode("sh").alias("s"))
+    rare = rows.groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") <= most).select("s")
+    return stage(rows.join(rare, "s", "left_semi").distinct(), "rare")
+
+
+def needed(threshold: float) -> Column:
+    """Least intersection of linked sets of sizes n and n2."""
+    return F.ceil((F.col("n") + F.col("n2")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-6))
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -214,27 +222,34 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     known = stage(known, "known")
     ends = known.groupBy("bin").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bin")
     open_rows = stage(known.join(ends, "bin"), "open")
-    own = own_counts(texts, open_rows.select(F.col("id").alias("doc_id")).distinct(), n)
-    open_rows = open_rows.join(own, ["id", "n"], "left").withColumn("held", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
-    # isolated texts leave their buckets
-    open_rows = open_rows.filter(F.col("held") >= F.lit(threshold - 1e-9) * F.col("n"))
     sizes = open_rows.groupBy("bin", "comp").agg(F.count(F.lit(1)).alias("c"))
-    major = sizes.groupBy("bin").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("bin", F.col("m.comp").alias("major"))
+    major = sizes.groupBy("bin").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all")).select("bin", F.col("m.comp").alias("major"), "all")
     open_rows = stage(open_rows.join(major, "bin"), "open")
-    minor = open_rows.filter("comp != major").drop("major")
-    other = open_rows.select("bin", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("held").alias("held2"), F.col("comp").alias("comp2"), "major")
-    most = F.least("held", "held2")
-    reachable = most * F.lit(1 + threshold) >= F.lit(threshold) * (F.col("n") + F.col("n2")) - F.lit(1e-6)
-    across = (
-        minor.join(other, "bin")
+    large = open_rows.filter(F.col("all") > LARGE)
+    rare = rare_shingles(texts, large.select(F.col("id").alias("doc_id")).distinct(), n)
+    rarity = rare.groupBy("id", "n").agg(F.count(F.lit(1)).alias("rare"))
+    large = large.join(rarity, ["id", "n"], "left").withColumn("rare", F.coalesce("rare", F.lit(0)))
+    slack, slack2 = F.col("n") - needed(threshold), F.col("n2") - needed(threshold)
+
+    def across(rows: DataFrame, extra: Column) -> DataFrame:
+        """Pairs of different components in a bucket; one side is outside its largest component."""
+        named = {c: f"{c}2" for c in rows.columns if c not in ("bin", "major", "all")}
+        met = rows.filter("comp != major").drop("major", "all").join(rows.withColumnsRenamed(named).drop("all"), "bin")
         # between two minor rows the pair is met from both sides
-        .filter((F.col("comp") != F.col("comp2")) & ((F.col("comp2") == F.col("major")) | (F.col("id") < F.col("id2"))))
-        .filter(near_size & reachable)
-        .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    more = confirmed(pruned(across, reps, threshold, total), texts, n, percent)
+        one = (F.col("comp") != F.col("comp2")) & ((F.col("comp2") == F.col("major")) | (F.col("id") < F.col("id2")))
+        return met.filter(one & near_size & extra).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+
+    few = large.filter(F.col("rare") <= F.lit(1 - threshold + 1e-9) * F.col("n"))
+    direct = across(few, (F.col("rare") <= slack) & (F.col("rare2") <= slack2))
+    small = across(open_rows.filter(F.col("all") <= LARGE), F.lit(True))
+    comps = large.select("id", "n", "comp", "rare").distinct()
+    told = rare.join(comps, ["id", "n"])
+    other = told.withColumnsRenamed({c: f"{c}2" for c in ("id", "n", "comp", "rare")})
+    by_rare = told.join(other, "s").filter((F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & near_size)
+    by_rare = by_rare.groupBy("id", "n", "rare", "id2", "n2", "rare2").agg(F.count(F.lit(1)).alias("c"))
+    by_rare = by_rare.filter((F.col("c") >= F.col("rare") - slack) & (F.col("c") >= F.col("rare2") - slack2)).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    pairs = small.union(direct).union(by_rare).distinct().join(first, ["a", "b"], "left_anti")
+    more = confirmed(pruned(pairs, reps, threshold, total), texts, n, percent)
     found = connected_components(links.union(more))
 
     named = classes.join(found.withColumnRenamed("node", "rid"), "rid", "left").select("c1", "c2", F.coalesce("component", "rid").alias("_comp"))

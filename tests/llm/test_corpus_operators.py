@@ -243,8 +243,9 @@ def plain_components(rows, n, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("n", "percent"), [(3, 85), (5, 80)])
-def test_near_duplicates_match_brute_force(spark, corpus, n, percent):
+@pytest.mark.parametrize(("n", "percent", "large"), [(3, 85, 64), (3, 85, 4), (5, 80, 4)])
+def test_near_duplicates_match_brute_force(spark, corpus, n, percent, large, monkeypatch):
+    monkeypatch.setattr(near_dup, "LARGE", large)
     rng = random.Random(8)
     base = prose(66, 120, EN).split()
     near = []
