@@ -37,8 +37,6 @@ from cohortkit.llm.shingles import mix, word_hashes
 
 MIN_WORDS, GRAM = 50, 5
 LEFT = 20
-#: Lists of up to so many places in all are broadcast (about 12 bytes each); beyond, both sides are shuffled.
-BROADCAST_PLACES = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 2**64)
 
@@ -112,8 +110,7 @@ def repeated_windows(docs: DataFrame, kept: DataFrame, window: int, gram: int, l
                     yield pd.DataFrame({"th": th, "k": keys.of(s, window).astype("i8"), "s": s.astype("i4")})
 
     texts = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("th"), "text")
-    few = kept.agg(F.sum(F.size("lefts") + F.size("rights"))).first()[0] or 0
-    met = texts.join(F.broadcast(kept) if few <= BROADCAST_PLACES else kept, "th")
+    met = texts.join(kept, "th")
     return met.select("th", "text", "lefts", "rights").mapInPandas(run, "th long, k long, s int")
 
 
