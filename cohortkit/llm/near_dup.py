@@ -5,7 +5,8 @@
 2. Banded MinHash gives candidate buckets. A bucket is split by set size, as
    linked sets differ in size by the threshold at most.
 3. Every document is first compared with one pivot, the one it shares most
-   buckets with; the links found join most of any large group of near copies.
+   buckets with, then with the hub of its buckets, the one with most links so
+   far; the links found join most of any large group of near copies.
 4. Buckets that still hold several components are compared in full, except
    inside a component, where links cannot change the result. In large buckets
    (texts that drifted from one source) rare shingles decide which pairs are
@@ -181,6 +182,12 @@ def connected_components(links: DataFrame) -> DataFrame:
         edges = stage(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
 
 
+def with_components(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """Add ``comp``, the component of ``id`` (the id itself if it has no link)."""
+    found = rows.join(joined.withColumnRenamed("node", "id"), "id", "left")
+    return found.withColumn("comp", F.coalesce("component", "id")).drop("component")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
@@ -217,9 +224,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     links = stage(confirmed(pruned(first, reps, threshold, total), texts, n, percent), "links")
     joined = connected_components(links)
 
+    # each document and the hub of its buckets with most links so far: joins the stars of a large group
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    starred = stage(with_components(binned, joined).join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), "starred")
+    hub = F.max(F.struct("degree", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))).alias("h")
+    hubs = starred.groupBy("bin").agg(hub, F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bin", "h.*")
+    met = starred.drop("degree").join(hubs, "bin").filter("comp != comp2").filter(near_size)
+    met = met.groupBy("id").agg(F.max(F.struct("degree", F.col("id2").alias("p"))).alias("m"))
+    second = stage(met.select(F.least("id", "m.p").alias("a"), F.greatest("id", "m.p").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "hub-pairs")
+    links = stage(links.union(confirmed(pruned(second, reps, threshold, total), texts, n, percent)), "links")
+    joined = connected_components(links)
+
     # what still meets across components
-    known = binned.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    known = stage(known, "known")
+    first = first.union(second)
+    known = stage(with_components(binned, joined), "known")
     ends = known.groupBy("bin").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bin")
     open_rows = stage(known.join(ends, "bin"), "open")
     sizes = open_rows.groupBy("bin", "comp").agg(F.count(F.lit(1)).alias("c"))
