@@ -1,12 +1,14 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are long runs of key characters that hold a digit. Each gets
-features of its length, character transitions, spread, dictionary coverage,
-path and neighbouring words. A random forest trained on labelled findings
-tells secrets from card numbers, checksums, ids and the like. Labelled
-findings may be given; else provider formats, assignments to credential names
-and well-known harmless forms label a bounded sample of the corpus's own
-candidates.
+Candidates are every value assigned to a credential name (any length, with or
+without digits, quoted or not, also in URLs, .env lines and JSON), long runs
+of key characters that hold a digit, and provider tokens. A name before ``=``
+belongs to the lead, not to the value. Each candidate gets features of its
+length, character transitions, spread, dictionary coverage, path and
+neighbouring words. A random forest trained on labelled findings tells secrets
+from card numbers, checksums, ids and the like. Labelled findings may be
+given; else provider formats, assignments to credential names and well-known
+harmless forms label a bounded sample of the corpus's own candidates.
 
 All columns are built-in expressions, the forest is Spark's.
 
@@ -30,18 +32,42 @@ from cohortkit.llm.sampling import bounded_sample
 #: Documented bound of the training sample, per kind.
 SAMPLE = 3000
 MASK = "[SECRET]"
-_KEY = r"[A-Za-z0-9+/_=\-]"
-#: A run of 16 or more key characters with a digit; starts only where a run starts, so long runs cost one look.
-CANDIDATE = rf"(?<!{_KEY})(?={_KEY}{{0,512}}[0-9]){_KEY}{{16,}}+"
-#: Token formats of public services.
+#: Token formats of public services, at token borders.
 PROVIDER = (
-    r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{20,}$|^glpat-[A-Za-z0-9_\-]{20,}$|^xox[abprs]-[A-Za-z0-9\-]{10,}$"
-    r"|^sk_live_[A-Za-z0-9]{16,}$|^AIza[A-Za-z0-9_\-]{35}$|^eyJ[A-Za-z0-9_\-]{16,}"
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{20,}|glpat-[A-Za-z0-9_\-]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,}"
+    r"|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35}(?![A-Za-z0-9_\-])|eyJ[A-Za-z0-9_\-]{16,})"
 )
 #: Words that come before secrets, before harmless digests, and in placeholders.
-CREDENTIAL = r"(?i)(token|secret|passw|pwd|api_?key|apikey|access_?key|private_?key|auth|bearer|credential)"
+CREDENTIAL = (
+    r"(?i)(token(?!i[sz]|_?type)|secret(?!ar)|passw|passphrase|pwd|api[_\- ]?key|access[_\- ]?key|private[_\- ]?key"
+    r"|auth(?!or(?!i[sz])|_?type)|bearer|credential)"
+)
 DIGEST = r"(?i)(commit|sha-?\d*|md5|checksum|digest|etag|uuid|guid|revision|integrity|hash|build|version|isbn|order|invoice|card|phone)"
-PLACEHOLDER = r"(?i)(example|sample|placeholder|changeme|your|dummy|test|xxxx|0000000|1234567)"
+PLACEHOLDER = r"(?i)(example|sample|placeholder|changeme|your|dummy|test|xxxx|0000000|1234567|^[<\[{$%].*[>\]}%)]$|^\*+$)"
+#: Unquoted code that stands for a value, plain words, and sentences.
+REFERENCE = r"(?i)^(none|null|nil|true|false|undefined|str|bytes|bool|int)$|^[$%@*]|[(\[{]|^[a-z_]\w*(\.[a-z_]\w*)+$"
+PLAIN = r"^[A-Za-z]?[a-z]*(?:(?:[_.\-][A-Z]?|[A-Z])[a-z]+)*[.!?:]?$|^[A-Z_]+$"
+SENTENCE = r"^[A-Z][a-z]+ |[.!?:]$|(?i)\b(the|your|you|a|an|is|must|to|of|and|for|be|or|not|in|with)\b"
+_KEY = r"[A-Za-z0-9+/_\-]"
+#: A run of 16 or more key characters that holds a digit or a provider token; starts only where a run starts, so long runs cost one look.
+RUN = rf"(?<!{_KEY})(?=[A-Za-z+/_\-]*+[0-9]|{_KEY}*?{PROVIDER}){_KEY}{{16,}}+(?:={{1,2}}(?![A-Za-z0-9+/_=\-]))?+"
+_NAME = r"[\w.\-]"
+_AFTER_NAME = r"[\"'`\])\\]{0,4}[ \t]*+"
+_SIGN = r"(?:=>|:=|={1,3}|:(?!:|//))"
+#: Name of one or two words that holds a credential word, the sign of an assignment, a type, an opening quote, an authorisation scheme.
+LEAD = (
+    rf"(?<!{_NAME})(?={_NAME}++(?: {_NAME}++)?+{_AFTER_NAME}{_SIGN})(?={_NAME}*?{CREDENTIAL}){_NAME}++(?: {_NAME}++)?+{_AFTER_NAME}"
+    rf"(?::[ \t]*+[A-Za-z_][\w.\[\]]*+[ \t]*+=(?!=)|{_SIGN})[ \t]*+(?:\\?[\"'`])?(?:(?i:bearer|basic|token|apikey)[ \t]++)?"
+)
+_INNER = r"""[^\s"'`<>&;,)\]}]"""
+_NEXT = r"""\s|$|["'`]|[)\]}&;,]|[A-Za-z_][\w.\-]*+["']?[=:]"""
+#: Up to the closing quote of its line; without one up to white space, the next quote or the next name of a list or URL.
+ASSIGNED = (
+    r"""(?<=\\")[^"\\\r\n]++(?=\\")|(?<=(?<!\\)")(?:[^"\\\r\n]|\\.)++(?=")|(?<=')(?:[^'\\\r\n]|\\.)++(?=')|(?<=`)[^`\r\n]++(?=`)"""
+    rf"|(?:{_INNER}|[&;,)\]}}](?!{_NEXT}))++"
+)
+#: Marks around a value in its text: an assigned value stands before the second, a run after it.
+_OPEN, _MID, _SHUT = "\ufffe", "\ufdd1", "\uffff"
 #: Parts of identifiers that people write.
 DICTIONARY = (
     "access address admin api app auth base build client code commit config content data date default docs document end error event example file form "
@@ -53,23 +79,33 @@ UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, word_no, value, word, before, after) of every candidate."""
+    """(doc_id, key, word_no, word, before, after, prefix, named, value) of every candidate; ``prefix`` is the word's part before the value."""
+    bare = lambda c: F.regexp_replace(c, f"[{_OPEN}{_MID}{_SHUT}]", "")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text")).filter(F.col("_text").rlike(CANDIDATE))
-    rows = rows.withColumn("key", row_key(F.col("doc_id"), F.col("_text"))).withColumn("_words", words_of(F.col("_text"), SPACE_WORDS))
-    spots = F.filter(F.transform("_words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: x["w"].rlike(CANDIDATE))
-    rows = rows.withColumn("_spots", spots)
-    near = F.transform(
+    clear = F.when(text.rlike(f"[{_OPEN}{_MID}{_SHUT}]"), F.regexp_replace(text, f"[{_OPEN}{_MID}{_SHUT}]", "\ufffd")).otherwise(text)
+    found = f"({LEAD})({ASSIGNED})|({RUN})".replace("(?i)(token", "(?i:token")
+    marked = F.regexp_replace(clear, found, f"$1{_OPEN}$2{_MID}$3{_SHUT}")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), marked.alias("_marked")).filter(F.col("_marked").contains(_OPEN))
+    rows = rows.select("doc_id", row_key(F.col("doc_id"), F.col("_text")).alias("key"), "_marked", words_of(F.col("_marked"), SPACE_WORDS).alias("_words"))
+    held = F.filter(F.transform("_words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: x["w"].contains(_OPEN))
+    count = lambda w: F.size(F.split(w, _OPEN)) - 1
+    spots = F.flatten(F.transform(held, lambda x: F.transform(F.sequence(F.lit(1), count(x["w"])), lambda k: F.struct(x["i"].alias("i"), x["w"].alias("w"), k.alias("k")))))
+    values = F.regexp_extract_all("_marked", F.lit(f"{_OPEN}[^{_SHUT}]*+"), F.lit(0))
+    rows = rows.select("doc_id", "key", "_words", spots.alias("_spots"), values.alias("_values"))
+    near = F.zip_with(
         "_spots",
-        lambda x: F.struct(
+        "_values",
+        lambda x, v: F.struct(
             x["i"].cast("long").alias("word_no"),
-            x["w"].alias("word"),
-            F.array_join(F.slice("_words", F.greatest(x["i"] - 2, F.lit(1)), F.least(x["i"], F.lit(3))), " ").alias("before"),
-            F.coalesce(F.get("_words", x["i"] + 1), F.lit("")).alias("after"),
+            bare(x["w"]).alias("word"),
+            bare(F.array_join(F.slice("_words", F.greatest(x["i"] - 2, F.lit(1)), F.least(x["i"], F.lit(3))), " ")).alias("before"),
+            bare(F.coalesce(F.get("_words", x["i"] + 1), F.lit(""))).alias("after"),
+            bare(F.call_function("substring_index", x["w"], F.lit(_OPEN), x["k"])).alias("prefix"),
+            v.endswith(_MID).alias("named"),
+            bare(v).alias("value"),
         ),
     )
-    rows = rows.select("doc_id", "key", F.explode(near).alias("x")).select("doc_id", "key", "x.*")
-    return rows.withColumn("value", F.explode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))))
+    return rows.select("doc_id", "key", F.explode(near).alias("x")).select("doc_id", "key", "x.*")
 
 
 def _kept_share(value: str, pattern: str) -> Column:
@@ -79,7 +115,7 @@ def _kept_share(value: str, pattern: str) -> Column:
 
 FEATURES = [
     "length", "class_runs", "digits", "uppers", "letters", "symbols", "vowel_turns", "distinct", "hex", "dictionary",
-    "path_marks", "extension", "url", "credential_near", "digest_near", "placeholder", "assigned", "quoted", "provider",
+    "path_marks", "extension", "url", "credential_near", "digest_near", "placeholder", "assigned", "quoted", "provider", "plain", "sentence",
 ]
 
 
@@ -87,7 +123,9 @@ def with_features(found: DataFrame) -> DataFrame:
     """Numeric features of candidates."""
     flag = lambda c: c.cast("double")
     runs = lambda pattern: F.size(F.regexp_extract_all("value", F.lit(pattern), F.lit(0))) / F.length("value")
-    lead = F.concat_ws(" ", "before", F.substring("word", F.lit(1), F.position("value", "word") - 1))
+    lead = F.concat_ws(" ", "before", "prefix")
+    quoted = F.col("_lead").rlike("[\"'`]$") | F.col("value").contains(" ")
+    plain = F.col("value").rlike(PLAIN) & ~quoted & ~F.col("_lead").rlike("[A-Z0-9_]=$") & (F.length("value") < 16)
     return found.withColumn("_lead", lead).withColumns(
         {
             "length": F.length("value").cast("double"),
@@ -103,12 +141,14 @@ def with_features(found: DataFrame) -> DataFrame:
             "path_marks": F.least(_kept_share("word", r"[/\\.]"), F.lit(1.0)),
             "extension": flag(F.col("word").rlike(r"\.[a-z]{2,4}\b")),
             "url": flag(F.col("word").rlike("(?i)(https?|ftp|www)[:.]")),
-            "credential_near": flag(F.col("_lead").rlike(CREDENTIAL)),
+            "credential_near": flag(F.col("_lead").rlike(CREDENTIAL) | F.col("named")),
             "digest_near": flag(F.col("_lead").rlike(DIGEST)),
-            "placeholder": flag(F.col("value").rlike(PLACEHOLDER)),
-            "assigned": flag(F.col("_lead").rlike("[=:]\\s*[\"']?$")),
-            "quoted": flag(F.col("_lead").rlike("[\"']$")),
+            "placeholder": flag(F.col("value").rlike(PLACEHOLDER) | (F.col("named") & ~quoted & F.col("value").rlike(REFERENCE))),
+            "assigned": flag(F.col("_lead").rlike("[=:]\\s*[\"']?$") | F.col("named")),
+            "quoted": flag(quoted),
             "provider": flag(F.col("value").rlike(PROVIDER)),
+            "plain": flag(plain),
+            "sentence": flag(F.col("value").contains(" ") & F.col("value").rlike(SENTENCE)),
         }
     )
 
@@ -116,9 +156,10 @@ def with_features(found: DataFrame) -> DataFrame:
 def weak_label(prefix: str = "") -> Column:
     """1 a secret, 0 harmless, null where the rules do not tell."""
     c = lambda name: F.col(prefix + name)
-    harmless = (c("digits") == 1) | c("value").rlike(UUID) | (c("url") == 1) | (c("placeholder") == 1) | ((c("digest_near") == 1) & (c("credential_near") == 0))
-    harmless = harmless | (c("dictionary") > 0.5) | (c("distinct") < 0.15)
-    secret = (c("provider") == 1) | ((c("credential_near") == 1) & (c("assigned") == 1) & (c("digits") < 1))
+    named = (c("credential_near") == 1) & (c("assigned") == 1)
+    harmless = (c("digits") == 1) | c("value").rlike(UUID) | ((c("url") == 1) & ~named) | (c("placeholder") == 1) | ((c("digest_near") == 1) & (c("credential_near") == 0))
+    harmless = harmless | (c("dictionary") > 0.5) | ((c("distinct") < 0.15) & (c("distinct") * c("length") < 10)) | (c("plain") == 1) | (c("sentence") == 1)
+    secret = (c("provider") == 1) | (named & (c("digits") < 1) & (~c("value").contains(" ")))
     return F.when(harmless & (c("provider") == 0), 0).when(secret, 1)
 
 
@@ -149,12 +190,22 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, at_least: float = 0
 def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Documents with their secrets replaced by a mask; same columns, every row kept.
 
-    ``n_chars``, where there is one, follows the changed text.
+    Values of 16 or more characters go wherever they stand, shorter ones where
+    they stand as a whole token; short ones of letters only go after the sign
+    of an assignment, as they may be words of the text. ``n_chars``, where
+    there is one, follows the changed text.
     """
     keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.coalesce("text", F.lit(""))))
-    values = found.filter("secret").groupBy(F.col("key").alias("_key")).agg(F.collect_set("value").alias("_values"))  # of one text
+    ranked = F.struct((-F.length("value")).alias("n"), F.col("value").alias("v"))  # a value may hold another: longest first
+    values = found.filter("secret").groupBy(F.col("key").alias("_key")).agg(F.array_sort(F.collect_set(ranked)).alias("_values"))  # of one text
     out = keyed.join(values, "_key", "left")
-    masked = F.aggregate("_values", F.col("text"), lambda text, v: F.replace(text, v, F.lit(MASK)))
+
+    def without(text: Column, x: Column) -> Column:
+        literal = F.regexp_replace(x["v"], r"([^A-Za-z0-9\s])", r"\\$1")
+        start = F.when(x["v"].rlike("^[A-Za-z]+$"), r"(?<=[=:>][ \t]{0,8}\\?[\"'`]?(?i:bearer |basic |token )?)").otherwise("(?<![A-Za-z0-9])")
+        return F.when(x["n"] <= -16, F.replace(text, x["v"], F.lit(MASK))).otherwise(F.regexp_replace(text, F.concat(start, literal, F.lit("(?![A-Za-z0-9])")), F.lit(MASK)))
+
+    masked = F.aggregate("_values", F.col("text"), without)
     out = out.withColumn("text", F.when(F.col("_values").isNotNull(), masked).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_values").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))

@@ -193,6 +193,50 @@ def test_secrets_are_told_from_harmless_findings(spark, no_docs, null_docs):
     assert secret_scan.redact(null_docs, secret_scan.scan(null_docs)).count() == 3
 
 
+def test_secrets_of_every_form_are_candidates_and_masked(spark):
+    rng = random.Random(8)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    # lead, value, rest; the value of every form must be found whole, called a secret and masked alone
+    forms = [
+        ("API_KEY=", lambda: hexes(32), ""),
+        ("AWS_ACCESS_KEY_ID=", lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOP") for _ in range(16)), ""),
+        ("see https://a.host/x?page=2&access_token=", lambda: hexes(32), "&lang=en"),
+        ('{"user":"bob","api_key":"', lambda: hexes(32), '","port":1}'),
+        ('password = "', lambda: f"Tr0ub4dor&{rng.randrange(10, 99)}", '"'),
+        ("DB_PASSWORD=", lambda: f"hunter{rng.randrange(10, 99)}!", ""),
+        ("client_secret: '", lambda: "".join(rng.choice("abcdefghABCDEFGH") for _ in range(24)), "'"),
+        ('password: str = "', lambda: f"pw,{hexes(6)};z", '"'),
+        ("Authorization: Bearer ", lambda: hexes(40), ""),
+        ("token=", lambda: "z" + "".join(rng.choice("qwrtplkj") for _ in range(600)) + hexes(8), ""),
+    ]
+    rows, values = [], {}
+    for k in range(200):
+        lead, value, rest = forms[k % 10]
+        values[k] = value()
+        rows.append((k, f"{prose(k, 20, EN)} {lead}{values[k]}{rest} {prose(k + 1, 9, EN)}", "en"))
+    for k in range(200, 300):
+        rows.append((k, f"{prose(k, 9, EN)} {['author: walker', 'commit=' + hexes(40), 'token: the light', 'password = None', 'id=' + hexes(32)][k % 5]} end", "en"))
+    docs = make(spark, rows)
+    found = secret_scan.scan(docs)
+    by_doc = defaultdict(set)
+    for r in found.filter("secret").collect():
+        by_doc[r.doc_id].add(r.value)
+    assert {k: v for k, v in by_doc.items() if k < 200} == {k: {v} for k, v in values.items()}
+    assert not any(k in by_doc for k in range(200, 300) if k % 5 != 4)
+    clean = {r.doc_id: r.text for r in secret_scan.redact(docs, found).collect()}
+    assert all(clean[k] == rows[k][1].replace(v, "[SECRET]") for k, v in values.items())
+
+
+def test_places_of_candidates_and_masks_of_short_values(spark):
+    text = 'a b password = "one two 3" then x=1&token=abc&y key:"q" sun sunny'
+    got = [(r.word_no, r.prefix, r.value, r.named) for r in secret_scan.candidates(make(spark, [(1, text, "en")])).collect()]
+    assert got == [(4, '"', "one two 3", True), (8, "x=1&token=", "abc&y", True)]
+    docs = make(spark, [(1, "pwd=sun sunny sun, pin r2 r2d2 a\\Eb.c", "en")])
+    found = docs.select("doc_id", secret_scan.row_key(F.col("doc_id"), F.col("text")).alias("key"), F.explode(F.array(*map(F.lit, ["sun", "r2", "a\\Eb.c"]))).alias("value"))
+    masked = secret_scan.redact(docs, found.withColumn("secret", F.lit(True))).first().text
+    assert masked == "pwd=[SECRET] sunny sun, pin [SECRET] r2d2 [SECRET]"
+
+
 def grams(text, n):
     words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").lower())
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
