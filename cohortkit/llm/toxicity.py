@@ -5,7 +5,10 @@ greedy cover of the toxic rows needs and that others rarely hold), each
 weighed by its share of toxic rows. A stem (``abc*``) takes any ending. The Levenshtein
 automata of all terms are run against their common trie at once: states are
 sets of (trie node, edits), made into one deterministic table that steps all
-words of a batch together. Around each hit a window of words tells quotation
+words of a batch together. Words are runs of Unicode letters, marks and digits,
+folded and split alike in learning and matching; characters without a shape
+(soft hyphens, zero-width ones) are passed over, and an edit is one code point.
+Around each hit a window of words tells quotation
 from abuse. A logistic model over the hits gives the score.
 
 Only labelled rows outside the held-out remainder are learned from, at most
@@ -19,6 +22,9 @@ answer; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,10 +47,20 @@ SEEDS = (
 #: Words that report speech.
 REPORTING = frozenset("said says called calls wrote writes quote quoted quotes reported term word phrase insult insulted".split())
 QUOTES = "\"“”„«»‘’"
-_INSIDE = np.zeros(256, bool)
-_INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_LOWER = np.arange(256, dtype="u1")
-_LOWER[65:91] += 32
+#: U+2019 between letters is an apostrophe.
+_APOSTROPHE = re.compile(r"(?<=[^\W\d_])’(?=[^\W\d_])")
+_CODES = range(sys.maxunicode + 1)
+_KINDS = [unicodedata.category(chr(c)) for c in _CODES]
+_INSIDE = np.array([k[0] in "LMN" for k in _KINDS])
+_UNSEEN = np.array([k == "Cf" for k in _KINDS])
+
+
+def _folded(c: str) -> str:
+    """One code point for one code point."""
+    return f if len(f := c.casefold()) == 1 else c.lower()[0]
+
+
+_FOLD = np.array([ord(_folded(chr(c))) if _INSIDE[c] else c for c in _CODES], "u4")
 FEATURES = 5
 
 
@@ -70,7 +86,7 @@ class FuzzyLexicon:
         for t, term in enumerate(self.terms):
             node, edits = 0, allowed_edits(term)
             limit[0] = max(limit[0], edits)
-            for b in term.rstrip("*").encode():
+            for b in map(ord, term.rstrip("*")):
                 if b not in children[node]:
                     children[node][b] = len(children)
                     children.append({})
@@ -79,7 +95,7 @@ class FuzzyLexicon:
                 limit[node] = max(limit[node], edits)
             (stems if term.endswith("*") else ends)[node] = t
         symbols = sorted({b for c in children for b in c})
-        self.symbol = np.zeros(256, "u1")
+        self.symbol = np.zeros(len(_CODES), "u2")
         self.symbol[symbols] = np.arange(1, len(symbols) + 1)
 
         def closed(found: dict[int, int]) -> frozenset:
@@ -129,7 +145,7 @@ class FuzzyLexicon:
         self.final = (self.table == np.arange(len(numbers))[:, None]).all(axis=1)
 
     def match(self, text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Final state of each word (0: no term near)."""
+        """Final state of each word (0: no term near) of a text of folded code points."""
         state, at, k = np.ones(len(starts), "i4"), np.arange(len(starts)), 0
         while len(at):
             state[at] = self.table[state[at], self.symbol[text[starts[at] + k]]]
@@ -140,32 +156,53 @@ class FuzzyLexicon:
 
 def quotation(window: str, before: str) -> float:
     """0 to 1: how far a window reads as quoting. Quotation marks on both sides count most."""
+    window, before = _APOSTROPHE.sub("", window), _APOSTROPHE.sub("", before)
     marks = sum(window.count(q) for q in QUOTES)
     opened = any(q in before for q in QUOTES)
     reported = bool(REPORTING & set(window.lower().split()))
     return min(1.0, 0.5 * (marks >= 2 and opened) + 0.4 * reported + 0.1 * (marks > 0))
 
 
+def split_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts, the end of each text behind its line feed, starts and lengths of the words."""
+    parts = [t or "" for t in texts]
+    raw = np.frombuffer("".join(p + "\n" for p in parts).encode("utf-32-le", "surrogatepass"), "<u4")
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    seen = ~_UNSEEN[raw]
+    if not seen.all():
+        raw, ends = raw[seen], np.cumsum(seen)[ends - 1]
+    edge = np.diff(_INSIDE[raw].astype("i1"), prepend=0)
+    starts = np.flatnonzero(edge == 1)
+    return raw, ends, starts, np.flatnonzero(edge == -1) - starts
+
+
+def _text(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def words_to_learn(text: str | None) -> list[str]:
+    """Distinct folded words of three or more characters that hold a letter, split as the matcher does."""
+    raw, _, starts, lengths = split_words([text])
+    folded = _text(_FOLD[raw])
+    words = dict.fromkeys(folded[a : a + n] for a, n in zip(starts, lengths, strict=True) if n >= 3)
+    return [w for w in words if any(c.isalpha() for c in w)]
+
+
 def hit_features(texts: list[str | None], lexicon: FuzzyLexicon) -> np.ndarray:
     """Per text: strongest hit, summed exact hits, summed misspelled hits, hits per word, quoted share."""
     out = np.zeros((len(texts), FEATURES))
-    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    raw = np.frombuffer(b"\n".join(parts) + b"\n", "u1")
-    ends = np.cumsum([len(p) + 1 for p in parts])
-    inside = _INSIDE[raw].astype("i1")
-    edge = np.diff(inside, prepend=0)
-    starts = np.flatnonzero(edge == 1)
-    lengths = np.flatnonzero(edge == -1) - starts
-    state = lexicon.match(_LOWER[raw], starts, lengths)
+    raw, ends, starts, lengths = split_words(texts)
+    begins = np.concatenate([[0], ends[:-1]])
+    state = lexicon.match(_FOLD[raw], starts, lengths)
     document = np.searchsorted(ends, starts, "right")
     words = np.bincount(document, minlength=len(texts))
     edits = lexicon.edits[state]
     sums = np.zeros((len(texts), 4))
     for w in np.flatnonzero(edits >= 0):
         d = document[w]
-        lo, hi = max(ends[d] - len(parts[d]) - 1, starts[max(w - WINDOW, 0)]), min(ends[d], starts[min(w + WINDOW, len(starts) - 1)] + 1)
-        before = raw[lo : starts[w]].tobytes().decode("utf-8", "ignore")
-        window = raw[lo:hi].tobytes().decode("utf-8", "ignore")
+        lo, hi = max(begins[d], starts[max(w - WINDOW, 0)]), min(ends[d], starts[min(w + WINDOW, len(starts) - 1)] + 1)
+        before = _text(raw[lo : starts[w]])
+        window = _text(raw[lo:hi])
         quoted = quotation(window, before)
         strength = lexicon.weight[lexicon.term[state[w]]] * (1 - 0.7 * quoted) * (1.0, 0.8, 0.6)[edits[w]]
         out[d, 0] = max(out[d, 0], strength)
@@ -213,11 +250,15 @@ def term_weights(sample: DataFrame, limit: int = LEARNED_TERMS) -> dict[str, flo
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return weights
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,24}"), F.lit(0)))
-    rows = sample.select("toxic", words.alias("words"))
+
+    def split(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield batch.map(words_to_learn)
+
+    rows = sample.select("toxic", F.pandas_udf(split, "array<string>")(F.col("text")).alias("words"))  # bounded sample
     stems = lambda w: F.transform(F.sequence(F.lit(3), F.least(F.length(w) - 1, F.lit(7))), lambda k: F.concat(F.substring(w, F.lit(1), k), F.lit("*")))
     forms = F.flatten(F.transform("words", lambda w: F.array_append(F.when(F.length(w) > 3, stems(w)).otherwise(F.array().cast("array<string>")), w)))
-    rows = stage(rows.select("toxic", F.array_distinct(forms).alias("forms")), "toxic-forms")
+    rows = stage(rows.select("toxic", F.filter(F.array_distinct(forms), lambda w: F.length(w) <= 24).alias("forms")), "toxic-forms")
     counts = rows.select("toxic", F.explode("forms").alias("form")).groupBy("form").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     odds = (F.col("bad") / n[1]) / ((F.col("good") + 0.5) / n[0])
     share = (F.col("bad") + 0.5) / (F.col("bad") + F.col("good") + 1)

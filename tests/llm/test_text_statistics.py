@@ -142,6 +142,18 @@ def test_quotation_weakens_a_hit():
     assert x[0, 0] == 1 and x[1, 0] < 0.5 and x[1, 4] > 0.8 and not x[2:].any()
 
 
+def test_typographic_texts_have_the_hits_of_plain_ones():
+    lexicon = toxicity.FuzzyLexicon({"idiot": 1.0, "dépravé": 1.0})
+    plain = toxicity.hit_features(["you idiot you"], lexicon)[0]
+    for text in ("you idiot\u2026 you", "you \u2014idiot\u2014 you", "you idiot\u00a0! you", "you l\u2019idiot you", "you IDI\u00adOT you"):
+        assert toxicity.hit_features([text], lexicon)[0, 0] == plain[0] == 1, text
+    quoted = toxicity.hit_features(["he said \u201cidiot\u201d to me", "il dit \u00ab\u00a0idiot\u00a0\u00bb ici", "you\u2019re an idiot, you\u2019re one"], lexicon)
+    assert (quoted[:2, 0] < 1).all() and (quoted[:2, 0] > 0).all() and (quoted[:2, 4] >= 0.5).all() and quoted[2, 4] == 0
+    folded = toxicity.hit_features(["un D\u00c9PRAV\u00c9 ici", "un deprav\u00e9 ici", "un depravi ici"], lexicon)
+    assert folded[0, 0] == 1 and 0.7 < folded[1, 0] < 1 and folded[2, 0] == 0
+    assert toxicity.words_to_learn("L\u2019IDIOT \u00ab\u00a0D\u00c9PRAV\u00c9\u2026 123 ab idi0t") == ["idiot", "dépravé", "idi0t"]
+
+
 def test_toxicity_learns_and_leaves_clean_texts(spark, no_docs, null_docs):
     rows, marks = [], []
     for k in range(240):
