@@ -4,7 +4,9 @@ Texts become square roots of hashed byte n-gram shares (1 to 4 bytes, lower
 case, white space runs as one space), scaled to unit length. A classifier over
 families picks the family; its own pairwise SVMs pick the language. The fit
 uses at most ``SAMPLE`` documents of each language; predictions read every
-whole text.
+whole text. The winner of a vote says nothing of texts in no learned language;
+``Familiarity`` tells those by the mean log share of their n-grams in the
+winner's sample, against what held-out sample rows of that length have.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter,
 or where nothing could be learned; rows with a null language are predicted but
@@ -40,6 +42,7 @@ FAMILIES = {
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACES = re.compile(r"\s+")
+_OTHER = re.compile(r"[\W\d_]+")
 
 
 def family_of(lang: str) -> str:
@@ -62,13 +65,46 @@ def features(texts: list[str]) -> np.ndarray:
     return out
 
 
+def letters_only(texts: list[str]) -> np.ndarray:
+    """``features`` of the words alone: marks, digits and symbols tell nothing of whether a language is a learned one."""
+    return features([_OTHER.sub(" ", t) for t in texts])
+
+
+class Familiarity:
+    """Whether a text's n-grams are as usual in a language as those of its learned rows, each judged without itself."""
+
+    #: Deviations that any learned row may have; grams that overlap count as one; weight of a bucket not seen.
+    DEVIATIONS, OVERLAP, UNSEEN = 4.0, 8.0, 1e-5
+
+    def __init__(self, x: np.ndarray):
+        shares = (x * x).astype("float64")  # of the grams, as rows are roots of shares
+        total, n = shares.sum(axis=0), len(x)
+        self.log_share = np.log((total + self.UNSEEN * n) / (n * (1 + BUCKETS * self.UNSEEN)))
+        m = n - 1
+        own = np.array([v @ np.log((total - v).clip(0) + self.UNSEEN * max(m, 1)) - np.log(max(m, 1) * (min(m, 1) + BUCKETS * self.UNSEEN)) for v in shares])
+        self.mean, self.spread = np.median(own), 1.4826 * np.median(np.abs(own - np.median(own)))
+        usual = total / n
+        self.of_gram = max(usual @ self.log_share**2 - (usual @ self.log_share) ** 2, 0.0)
+        self.limit = max(self.DEVIATIONS, np.quantile(self.deviations(shares, own), 0.995))
+
+    def deviations(self, shares: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """How far below the mean, in standard deviations of texts of that length."""
+        grams = 1 / np.where(shares > 0, shares, 1).min(axis=1)  # some gram of a text occurs once
+        return (self.mean - value) / np.sqrt(self.spread**2 + self.OVERLAP * self.of_gram / grams + 1e-9)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        shares = (x * x).astype("float64")
+        return self.deviations(shares, shares @ self.log_share) <= self.limit
+
+
 class HierarchicalModel:
     """Families told apart by one vote of SVMs, the languages of each family by another."""
 
-    def __init__(self, x: np.ndarray, langs: np.ndarray):
+    def __init__(self, x: np.ndarray, langs: np.ndarray, words: np.ndarray):
         families = np.array([family_of(v) for v in langs])
         self.top = OneVersusOne(x, families)
         self.within = {f: OneVersusOne(x[families == f], langs[families == f]) for f in self.top.classes}
+        self.familiar = {v: Familiarity(words[langs == v]) for v in set(langs)}
         members = [self.top, *(self.within[f] for f in self.top.classes)]
         weights = np.vstack([m.weights for m in members])
         self.weights, self.bias = np.ascontiguousarray(weights[:, :-1].T), weights[:, -1]
@@ -86,6 +122,15 @@ class HierarchicalModel:
         return langs, score
 
 
+    def is_familiar(self, words: np.ndarray, langs: np.ndarray) -> np.ndarray:
+        """Whether each text, given by ``letters_only``, reads as its predicted language."""
+        out = np.zeros(len(words), bool)
+        for lang in set(langs):
+            at = np.flatnonzero(langs == lang)
+            out[at] = self.familiar[lang](words[at])
+        return out
+
+
 def training_sample(docs: DataFrame, may_learn: Column, per_language: int = SAMPLE) -> DataFrame:
     """At most ``per_language`` distinct labelled rows of each language."""
     rows = docs.filter(may_learn & F.col("text").isNotNull()).select("doc_id", "lang", "text")
@@ -99,35 +144,40 @@ def fit(docs: DataFrame, may_learn: Column, per_language: int = SAMPLE) -> Hiera
         for batch in batches:
             batch = batch[[bool(_LETTER.search(t)) for t in batch["text"]]]
             if len(batch):
-                yield pd.DataFrame({"lang": batch["lang"], "x": [v.astype("float16").tobytes() for v in features(list(batch["text"]))]})
+                packed = [[v.astype("float16").tobytes() for v in make_x(list(batch["text"]))] for make_x in (features, letters_only)]
+                yield pd.DataFrame({"lang": batch["lang"], "x": packed[0], "words": packed[1]})
 
-    sample = training_sample(docs, may_learn, per_language).mapInPandas(make, "lang string, x binary").toPandas()
+    sample = training_sample(docs, may_learn, per_language).mapInPandas(make, "lang string, x binary, words binary").toPandas()
     if not len(sample):
         return None
     sample = sample.sort_values(["lang", "x"])
-    x = np.frombuffer(b"".join(sample["x"]), "float16").reshape(len(sample), BUCKETS).astype("float32")
-    return HierarchicalModel(x, sample["lang"].to_numpy(object))
+    x, words = (np.frombuffer(b"".join(sample[c]), "float16").reshape(len(sample), BUCKETS).astype("float32") for c in ("x", "words"))
+    return HierarchicalModel(x, sample["lang"].to_numpy(object), words)
 
 
-def with_prediction(docs: DataFrame, model: HierarchicalModel | None, name: str) -> DataFrame:
-    """Add the struct ``name`` of lang_pred and score; the text alone decides."""
+def with_prediction(docs: DataFrame, model: HierarchicalModel | None, name: str, judged: bool = False) -> DataFrame:
+    """Add the struct ``name`` of lang_pred, score and, if ``judged``, whether it is familiar; the text alone decides."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             langs, scores = np.full(len(batch), "und", object), np.zeros(len(batch))
+            familiar = np.zeros(len(batch), bool)
             at = np.array([i for i, t in enumerate(batch) if t is not None and _LETTER.search(t)], int)
             for part in np.array_split(at, len(at) // 512 + 1) if shared.value is not None and len(at) else []:
-                langs[part], scores[part] = shared.value.predict(features([batch.iloc[i] for i in part]))
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+                whole = [batch.iloc[i] for i in part]
+                langs[part], scores[part] = shared.value.predict(features(whole))
+                if judged:
+                    familiar[part] = shared.value.is_familiar(letters_only(whole), langs[part])
+            yield pd.DataFrame({"lang_pred": langs, "score": scores, "familiar": familiar})
 
-    return docs.withColumn(name, F.pandas_udf(score, "lang_pred string, score double")(F.col("text")))
+    return docs.withColumn(name, F.pandas_udf(score, "lang_pred string, score double, familiar boolean")(F.col("text")))
 
 
 def accepted(docs: DataFrame, model: HierarchicalModel | None, languages: list[str] | None = None, at_least: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` whose language is known (and among ``languages``) with a score of ``at_least``; same columns."""
-    found = with_prediction(docs, model, "_found")
-    good = (F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= at_least)
+    """Rows of ``docs`` that read as a learned language (among ``languages``) with a score of ``at_least``; same columns."""
+    found = with_prediction(docs, model, "_found", judged=True)
+    good = (F.col("_found.lang_pred") != "und") & F.col("_found.familiar") & (F.col("_found.score") >= at_least)
     if languages is not None:
         good = good & F.col("_found.lang_pred").isin(languages)
     return found.filter(good).select(*[f"`{c}`" for c in docs.columns])

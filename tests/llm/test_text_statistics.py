@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortkit.llm import language_id, license_scan, quality_divergence, toxicity
 from cohortkit.llm.common import stage
@@ -87,6 +88,22 @@ def test_language_edges(docs, no_docs, null_docs):
     assert {r.lang_pred for r in language_id.identify(null_docs).collect()} == {"und"}
 
 
+def test_texts_in_unlearned_languages_go_and_short_clean_ones_stay(spark):
+    stocks = [("en", EN), ("fr", FR), ("de", DE)]
+    rows = [(k, prose(k, 12 + k % 30, s), lang) for k, (lang, s) in enumerate(stocks * 40)]
+    model = language_id.fit(make(spark, rows), F.lit(True))
+    clean = [(1000 + k, prose(1000 + k, 4 + k % 9, s), lang) for k, (lang, s) in enumerate(stocks * 20)]
+    foreign = [
+        "Дом стоит на берегу реки, и утром в саду тихо и светло",
+        "Το σπίτι είναι κοντά στο ποτάμι και το πρωί είναι ήσυχο",
+        "今日は天気がいいので川のそばを散歩しました",
+        "Talo on joen rannalla ja aamulla puutarhassa hyvin hiljaista ikkunoiden takana",
+        "xq zvkj qqwx pfgh jjzk vbnm kxzq wvvx qjkz hgfk zzxq bvkq",
+    ]
+    kept = {r.doc_id for r in language_id.accepted(make(spark, [*rows, *clean, *((2000 + k, t, None) for k, t in enumerate(foreign))]), model).collect()}
+    assert kept == {i for i, _, _ in [*rows, *clean]}
+
+
 def test_one_language_only_is_predicted(spark):
     found = language_id.identify(make(spark, [(k, prose(k, 20, EN), "en") for k in range(8)])).collect()
     assert {r.lang_pred for r in found} == {"en"}
