@@ -47,3 +47,31 @@ def words_of(text: Column, pattern: str) -> Column:
 
 def literal_array(values: Sequence, kind: str) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
+
+
+#: Bytes of a table that may be broadcast, and parts that a key is split into where it may not.
+BROADCAST, SALTS = 32_000_000, 64
+
+
+def join_small(rows: DataFrame, totals: DataFrame, keys: Sequence[str], spread: Column) -> DataFrame:
+    """``rows`` with the columns of ``totals``, one row of which has each of ``keys`` (null is a key like any other).
+
+    ``totals`` is broadcast if its measured size allows it. Otherwise its rows
+    are repeated ``SALTS`` times and a key's rows are dealt over them by
+    ``spread``, so a key with a third of all rows is not one task.
+    """
+    totals = stage(totals, "totals")
+    values = [c for c in totals.columns if c not in keys]
+    length = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in totals.columns), F.lit(16 * len(totals.columns)))
+    small = (totals.agg(F.sum(length)).first()[0] or 0) <= BROADCAST
+    right = totals.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    if small:
+        joined = rows.join(F.broadcast(right), same)
+    else:
+        left = rows.withColumn("_salt", F.pmod(spread, F.lit(SALTS)))
+        right = right.withColumn("_right_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = left.join(right, same & (F.col("_salt") == F.col("_right_salt")))
+    return joined.select(*rows.columns, *values)

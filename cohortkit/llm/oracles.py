@@ -125,3 +125,67 @@ SELECT doc_id, len(w) AS n_words, coalesce(c.n, 0) AS n_base, lo AS first_word,
        CASE WHEN c.n > 0 THEN 1.0::DOUBLE ELSE coalesce(containment, 0.0) END AS score
 FROM texts LEFT JOIN counted c USING (doc_id) LEFT JOIN named n USING (doc_id) LEFT JOIN every e USING (doc_id) LEFT JOIN best USING (doc_id)
 """
+
+_ROUNDS = 4
+
+
+def _assigned(book: str) -> str:
+    """Each part with its nearest entry of ``book``: least distance, then least index."""
+    return f"""
+  SELECT k, p, min_by(e, (d, e)) AS e, min(d) AS d FROM (
+    SELECT a.k, a.p, b.e, list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts a JOIN {book} b USING (p)
+  ) GROUP BY k, p"""
+
+
+def _round(n: int) -> str:
+    return f"""
+a{n} AS MATERIALIZED ({_assigned(f"b{n}")}),
+m{n} AS (
+  SELECT p, e, list(m ORDER BY i) AS x FROM (
+    SELECT p, e, i, floor(s / c)::BIGINT - CASE WHEN floor(s / c)::BIGINT * c > s THEN 1 ELSE 0 END AS m FROM (
+      SELECT p, e, i, sum(v)::BIGINT AS s, count(*)::BIGINT AS c FROM (SELECT a.p, a.e, unnest(range(1, len(t.x) + 1)) AS i, unnest(t.x) AS v FROM a{n} a JOIN parts t USING (k, p)) GROUP BY p, e, i
+    )
+  ) GROUP BY p, e
+),
+b{n + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{n} b LEFT JOIN m{n} m USING (p, e)),"""
+
+
+VECTOR_CODES = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS k, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+parts AS MATERIALIZED (SELECT k, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS x FROM kept, (SELECT unnest(range(4)) AS p)),
+b0 AS (SELECT p, k - 1 AS e, x FROM parts WHERE k <= 256),
+{"".join(_round(n) for n in range(_ROUNDS))}
+final AS MATERIALIZED ({_assigned(f"b{_ROUNDS}")}),
+coded AS (SELECT k, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM final GROUP BY k)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM b{_ROUNDS}) AS codebooks_sha256
+FROM kept JOIN coded USING (k)
+"""
+
+_SHARE = "1 + (1000000000::HUGEINT * ({n} + 5)) // ({total} + 5 * v)"
+SOURCE_AUDIT = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT k, lang, source, {_LOWER.format("w")} AS term FROM (SELECT k, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM d)),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM w GROUP BY lang, term HAVING count(DISTINCT k) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+counts AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_SHARE.format(n="coalesce(c.n, 0)", total="coalesce(t.total, 0)")} AS p, {_SHARE.format(n="k.lang_n", total="l.lang_total")} AS q
+  FROM groups g JOIN kept k ON k.lang = g.lang JOIN langs l ON l.lang = g.lang
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source
+),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source AS s1, b.source AS s2, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL) x
+  ON x.lang = a.lang AND x.s1 = a.source AND x.s2 = b.source
+),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+) WHERE part = 'pair' OR rank <= 50
+"""

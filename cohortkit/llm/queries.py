@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortkit.llm import decontaminate, language_id, license_scan, near_dup, oracles, packing, quality_divergence, secret_scan, slot_shards, suffix_dedup, toxicity
+from cohortkit.llm import (
+    decontaminate,
+    language_id,
+    license_scan,
+    near_dup,
+    oracles,
+    packing,
+    piece_codec,
+    prefix_audit,
+    quality_divergence,
+    secret_scan,
+    slot_shards,
+    suffix_dedup,
+    toxicity,
+    vector_codes,
+)
 from cohortkit.llm.common import table
 
 
@@ -61,6 +76,23 @@ def op10_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_codec.encode_decode(table(spark, sf_dir, "documents"))
+    n_tokens = (F.octet_length("ids") / 4).cast("long")
+    return coded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_hadamard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    coded = vector_codes.with_label_error(coded)
+    return coded.select(F.col("id").alias("vec_id"), code.alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_prefix_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_audit.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_divergence_quality": op1_divergence_quality,
     "op2_virtual_slots": op2_virtual_slots,
@@ -72,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bayesian_near_dup": op8_bayesian_near_dup,
     "op9_hierarchical_language": op9_hierarchical_language,
     "op10_license_templates": op10_license_templates,
+    "op11_piece_table": op11_piece_table,
+    "op12_hadamard_codes": op12_hadamard_codes,
+    "op13_prefix_audit": op13_prefix_audit,
 }
 
 SQL: dict[str, str] = {
@@ -80,4 +115,6 @@ SQL: dict[str, str] = {
     "op7_minhash_containment": oracles.CONTAINED,
     "op8_bayesian_near_dup": oracles.NEAR_DUPLICATES,
     "op10_license_templates": oracles.LICENSES,
+    "op12_hadamard_codes": oracles.VECTOR_CODES,
+    "op13_prefix_audit": oracles.SOURCE_AUDIT,
 }
