@@ -1,19 +1,14 @@
-"""SentencePiece ids and decoded texts through a table of distinct marked words.
+"""SentencePiece ids and decoded texts through tables of distinct marked words.
 
 The library marks each space with U+2581 and puts one mark before the text.
 Where no piece of the model holds a mark behind another character, no merge
 crosses from a word into the next mark, so a text's ids are those of its marked
-words (``_+[^_]*``, with _ for the mark) in turn. So
-
-1. texts are cut into marked words, block by block (up to ``BLOCK`` characters
-   of text, or one longer text): a block holds its distinct words once, and
-   each text as the words' places in that list;
-2. the blocks' words become one table of distinct words, spread by word, and
-   the library segments and decodes each of them once;
-3. the table is joined back to the blocks by word, and each block puts ids and
-   texts together by position.
-
-A word that every block holds is one row a block; texts travel as positions.
+words (``_+[^_]*``, with _ for the mark) in turn. A task takes its texts in
+blocks (up to ``BLOCK`` characters, or one longer text). A block's distinct
+words form a table, and each text is the places of its words in it; the library
+segments and decodes each word of the table once, and the results are joined
+back by position. Nothing is shuffled, as a table over all blocks costs more
+than it saves: most words that a block adds to it stand in no other (README).
 
 Defined results: a null or empty text has begin and end id only and decodes to
 the empty text; ids of any type, null or repeated, stay as they are (a row for
@@ -29,16 +24,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cohortkit.llm.common import stage
-
 #: Characters of text in a block, and bytes of results handed over at once.
-BLOCK, HAND_OVER = 8_000_000, 16_000_000
+BLOCK, HAND_OVER = 16_000_000, 16_000_000
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -61,7 +53,9 @@ def check_model(path: str) -> None:
     model = _library(path)
     if any(re.search(f"[^{MARK}]{MARK}", model.id_to_piece(i)) for i in range(model.get_piece_size())):
         raise ValueError("a piece of the model crosses a space mark")
-    if model.normalize(" ½Ａ  é\t") != f"{MARK * 2}½Ａ{MARK * 2}é\t":
+    if model.piece_to_id(MARK) == model.unk_id():
+        raise ValueError("the model has no piece for a mark alone")
+    if model.normalize(" ½Ａ  é\t") != f"{MARK * 2}½Ａ{MARK * 2}é\t":
         raise ValueError("the model normalises texts or does not mark their start")
 
 
@@ -69,87 +63,65 @@ def marked_words(text: str | None) -> list[str]:
     return _WORDS.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-def _cut(batches: Iterator[pa.RecordBatch], schema: pa.Schema, block: int) -> Iterator[pa.RecordBatch]:
-    """Rows (block, doc_ids, ends, places, words): a block's texts as places in its list of words."""
-    number = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        first = 0
-        while first < len(texts):
-            known: dict[str, int] = {}
-            places, ends, size, i = [], [], 0, first
-            while i < len(texts) and (i == first or size < block):
-                text = texts[i].as_py()
-                size += len(text or "")
-                places += [known.setdefault(w, len(known)) for w in marked_words(text)]
-                ends.append(len(places))
-                i += 1
-            row = [
-                pa.array([number], pa.int64()),
-                _listed(ids.slice(first, i - first)),
-                _listed(pa.array(ends, pa.int64())),
-                pa.array([np.array(places, "<u4").tobytes()], pa.binary()),
-                _listed(pa.array(list(known), pa.string())),
-            ]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(row, schema, strict=True)], schema=schema)
-            number, first = number + 1, i
-
-
-def _listed(values: pa.Array) -> pa.Array:
-    """One list of all values."""
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-
-
-def blocks_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """Blocks of texts; written once, so block numbers stay as they are when a task is run again."""
-    kind = docs.schema[id_col].dataType
-    schema = T.StructType().add("block", "long").add("doc_ids", T.ArrayType(kind)).add("ends", T.ArrayType(T.LongType()))
-    schema = schema.add("places", "binary").add("words", T.ArrayType(T.StringType()))
-    arrow = to_arrow_schema(schema)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return stage(rows.mapInArrow(lambda batches: _cut(batches, arrow, block), schema), "blocks")
-
-
 def segment(library, words: list[str]) -> list[list[int]]:
     """Ids of marked words; the library itself puts the first mark, but not before an empty text."""
     alone = [library.piece_to_id(MARK)]
     return [alone if w == MARK else ids for w, ids in zip(words, library.encode([w[1:] for w in words], num_threads=1), strict=True)]
 
 
-def segmented(words: DataFrame, model: str) -> DataFrame:
-    """(word, ids, decoded) of each distinct ``word``: little-endian unsigned 32-bit ids and the text decoded from them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = _library(model)
-        for batch in batches:
-            ids = segment(library, batch.column(0).to_pylist())
-            out = [batch.column(0), pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary()), pa.array(library.decode(ids, num_threads=1), pa.string())]
-            yield pa.RecordBatch.from_arrays(out, names=["word", "ids", "decoded"])
-
-    return words.select("word").distinct().mapInArrow(run, "word string, ids binary, decoded string")
-
-
-def _put_together(texts: pa.Table, words: pa.Table, schema: pa.Schema, begin: bytes, end: bytes, hand_over: int) -> pa.Table:
-    """Results of one block: ids and decoded texts of its words, taken by position."""
-    order = np.argsort(words.column("at").to_numpy())
-    ids, decoded = words.column("ids").to_pylist(), words.column("decoded").to_pylist()
-    ids, decoded = [ids[k] for k in order], [decoded[k] for k in order]
-    out = []
-    for row in range(texts.num_rows):  # one row
-        places = np.frombuffer(texts.column("places")[row].as_py(), "<u4").tolist()
-        ends = texts.column("ends")[row].values.to_numpy()
-        got_ids, got_texts, size, first, done = [], [], 0, 0, 0
-        doc_ids = texts.column("doc_ids")[row].values
-        for k, last in enumerate(ends):
-            mine = places[first:last]
-            got_ids.append(b"".join([begin, *[ids[p] for p in mine], end]))
+class WordTable:
+    """The distinct marked words of a block, and its texts as places in them."""
+
+    def __init__(self):
+        self.places: dict[str, int] = {}
+        self.doc_ids: list[pa.Scalar] = []
+        self.texts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, doc_id: pa.Scalar, text: str | None) -> None:
+        known = self.places
+        self.texts.append(np.array([known.setdefault(w, len(known)) for w in marked_words(text)], "u4"))
+        self.doc_ids.append(doc_id)
+        self.size += len(text or "")
+
+    def results(self, library) -> Iterator[tuple[pa.Scalar, bytes, str]]:
+        """(id, ids as little-endian unsigned 32-bit numbers, decoded text) of each text."""
+        segmented = segment(library, list(self.places))
+        decoded = library.decode(segmented, num_threads=1) if segmented else []
+        ids = [np.array(x, "<u4").tobytes() for x in segmented]
+        begin, end = (np.array([i], "<u4").tobytes() for i in (library.bos_id(), library.eos_id()))
+        for doc_id, text in zip(self.doc_ids, self.texts, strict=True):
+            mine = text.tolist()
             # the library leaves out the first mark of a text only
-            got_texts.append(" ".join([decoded[p] for p in mine]))
-            first, size = last, size + len(got_ids[-1]) + len(got_texts[-1])
-            if size > hand_over or k == len(ends) - 1:
-                out.append(pa.Table.from_arrays([doc_ids.slice(done, len(got_ids)), pa.array(got_ids, pa.binary()), pa.array(got_texts, pa.string())], schema=schema))
-                done, got_ids, got_texts, size = done + len(got_ids), [], [], 0
-    return pa.concat_tables(out) if out else schema.empty_table()
+            yield doc_id, b"".join([begin, *[ids[p] for p in mine], end]), " ".join([decoded[p] for p in mine])
+
+
+def _run(batches: Iterator[pa.RecordBatch], model: str, schema: pa.Schema, block: int, hand_over: int) -> Iterator[pa.RecordBatch]:
+    library = _library(model)
+
+    def finished(table: WordTable) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for row in table.results(library):
+            rows.append(row)
+            size += len(row[1]) + len(row[2])
+            if size > hand_over:
+                yield _batch(rows, schema)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows, schema)
+
+    table = WordTable()
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            table.add(doc_id, text.as_py())
+            if table.size >= block:
+                yield from finished(table)
+                table = WordTable()
+    yield from finished(table)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def encode_decode(
@@ -158,13 +130,7 @@ def encode_decode(
     """doc_id, ids (little-endian unsigned 32-bit numbers, with begin and end id) and the text decoded from them."""
     model = model or default_model()
     check_model(model)
-    library = _library(model)
-    begin, end = (np.array([i], "<u4").tobytes() for i in (library.bos_id(), library.eos_id()))
-    blocks = blocks_of(docs, id_col, text_col, block)
-    uses = blocks.select(F.col("block").alias("of"), F.posexplode("words").alias("at", "word"))
-    table = stage(segmented(uses, model), "words")
-    found = uses.join(table.hint("shuffle_merge"), "word").select("of", "at", "ids", "decoded")
     schema = T.StructType().add("doc_id", docs.schema[id_col].dataType).add("ids", "binary").add("decoded", "string")
     arrow = to_arrow_schema(schema)
-    texts = blocks.select("block", "doc_ids", "ends", "places")
-    return texts.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(lambda a, b: _put_together(a, b, arrow, begin, end, hand_over), schema)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(lambda batches: _run(batches, model, arrow, block, hand_over), schema)

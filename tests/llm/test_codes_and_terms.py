@@ -36,14 +36,29 @@ def test_pieces_are_those_of_the_library(spark, docs, corpus):
 
 
 def test_small_blocks_give_the_same_pieces(spark, docs, corpus):
-    blocks = piece_codec.blocks_of(docs, block=500)
-    assert blocks.count() > 20 and blocks.select("block").distinct().count() == blocks.count()
-    table = piece_codec.segmented(blocks.select(F.explode("words").alias("word")), piece_codec.default_model())
-    assert table.count() == len({w for _, t, _ in corpus for w in piece_codec.marked_words(t)})
     rows = piece_codec.encode_decode(docs, block=500, hand_over=300).collect()
     assert Counter((r.doc_id, bytes(r.ids), r.decoded) for r in rows) == Counter((i, *library_answer(t)) for i, t, _ in corpus)
 
 
+def test_each_distinct_word_is_segmented_once(corpus):
+    class Counting:
+        def __init__(self, library):
+            self.library, self.seen = library, Counter()
+
+        def __getattr__(self, name):
+            return getattr(self.library, name)
+
+        def encode(self, words, **options):
+            self.seen.update(words)
+            return self.library.encode(words, **options)
+
+    library, table = Counting(piece_codec._library(piece_codec.default_model())), piece_codec.WordTable()
+    for i, t, _ in corpus:
+        table.add(i, t)
+    assert [(i, ids, text) for i, ids, text in table.results(library)] == [(i, *library_answer(t)) for i, t, _ in corpus]
+    assert set(library.seen.values()) == {1}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.characters(exclude_categories=["Cs"]) | st.sampled_from(" ▁\t\nab"), max_size=60))
 def test_marked_words_cut_any_text(text):
@@ -189,11 +204,13 @@ def test_prefixes_below_the_threshold_go_early(spark):
     rows = [(f"common rare{chr(97 + k // 26)}{chr(97 + k % 26)}tail", "en", "s") for k in range(100)]
     counts = prefix_audit.kept_term_counts(spark.createDataFrame(rows, "text string, lang string, source string"), least=100)
     assert [tuple(r) for r in counts.collect()] == [("en", "s", "common", 100)]
-    block = prefix_audit._block(0, "en", [prefix_audit.terms_of(t) for t, _, _ in rows], ["s"] * 100)
-    first = prefix_audit.with_keys(dict(block), 2)
-    assert (first["keys"], first["key_docs"]) == ([b"co", b"ra"], [100, 100])
-    deeper = prefix_audit.with_keys(prefix_audit.with_survivors(first, np.array([0, 1])), 8)
-    assert deeper["keys"][:2] == [b"common\0", b"rareaata"]
+    block = prefix_audit.term_block([prefix_audit.terms_of(t) for t, _, _ in rows], [0] * 100)
+    keys, held = block.keys(2)
+    assert (keys.to_pylist(), held.tolist()) == ([b"co", b"ra"], [100, 100])
+    block.keep(np.array([0, 1]), np.array([False, False]))
+    block = prefix_audit.TermBlock.unpacked(block.packed())
+    keys, held = block.keys(8)
+    assert keys.to_pylist()[:2] == [b"common\0", b"rareaata"] and held.tolist() == [100] + [1] * 100
 
 
 def test_audit_of_empty_and_null_tables(spark, no_docs, null_docs):
