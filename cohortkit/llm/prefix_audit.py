@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,14 +41,14 @@ from pyspark.sql.window import Window as W
 from cohortkit.llm.common import join_small, stage
 
 #: Characters of text in a block, bytes of the first prefixes.
-BLOCK, FIRST = 8_000_000, 2
+BLOCK, FIRST = 16_000_000, 4
 #: Terms of a block and sources of a tile in the comparison of sources, about.
 TERMS, SOURCES = 512, 256
 #: Ends the key of a complete term; no term holds it.
 _END = b"\0"
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 
-_BLOCKS = "block long, lang string, sources array<string>, doc_source binary, terms array<binary>, starts binary, docs binary, times binary, settled binary, keys array<binary>, key_docs array<long>, key_of binary"
+_BLOCKS = "block long, lang string, sources array<string>, held binary, keys array<binary>, key_docs array<long>"
 
 
 def terms_of(text: str) -> list[bytes]:
@@ -55,52 +56,78 @@ def terms_of(text: str) -> list[bytes]:
     return _TERM.findall(text.encode("utf-8", "surrogatepass").lower())
 
 
-def with_keys(row: dict, length: int) -> dict:
-    """Add the prefixes of ``length`` bytes of terms not settled, with the documents that hold each."""
-    terms, starts, docs = row["terms"], row["starts"], row["docs"]
-    open_terms = np.flatnonzero(~row["settled"])
-    keys = [t[:length] if len(t) > length else t + _END for t in (terms[i] for i in open_terms)]
-    # terms are in byte order, so equal keys are neighbours
-    fresh = np.array([k == 0 or keys[k] != keys[k - 1] for k in range(len(keys))], bool)
-    key_of = np.full(len(terms), -1, "i4")
-    key_of[open_terms] = np.cumsum(fresh) - 1
-    number = np.repeat(key_of, np.diff(starts))
-    held = np.unique((number.astype("i8") << 32 | docs)[number >= 0])
-    row["keys"] = [k for k, f in zip(keys, fresh, strict=True) if f]
-    row["key_docs"] = np.bincount(held >> 32, minlength=len(row["keys"])).tolist()
-    row["key_of"] = key_of
-    return row
-
-
-def with_survivors(row: dict, alive: np.ndarray) -> dict:
-    """Only the terms that are settled or whose key is in ``alive``; complete ones become settled."""
-    ends = np.array([k.endswith(_END) for k in row["keys"]] + [True], bool)
-    stays = row["settled"] | np.isin(row["key_of"], alive)
-    at = np.flatnonzero(stays)
-    sizes = np.diff(row["starts"])
-    of_posting = np.repeat(stays, sizes)
-    row["settled"] = row["settled"][at] | ends[row["key_of"][at]]
-    row["terms"] = [row["terms"][i] for i in at]
-    row["starts"] = np.concatenate([[0], np.cumsum(sizes[at])]).astype("i8")
-    row["docs"], row["times"] = row["docs"][of_posting], row["times"][of_posting]
-    return row
-
-
-def _packed(row: dict, schema: pa.Schema) -> pa.RecordBatch:
-    kinds = {"doc_source": "<u4", "starts": "<i8", "docs": "<u4", "times": "<u4", "settled": "?", "key_of": "<i4"}
-    values = {name: row[name].astype(kind).tobytes() for name, kind in kinds.items()}
-    return pa.RecordBatch.from_arrays([pa.array([values.get(f.name, row[f.name])], f.type) for f in schema], schema=schema)
-
-
-def _unpacked(table: pa.Table) -> dict:
-    row = table.slice(0, 1).to_pylist()[0]
-    for name, kind in {"doc_source": "<u4", "starts": "<i8", "docs": "<u4", "times": "<u4", "settled": "?", "key_of": "<i4"}.items():
-        row[name] = np.frombuffer(row[name], kind)
-    return row
-
-
-def _block(number: int, lang: str, texts: list[list[bytes]], sources: list[str]) -> dict:
-    """A block from the terms and sources of its documents."""
+class TermBlock:
+    """Texts of one language: distinct terms in byte order, the documents and numbers of each, the source of each document."""
+
+    _ARRAYS = {"doc_source": "u4", "sizes": "u4", "docs": "u4", "times": "u4", "settled": "u1", "key_of": "i4"}
+
+    def __init__(self, terms: pa.Array, **arrays: np.ndarray):
+        self.terms = terms
+        self.doc_source, self.sizes, self.docs, self.times = (arrays[k] for k in ("doc_source", "sizes", "docs", "times"))
+        self.settled, self.key_of = arrays["settled"].astype(bool), arrays["key_of"]
+
+    def keys(self, length: int) -> tuple[pa.Array, np.ndarray]:
+        """Prefixes of ``length`` bytes of the terms not settled, and the number of documents that hold each."""
+        at = np.flatnonzero(~self.settled)
+        terms = self.terms.take(pa.array(at))
+        longer = pc.greater(pc.binary_length(terms), length)
+        keys = pc.if_else(longer, pc.binary_slice(terms, 0, length), pc.binary_join_element_wise(terms, pa.scalar(_END, pa.binary()), pa.scalar(b"", pa.binary())))
+        # terms are in byte order, so equal keys are neighbours
+        fresh = np.ones(len(at), bool)
+        if len(at) > 1:
+            fresh[1:] = pc.not_equal(keys.slice(1), keys.slice(0, len(at) - 1)).to_numpy(zero_copy_only=False)
+        self.key_of = np.full(len(self.terms), -1, "i4")
+        self.key_of[at] = np.cumsum(fresh) - 1
+        number = np.repeat(self.key_of, self.sizes)
+        held = number.astype("i8") << 32 | self.docs
+        held = held[number >= 0]
+        # a term of its own has distinct documents
+        alone = np.bincount(self.key_of[at], minlength=1)[held >> 32] == 1 if len(held) else np.zeros(0, bool)
+        held = np.concatenate([held[alone], np.unique(held[~alone])])
+        return keys.filter(pa.array(fresh)), np.bincount(held >> 32, minlength=int(fresh.sum()))
+
+    def keep(self, alive: np.ndarray, complete: np.ndarray) -> None:
+        """Leave only the terms that are settled or whose key is in ``alive``; the complete ones become settled."""
+        stays = self.settled | np.isin(self.key_of, alive)
+        of_posting = np.repeat(stays, self.sizes)
+        self.settled = (self.settled | np.append(complete, True)[self.key_of])[stays]
+        self.terms = self.terms.filter(pa.array(stays))
+        self.sizes, self.key_of = self.sizes[stays], self.key_of[stays]
+        self.docs, self.times = self.docs[of_posting], self.times[of_posting]
+
+    def packed(self) -> bytes:
+        """All but the keys, as differences and byte planes, compressed."""
+        arrays = [np.diff(self.docs.astype("u4"), prepend=np.uint32(0)) if k == "docs" else getattr(self, k) for k in self._ARRAYS]
+        planes = [a.astype(kind).view("u1").reshape(len(a), np.dtype(kind).itemsize).T.tobytes() for a, kind in zip(arrays, self._ARRAYS.values(), strict=True)]
+        terms = _END.join(self.terms.to_pylist())
+        head = np.array([len(self.terms), len(terms), *(len(p) for p in planes)], "<i8").tobytes()
+        whole = b"".join([head, terms, *planes])
+        return np.array([len(whole)], "<i8").tobytes() + pa.compress(whole, "zstd", asbytes=True)
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> TermBlock:
+        whole = pa.decompress(blob[8:], int(np.frombuffer(blob[:8], "<i8")[0]), "zstd", asbytes=True)
+        at = 8 * (2 + len(cls._ARRAYS))
+        n, size, *sizes = np.frombuffer(whole[:at], "<i8").tolist()
+        terms = pa.array(whole[at : at + size].split(_END) if n else [], pa.binary())
+        at, arrays = at + size, {}
+        for (name, kind), size in zip(cls._ARRAYS.items(), sizes, strict=True):
+            width = np.dtype(kind).itemsize
+            arrays[name] = np.frombuffer(whole[at : at + size], "u1").reshape(width, size // width).T.copy().view(kind).ravel()
+            at += size
+        arrays["docs"] = np.cumsum(arrays["docs"], dtype="u4")
+        return cls(terms, **arrays)
+
+
+def _row(number: int, lang: str, sources: list[str], block: TermBlock, length: int, schema: pa.Schema) -> pa.RecordBatch:
+    keys, docs = block.keys(length)
+    listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    columns = [pa.array([number]), pa.array([lang], pa.string()), listed(pa.array(sources, pa.string())), pa.array([block.packed()], pa.binary()), listed(keys), listed(pa.array(docs, pa.int64()))]
+    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def term_block(texts: list[list[bytes]], doc_source: list[int]) -> TermBlock:
+    """A block from the terms and the source numbers of its documents."""
     known: dict[bytes, int] = {}
     places = np.array([known.setdefault(t, len(known)) for terms in texts for t in terms], "i8")
     terms = sorted(known)
@@ -108,29 +135,29 @@ def _block(number: int, lang: str, texts: list[list[bytes]], sources: list[str])
     rank[[known[t] for t in terms]] = np.arange(len(terms))
     doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     held, times = np.unique(rank[places] << 32 | doc, return_counts=True)
-    names = sorted(set(sources))
-    return {
-        "block": number, "lang": lang, "sources": names, "doc_source": np.array([names.index(s) for s in sources], "u4"), "terms": terms,
-        "starts": np.searchsorted(held >> 32, np.arange(len(terms) + 1)), "docs": held & 0xFFFFFFFF, "times": times, "settled": np.zeros(len(terms), bool),
-    }
+    return TermBlock(
+        pa.array(terms, pa.binary()), doc_source=np.array(doc_source, "u4"), sizes=np.bincount(held >> 32, minlength=len(terms)), docs=held & 0xFFFFFFFF, times=times,
+        settled=np.zeros(len(terms), bool), key_of=np.full(len(terms), -1, "i4"),
+    )
 
 
-def _cut(batches: Iterator[pa.RecordBatch], schema: pa.Schema, block: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], schema: pa.Schema, limit: int) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
-        open_blocks: dict[str, tuple[list, list]] = {}
+        open_blocks: dict[str, tuple[list, list, dict]] = {}
         sizes: dict[str, int] = {}
         for lang, source, text in zip(*(batch.column(k).to_pylist() for k in range(2)), batch.column(2), strict=True):
             text = text.as_py()
-            texts, sources = open_blocks.setdefault(lang, ([], []))
+            texts, doc_source, sources = open_blocks.setdefault(lang, ([], [], {}))
             texts.append(terms_of(text))
-            sources.append(source)
+            doc_source.append(sources.setdefault(source, len(sources)))
             sizes[lang] = sizes.get(lang, 0) + len(text)
-            if sizes[lang] >= block:
-                yield _packed(with_keys(_block(number, lang, *open_blocks.pop(lang)), FIRST), schema)
+            if sizes[lang] >= limit:
+                del open_blocks[lang]
+                yield _row(number, lang, list(sources), term_block(texts, doc_source), FIRST, schema)
                 number, sizes[lang] = number + 1, 0
-        for lang, (texts, sources) in open_blocks.items():
-            yield _packed(with_keys(_block(number, lang, texts, sources), FIRST), schema)
+        for lang, (texts, doc_source, sources) in open_blocks.items():
+            yield _row(number, lang, list(sources), term_block(texts, doc_source), FIRST, schema)
             number += 1
 
 
@@ -147,7 +174,7 @@ def kept_term_counts(docs: DataFrame, least: int = 30, block: int = BLOCK) -> Da
         counted = blocks.select("lang", F.explode(F.arrays_zip("keys", "key_docs")).alias("k")).groupBy("lang", F.col("k.keys").alias("key"))
         alive = stage(counted.agg(F.sum("k.key_docs").alias("n")).filter(F.col("n") >= least).select("lang", "key"), "alive-prefixes")
         uses = blocks.select(F.col("block").alias("of"), "lang", F.posexplode("keys").alias("at", "key"))
-        found = uses.join(alive.hint("shuffle_merge"), ["lang", "key"]).select("of", "at")
+        found = uses.join(alive, ["lang", "key"]).select("of", "at")
         pairs = blocks.groupBy("block").cogroup(found.groupBy("of"))
         if alive.filter(F.substring("key", -1, 1) != F.lit(_END)).isEmpty():
             counts = pairs.applyInArrow(_counts, "lang string, source string, term binary, n long")
@@ -157,29 +184,32 @@ def kept_term_counts(docs: DataFrame, least: int = 30, block: int = BLOCK) -> Da
         blocks = stage(pairs.applyInArrow(_refined(length, arrow), schema), "prefixes")
 
 
-def _survivors(blocks: pa.Table, found: pa.Table) -> dict:
-    return with_survivors(_unpacked(blocks), found.column("at").to_numpy())
+def _survivors(blocks: pa.Table, found: pa.Table) -> TermBlock:
+    """A block's terms without those whose prefix went."""
+    block = TermBlock.unpacked(blocks.column("held")[0].as_py())
+    ends = pc.binary_slice(blocks.column("keys")[0].values, -1)
+    block.keep(found.column("at").to_numpy(), pc.equal(ends, pa.scalar(_END, pa.binary())).to_numpy(zero_copy_only=False))
+    return block
 
 
 def _refined(length: int, schema: pa.Schema):
     def run(blocks: pa.Table, found: pa.Table) -> pa.Table:
-        row = _survivors(blocks, found)
-        return pa.Table.from_batches([_packed(with_keys(row, length), schema)] if row["terms"] else [], schema=schema)
+        block = _survivors(blocks, found)
+        number, lang, sources = (blocks.column(k)[0].as_py() for k in range(3))
+        return pa.Table.from_batches([_row(number, lang, sources, block, length, schema)] if len(block.terms) else [], schema=schema)
 
     return run
 
 
 def _counts(blocks: pa.Table, found: pa.Table) -> pa.Table:
     """Occurrences of a block's terms by source."""
-    row = _survivors(blocks, found)
-    many = max(len(row["sources"]), 1)
-    number = np.repeat(np.arange(len(row["terms"])), np.diff(row["starts"])) * many + row["doc_source"][row["docs"]]
+    block, lang, sources = _survivors(blocks, found), blocks.column("lang")[0].as_py(), blocks.column("sources")[0].as_py()
+    many = max(len(sources), 1)
+    number = np.repeat(np.arange(len(block.terms)), block.sizes) * many + block.doc_source[block.docs]
     cells, at = np.unique(number, return_inverse=True)
-    n = np.zeros(len(cells), "i8")
-    np.add.at(n, at, row["times"].astype("i8"))
-    columns = [[row["lang"]] * len(cells), [row["sources"][c % many] for c in cells], [row["terms"][c // many] for c in cells], n]
-    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64())])
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    n = np.bincount(at, weights=block.times, minlength=len(cells)).astype("i8")  # exact: a block's counts are small
+    columns = [pa.array([lang] * len(cells), pa.string()), pa.array(sources, pa.string()).take(pa.array(cells % many)), block.terms.take(pa.array(cells // many)), pa.array(n)]
+    return pa.Table.from_arrays(columns, names=["lang", "source", "term", "n"])
 
 
 def share(n: str, total: str, terms: str) -> Column:
@@ -251,7 +281,7 @@ def audit(docs: DataFrame, least: int = 30, ranks: int = 50, block: int = BLOCK)
     both = pairs.select("lang", F.col("a").alias("source"), F.col("b").alias("item"), "value").union(pairs.select("lang", "b", "a", "value"))
     place = W.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     both = both.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(place).alias("rank"))
-    beyond = held.join(by_term.hint("shuffle_merge"), ["lang", "term"]).withColumn("value", F.col("p") - share("lang_n", "lang_total", "terms"))
+    beyond = held.join(by_term, ["lang", "term"]).withColumn("value", F.col("p") - share("lang_n", "lang_total", "terms"))
     beyond = beyond.filter("value > 0").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
     beyond = beyond.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= ranks)
     return both.unionByName(beyond)
