@@ -17,6 +17,7 @@ empty text in the split; other columns are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,8 @@ FAMILIES = {
     "baltic": ("lt", "lv"),
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
-_LETTER = re.compile(r"[^\W\d_]")
+#: What may be a letter; numbers such as one half or a Roman numeral sign are told apart by their category.
+_MAY_BE_LETTER = re.compile(r"[^\W\d_]")
 _SPACES = re.compile(r"\s+")
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -49,6 +51,11 @@ def family_of(lang: str) -> str:
     return _FAMILY.get(lang, lang)
 
 
+def has_letter(text: str) -> bool:
+    """Whether the text holds a character of a Unicode category L."""
+    return any(unicodedata.category(m[0])[0] == "L" for m in _MAY_BE_LETTER.finditer(text))
+
+
 def features(texts: list[str]) -> np.ndarray:
     """One unit-length row of ``BUCKETS`` numbers per text."""
     out = np.zeros((len(texts), BUCKETS), "float32")
@@ -142,7 +149,7 @@ def fit(docs: DataFrame, may_learn: Column, per_language: int = SAMPLE) -> Hiera
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch[[bool(_LETTER.search(t)) for t in batch["text"]]]
+            batch = batch[[has_letter(t) for t in batch["text"]]]
             if len(batch):
                 packed = [[v.astype("float16").tobytes() for v in make_x(list(batch["text"]))] for make_x in (features, letters_only)]
                 yield pd.DataFrame({"lang": batch["lang"], "x": packed[0], "words": packed[1]})
@@ -163,7 +170,7 @@ def with_prediction(docs: DataFrame, model: HierarchicalModel | None, name: str,
         for batch in texts:
             langs, scores = np.full(len(batch), "und", object), np.zeros(len(batch))
             familiar = np.zeros(len(batch), bool)
-            at = np.array([i for i, t in enumerate(batch) if t is not None and _LETTER.search(t)], int)
+            at = np.array([i for i, t in enumerate(batch) if t is not None and has_letter(t)], int)
             for part in np.array_split(at, len(at) // 512 + 1) if shared.value is not None and len(at) else []:
                 whole = [batch.iloc[i] for i in part]
                 langs[part], scores[part] = shared.value.predict(features(whole))

@@ -4,8 +4,8 @@ Terms come from a seed list and from labelled rows (words and stems that a
 greedy cover of the toxic rows needs and that others rarely hold), each
 weighed by its share of toxic rows. A stem (``abc*``) takes any ending. The Levenshtein
 automata of all terms are run against their common trie at once: states are
-sets of (trie node, edits), made into one deterministic table that steps all
-words of a batch together. Words are runs of Unicode letters, marks and digits,
+sets of (trie node, edits), numbered when a word first reaches them, and all
+words of a batch step together. Words are runs of Unicode letters, marks and digits,
 folded and split alike in learning and matching; characters without a shape
 (soft hyphens, zero-width ones) are passed over, and an edit is one code point.
 Around each hit a window of words tells quotation
@@ -39,6 +39,8 @@ from cohortkit.llm.sampling import bounded_sample
 SAMPLE = 2000
 LEARNED_TERMS = 40
 WINDOW = 6
+#: States of the automaton kept from one batch of texts to the next.
+STATES = 100_000
 #: Seed terms of abuse.
 SEEDS = (
     "idiot moron stupid scum loser trash clown pathetic worthless disgusting imbecile bastard vermin parasite "
@@ -49,10 +51,23 @@ REPORTING = frozenset("said says called calls wrote writes quote quoted quotes r
 QUOTES = "\"“”„«»‘’"
 #: U+2019 between letters is an apostrophe.
 _APOSTROPHE = re.compile(r"(?<=[^\W\d_])’(?=[^\W\d_])")
-_CODES = range(sys.maxunicode + 1)
-_KINDS = [unicodedata.category(chr(c)) for c in _CODES]
-_INSIDE = np.array([k[0] in "LMN" for k in _KINDS])
-_UNSEEN = np.array([k == "Cf" for k in _KINDS])
+
+
+class _CodePoints:
+    """Kind and folded form of code points, looked up by pages of 256 when a text first holds one."""
+
+    def __init__(self):
+        n = sys.maxunicode + 1
+        self.inside, self.unseen, self.fold = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, "u4")
+        self._known = np.zeros(n >> 8, bool)
+
+    def learn(self, codes: np.ndarray) -> None:
+        for page in np.flatnonzero(np.bincount(codes >> 8, minlength=len(self._known)).astype(bool) & ~self._known):
+            for c in range(page << 8, (page + 1) << 8):
+                kind = unicodedata.category(chr(c))
+                self.inside[c], self.unseen[c] = kind[0] in "LMN", kind == "Cf"
+                self.fold[c] = ord(_folded(chr(c))) if self.inside[c] else c
+            self._known[page] = True
 
 
 def _folded(c: str) -> str:
@@ -60,7 +75,7 @@ def _folded(c: str) -> str:
     return f if len(f := c.casefold()) == 1 else c.lower()[0]
 
 
-_FOLD = np.array([ord(_folded(chr(c))) if _INSIDE[c] else c for c in _CODES], "u4")
+_POINTS = _CodePoints()
 FEATURES = 5
 
 
@@ -76,81 +91,97 @@ def allowed_edits(term: str) -> int:
 
 
 class FuzzyLexicon:
-    """Deterministic table of the terms' Levenshtein automata over their trie."""
+    """The terms' Levenshtein automata run over their trie; states and steps are made when a word first needs them."""
 
     def __init__(self, weights: dict[str, float]):
         self.terms = sorted(weights)
         self.weight = np.array([weights[t] for t in self.terms])
-        children: list[dict[int, int]] = [{}]
-        limit, ends, stems = [0], {}, {}
+        self.children: list[dict[int, int]] = [{}]
+        self.limit, self.ends, self.stems = [0], {}, {}
         for t, term in enumerate(self.terms):
             node, edits = 0, allowed_edits(term)
-            limit[0] = max(limit[0], edits)
+            self.limit[0] = max(self.limit[0], edits)
             for b in map(ord, term.rstrip("*")):
-                if b not in children[node]:
-                    children[node][b] = len(children)
-                    children.append({})
-                    limit.append(0)
-                node = children[node][b]
-                limit[node] = max(limit[node], edits)
-            (stems if term.endswith("*") else ends)[node] = t
-        symbols = sorted({b for c in children for b in c})
-        self.symbol = np.zeros(len(_CODES), "u2")
-        self.symbol[symbols] = np.arange(1, len(symbols) + 1)
-
-        def closed(found: dict[int, int]) -> frozenset:
-            """Add the nodes reached by leaving letters out."""
-            queue = list(found.items())
-            while queue:
-                node, e = queue.pop()
-                for child in children[node].values():
-                    if e < limit[child] and found.get(child, 99) > e + 1:
-                        found[child] = e + 1
-                        queue.append((child, e + 1))
-            return frozenset(found.items())
-
-        def step(state: frozenset, letter: int | None) -> frozenset:
-            found: dict[int, int] = {}
-            for node, e in state:
-                if node in stems and e <= allowed_edits(self.terms[stems[node]]):
-                    found[node] = min(e, found.get(node, 99))
-                if e < limit[node] and found.get(node, 99) > e + 1:
-                    found[node] = e + 1
-                for b, child in children[node].items():
-                    cost = e + (b != letter)
-                    if cost <= limit[child] and found.get(child, 99) > cost:
-                        found[child] = cost
-            return closed(found)
-
-        numbers: dict[frozenset, int] = {frozenset(): 0, closed({0: 0}): 1}
-        queue, rows = [closed({0: 0})], {0: [0] * (len(symbols) + 1)}
-        while queue:
-            state = queue.pop()
-            row = []
-            for letter in (None, *symbols):
-                to = step(state, letter)
-                if to not in numbers:
-                    numbers[to] = len(numbers)
-                    queue.append(to)
-                row.append(numbers[to])
-            rows[numbers[state]] = row
-        self.table = np.array([rows[i] for i in range(len(numbers))], "i4")
+                if b not in self.children[node]:
+                    self.children[node][b] = len(self.children)
+                    self.children.append({})
+                    self.limit.append(0)
+                node = self.children[node][b]
+                self.limit[node] = max(self.limit[node], edits)
+            (self.stems if term.endswith("*") else self.ends)[node] = t
+        self.letters = [None, *sorted({b for c in self.children for b in c})]
+        #: Number of each letter of the terms, 0 for all others; the last place stands for all beyond it.
+        self.symbol = np.zeros((self.letters[-1] or 0) + 2, "u2")
+        self.symbol[self.letters[1:]] = np.arange(1, len(self.letters))
+        self._forget()
+
+    def _forget(self) -> None:
+        """Only the dead state 0 and the first state 1."""
+        self.states: list[frozenset] = []
+        self.numbers: dict[frozenset, int] = {}
+        self.table = np.zeros((0, len(self.letters)), "i4")
         #: Edits and term of the nearest accepted term of each state; -1 if none.
-        self.edits, self.term = np.full(len(numbers), -1, "i1"), np.zeros(len(numbers), "i4")
-        for state, number in numbers.items():
-            hits = [(e, kind[n]) for kind in (ends, stems) for n, e in state if n in kind and e <= allowed_edits(self.terms[kind[n]])]
+        self.edits, self.term = np.zeros(0, "i1"), np.zeros(0, "i4")
+        self._number(frozenset())
+        self._number(self._closed({0: 0}))
+
+    def _number(self, state: frozenset) -> int:
+        """The state's number; new states get a row of steps not made yet."""
+        if state not in self.numbers:
+            n = self.numbers[state] = len(self.states)
+            self.states.append(state)
+            if n == len(self.table):
+                more = max(256, n)
+                self.table = np.vstack([self.table, np.full((more, len(self.letters)), -1, "i4")])
+                self.edits, self.term = np.append(self.edits, np.full(more, -1, "i1")), np.append(self.term, np.zeros(more, "i4"))
+            hits = [(e, kind[at]) for kind in (self.ends, self.stems) for at, e in state if at in kind and e <= allowed_edits(self.terms[kind[at]])]
             if hits:
-                self.edits[number], self.term[number] = max(hits, key=lambda x: (self.weight[x[1]] * (1.0, 0.8, 0.6)[x[0]], x))
-        #: States that no letter changes.
-        self.final = (self.table == np.arange(len(numbers))[:, None]).all(axis=1)
+                self.edits[n], self.term[n] = max(hits, key=lambda x: (self.weight[x[1]] * (1.0, 0.8, 0.6)[x[0]], x))
+        return self.numbers[state]
+
+    def _closed(self, found: dict[int, int]) -> frozenset:
+        """Add the nodes reached by leaving letters out."""
+        queue = list(found.items())
+        while queue:
+            node, e = queue.pop()
+            for child in self.children[node].values():
+                if e < self.limit[child] and found.get(child, 99) > e + 1:
+                    found[child] = e + 1
+                    queue.append((child, e + 1))
+        return frozenset(found.items())
+
+    def _step(self, state: frozenset, letter: int | None) -> frozenset:
+        found: dict[int, int] = {}
+        for node, e in state:
+            if node in self.stems and e <= allowed_edits(self.terms[self.stems[node]]):
+                found[node] = min(e, found.get(node, 99))
+            if e < self.limit[node] and found.get(node, 99) > e + 1:
+                found[node] = e + 1
+            for b, child in self.children[node].items():
+                cost = e + (b != letter)
+                if cost <= self.limit[child] and found.get(child, 99) > cost:
+                    found[child] = cost
+        return self._closed(found)
+
+    def _stepped(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        to = self.table[state, symbol]
+        if (to < 0).any():
+            for pair in np.unique(state[to < 0].astype("i8") * len(self.letters) + symbol[to < 0]):
+                s, k = divmod(int(pair), len(self.letters))
+                number = self._number(self._step(self.states[s], self.letters[k]))
+                self.table[s, k] = number
+            to = self.table[state, symbol]
+        return to
 
     def match(self, text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Final state of each word (0: no term near) of a text of folded code points."""
+        """Final state of each word (0: no term near) of a text of folded code points; numbers hold until the next call."""
+        if len(self.states) > STATES:
+            self._forget()
         state, at, k = np.ones(len(starts), "i4"), np.arange(len(starts)), 0
         while len(at):
-            state[at] = self.table[state[at], self.symbol[text[starts[at] + k]]]
+            state[at] = self._stepped(state[at], self.symbol[np.minimum(text[starts[at] + k], len(self.symbol) - 1)])
             k += 1
-            at = at[(lengths[at] > k) & ~self.final[state[at]]]
+            at = at[(lengths[at] > k) & (state[at] > 0)]
         return state
 
 
@@ -168,10 +199,11 @@ def split_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     parts = [t or "" for t in texts]
     raw = np.frombuffer("".join(p + "\n" for p in parts).encode("utf-32-le", "surrogatepass"), "<u4")
     ends = np.cumsum([len(p) + 1 for p in parts])
-    seen = ~_UNSEEN[raw]
+    _POINTS.learn(raw)
+    seen = ~_POINTS.unseen[raw]
     if not seen.all():
         raw, ends = raw[seen], np.cumsum(seen)[ends - 1]
-    edge = np.diff(_INSIDE[raw].astype("i1"), prepend=0)
+    edge = np.diff(_POINTS.inside[raw].astype("i1"), prepend=0)
     starts = np.flatnonzero(edge == 1)
     return raw, ends, starts, np.flatnonzero(edge == -1) - starts
 
@@ -183,7 +215,7 @@ def _text(codes: np.ndarray) -> str:
 def words_to_learn(text: str | None) -> list[str]:
     """Distinct folded words of three or more characters that hold a letter, split as the matcher does."""
     raw, _, starts, lengths = split_words([text])
-    folded = _text(_FOLD[raw])
+    folded = _text(_POINTS.fold[raw])
     words = dict.fromkeys(folded[a : a + n] for a, n in zip(starts, lengths, strict=True) if n >= 3)
     return [w for w in words if any(c.isalpha() for c in w)]
 
@@ -193,7 +225,7 @@ def hit_features(texts: list[str | None], lexicon: FuzzyLexicon) -> np.ndarray:
     out = np.zeros((len(texts), FEATURES))
     raw, ends, starts, lengths = split_words(texts)
     begins = np.concatenate([[0], ends[:-1]])
-    state = lexicon.match(_FOLD[raw], starts, lengths)
+    state = lexicon.match(_POINTS.fold[raw], starts, lengths)
     document = np.searchsorted(ends, starts, "right")
     words = np.bincount(document, minlength=len(texts))
     edits = lexicon.edits[state]
