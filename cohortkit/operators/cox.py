@@ -1,14 +1,10 @@
 """Cox proportional hazards (Efron ties, L2 penalty), covariate screening,
 the scaled-Schoenfeld PH test and risk scores.
 
-One Newton step = one pass over the rows (Arrow batches, per-task partial
-sums per time) and one Spark aggregation grouped by the distinct duration:
-for every time t the sums of w = exp(eta), w*z, w*z*z' over all units and
-over the units with the event, the event count and the event sums of z and
-eta. The table has one row per distinct time (durations are whole days, so
-it is small; its size is checked) and reaches the driver, which forms the
-risk-set sums by a reverse cumulative sum and applies the Efron correction.
-Nothing row-level leaves the executors.
+The likelihood, its gradient and Hessian come from ``risk_sets``: two passes
+over rows that are kept in time order, with no shuffle and no table of times
+on the driver, so durations may all be distinct. The driver solves one p x p
+system a step.
 
 Objective (the contract of the reference's model): covariates are scaled
 with their mean and sample SD, and ``LL - n * penalizer / 2 * ||beta||^2`` is
@@ -23,10 +19,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .risk_sets import Risk, TimeOrder
 from .survival import Z95, chi2_1df_pvalue
 
 
@@ -43,7 +39,8 @@ class CoxModel:
     n_events: int
     steps: int
     penalizer: float
-    per_time: dict = field(repr=False, default_factory=dict)
+    order: TimeOrder = field(repr=False)
+    risk: Risk = field(repr=False)
 
     @property
     def hazard_ratios(self) -> np.ndarray:
@@ -62,129 +59,13 @@ class CoxModel:
 SUMMARY_SCHEMA = "covariate string, coef double, hr double, se double, ci_lower double, ci_upper double, z double, p_value double"
 
 
-#: Tied events summed at once.
-TIE_BLOCK = 65_536
-
-
-def _pairs(p: int) -> list[tuple[int, int]]:
-    return [(j, k) for j in range(p) for k in range(j, p)]
-
-
-def _sum_names(p: int) -> list[str]:
-    names = ["n", "s0", "d0", "d", "eta"]
-    names += [f"s1_{j}" for j in range(p)] + [f"d1_{j}" for j in range(p)] + [f"x_{j}" for j in range(p)]
-    names += [f"s2_{j}_{k}" for j, k in _pairs(p)] + [f"d2_{j}_{k}" for j, k in _pairs(p)]
-    return names
-
-
-def _per_time(base: DataFrame, duration: str, event: str, zcols: Sequence[str], beta: np.ndarray, max_times: int) -> dict:
-    """Per distinct time: sums of 1, w, e*w, e, e*eta, w z, e w z, e z, w z z', e w z z'.
-
-    Rows go through Arrow batches once; each task emits partial sums per
-    time it saw (vectorised NumPy), and one JVM aggregation adds them up by
-    time. The aggregation plan has no literals, so it is compiled once and
-    reused by every Newton step.
-    """
-    p = len(zcols)
-    names = _sum_names(p)
-    pairs = _pairs(p)
-    b = np.asarray(beta, dtype=float).copy()
-    zc = list(zcols)
-
-    def partial(it):
-        acc: dict[float, np.ndarray] = {}
-        for pdf in it:
-            if pdf.empty:
-                continue
-            t = pdf["__t"].to_numpy(dtype=float)
-            e = pdf["__e"].to_numpy(dtype=float)
-            z = pdf[zc].to_numpy(dtype=float)
-            eta = z @ b
-            w = np.exp(eta)
-            ew = e * w
-            cols = [np.ones_like(w), w, ew, e, e * eta]
-            cols += [w * z[:, j] for j in range(p)] + [ew * z[:, j] for j in range(p)] + [e * z[:, j] for j in range(p)]
-            cols += [w * z[:, j] * z[:, k] for j, k in pairs] + [ew * z[:, j] * z[:, k] for j, k in pairs]
-            m = np.column_stack(cols)
-            order = np.argsort(t, kind="stable")
-            ts = t[order]
-            starts = np.concatenate([[0], np.nonzero(np.diff(ts))[0] + 1])
-            sums = np.add.reduceat(m[order], starts, axis=0)
-            for tv, row in zip(ts[starts], sums):
-                if tv in acc:
-                    acc[tv] += row
-                else:
-                    acc[tv] = row.copy()
-        if acc:
-            keys = sorted(acc)
-            out = pd.DataFrame(np.vstack([acc[k] for k in keys]), columns=names)
-            out.insert(0, "__t", np.asarray(keys, dtype=float))
-            yield out
-
-    schema = "__t double, " + ", ".join(f"{nm} double" for nm in names)
-    frame = base.select(F.col(duration).cast("double").alias("__t"), F.col(event).cast("double").alias("__e"), *[F.col(c) for c in zc])
-    per_t = frame.mapInPandas(partial, schema).groupBy("__t").agg(*[F.sum(nm).alias(nm) for nm in names])
-    rows = sorted(per_t.collect(), key=lambda r: -r["__t"])
-    if len(rows) > max_times:
-        raise ValueError(f"more than {max_times} distinct durations; not supported by the per-time Cox step")
-    m = len(rows)
-    out = {"t": np.array([r["__t"] for r in rows]), "n": np.array([r["n"] for r in rows], float)}
-    for name in ("s0", "d0", "d", "eta"):
-        out[name] = np.array([r[name] for r in rows], float)
-    out["s1"] = np.array([[r[f"s1_{j}"] for j in range(p)] for r in rows], float).reshape(m, p)
-    out["d1"] = np.array([[r[f"d1_{j}"] for j in range(p)] for r in rows], float).reshape(m, p)
-    out["x"] = np.array([[r[f"x_{j}"] for j in range(p)] for r in rows], float).reshape(m, p)
-    s2 = np.zeros((m, p, p))
-    d2 = np.zeros((m, p, p))
-    for j, k in pairs:
-        s2[:, j, k] = s2[:, k, j] = [r[f"s2_{j}_{k}"] for r in rows]
-        d2[:, j, k] = d2[:, k, j] = [r[f"d2_{j}_{k}"] for r in rows]
-    out["s2"], out["d2"] = s2, d2
-    return out
-
-
-def efron_terms(pt: dict) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """Log partial likelihood, gradient, Hessian and Efron weighted means
-    from a per-time table sorted by time descending."""
-    r0 = np.cumsum(pt["s0"])
-    r1 = np.cumsum(pt["s1"], axis=0)
-    r2 = np.cumsum(pt["s2"], axis=0)
-    p = r1.shape[1]
-    ll = 0.0
-    grad = np.zeros(p)
-    hess = np.zeros((p, p))
-    means = np.zeros_like(r1)
-    for i in np.nonzero(pt["d"] > 0)[0]:
-        d = int(round(pt["d"][i]))
-        # phi and its derivatives are linear in the tie index, so sums of scalars suffice
-        a0 = a1 = b0 = b1 = b2 = 0.0
-        for first in range(0, d, TIE_BLOCK):
-            frac = np.arange(first, min(first + TIE_BLOCK, d)) / d
-            phi = r0[i] - frac * pt["d0"][i]
-            ll -= np.log(phi).sum()
-            a0, a1 = a0 + (1 / phi).sum(), a1 + (frac / phi).sum()
-            b0, b1, b2 = b0 + (1 / phi**2).sum(), b1 + (frac / phi**2).sum(), b2 + (frac**2 / phi**2).sum()
-        ll += pt["eta"][i]
-        risk, dead = r1[i], pt["d1"][i]
-        ratio = risk * a0 - dead * a1
-        grad += pt["x"][i] - ratio
-        cross = np.outer(risk, dead)
-        hess -= r2[i] * a0 - pt["d2"][i] * a1 - (np.outer(risk, risk) * b0 - (cross + cross.T) * b1 + np.outer(dead, dead) * b2)
-        means[i] = ratio / d
-    return ll, grad, hess, means
-
-
-def prepare(df: DataFrame, duration: str, event: str, covariates: Sequence[str]) -> tuple[DataFrame, np.ndarray, np.ndarray, list[str]]:
-    """Complete rows, scaled covariates ``__z_j`` (mean / sample SD), checkpointed."""
+def prepare(df: DataFrame, duration: str, event: str, covariates: Sequence[str], rows_per_block: int = 50_000) -> tuple[TimeOrder, np.ndarray, np.ndarray]:
+    """Complete rows with scaled covariates (mean / sample SD) in time order."""
     from ..session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(df.sparkSession)
     cols = list(covariates)
-    base = df.select(F.col(duration), F.col(event), *[F.col(c).cast("double").alias(c) for c in cols])
-    cond = F.col(duration).isNotNull() & F.col(event).isNotNull()
-    for c in cols:
-        cond = cond & F.col(c).isNotNull()
-    base = base.where(cond)
+    base = df.select(F.col(duration), F.col(event), *[F.col(c).cast("double").alias(c) for c in cols]).dropna()
     aggs = []
     for c in cols:
         aggs += [F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}")]
@@ -193,50 +74,52 @@ def prepare(df: DataFrame, duration: str, event: str, covariates: Sequence[str])
     sds = np.array([row[f"s_{c}"] if row[f"s_{c}"] not in (None, 0.0) else 1.0 for c in cols], float)
     zcols = [f"__z_{j}" for j in range(len(cols))]
     scaled = base.select(F.col(duration), F.col(event), *[((F.col(c) - F.lit(float(means[j]))) / F.lit(float(sds[j]))).alias(zcols[j]) for j, c in enumerate(cols)])
-    return scaled.checkpoint(eager=True), means, sds, zcols
+    return TimeOrder(scaled, duration, event, zcols, rows_per_block), means, sds
 
 
-def cox_ph(df: DataFrame, duration: str, event: str, covariates: Sequence[str], penalizer: float = 0.1, tol: float = 1e-7, max_steps: int = 50, max_times: int = 100_000) -> CoxModel:
-    """Fit a Cox model with Efron ties; see the module doc for the objective."""
-    scaled, means, sds, zcols = prepare(df, duration, event, covariates)
-    p = len(zcols)
-    beta = np.zeros(p)
-    n = None
-    step = 0
-    pt = _per_time(scaled, duration, event, zcols, beta, max_times)
-    n = int(pt["n"].sum())
-    ll, g, h, _ = efron_terms(pt)
+def cox_ph(
+    df: DataFrame, duration: str, event: str, covariates: Sequence[str], penalizer: float = 0.1, tol: float = 1e-7, max_steps: int = 50, rows_per_block: int = 50_000
+) -> CoxModel:
+    """Fit a Cox model with Efron ties; see the module doc for the objective. Rows with a NULL are left out."""
+    order, means, sds = prepare(df, duration, event, covariates, rows_per_block)
+    p = len(sds)
 
-    def penalised(ll_, g_, h_, b_):
-        return ll_ - n * penalizer / 2.0 * float(b_ @ b_), g_ - n * penalizer * b_, h_ - n * penalizer * np.eye(p)
+    def penalised(b: np.ndarray):
+        ll, g, h, counts, at = order.terms(b)
+        n = counts[0]
+        return ll - n * penalizer / 2.0 * float(b @ b), g - n * penalizer * b, h - n * penalizer * np.eye(p), counts, at
 
-    pll, pg, ph = penalised(ll, g, h, beta)
+    beta = np.zeros(p)
+    pll, pg, ph, counts, at = penalised(beta)
+    step = 0
     while step < max_steps:
         step += 1
         delta = np.linalg.solve(-ph, pg)
         size = 1.0
         while True:
             cand = beta + size * delta
-            pt_c = _per_time(scaled, duration, event, zcols, cand, max_times)
-            ll_c, g_c, h_c, _ = efron_terms(pt_c)
-            pll_c, pg_c, ph_c = penalised(ll_c, g_c, h_c, cand)
-            if np.isfinite(pll_c) and pll_c >= pll - 1e-9 * max(1.0, abs(pll)):
+            found = penalised(cand)
+            if np.isfinite(found[0]) and found[0] >= pll - 1e-9 * max(1.0, abs(pll)):
                 break
             size /= 2.0
             if size < 1e-6:
                 raise RuntimeError(f"Cox fit: no step raises the likelihood (step {step}, gradient norm {np.linalg.norm(pg):.3g})")
-        beta, pt, pll, pg, ph = cand, pt_c, pll_c, pg_c, ph_c
+        beta, (pll, pg, ph, counts, at) = cand, found
         if np.linalg.norm(size * delta) < tol:
             break
     else:
         raise RuntimeError(f"Cox fit: not converged after {max_steps} steps (gradient norm {np.linalg.norm(pg):.3g})")
-    _, _, _, emeans = efron_terms(pt)
-    cov_scaled = np.linalg.inv(-ph)
-    coef = beta / sds
-    variance = cov_scaled / np.outer(sds, sds)
-    se = np.sqrt(np.diag(variance))
-    pt["efron_means"] = emeans
-    return CoxModel(list(covariates), coef, se, variance, means, sds, float(pll), n, int(pt["d"].sum()), step, penalizer, pt)
+    variance = np.linalg.inv(-ph) / np.outer(sds, sds)
+    return CoxModel(list(covariates), beta / sds, np.sqrt(np.diag(variance)), variance, means, sds, float(pll), int(counts[0]), int(counts[1]), step, penalizer, order, at)
+
+
+def cox_at(df: DataFrame, duration: str, event: str, covariates: Sequence[str], coef: Sequence[float], rows_per_block: int = 50_000) -> tuple[CoxModel, np.ndarray]:
+    """The unpenalised model with given coefficients (of the covariates as they are), and its score: what one Newton step works on."""
+    order, means, sds = prepare(df, duration, event, covariates, rows_per_block)
+    coef = np.asarray(coef, float)
+    ll, grad, hess, counts, at = order.terms(coef * sds)
+    variance = np.linalg.inv(-hess) / np.outer(sds, sds)
+    return CoxModel(list(covariates), coef, np.sqrt(np.diag(variance)), variance, means, sds, float(ll), int(counts[0]), int(counts[1]), 0, 0.0, order, at), grad * sds
 
 
 def cox_summary(spark, model: CoxModel) -> DataFrame:
@@ -254,31 +137,43 @@ def predict_risk(model: CoxModel, out: str = "partial_hazard") -> Column:
 
 
 # --------------------------------------------------------------------------- C5
-def ph_test(model: CoxModel) -> list[tuple[str, float, float]]:
-    """Scaled-Schoenfeld test against the rank of time, one row per covariate:
-    ``(covariate, test_statistic, p_value)``.
+def schoenfeld_residuals(model: CoxModel, with_covariates: bool = False) -> DataFrame:
+    """Residuals of the events: duration, n (events with these values), time_rank, ``r_<c>`` and scaled ``s_<c>`` per covariate,
+    with the covariates themselves if wanted.
 
-    Residual of an event at t: x - (Efron-weighted mean of x at t); scaled by
-    n_events * covariance. Time transform: average rank of the duration among
-    all units, taken at the event rows. Every term depends on the event row
-    only through its time, so the per-time table of the final fit is enough.
+    Residual: x - (Efron-weighted mean of x at the event's time); scaled by
+    n_events * covariance. ``time_rank`` is the average rank of the duration
+    among all units. Events are joined to the times in Spark.
     """
-    pt = model.per_time
-    order = np.argsort(pt["t"])  # ascending time
-    t_n = pt["n"][order]
-    below = np.concatenate([[0.0], np.cumsum(t_n)[:-1]])
-    g_rank = below + (t_n + 1.0) / 2.0
-    d = pt["d"][order]
-    x_sum = pt["x"][order] * model.sds  # event sums, original units (centred)
-    m = pt["efron_means"][order] * model.sds
-    resid_sum = x_sum - d[:, None] * m  # per time: sum of residuals of its events
-    d_total = d.sum()
-    g_bar = (d * g_rank).sum() / d_total
-    a = ((g_rank - g_bar)[:, None] * resid_sum).sum(axis=0)
-    s = d_total * a @ model.variance
-    denom = d_total * np.diag(model.variance) * (d * (g_rank - g_bar) ** 2).sum()
-    stat = s**2 / denom
-    return [(c, float(stat[j]), chi2_1df_pvalue(float(stat[j]))) for j, c in enumerate(model.covariates)]
+    p = len(model.covariates)
+    times = model.order.event_times(model.risk, float(model.n))
+    events = model.order.rows.filter(F.col("__e") > 0).join(times, "__t")
+    raw = [(F.col(f"__z_{j}") - F.col(f"mean_{j}")) * F.lit(float(model.sds[j])) for j in range(p)]
+    own = [(F.col(f"__z_{j}") * F.lit(float(model.sds[j])) + F.lit(float(model.means[j]))).alias(c) for j, c in enumerate(model.covariates)]
+    out = events.select(F.col("__t").alias("duration"), F.col("__n").alias("n"), "time_rank", *(own if with_covariates else []), *[r.alias(f"r_{c}") for r, c in zip(raw, model.covariates, strict=True)])
+
+    def scaled(k: int) -> Column:
+        total: Column = F.lit(0.0)
+        for j, c in enumerate(model.covariates):
+            total = total + F.col(f"r_{c}") * F.lit(float(model.n_events * model.variance[j, k]))
+        return total
+
+    return out.select("*", *[scaled(k).alias(f"s_{c}") for k, c in enumerate(model.covariates)])
+
+
+def ph_test(model: CoxModel) -> list[tuple[str, float, float]]:
+    """Scaled-Schoenfeld test against the rank of time, one row per covariate:
+    ``(covariate, test_statistic, p_value)``: sums over ``schoenfeld_residuals``."""
+    rows = schoenfeld_residuals(model).withColumn("g", F.col("time_rank") - F.lit((model.n + 1) / 2.0))
+    sums = [F.sum("n").alias("d"), F.sum(F.col("n") * F.col("g")).alias("g"), F.sum(F.col("n") * F.col("g") * F.col("g")).alias("gg")]
+    for k, c in enumerate(model.covariates):
+        s = F.col("n") * F.col(f"s_{c}")
+        sums += [F.sum(s).alias(f"s{k}"), F.sum(s * F.col("g")).alias(f"gs{k}")]
+    r = rows.agg(*sums).first()
+    centre = r["g"] / r["d"]
+    spread = r["gg"] - r["d"] * centre**2
+    stats = [(r[f"gs{k}"] - centre * r[f"s{k}"]) ** 2 / (model.n_events * model.variance[k, k] * spread) for k in range(len(model.covariates))]
+    return [(c, float(x), chi2_1df_pvalue(float(x))) for c, x in zip(model.covariates, stats, strict=True)]
 
 
 PH_SCHEMA = "covariate string, test_statistic double, p_value double"

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.exprs import band
-from ..operators import balance, describe, interpret, matching, quality, survival
+from ..operators import balance, cox, describe, interpret, matching, quality, survival
 from ..sources import io
 from . import study
 from .oracle_sql import with_mart, with_mart_and
@@ -271,3 +271,75 @@ def q_long(spark, sf):
 )
 def q_waterfall(spark, sf):
     return interpret.explain_rows(_given_shaps(spark, sf), SHAPED, "id", base_value=0.25, show=["flag"])
+
+
+# ============================================================== Cox at fixed coefficients (C3, C5), nearly as many durations as rows
+COX_COEF = (0.2, -0.1)
+_ETA = f"({COX_COEF[0]} * a + {COX_COEF[1]} * b)"
+_SUMMED = {"s0": "w", "sa": "w * a", "sb": "w * b", "saa": "w * a * a", "sab": "w * a * b", "sbb": "w * b * b"}
+COX_CTES = f"""
+units AS (
+  SELECT o_totalprice AS t, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS e, (o_custkey % 10) / 10.0::DOUBLE AS a, CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0::DOUBLE ELSE 0 END AS b FROM orders
+),
+per_t AS (
+  SELECT t, count(*) AS n, sum(e) AS d, sum(e * a) AS xa, sum(e * b) AS xb, sum(e * {_ETA}) AS eta,
+         {", ".join(f"sum({x}) AS {c}, sum(e * {x}) AS d{c}" for c, x in _SUMMED.items())}
+  FROM (SELECT *, exp({_ETA}) AS w FROM units) GROUP BY t
+),
+risk AS (
+  SELECT *, sum(n) OVER (ORDER BY t) - n + (n + 1) / 2.0 AS time_rank, {", ".join(f"sum({c}) OVER (ORDER BY t DESC) AS r{c}" for c in _SUMMED)} FROM per_t
+),
+phi AS (SELECT t, f, {", ".join(f"r{c} - f * d{c} AS {c}" for c in _SUMMED)} FROM (SELECT *, unnest(range(d::BIGINT)) / d AS f FROM risk WHERE d > 0)),
+info AS (
+  SELECT (SELECT sum(eta) FROM per_t) - sum(ln(s0)) AS loglik, (SELECT sum(xa) FROM per_t) - sum(sa / s0) AS score_a, (SELECT sum(xb) FROM per_t) - sum(sb / s0) AS score_b,
+         sum(saa / s0 - sa * sa / (s0 * s0)) AS iaa, sum(sab / s0 - sa * sb / (s0 * s0)) AS iab, sum(sbb / s0 - sb * sb / (s0 * s0)) AS ibb, (SELECT sum(n) FROM per_t) AS n, (SELECT sum(d) FROM per_t) AS d
+  FROM phi
+)"""
+
+
+def _cox_at(spark, sf):
+    units = study.load(spark, sf, "orders").select(
+        F.col("o_totalprice").alias("t"), (F.col("o_orderstatus") == "F").cast("int").alias("e"),
+        (F.col("o_custkey") % 10 / F.lit(10.0)).alias("a"), (F.col("o_orderpriority") == "1-URGENT").cast("double").alias("b"),
+    )
+    return cox.cox_at(units, "t", "e", ["a", "b"], COX_COEF)
+
+
+@register(
+    "cox_fixed_coefficients",
+    "n:i, n_events:i, mean_loglik:d, score_a:d, score_b:d, var_a:d, cov_a_b:d, var_b:d",
+    f"""WITH {COX_CTES}
+SELECT n, d AS n_events, loglik / n AS mean_loglik, score_a, score_b, ibb / (iaa * ibb - iab * iab) AS var_a, -iab / (iaa * ibb - iab * iab) AS cov_a_b, iaa / (iaa * ibb - iab * iab) AS var_b FROM info""",
+)
+def q_cox_at(spark, sf):
+    model, score = _cox_at(spark, sf)
+    v = model.variance
+    values = [model.n, model.n_events, model.loglik / model.n, float(score[0]), float(score[1]), float(v[0, 0]), float(v[0, 1]), float(v[1, 1])]
+    return spark.createDataFrame([values], "n long, n_events long, mean_loglik double, score_a double, score_b double, var_a double, cov_a_b double, var_b double")
+
+
+@register(
+    "schoenfeld_fixed_coefficients",
+    "duration:d, a:d, b:d, time_rank:d, r_a:d, r_b:d",
+    f"""WITH {COX_CTES}, means AS (SELECT t, avg(sa / s0) AS ma, avg(sb / s0) AS mb FROM phi GROUP BY t)
+SELECT u.t AS duration, u.a, u.b, r.time_rank, u.a - m.ma AS r_a, u.b - m.mb AS r_b FROM units u JOIN means m ON m.t = u.t JOIN risk r ON r.t = u.t WHERE u.e = 1""",
+)
+def q_schoenfeld(spark, sf):
+    model, _ = _cox_at(spark, sf)
+    rows = cox.schoenfeld_residuals(model, with_covariates=True)
+    return rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+
+
+@register(
+    "ph_test_fixed_coefficients",
+    "covariate:s, test_statistic:d",
+    f"""WITH {COX_CTES}, means AS (SELECT t, avg(sa / s0) AS ma, avg(sb / s0) AS mb FROM phi GROUP BY t),
+residuals AS (SELECT r.time_rank AS g, u.a - m.ma AS ra, u.b - m.mb AS rb FROM units u JOIN means m ON m.t = u.t JOIN risk r ON r.t = u.t WHERE u.e = 1),
+v AS (SELECT d, ibb / (iaa * ibb - iab * iab) AS vaa, -iab / (iaa * ibb - iab * iab) AS vab, iaa / (iaa * ibb - iab * iab) AS vbb FROM info),
+scaled AS (SELECT g - avg(g) OVER () AS g, d * (ra * vaa + rb * vab) AS sa, d * (ra * vab + rb * vbb) AS sb FROM residuals, v)
+SELECT 'a' AS covariate, sum(g * sa) ** 2 / (max(d) * max(vaa) * sum(g * g)) AS test_statistic FROM scaled, v
+UNION ALL SELECT 'b', sum(g * sb) ** 2 / (max(d) * max(vbb) * sum(g * g)) FROM scaled, v""",
+)
+def q_ph_fixed(spark, sf):
+    model, _ = _cox_at(spark, sf)
+    return spark.createDataFrame(cox.ph_test(model), cox.PH_SCHEMA)

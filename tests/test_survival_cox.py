@@ -193,6 +193,67 @@ def test_ph_test_against_numpy(spark):
     assert np.allclose(got, T, rtol=1e-7, atol=1e-10)
 
 
+def test_cox_with_all_durations_distinct_and_many_blocks(spark):
+    rng = np.random.default_rng(4)
+    n = 600
+    X = np.column_stack([rng.integers(0, 2, n), rng.normal(size=n)])
+    t = rng.exponential(5 / np.exp(0.5 * X[:, 0] - 0.4 * X[:, 1]))
+    e = (rng.random(n) < 0.7).astype(int)
+    assert len(np.unique(t)) == n
+    model = C.cox_ph(_df(spark, t, e, X, ["a", "b"]), "t", "e", ["a", "b"], rows_per_block=37)
+    assert model.order.rows.rdd.getNumPartitions() > 10
+    coef, se = numpy_cox(t, e, X, 0.1)
+    assert np.allclose(model.coef, coef, atol=1e-7) and np.allclose(model.se, se, atol=1e-7)
+    assert (model.n, model.n_events) == (n, e.sum())
+
+
+@pytest.mark.parametrize("rows_per_block", [5, 50_000])
+def test_a_time_with_a_third_of_all_units_stands_in_many_blocks(spark, rows_per_block):
+    rng = np.random.default_rng(5)
+    n = 300
+    X = np.column_stack([rng.integers(0, 2, n), rng.normal(size=n)])
+    t = np.where(rng.random(n) < 0.4, 28.0, rng.integers(1, 40, n).astype(float))
+    e = (rng.random(n) < 0.6).astype(int)
+    X = np.vstack([X, X[:20]])  # repeated rows
+    t, e = np.concatenate([t, t[:20]]), np.concatenate([e, e[:20]])
+    df = _df(spark, t, e, X, ["a", "b"])
+    model = C.cox_ph(df, "t", "e", ["a", "b"], rows_per_block=rows_per_block)
+    coef, se = numpy_cox(t, e, X, 0.1)
+    assert np.allclose(model.coef, coef, atol=1e-7) and np.allclose(model.se, se, atol=1e-7)
+    whole = C.cox_ph(df, "t", "e", ["a", "b"])
+    for (c, x, p), (c2, x2, p2) in zip(C.ph_test(model), C.ph_test(whole), strict=True):
+        assert c == c2 and x == pytest.approx(x2, rel=1e-8) and p == pytest.approx(p2, rel=1e-8)
+    residuals = C.schoenfeld_residuals(model).toPandas()
+    assert residuals["n"].sum() == e.sum()
+    # unpenalised score equations do not hold under a penalty, but ranks must be the averages over all units
+    for t0 in (28.0, 7.0):
+        got = residuals.loc[residuals["duration"] == t0, "time_rank"].unique()
+        assert len(got) <= 1 and all(got == (t < t0).sum() + ((t == t0).sum() + 1) / 2)
+
+
+def test_terms_at_given_coefficients(spark):
+    rng = np.random.default_rng(6)
+    n = 80
+    X = rng.normal(size=(n, 2))
+    t, e = rng.integers(1, 9, n).astype(float), (rng.random(n) < 0.6).astype(int)
+    beta, ll, grad = np.array([0.3, -0.2]), 0.0, np.zeros(2)
+    w = np.exp(X @ beta)
+    for time in np.unique(t[e == 1]):
+        risk, dead = t >= time, (t == time) & (e == 1)
+        d = dead.sum()
+        ll += (X[dead] @ beta).sum()
+        grad += X[dead].sum(0)
+        for k in range(d):
+            phi = w[risk].sum() - k / d * w[dead].sum()
+            ll -= math.log(phi)
+            grad -= ((w[risk, None] * X[risk]).sum(0) - k / d * (w[dead, None] * X[dead]).sum(0)) / phi
+    model, score = C.cox_at(_df(spark, t, e, X, ["a", "b"]), "t", "e", ["a", "b"], beta, rows_per_block=9)
+    assert (model.n, model.n_events) == (n, e.sum())
+    # covariates are centred, which moves the likelihood by nothing
+    assert model.loglik == pytest.approx(ll, rel=1e-9)
+    assert score.tolist() == pytest.approx(grad.tolist(), abs=1e-8)
+
+
 def test_screening(spark):
     rows = []
     for i in range(40):
