@@ -3,25 +3,15 @@ nearest-neighbour matching on the logit score, without replacement.
 
 Greedy matching looks sequential: treated units are taken in ascending
 score order and each takes the nearest free control within the caliper.
-Because a match never reaches further than one caliper, the score line can
-be cut into chunks at least two calipers wide. A chunk only interacts with
-its left neighbour, through the set of controls that neighbour used near
-their common seam. The first round runs all chunks in parallel
-(``applyInPandas`` per chunk) with empty seam sets; each later round reruns
-only the chunks whose incoming seam set changed. After round r the first r
-chunks are final, and the loop stops as soon as no seam set changes, which
-gives exactly the sequential greedy result. The driver only sees cut
-points and the ids of changed chunks.
+``score_line`` runs it as parallel chunks of bounded size.
 """
 
 from __future__ import annotations
 
-import bisect
 import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -29,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import logit
+from .score_line import match_line, strata, walk
 
 
 # --------------------------------------------------------------------------- M4
@@ -92,38 +83,6 @@ def _check_gradient(model, assembled: DataFrame, zcols: Sequence[str], ridge: fl
 
 
 # --------------------------------------------------------------------------- M5 kernel
-class _FreeList:
-    """Free slots of a sorted array with skip pointers in both directions."""
-
-    def __init__(self, n: int):
-        self.n = n
-        self.nxt = np.arange(n + 1)  # nxt[i]: candidate free slot >= i (n = none)
-        self.prv = np.arange(n + 1)  # prv[i+1]: candidate free slot <= i (0 = none)
-
-    def next_free(self, i: int) -> int:
-        nxt = self.nxt
-        root = i
-        while nxt[root] != root:
-            root = nxt[root]
-        while nxt[i] != root:
-            nxt[i], i = root, nxt[i]
-        return root
-
-    def prev_free(self, i: int) -> int:
-        prv = self.prv
-        j = i + 1
-        root = j
-        while prv[root] != root:
-            root = prv[root]
-        while prv[j] != root:
-            prv[j], j = root, prv[j]
-        return root - 1
-
-    def take(self, i: int) -> None:
-        self.nxt[i] = i + 1
-        self.prv[i + 1] = i
-
-
 def greedy_match(t_ids: np.ndarray, t_scores: np.ndarray, c_ids: np.ndarray, c_scores: np.ndarray, caliper: float) -> list[tuple[int, int, float]]:
     """Sequential greedy 1:1 matching (reference semantics, deterministic ties).
 
@@ -131,162 +90,30 @@ def greedy_match(t_ids: np.ndarray, t_scores: np.ndarray, c_ids: np.ndarray, c_s
     distance; equal distance -> lowest control id; a match needs distance <=
     caliper. Returns ``[(treated_id, control_id, distance)]`` in match order.
     """
-    order_t = np.lexsort((t_ids, t_scores))
-    order_c = np.lexsort((c_ids, c_scores))
-    xs = c_scores[order_c].astype(float)
-    ids = c_ids[order_c]
-    n = len(xs)
-    fresh = np.concatenate([[True], xs[1:] != xs[:-1]])[:n]
-    run_start = np.maximum.accumulate(np.where(fresh, np.arange(n), 0)) if n else np.zeros(0, dtype=np.int64)
-    free = _FreeList(n)
-    xs_list = xs.tolist()
-    out = []
-    remaining = n
-    for k in order_t:
-        if remaining == 0:
-            break
-        s = float(t_scores[k])
-        p = bisect.bisect_right(xs_list, s)
-        best = -1
-        best_d = math.inf
-        r = free.next_free(p) if p < n else n
-        if r < n:
-            best, best_d = r, xs[r] - s
-        l_ = free.prev_free(p - 1) if p > 0 else -1
-        if l_ >= 0:
-            l_ = free.next_free(int(run_start[l_]))  # lowest id among equal scores
-            d = s - xs[l_]
-            if d < best_d or (d == best_d and ids[l_] < ids[best]):
-                best, best_d = l_, d
-        if best >= 0 and best_d <= caliper:
-            free.take(best)
-            remaining -= 1
-            out.append((int(t_ids[k]), int(ids[best]), float(best_d)))
-    return out
+    line = lambda ids, scores: [(float(scores[k]), int(ids[k])) for k in np.lexsort((ids, scores))]
+    return walk(line(t_ids, t_scores), line(c_ids, c_scores), 0, [], [], caliper)[0]
 
 
 # --------------------------------------------------------------------------- M5 on Spark
-def chunk_cuts(df: DataFrame, score: str, caliper: float, rows_per_chunk: int = 100_000, rel_error: float = 1e-4) -> list[float]:
-    """Cut points on the score line: about ``rows_per_chunk`` rows per chunk,
-    neighbouring cuts at least two calipers (plus a margin) apart."""
-    n = df.count()
-    k = max(1, math.ceil(n / rows_per_chunk))
-    if k == 1:
-        return []
-    qs = df.approxQuantile(score, [i / k for i in range(1, k)], rel_error)
-    cuts: list[float] = []
-    gap = 2.0 * caliper * (1.0 + 1e-9) + 1e-12
-    for q in sorted(set(qs)):
-        if not cuts or q - cuts[-1] >= gap:
-            cuts.append(float(q))
-    return cuts
-
-
-def _chunk_expr(score_col, cuts: Sequence[float]):
-    expr = F.lit(0)
-    for c in cuts:
-        expr = expr + F.when(score_col >= F.lit(c), F.lit(1)).otherwise(F.lit(0))
-    return expr
-
-
-def match_nearest(
-    df: DataFrame,
-    id_col: str,
-    treat: str,
-    score: str,
-    caliper: float,
-    rows_per_chunk: int = 100_000,
-) -> DataFrame:
+def match_nearest(df: DataFrame, id_col: str, treat: str, score: str, caliper: float, rows_per_chunk: int = 100_000, exact_on: Sequence[str] | str = ()) -> DataFrame:
     """Exact greedy 1:1 nearest-neighbour matching on ``score`` (e.g. logit PS).
 
     Returns pairs ``(match_id, treated_id, control_id, distance)``;
-    ``match_id`` follows the greedy order (ascending treated score). Ids may
-    be of any ordered type.
+    ``match_id`` follows the greedy order (ascending treated score, stratum by
+    stratum). Ids may be of any ordered type. With ``exact_on`` only units with
+    equal values there are matched (NULL equals NULL). Units without an id, a
+    score or a treatment of 0 or 1 are left out. No task holds more than about
+    five times ``rows_per_chunk`` units, whatever the scores.
     """
     from ..session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(df.sparkSession)
-    units = df.select(F.col(id_col).alias("uid"), F.col(treat).cast("int").alias("t"), F.col(score).cast("double").alias("x")).where(
-        F.col("x").isNotNull() & F.col("t").isin(0, 1)
-    )
-    cuts = chunk_cuts(units, "x", caliper, rows_per_chunk)
-    n_chunks = len(cuts) + 1
-    lo = [-math.inf] + cuts
-    hi = cuts + [math.inf]
-    chunk = _chunk_expr(F.col("x"), cuts)
-
-    # treated: own chunk only; controls: own chunk plus a neighbour whose
-    # treated can reach them (within one caliper of the seam)
-    cuts_arr = F.array(*[F.lit(c) for c in cuts]) if cuts else None
-    units = units.withColumn("own", chunk)
-    if cuts:
-        lo_own = F.when(F.col("own") > 0, F.element_at(cuts_arr, F.col("own"))).otherwise(F.lit(-math.inf))
-        hi_own = F.when(F.col("own") < len(cuts), F.element_at(cuts_arr, F.col("own") + 1)).otherwise(F.lit(math.inf))
-        vis = F.filter(
-            F.array(
-                F.col("own"),
-                F.when((F.col("t") == 0) & (F.col("x") <= lo_own + F.lit(caliper)) & (F.col("own") > 0), F.col("own") - 1),
-                F.when((F.col("t") == 0) & (F.col("x") >= hi_own - F.lit(caliper)) & (F.col("own") < len(cuts)), F.col("own") + 1),
-            ),
-            lambda v: v.isNotNull(),
-        )
-        visible = units.withColumn("chunk", F.explode(vis))
-    else:
-        visible = units.withColumn("chunk", F.lit(0))
-    visible = visible.select("chunk", "uid", "t", "x", F.lit(0).alias("used")).checkpoint(eager=True)
-
-    hi_bounds = hi
-
-    def run_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = int(pdf["chunk"].iloc[0])
-        used = set(pdf.loc[pdf["used"] == 1, "uid"].tolist())
-        base = pdf[pdf["used"] == 0]
-        tr = base[base["t"] == 1]
-        co = base[(base["t"] == 0) & (~base["uid"].isin(used))]
-        # the kernel works on the ids' ranks, so ids may be of any ordered type
-        ids, rank = np.unique(np.concatenate([tr["uid"].to_numpy(), co["uid"].to_numpy()]), return_inverse=True)
-        pairs = greedy_match(rank[: len(tr)], tr["x"].to_numpy(), rank[len(tr) :], co["x"].to_numpy(), caliper)
-        xmap = dict(zip(co["uid"].tolist(), co["x"].tolist()))
-        res = pd.DataFrame(pairs, columns=["treated_id", "control_id", "distance"])
-        for side in ("treated_id", "control_id"):
-            res[side] = ids[res[side].to_numpy(dtype="int64")]
-        res.insert(0, "seq", np.arange(len(res), dtype=np.int64))
-        res.insert(0, "chunk", np.int32(c))
-        res["control_x"] = res["control_id"].map(xmap).astype(float)
-        return res
-
-    kind = units.schema["uid"].dataType.simpleString()
-    schema = f"chunk int, seq long, treated_id {kind}, control_id {kind}, distance double, control_x double"
-    incoming = visible.sparkSession.createDataFrame([], f"chunk int, uid {kind}")
-    seam = F.element_at(F.array(*[F.lit(h) for h in hi_bounds[:-1]] + [F.lit(math.inf)]), F.col("chunk") + 1)
-
-    def run(chunks: list[int] | None, inc: DataFrame) -> DataFrame:
-        vis = visible if chunks is None else visible.where(F.col("chunk").isin(chunks))
-        inc = inc if chunks is None else inc.where(F.col("chunk").isin(chunks))
-        inp = vis.unionByName(inc.select("chunk", "uid", F.lit(None).cast("int").alias("t"), F.lit(None).cast("double").alias("x"), F.lit(1).alias("used")))
-        return inp.groupBy("chunk").applyInPandas(run_chunk, schema)
-
-    pairs = run(None, incoming).checkpoint(eager=True)
-    # after r rounds the first r chunks are final, so this ends
-    while n_chunks > 1:
-        # controls each chunk used near its right seam go to the next chunk
-        new_in = pairs.where((F.col("chunk") < n_chunks - 1) & (F.col("control_x") >= seam - F.lit(caliper))).select((F.col("chunk") + 1).alias("chunk"), F.col("control_id").alias("uid")).checkpoint(eager=True)
-        diff = new_in.exceptAll(incoming).unionByName(incoming.exceptAll(new_in))
-        changed = sorted(r["chunk"] for r in diff.select("chunk").distinct().collect())  # at most one id per chunk
-        incoming = new_in
-        if not changed:
-            break
-        # rerun only the chunks whose incoming seam set changed
-        pairs = pairs.where(~F.col("chunk").isin(changed)).unionByName(run(changed, incoming)).checkpoint(eager=True)
-
-    # match ids: per-chunk pair counts (one number per chunk) -> offsets
-    counts = {r["chunk"]: r["n"] for r in pairs.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, acc = [], 0
-    for c in range(n_chunks):
-        offsets.append(acc)
-        acc += counts.get(c, 0)
-    off = F.element_at(F.array(*[F.lit(o) for o in offsets]), F.col("chunk") + 1)
-    return pairs.select((off + F.col("seq")).cast("long").alias("match_id"), "treated_id", "control_id", "distance")
+    keys = [exact_on] if isinstance(exact_on, str) else list(exact_on)
+    x = F.col(score).cast("double")
+    t = F.col(treat).cast("int")
+    units = df.select(strata(keys).alias("stratum"), F.col(id_col).alias("uid"), (F.lit(1) - t).alias("kind"), (x + F.lit(0.0)).alias("x"))
+    units = units.where(F.col("x").isNotNull() & ~F.isnan("x") & F.col("kind").isin(0, 1) & F.col("uid").isNotNull())
+    return match_line(units, caliper, rows_per_chunk)
 
 
 def matched_cohort(df: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:

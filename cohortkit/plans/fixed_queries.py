@@ -69,6 +69,32 @@ def q_text_pairs(spark, sf):
     return matching.match_nearest(mart, "uid", "treatment_group", "x", CALIPER, rows_per_chunk=CHUNK_ROWS)
 
 
+def _walk(score: str, stratum: str) -> str:
+    """``MATCH_CTES`` for any score, where a pair must agree in ``stratum``."""
+    return (
+        MATCH_CTES.split("members AS")[0].rstrip().rstrip(",")
+        .replace("stay_id, age_at_admission AS x", f"stay_id, {stratum} AS g, {score} AS x").replace("ORDER BY age_at_admission, stay_id", f"ORDER BY {score}, stay_id")
+        .replace("age_at_admission IS NOT NULL", f"{score} IS NOT NULL").replace("WHERE NOT list_contains", "WHERE c.g IS NOT DISTINCT FROM t.g AND NOT list_contains")
+    )
+
+
+#: A third of all units share one score, the others lie on a grid.
+DENSE = "CASE WHEN stay_id % 3 = 0 THEN 900.0::DOUBLE ELSE round(age_at_admission / 50.0) * 50.0 END"
+
+
+@register("match_dense_score", "treated_id:i, control_id:i, distance:d", _recursive(with_mart_and(_walk(DENSE, "1"), "SELECT treated_id, control_id, distance FROM pairs")))
+def q_dense_pairs(spark, sf):
+    mart = study.shared_mart(spark, sf)
+    x = F.when(F.col("stay_id") % 3 == 0, F.lit(900.0)).otherwise(F.round(F.col("age_at_admission") / 50.0) * 50.0)
+    return matching.match_nearest(mart.withColumn("x", x), "stay_id", "treatment_group", "x", CALIPER, rows_per_chunk=CHUNK_ROWS)
+
+
+@register("match_exact_on", "treated_id:i, control_id:i, distance:d", _recursive(with_mart_and(_walk("age_at_admission", "insurance"), "SELECT treated_id, control_id, distance FROM pairs")))
+def q_exact_pairs(spark, sf):
+    mart = study.shared_mart(spark, sf).withColumn("x", F.col("age_at_admission").cast("double"))
+    return matching.match_nearest(mart, "stay_id", "treatment_group", "x", CALIPER, rows_per_chunk=CHUNK_ROWS, exact_on="insurance")
+
+
 @register("matched_fixed_cohort", "stay_id:i, match_id:i, treatment_group:i, event_observed:i", _on_matched("SELECT stay_id, match_id, treatment_group, event_observed FROM matched"))
 def q_members(spark, sf):
     return _matched(spark, sf)

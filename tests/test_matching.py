@@ -83,6 +83,102 @@ def test_chain_across_seams(spark):
     assert got == exp
 
 
+def spark_pairs(spark, ids, t, x, cal, rows_per_chunk, **options):
+    df = spark.createDataFrame([(int(i), int(a), float(b)) for i, a, b in zip(ids, t, x)], "uid long, treat int, x double")
+    return sorted((r["match_id"], r["treated_id"], r["control_id"]) for r in match_nearest(df, "uid", "treat", "x", cal, rows_per_chunk=rows_per_chunk, **options).collect())
+
+
+@pytest.mark.parametrize(("share", "cal", "seed"), [(0.5, 0.5, 0), (0.25, 3.0, 1), (0.7, 0.3, 2), (0.5, 100.0, 3)])
+def test_a_score_shared_by_a_third_of_all_units(spark, share, cal, seed):
+    rng = np.random.default_rng(seed)
+    n = 900
+    x = np.where(rng.random(n) < 0.35, 4.0, np.round(rng.normal(4, 2, n), 1))
+    t = (rng.random(n) < share).astype(int)
+    ids = rng.permutation(n) + 1
+    got = spark_pairs(spark, ids, t, x, cal, 40)
+    exp = plain_greedy(ids[t == 1], x[t == 1], ids[t == 0], x[t == 0], cal)
+    assert [(a, b) for _, a, b in got] == exp and [m for m, _, _ in got] == list(range(len(exp)))
+
+
+def test_no_chunk_exceeds_its_bound(spark, monkeypatch):
+    from cohortkit.operators import score_line
+
+    rng = np.random.default_rng(7)
+    x = np.where(rng.random(3000) < 0.4, 1.0, np.where(rng.random(3000) < 0.5, rng.normal(1, 0.01, 3000), np.round(rng.normal(size=3000), 1)))
+    units = spark.createDataFrame([("", int(i), int(rng.random() < 0.6), float(v)) for i, v in enumerate(x)], "stratum string, uid long, kind int, x double")
+    sizes = score_line.chunked(units, 100).groupBy("chunk").count().collect()
+    assert max(r["count"] for r in sizes) <= 300 and len(sizes) > 10
+
+
+@pytest.mark.parametrize("rows_per_chunk", [10, 60, 100_000])
+def test_exact_on_matches_inside_strata(spark, rows_per_chunk):
+    rng = np.random.default_rng(8)
+    n = 500
+    x, t = np.round(rng.normal(size=n), 1), (rng.random(n) < 0.5).astype(int)
+    site = rng.choice(["a", "b", "c", "d", None], n, p=[0.5, 0.3, 0.1, 0.05, 0.05])
+    ids = rng.permutation(n) + 1
+    df = spark.createDataFrame([(int(i), int(a), float(b), s, 1) for i, a, b, s in zip(ids, t, x, site)], "uid long, treat int, x double, site string, k int")
+    rows = match_nearest(df, "uid", "treat", "x", 0.2, rows_per_chunk=rows_per_chunk, exact_on=["site", "k"]).collect()
+    want = set()
+    for s in ["a", "b", "c", "d", None]:
+        at = np.array([v == s for v in site])
+        want |= set(plain_greedy(ids[at & (t == 1)], x[at & (t == 1)], ids[at & (t == 0)], x[at & (t == 0)], 0.2))
+    assert {(r["treated_id"], r["control_id"]) for r in rows} == want
+    assert sorted(r["match_id"] for r in rows) == list(range(len(want)))
+
+
+def test_no_units_and_units_of_one_kind(spark):
+    assert spark_pairs(spark, [], [], [], 1.0, 10) == []
+    assert spark_pairs(spark, [1, 2], [1, 1], [0.0, 0.1], 1.0, 10) == []
+    assert spark_pairs(spark, [1, 2], [0, 0], [0.0, 0.1], 1.0, 10) == []
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_walk_in_pieces_equals_the_plain_loop(seed):
+    """Chunks replayed one after another, each on what it should see: no Spark needed."""
+    from cohortkit.operators.score_line import _Line, walk
+
+    rng = np.random.default_rng(seed)
+    n, size = int(rng.integers(5, 120)), int(rng.integers(2, 12))
+    x, kind = rng.integers(0, 12, n) / 4.0, (rng.random(n) < rng.choice([0.3, 0.5, 0.7])).astype(int)
+    cal = float(rng.choice([0.25, 0.5, 2.0]))
+    units = sorted((x[i], kind[i], int(u)) for i, u in enumerate(rng.permutation(n)))
+    chunks, where = {}, {}
+    for pos, (s, k, u) in enumerate(units):
+        run = [p for p, v in enumerate(units) if v[0] == s and v[1] == 1]
+        crowded = k == 1 and len(run) > size
+        place = run[0] if k == 1 and not crowded else pos
+        c = (run[0] + (pos - run[0]) // size * size) * 2 + 1 if crowded else place // size * size * 2
+        chunks.setdefault(c, []).append((s, k, u))
+        where.setdefault(c, pos)
+    order = sorted(chunks, key=where.get)
+    table = [{"chunk": c, "n_t": sum(k == 0 for _, k, _ in chunks[c]), "n_c": sum(k == 1 for _, k, _ in chunks[c]), "line": "",
+              "t_lo": min((s for s, k, _ in chunks[c] if k == 0), default=None), "c_hi": max((s for s, k, _ in chunks[c] if k == 1), default=None)} for c in order]
+    line, seen, pairs = _Line(table, cal), {}, {}
+    own = {c: sorted((s, u) for s, k, u in chunks[c] if k == 1) for c in order}
+    rest = {c: sorted(own[c], key=lambda v: (-v[0], v[1])) for c in order}
+    for _ in range(len(order) + 2):
+        wanted = line.inputs()
+        todo = [c for c in order if seen.get(c) != wanted[c]]
+        if not todo:
+            break
+        new = {}
+        for c in todo:
+            used, left, right = wanted[c]
+            stack = [v for of, lo, hi, _ in left for v in rest[of][lo:hi]]
+            queue = [v for of, lo, hi in right for v in own[of][lo:hi]]
+            new[c] = walk(sorted((s, u) for s, k, u in chunks[c] if k == 0), own[c], used, stack, queue, cal)
+            seen[c] = wanted[c]
+        for c, (found, popped, beyond, left_over) in new.items():
+            pairs[c], rest[c] = found, left_over
+            line.out[c] = (popped, beyond, len(left_over), hash(tuple(left_over)))
+    else:
+        raise AssertionError("no fixed point")
+    got = [(t, c) for k in order for t, c, _ in pairs[k]]
+    side = lambda k, i: np.array([v[i] for v in units if v[1] == k])
+    assert got == plain_greedy(side(0, 2), side(0, 0), side(1, 2), side(1, 0), cal)
+
+
 def test_propensity_matches_newton_solution(spark):
     """Spark ML fit == NumPy Newton solve of C*sum(logloss) + ||w||^2/2
     (intercept unpenalised) on population-SD standardised features."""
