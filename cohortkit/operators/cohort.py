@@ -75,6 +75,56 @@ def broadcast_if_small(df: DataFrame, max_rows: int | None) -> DataFrame:
 
 
 
+# --------------------------------------------------------------------------- P3 / P4 with code lists as tables
+def _listed(df: DataFrame, max_bytes: int) -> DataFrame:
+    """Mark a code list for broadcast if its measured size (keys and 32 bytes a row) is within ``max_bytes``."""
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns), F.lit(32))
+    size = df.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df
+
+
+def _spelled(c: Column, normalise: bool) -> Column:
+    c = c.cast("string")
+    return F.regexp_replace(c, r"\.", "") if normalise else c
+
+
+def _fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def flag_by_table(df: DataFrame, code: str, version: str, codes: DataFrame, out: str, normalise: bool = False, max_bytes: int = 64_000_000) -> DataFrame:
+    """Add ``out``: 1 where (version, code) stands in ``codes`` (version, code), else 0; for lists too long for ``flag_codes``.
+
+    Dots are ignored on both sides with ``normalise``. NULL codes or versions
+    are never listed; repeated list rows count once. The list is broadcast
+    behind a check of its size, else both sides are shuffled by code.
+    """
+    listed = codes.select(F.col(codes.columns[0]).cast("string").alias("__version"), _spelled(F.col(codes.columns[1]), normalise).alias("__code"))
+    listed = listed.dropna().distinct()
+    hit = _fresh(df, "__hit")
+    listed = _listed(listed, max_bytes).withColumn(hit, F.lit(1))
+    same = (F.col(version).cast("string") == F.col("__version")) & (_spelled(F.col(code), normalise) == F.col("__code"))
+    joined = df.join(listed, same, "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != out], F.coalesce(F.col(hit), F.lit(0)).alias(out))
+
+
+def categorize_by_table(df: DataFrame, key: str, mapping: DataFrame, out: str, default: str = "other", normalise: bool = False, max_bytes: int = 64_000_000) -> DataFrame:
+    """Add ``out``: the category of ``key`` in ``mapping`` (key, category, precedence), else ``default``.
+
+    A key listed more than once takes the least precedence, then the first
+    category in order. NULL keys get ``default``. Joined as ``flag_by_table`` does.
+    """
+    k, c, rank = mapping.columns[:3]
+    first = F.min(F.struct(F.col(rank).alias("r"), F.col(c).alias("c")))["c"]
+    found = _fresh(df, "__category")
+    listed = mapping.filter(F.col(k).isNotNull()).groupBy(_spelled(F.col(k), normalise).alias("__key")).agg(first.alias(found))
+    joined = df.join(_listed(listed, max_bytes), _spelled(F.col(key), normalise) == F.col("__key"), "left")
+    return joined.select(*[F.col(f"`{x}`") for x in df.columns if x != out], F.coalesce(F.col(found), F.lit(default)).alias(out))
+
+
 def events_in_window(
     index_df: DataFrame,
     events_df: DataFrame,

@@ -22,6 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .gram import correlation_matrix
 from .risk_sets import Risk, TimeOrder
 from .survival import Z95, chi2_1df_pvalue
 
@@ -221,13 +222,8 @@ def screen_covariates(df: DataFrame, covariates: Sequence[str], duration: str, e
     if kept:
         x, _ = impute_median(x, kept)
     if len(kept) > 1:
-        pairs = [(a, b) for i, a in enumerate(kept) for b in kept[i + 1 :]]
-        cr = x.agg(*[F.corr(a, b).alias(f"__c{i}") for i, (a, b) in enumerate(pairs)]).first()
-        to_drop = []
-        for i, (a, b) in enumerate(pairs):
-            v = cr[f"__c{i}"]
-            if v is not None and not math.isnan(v) and abs(v) > max_abs_corr and b not in to_drop:
-                to_drop.append(b)
+        r = np.abs(correlation_matrix(x, kept))
+        to_drop = [b for j, b in enumerate(kept) if (r[:j, j] > max_abs_corr).any()]
         for b in to_drop:
             dropped.append((b, "collinear"))
         kept = [c for c in kept if c not in to_drop]

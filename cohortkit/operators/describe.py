@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .gram import correlation_matrix
 from .quantiles import exact_quantiles
 from .running import null_safe_join
 
@@ -125,16 +127,15 @@ def histogram(df: DataFrame, col: str, by: str | None = None, bins: int = 30) ->
 def corr_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation for each pair (upper triangle): ``(col_a, col_b, corr)``.
 
-    Pairwise-complete rows, one aggregation pass for all pairs.
+    Pairwise-complete rows, one pass for all pairs (``gram``); NULL where a
+    pair has no correlation.
     """
     cols = list(cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    if not pairs:
+    if len(cols) < 2:
         raise ValueError("need at least two columns")
-    aggs = [F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"__r{i}") for i, (a, b) in enumerate(pairs)]
-    wide = df.agg(*aggs)
-    parts = ", ".join(f"'{a}', '{b}', `__r{i}`" for i, (a, b) in enumerate(pairs))
-    return wide.selectExpr(f"stack({len(pairs)}, {parts}) as (col_a, col_b, corr)")
+    r = correlation_matrix(df, cols)
+    rows = [(a, b, None if np.isnan(r[i, j]) else float(r[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
 
 
 # --------------------------------------------------------------------------- A16

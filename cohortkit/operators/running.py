@@ -1,9 +1,10 @@
 """Running (cumulative) sums without a window over a whole group.
 
-Rows are cut into blocks of the order column (quantile cuts, so each block
-holds about ``rows_per_block`` rows). A window sums inside each (keys, block)
-and a second one runs over the blocks' totals, which are a few rows per key.
-The same plan serves every size; a small table simply has one block.
+Rows are dealt into blocks by ranges of the order column (about
+``rows_per_block`` rows each); the block's number is that of its partition, so
+no cut points stand in the plan. A window sums inside each (keys, block) and a
+second one runs over the blocks' totals, which are a few rows per key. The same
+plan serves every size; a small table simply has one block.
 """
 
 from __future__ import annotations
@@ -38,11 +39,11 @@ def running_sums(
     keys = list(keys)
     fixed = df.checkpoint(eager=True)
     n_blocks = math.ceil(fixed.count() / rows_per_block)
-    x = F.col(order_col).cast("double")
     block = F.lit(0)
     if n_blocks > 1:
-        cuts = sorted(set(fixed.select(x.alias("x")).approxQuantile("x", [i / n_blocks for i in range(1, n_blocks)], 0.1 / n_blocks)))
-        block = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < x))
+        # written out, as the partition's number must not change when a task runs again
+        fixed = fixed.repartitionByRange(n_blocks, F.col(order_col).cast("double")).withColumn("__block", F.spark_partition_id()).checkpoint(eager=True)
+        block = F.col("__block")
     rows = fixed.withColumn("__block", (-block if descending else block).cast("int"))
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     inside = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

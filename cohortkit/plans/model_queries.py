@@ -278,30 +278,35 @@ def q_cox_diag(spark, sf):
 @register(
     "load_all_manifest",
     "run:i, db:s, table:s, action:s, expected:i, actual:i",
-    """
-    SELECT 1 AS run, 'raw_hosp' AS db, 'region' AS "table", 'loaded' AS action, count(*) AS expected, count(*) AS actual FROM region
-    UNION ALL SELECT 1, 'raw_hosp', 'nation', 'loaded', count(*), count(*) FROM nation
-    UNION ALL SELECT 1, 'raw_hosp', 'absent', 'missing_source', NULL, NULL
-    UNION ALL SELECT 2, 'raw_hosp', 'region', 'skipped', count(*), count(*) FROM region
-    UNION ALL SELECT 2, 'raw_hosp', 'nation', 'skipped', count(*), count(*) FROM nation
-    UNION ALL SELECT 2, 'raw_hosp', 'absent', 'missing_source', NULL, NULL
-    """,
+    "\nUNION ALL\n".join(
+        f"SELECT {run} AS run, 'raw_hosp' AS db, '{t}' AS \"table\", '{action}' AS action, count(*) AS expected, count(*) AS actual FROM {t}"
+        for run, actions in enumerate([("loaded", "loaded"), ("skipped", "skipped"), ("reloaded", "skipped")], 1)
+        for t, action in zip(("orders", "lineitem"), actions, strict=True)
+    )
+    + "".join(f"\nUNION ALL SELECT {run}, 'raw_hosp', 'absent', 'missing_source', NULL, NULL" for run in (1, 2, 3)),
 )
 def q_load_all(spark, sf):
     """IO6: idempotent manifest load of raw gzipped CSV copies of two given
-    tables — first run loads, second run finds matching counts and skips."""
+    tables: the first run loads, the second finds equal content and skips, the
+    third finds one source changed in content though not in count."""
     from ..session import scratch_path
     from ..sources import io
 
     base = scratch_path(spark, "raw-base")
     db = f"raw_hosp_{uuid.uuid4().hex[:10]}"  # of this run; dropped at the end
-    for t in ("region", "nation"):
-        study.load(spark, sf, t).write.option("header", True).option("compression", "gzip").csv(f"{base}/{db}/{t}.csv.gz")
-    manifest = {db: ["region", "nation", "absent"]}
+
+    def put(t, df):
+        df.write.mode("overwrite").option("header", True).option("compression", "gzip").csv(f"{base}/{db}/{t}.csv.gz")
+
+    for t in ("orders", "lineitem"):
+        put(t, study.load(spark, sf, t))
+    manifest = {db: ["orders", "lineitem", "absent"]}
     rows = []
     io.ensure_databases(spark, [db], location=scratch_path(spark, "warehouse"))
     try:
-        for run in (1, 2):
+        for run in (1, 2, 3):
+            if run == 3:
+                put("orders", study.load(spark, sf, "orders").withColumn("o_custkey", F.col("o_custkey") + 1))
             for r in io.load_all(spark, base, manifest):
                 rows.append((run, "raw_hosp", r.table, r.action, r.expected, r.actual))
     finally:

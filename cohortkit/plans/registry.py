@@ -208,6 +208,39 @@ def q_codes(spark, sf):
     return L(spark, sf, "orders").select("o_orderkey", flag_codes("o_orderpriority", "o_orderstatus", study.CODE_SETS).alias("is_flagged"))
 
 
+#: Code list and mapping as tables that grow with the data: parts by brand and size, suppliers by nation.
+@register(
+    "code_flags_table",
+    "l_orderkey:i, l_linenumber:i, l_partkey:i, is_flagged:i",
+    """
+    SELECT l_orderkey, l_linenumber, l_partkey,
+      CASE WHEN EXISTS (SELECT 1 FROM part p WHERE p.p_size % 7 = 0 AND p.p_brand <> 'Brand#1' AND p.p_partkey = l_partkey AND l_returnflag = CASE WHEN p.p_size > 25 THEN 'A' ELSE 'R' END) THEN 1 ELSE 0 END AS is_flagged
+    FROM lineitem
+    """,
+)
+def q_codes_table(spark, sf):
+    codes = L(spark, sf, "part").where("p_size % 7 = 0 AND p_brand <> 'Brand#1'").selectExpr("CASE WHEN p_size > 25 THEN 'A' ELSE 'R' END AS version", "p_partkey AS code")
+    lines = L(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    return K.flag_by_table(lines, "l_partkey", "l_returnflag", codes, "is_flagged")
+
+
+@register(
+    "categorize_table",
+    "l_orderkey:i, l_linenumber:i, l_partkey:i, category:s",
+    """
+    WITH mapping AS (
+      SELECT p_partkey AS k, p_brand AS category, 1 AS precedence FROM part WHERE p_size < 10 UNION ALL SELECT p_partkey, p_type, 2 FROM part WHERE p_size % 3 = 0
+    ), one AS (SELECT k, arg_min(category, (precedence, category)) AS category FROM mapping GROUP BY k)
+    SELECT l_orderkey, l_linenumber, l_partkey, coalesce(category, 'other') AS category FROM lineitem LEFT JOIN one ON k = l_partkey
+    """,
+)
+def q_categorize_table(spark, sf):
+    part = L(spark, sf, "part")
+    small = part.where("p_size < 10").selectExpr("p_partkey AS k", "p_brand AS category", "1 AS precedence")
+    mapping = small.unionByName(part.where("p_size % 3 = 0").selectExpr("p_partkey AS k", "p_type AS category", "2 AS precedence"))
+    return K.categorize_by_table(L(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_partkey", mapping, "category")
+
+
 @register(
     "categorize_events",
     "event_id:i, category:s",

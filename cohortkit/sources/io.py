@@ -58,16 +58,38 @@ def table_exists(spark: SparkSession, db: str, name: str) -> bool:
 def load_table(df: DataFrame, db: str, name: str, mode: str = "overwrite", partition_by: Sequence[str] | None = None, fmt: str = "parquet") -> str:
     """Write ``df`` as managed table ``db.name`` in one job; returns the name.
 
-    The database name is used as given (no target-schema prefix).
+    The database name is used as given (no target-schema prefix). An existing
+    table is replaced whole: the new one is written beside it and then takes its
+    name, so a load that breaks leaves the old table (see ``recover_table``).
     """
+    spark = df.sparkSession
+    recover_table(spark, db, name)
+    swap = mode == "overwrite" and table_exists(spark, db, name)
     w = df.write.mode(mode).format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    full = f"`{db}`.`{name}`"
-    w.saveAsTable(full)
+    w.saveAsTable(f"`{db}`.`{name}{_NEW}`" if swap else f"`{db}`.`{name}`")
+    if swap:
+        spark.sql(f"ALTER TABLE `{db}`.`{name}` RENAME TO `{db}`.`{name}{_OLD}`")
+        spark.sql(f"ALTER TABLE `{db}`.`{name}{_NEW}` RENAME TO `{db}`.`{name}`")
+        spark.sql(f"DROP TABLE `{db}`.`{name}{_OLD}`")
     return f"{db}.{name}"
 
 
+_NEW, _OLD = "__new", "__old"
+
+
+def recover_table(spark: SparkSession, db: str, name: str) -> None:
+    """Clear up after a load that broke: the old table gets its name back unless the new one already has it."""
+    if table_exists(spark, db, name + _OLD):
+        if table_exists(spark, db, name):
+            spark.sql(f"DROP TABLE `{db}`.`{name}{_OLD}`")
+        else:
+            spark.sql(f"ALTER TABLE `{db}`.`{name}{_OLD}` RENAME TO `{db}`.`{name}`")
+    if table_exists(spark, db, name + _NEW):
+        spark.sql(f"DROP TABLE `{db}`.`{name}{_NEW}`")
+
+
 def materialize(df: DataFrame, db: str | None, name: str, kind: str = "view") -> DataFrame:
     """Staging models are lazy views; marts are tables (lineage cut)."""
     spark = df.sparkSession
@@ -97,12 +119,20 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def _checksum(df: DataFrame):
+    """Row count and a sum of row hashes that does not depend on the order of the rows."""
+    columns = [F.col(f"`{c}`") for c in sorted(df.columns)]
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("checksum")]
+
+
 def load_all(spark: SparkSession, base: str, manifest: dict[str, Sequence[str]], suffix: str = ".csv.gz", partitions: int | None = None, multi_line: bool = True) -> list[LoadResult]:
     """Idempotent load of ``base/<db lower>/<table><suffix>`` into ``db.table``.
 
-    Missing file -> skipped; existing table with matching parsed row count ->
-    kept; otherwise (re)loaded and reconciled. A first load parses its source
-    once: the parsed rows are counted while they are written.
+    Missing file -> skipped; existing table with the columns and the content
+    (row count and checksum of the parsed rows) of the source -> kept;
+    otherwise (re)loaded and reconciled, the old table staying until the new one
+    is whole. A first load parses its source once: the parsed rows are counted
+    and summed while they are written.
     """
     ensure_databases(spark, manifest.keys())
     out = []
@@ -113,19 +143,23 @@ def load_all(spark: SparkSession, base: str, manifest: dict[str, Sequence[str]],
                 out.append(LoadResult(db, t, "missing_source", None, None))
                 continue
             src = read_raw(spark, path, partitions=partitions, multi_line=multi_line)
+            recover_table(spark, db, t)
+            action = "loaded"
             if table_exists(spark, db, t):
-                expected = src.count()
-                actual = spark.table(f"`{db}`.`{t}`").count()
-                if actual == expected:
-                    out.append(LoadResult(db, t, "skipped", expected, actual))
-                    continue
+                old = spark.table(f"`{db}`.`{t}`")
+                if sorted(old.columns) == sorted(src.columns):
+                    have, want = old.agg(*_checksum(old)).first(), src.agg(*_checksum(src)).first()
+                    if have == want:
+                        out.append(LoadResult(db, t, "skipped", want["rows"], have["rows"]))
+                        continue
                 action = "reloaded"
-            else:
-                action = "loaded"
             parsed = Observation()
-            load_table(src.observe(parsed, F.count(F.lit(1)).alias("rows")), db, t)
-            expected = parsed.get["rows"]
-            out.append(LoadResult(db, t, action, expected, spark.table(f"`{db}`.`{t}`").count()))
+            load_table(src.observe(parsed, *_checksum(src)), db, t)
+            new = spark.table(f"`{db}`.`{t}`")
+            actual = new.agg(*_checksum(new)).first()
+            if actual["checksum"] != parsed.get["checksum"]:
+                raise RuntimeError(f"{db}.{t}: the table does not hold what was parsed")
+            out.append(LoadResult(db, t, action, parsed.get["rows"], actual["rows"]))
     return out
 
 

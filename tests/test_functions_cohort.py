@@ -214,3 +214,35 @@ def test_first_event_after_null_index_time(spark):
     idx = spark.createDataFrame([(1, 1, None), (2, 1, ts("2024-01-01 00:00:00"))], "rid long, k long, t0 timestamp_ntz")
     got = {r["rid"]: r["nxt"] for r in K.first_event_after(idx, ev, "k", "t0", "ts", "nxt").collect()}
     assert got == {1: None, 2: ts("2024-01-02 00:00:00")}
+
+
+@pytest.mark.parametrize("max_bytes", [0, 64_000_000])
+def test_codes_and_categories_from_tables(spark, max_bytes):
+    from cohortkit.operators import cohort as K
+
+    df = spark.createDataFrame([(1, "995.92", 9), (2, "99592", 9), (3, "A41.9", 10), (4, "A419", 9), (5, None, 9), (6, "x", None)], "id int, code string, __hit int")
+    codes = spark.createDataFrame([(9, "99592"), (9, "995.92"), (10, "A419"), (None, "x"), (9, None)], "version int, code string")
+    got = {r["id"]: r["f"] for r in K.flag_by_table(df, "code", "__hit", codes, "f", normalise=True, max_bytes=max_bytes).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0, 6: 0}
+    assert {r["id"]: r["f"] for r in K.flag_by_table(df, "code", "__hit", codes, "f", max_bytes=max_bytes).collect()}[3] == 0
+    mapping = spark.createDataFrame([("99592", "b", 2), ("995.92", "a", 1), ("A41.9", "z", 1), ("A419", "y", 1), (None, "n", 0)], "key string, category string, rank int")
+    got = {r["id"]: r["c"] for r in K.categorize_by_table(df, "code", mapping, "c", normalise=True, max_bytes=max_bytes).collect()}
+    assert got == {1: "a", 2: "a", 3: "y", 4: "y", 5: "other", 6: "other"}
+
+
+def test_correlations_of_many_columns(spark, monkeypatch):
+    from cohortkit.operators import gram
+
+    monkeypatch.setattr(gram, "FAN_IN", 2)
+    rng = np.random.default_rng(0)
+    p, n = 60, 400
+    x = rng.normal(size=(n, p)) @ rng.normal(size=(p, p)) + 1e6
+    x[:, 7] = 3.5
+    x[rng.random((n, p)) < 0.2] = np.nan
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in x]
+    df = spark.createDataFrame(rows, ", ".join(f"`c.{j}` double" for j in range(p))).repartition(7)
+    got = gram.correlation_matrix(df, [f"c.{j}" for j in range(p)])
+    for i, j in [(0, 1), (3, 50), (12, 40), (59, 58), (20, 20)]:
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert abs(got[i, j] - np.corrcoef(x[both, i], x[both, j])[0, 1]) < 1e-9
+    assert np.isnan(got[7]).all()

@@ -60,3 +60,36 @@ def test_incremental_load_exactly_once(spark):
     r3 = incremental_load(spark, src, cols, out, ck)
     assert r3["rows"] == 15
     assert spark.read.parquet(out).count() == 25
+
+
+def test_load_all_sees_changed_content_and_keeps_the_old_table(spark):
+    base, wh = tempfile.mkdtemp(prefix="ck-base-"), tempfile.mkdtemp(prefix="ck-wh-")
+    db = "swap_test"
+    io.ensure_databases(spark, [db], location=wh)
+
+    def put(rows):
+        spark.createDataFrame(rows, "id int, v string").coalesce(1).write.mode("overwrite").option("header", True).option("compression", "gzip").csv(f"{base}/{db}/t.csv.gz")
+
+    def load():
+        return [(r.action, r.expected, r.actual) for r in io.load_all(spark, base, {db: ["t"]})]
+
+    held = lambda: sorted(tuple(r) for r in spark.table(f"{db}.t").collect())
+    put([(1, "a"), (2, "b")])
+    assert load() == [("loaded", 2, 2)] and load() == [("skipped", 2, 2)]
+    put([(1, "a"), (2, "c")])  # as many rows, other content
+    assert load() == [("reloaded", 2, 2)] and held() == [("1", "a"), ("2", "c")]
+    # a load that broke between the two renames: the old table comes back
+    spark.sql(f"ALTER TABLE {db}.t RENAME TO {db}.t__old")
+    spark.range(3).write.saveAsTable(f"{db}.t__new")
+    io.recover_table(spark, db, "t")
+    assert held() == [("1", "a"), ("2", "c")] and not io.table_exists(spark, db, "t__new") and not io.table_exists(spark, db, "t__old")
+    # one that broke while it wrote
+    failing = spark.range(5).select(F.expr("CAST(id AS STRING)").alias("id"), F.expr("IF(id = 4, raise_error('broken'), 'x')").alias("v"))
+    try:
+        io.load_table(failing, db, "t")
+        raise AssertionError("must fail")
+    except Exception as e:  # noqa: BLE001
+        assert "broken" in str(e)
+    io.recover_table(spark, db, "t")
+    assert held() == [("1", "a"), ("2", "c")] and load() == [("skipped", 2, 2)]
+    spark.sql(f"DROP DATABASE {db} CASCADE")
