@@ -41,6 +41,14 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
@@ -53,6 +61,12 @@ def literal_array(values: Sequence, kind: str) -> Column:
 BROADCAST, SALTS = 32_000_000, 64
 
 
+def measured_small(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether the values of ``df``, 16 bytes a column more, are within ``limit`` bytes (``BROADCAST``)."""
+    length = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns), F.lit(16 * len(df.columns)))
+    return (df.agg(F.sum(length)).first()[0] or 0) <= (BROADCAST if limit is None else limit)
+
+
 def join_small(rows: DataFrame, totals: DataFrame, keys: Sequence[str], spread: Column) -> DataFrame:
     """``rows`` with the columns of ``totals``, one row of which has each of ``keys`` (null is a key like any other).
 
@@ -62,13 +76,11 @@ def join_small(rows: DataFrame, totals: DataFrame, keys: Sequence[str], spread:
     """
     totals = stage(totals, "totals")
     values = [c for c in totals.columns if c not in keys]
-    length = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in totals.columns), F.lit(16 * len(totals.columns)))
-    small = (totals.agg(F.sum(length)).first()[0] or 0) <= BROADCAST
     right = totals.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
-    if small:
+    if measured_small(totals):
         joined = rows.join(F.broadcast(right), same)
     else:
         left = rows.withColumn("_salt", F.pmod(spread, F.lit(SALTS)))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortkit.llm.common import crc_remainder
+from cohortkit.llm.common import crc_remainder, free_name
 from cohortkit.llm.linear_svm import OneVersusOne
 from cohortkit.llm.sampling import bounded_sample
 
@@ -107,11 +107,12 @@ class Familiarity:
 class HierarchicalModel:
     """Families told apart by one vote of SVMs, the languages of each family by another."""
 
-    def __init__(self, x: np.ndarray, langs: np.ndarray, words: np.ndarray):
+    def __init__(self, x: np.ndarray, langs: np.ndarray, words: np.ndarray | None = None):
         families = np.array([family_of(v) for v in langs])
         self.top = OneVersusOne(x, families)
         self.within = {f: OneVersusOne(x[families == f], langs[families == f]) for f in self.top.classes}
-        self.familiar = {v: Familiarity(words[langs == v]) for v in set(langs)}
+        # one language at a time: the driver holds ``words`` as it came
+        self.familiar = {v: Familiarity(words[langs == v].astype("float32")) for v in set(langs)} if words is not None else {}
         members = [self.top, *(self.within[f] for f in self.top.classes)]
         weights = np.vstack([m.weights for m in members])
         self.weights, self.bias = np.ascontiguousarray(weights[:, :-1].T), weights[:, -1]
@@ -144,22 +145,24 @@ def training_sample(docs: DataFrame, may_learn: Column, per_language: int = SAMP
     return bounded_sample(rows, "lang", "doc_id", per_language, 11).select("lang", "text")
 
 
-def fit(docs: DataFrame, may_learn: Column, per_language: int = SAMPLE) -> HierarchicalModel | None:
-    """Fit on the bounded sample; None if it has no usable row. Features are made by the executors."""
+def fit(docs: DataFrame, may_learn: Column, per_language: int = SAMPLE, judged: bool = True) -> HierarchicalModel | None:
+    """Fit on the bounded sample; None if it has no usable row. Features are made by the executors; those of familiarity only if ``judged``."""
+    makers = {"x": features} | ({"words": letters_only} if judged else {})
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch[[has_letter(t) for t in batch["text"]]]
             if len(batch):
-                packed = [[v.astype("float16").tobytes() for v in make_x(list(batch["text"]))] for make_x in (features, letters_only)]
-                yield pd.DataFrame({"lang": batch["lang"], "x": packed[0], "words": packed[1]})
+                yield pd.DataFrame({"lang": batch["lang"]} | {c: [v.astype("float16").tobytes() for v in make_x(list(batch["text"]))] for c, make_x in makers.items()})
 
-    sample = training_sample(docs, may_learn, per_language).mapInPandas(make, "lang string, x binary, words binary").toPandas()
+    schema = ", ".join(["lang string", *(f"{c} binary" for c in makers)])
+    sample = training_sample(docs, may_learn, per_language).mapInPandas(make, schema).toPandas()
     if not len(sample):
         return None
     sample = sample.sort_values(["lang", "x"])
-    x, words = (np.frombuffer(b"".join(sample[c]), "float16").reshape(len(sample), BUCKETS).astype("float32") for c in ("x", "words"))
-    return HierarchicalModel(x, sample["lang"].to_numpy(object), words)
+    langs = sample["lang"].to_numpy(object)
+    packed = {c: np.frombuffer(b"".join(sample.pop(c)), "float16").reshape(len(langs), BUCKETS) for c in makers}
+    return HierarchicalModel(packed.pop("x").astype("float32"), langs, packed.get("words"))
 
 
 def with_prediction(docs: DataFrame, model: HierarchicalModel | None, name: str, judged: bool = False) -> DataFrame:
@@ -183,16 +186,18 @@ def with_prediction(docs: DataFrame, model: HierarchicalModel | None, name: str,
 
 def accepted(docs: DataFrame, model: HierarchicalModel | None, languages: list[str] | None = None, at_least: float = 0.5) -> DataFrame:
     """Rows of ``docs`` that read as a learned language (among ``languages``) with a score of ``at_least``; same columns."""
-    found = with_prediction(docs, model, "_found", judged=True)
-    good = (F.col("_found.lang_pred") != "und") & F.col("_found.familiar") & (F.col("_found.score") >= at_least)
+    name = free_name(docs, "_found")
+    found = with_prediction(docs, model, name, judged=True)
+    said = F.col(name)
+    good = (said["lang_pred"] != "und") & said["familiar"] & (said["score"] >= at_least)
     if languages is not None:
-        good = good & F.col("_found.lang_pred").isin(languages)
+        good = good & said["lang_pred"].isin(languages)
     return found.filter(good).select(*[f"`{c}`" for c in docs.columns])
 
 
 def identify(docs: DataFrame, modulus: int = 4, held_out: int = 2, per_language: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row; rows held out are never learned from."""
     out = crc_remainder(F.col("doc_id"), modulus) == held_out
-    model = fit(docs, ~out, per_language)
+    model = fit(docs, ~out, per_language, judged=False)
     found = with_prediction(docs.select("doc_id", "text", out.alias("held_out")), model, "_found")
     return found.select("doc_id", "held_out", "_found.lang_pred", "_found.score")

@@ -1,8 +1,9 @@
 """License scan: phrases, and an exact set-similarity join of text blocks with notice templates.
 
-Blocks are ``BLOCK`` consecutive words, a new one every ``BLOCK / 2``, so a
-notice of up to half a block lies whole in one. A template is found where a
-block holds at least ``percent`` of its distinct words. The join is exact:
+A template is looked for in blocks of consecutive words, a new one every half
+block. Blocks are at least twice as long as the template (``BLOCK`` words, or
+the next power of two), so wherever a text holds it, it lies whole in one. It is
+found where a block holds at least ``percent`` of its distinct words. The join is exact:
 words are ordered by their count over all documents, rarest first, and a pair
 that reaches the threshold must share a word of the template's prefix
 (prefix filter), the block must be large enough (length filter), and enough
@@ -88,26 +89,39 @@ def rarest_first(rows: DataFrame, vocabulary: list[str]) -> list[int]:
     return sorted(range(1, len(vocabulary) + 1), key=lambda t: (counts.get(t, 0), vocabulary[t - 1]))
 
 
+def block_size(words: int, least: int = BLOCK) -> int:
+    """Words of the blocks in which a template of ``words`` words is looked for."""
+    return max(least, 1 << (2 * words - 1).bit_length())
+
+
 def template_matches(rows: DataFrame, templates: list[tuple[str, list[int]]], order: list[int], percent: int, block: int) -> DataFrame:
     """(key, label, containment) of the blocks that hold ``percent`` of a template's words."""
     rank = {t: i for i, t in enumerate(order)}
-    sets = [(label, sorted({rank[t] for t in words})) for label, words in templates]
-    index = []
-    for label, words in sets:
+    index, wanted = [], {}
+    for label, numbers in templates:
+        words, size = sorted({rank[t] for t in numbers}), block_size(len(numbers), block)
         need = math.ceil(len(words) * percent / 100 - 1e-9)
-        index += [(label, words, need, r, j) for j, r in enumerate(words[: len(words) - need + 1])]
+        index += [(label, words, need, r, j, size) for j, r in enumerate(words[: len(words) - need + 1])]
+        wanted.setdefault(size, set()).update(words[: len(words) - need + 1])
     spark = rows.sparkSession
-    prefixes = spark.createDataFrame(index, "label string, words array<int>, need int, r int, j int")
+    prefixes = spark.createDataFrame(index, "label string, words array<int>, need int, r int, j int, size int")
     ranks = literal_array([-1, *[rank[t] for t in range(1, len(order) + 1)]], "int")
-    wanted = sorted({order[r] for *_, r, _ in index})
-    half = block // 2
-    near = rows.filter(F.exists("known", lambda x: x["t"].isin(wanted))).dropDuplicates(["key"])
-    spots = near.select("key", F.explode("known").alias("x")).select(
-        "key", F.explode(F.array(F.floor(F.col("x.at") / half), F.floor(F.col("x.at") / half) - 1)).alias("block"), F.get(ranks, F.col("x.t").cast("int")).alias("r")
+
+    def holds(sizes: list[int]) -> Column:
+        numbers = sorted({order[r] for size in sizes for r in wanted[size]})
+        return F.exists("known", lambda x: x["t"].isin(numbers))
+
+    near = rows.filter(holds(list(wanted))).dropDuplicates(["key"])
+    # only of the classes of blocks one of whose templates may be in the text
+    sizes = [F.when(holds([size]), F.lit(size)) for size in sorted(wanted)]
+    spots = near.select("key", F.explode("known").alias("x"), F.array_compact(F.array(*sizes)).alias("sizes")).select("key", "x", F.explode("sizes").alias("size"))
+    half = F.col("size") / 2
+    spots = spots.select(
+        "key", "size", F.explode(F.array(F.floor(F.col("x.at") / half), F.floor(F.col("x.at") / half) - 1)).alias("block"), F.get(ranks, F.col("x.t").cast("int")).alias("r")
     )
-    # a block has at most BLOCK words
-    blocks = spots.groupBy("key", "block").agg(F.sort_array(F.collect_set("r")).alias("own")).withColumn("m", F.size("own"))
-    met = blocks.select("key", "block", "own", "m", F.posexplode("own").alias("i", "r")).join(F.broadcast(prefixes), "r")
+    # no more words than the vocabulary has
+    blocks = spots.groupBy("key", "size", "block").agg(F.sort_array(F.collect_set("r")).alias("own")).withColumn("m", F.size("own"))
+    met = blocks.select("key", "size", "own", "m", F.posexplode("own").alias("i", "r")).join(F.broadcast(prefixes), ["r", "size"])
     met = met.filter((F.col("m") >= F.col("need")) & (1 + F.least(F.col("m") - F.col("i"), F.size("words") - F.col("j")) - 1 >= F.col("need")))
     overlap = F.size(F.array_intersect("own", "words"))
     return (

@@ -78,9 +78,10 @@ CONTAINED = rf"""
 WITH words AS (
   SELECT 'd' AS side, doc_id AS id, text, regexp_extract_all(lower(text), {_LETTER}) AS w FROM documents WHERE text IS NOT NULL
   UNION SELECT 'i', item_id, text, regexp_extract_all(lower(text), {_LETTER}) FROM benchmark WHERE text IS NOT NULL
-), shingles AS (
-  SELECT DISTINCT side, id, text, array_to_string(w[k : k + 4], ' ') AS s
-  FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM words WHERE len(w) > 0)
+), short AS (SELECT DISTINCT len(w) AS m FROM words WHERE side = 'i' AND len(w) BETWEEN 1 AND 4), shingles AS (
+  SELECT DISTINCT side, id, text, array_to_string(w[k : k + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS k FROM words WHERE len(w) >= 5)
+  UNION SELECT side, id, text, array_to_string(w, ' ') FROM words WHERE side = 'i' AND len(w) BETWEEN 1 AND 4
+  UNION SELECT side, id, text, array_to_string(w[k : k + m - 1], ' ') FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS k FROM words, short WHERE side = 'd' AND len(w) >= m)
 ), sized AS (SELECT *, count(*) OVER (PARTITION BY id, text) AS q FROM shingles WHERE side = 'i')
 SELECT d.id AS doc_id, i.id AS item_id, i.q AS item_shingles, count(*) AS hits, round(count(*) / i.q, 6) AS containment
 FROM shingles d JOIN sized i ON d.s = i.s AND d.side = 'd'

@@ -48,9 +48,10 @@ def default_vocabulary() -> str:
 class ByteBPE:
     """Ids of whole texts under the vocabulary of a byte-level BPE json file.
 
-    The vocabulary's ids are its merge ranks, which tiktoken runs; strings of
-    special tokens in a text are ordinary text. Chunks repeat a lot, so their
-    ids are remembered in a bounded cache.
+    The vocabulary's ids are its merge ranks, which tiktoken runs. A text is
+    first cut at the file's added tokens, which have ids of their own wherever
+    they stand, as in ``tokenizers``. Chunks repeat a lot, so their ids are
+    remembered in a bounded cache.
     """
 
     def __init__(self, path: str):
@@ -62,14 +63,23 @@ class ByteBPE:
             spec = json.load(f)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         to_byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-        special = {t["content"] for t in spec.get("added_tokens", [])}
-        ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        if any(t[k] for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that strip or need borders are not supported")
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.added}
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         self.encode = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
         """Little-endian unsigned 32-bit ids."""
+        if any(token in text for token in self.added):
+            parts = self.at_added.split(text)  # texts and tokens in turn
+            return np.concatenate([np.array([self.added[p]], "<u4") if k % 2 else self._plain(p) for k, p in enumerate(parts)])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> np.ndarray:
         chunks, known = _CHUNK.findall(text), self.known
         try:
             return np.frombuffer(b"".join([known[c] for c in chunks]), "<u4")

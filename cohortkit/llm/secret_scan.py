@@ -26,7 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortkit.llm.common import SPACE_WORDS, row_key, stage, words_of
+from cohortkit.llm.common import free_name, row_key, SPACE_WORDS, stage, words_of
 from cohortkit.llm.sampling import bounded_sample
 
 #: Documented bound of the training sample, per kind.
@@ -195,18 +195,19 @@ def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
     of an assignment, as they may be words of the text. ``n_chars``, where
     there is one, follows the changed text.
     """
-    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.coalesce("text", F.lit(""))))
+    key, held = free_name(docs, "_key"), free_name(docs, "_values")
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.coalesce("text", F.lit(""))))
     ranked = F.struct((-F.length("value")).alias("n"), F.col("value").alias("v"))  # a value may hold another: longest first
-    values = found.filter("secret").groupBy(F.col("key").alias("_key")).agg(F.array_sort(F.collect_set(ranked)).alias("_values"))  # of one text
-    out = keyed.join(values, "_key", "left")
+    values = found.filter("secret").groupBy(F.col("key").alias(key)).agg(F.array_sort(F.collect_set(ranked)).alias(held))  # of one text
+    out = keyed.join(values, key, "left")
 
     def without(text: Column, x: Column) -> Column:
         literal = F.regexp_replace(x["v"], r"([^A-Za-z0-9\s])", r"\\$1")
         start = F.when(x["v"].rlike("^[A-Za-z]+$"), r"(?<=[=:>][ \t]{0,8}\\?[\"'`]?(?i:bearer |basic |token )?)").otherwise("(?<![A-Za-z0-9])")
         return F.when(x["n"] <= -16, F.replace(text, x["v"], F.lit(MASK))).otherwise(F.regexp_replace(text, F.concat(start, literal, F.lit("(?![A-Za-z0-9])")), F.lit(MASK)))
 
-    masked = F.aggregate("_values", F.col("text"), without)
-    out = out.withColumn("text", F.when(F.col("_values").isNotNull(), masked).otherwise(F.col("text")))
+    masked = F.aggregate(held, F.col("text"), without)
+    out = out.withColumn("text", F.when(F.col(held).isNotNull(), masked).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_values").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(held).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*[f"`{c}`" for c in docs.columns])

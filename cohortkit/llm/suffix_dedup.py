@@ -3,9 +3,9 @@
 Suffixes are kept only where a minimiser stands: every window of ``MIN_WORDS``
 words holds at least one place whose ``GRAM``-word hash is least in it, and
 copies of a window hold the same one. Suffixes are keyed by the words around
-that place, sorted through Spark's shuffle, and those whose neighbours in the
-order have other keys are dropped: a repeated window either shares ``RIGHT``
-words from the place on, or ``LEFT`` words before it. Around the suffixes that
+that place and met through Spark's shuffle by equal keys, not by a sorted
+order; those whose key stands in no other text are dropped: a repeated window
+either shares ``RIGHT`` words from the place on, or ``LEFT`` words before it. Around the suffixes that
 remain, matches are extended left and right: every window that has the place
 as its minimiser is keyed as a whole, and runs of windows met in another
 document become one span.
@@ -17,9 +17,9 @@ steps and are spans from end to end.
 
 Words are runs of non-space, A-Z lower-cased. Defined results: null, empty and
 short texts have no spans; repeated rows of one id are no copies of each
-other, but are each reported; rows without an id are compared and reported
-with a null id, and count as copies only of rows with one; an empty table
-gives no rows; other columns are ignored.
+other, but are each reported; a row without an id is a document of its own and
+reported with a null id; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -117,8 +117,11 @@ def repeated_windows(docs: DataFrame, kept: DataFrame, window: int, gram: int, l
 def repeated_spans(docs: DataFrame, window: int = MIN_WORDS, gram: int = GRAM, left: int = LEFT) -> DataFrame:
     """doc_id, start_word, end_word, n_words: longest runs of words whose every ``window`` words stand in another document."""
     rows = stage(suffixes(docs, window, gram, left), "suffixes")
+    # a row without an id is a document of its own
+    no_id, has_id = F.count_if(F.col("doc_id").isNull()), F.max(F.col("doc_id").isNotNull().cast("int"))
     texts = stage(
-        rows.groupBy("th").agg(F.max("n_words").alias("n_words"), F.coalesce(F.min("doc_id") < F.max("doc_id"), F.lit(False)).alias("copied")), "suffix-texts"
+        rows.groupBy("th").agg(F.max("n_words").alias("n_words"), (F.coalesce(F.min("doc_id") < F.max("doc_id"), F.lit(False)) | (no_id + has_id > 1)).alias("copied")),
+        "suffix-texts",
     )
     places = rows.filter(F.size("at") > 0).select("th", F.explode(F.arrays_zip("at", "lefts", "rights")).alias("x")).select("th", "x.*")
     sides = F.explode(F.array(F.struct(F.col("lefts").alias("k"), F.lit(True).alias("is_left")), F.struct(F.col("rights").alias("k"), F.lit(False).alias("is_left"))))

@@ -224,6 +224,42 @@ def test_licenses_match_brute_force(spark, docs, corpus):
     assert got == want
 
 
+def test_long_templates_are_found_wherever_they_start(spark):
+    rng = np.random.default_rng(1)
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(400)]
+    templates = {"short": [" ".join(words[:5])], "hundred": [" ".join(words[:100])], "long": [" ".join(words[50:400])]}
+    rows = []
+    for k in range(40):
+        label = ["short", "hundred", "long"][k % 3]
+        rows.append((k, f"{prose(k, int(rng.integers(0, 300)), EN)} {templates[label][0]} {prose(k + 90, 120, EN)}", "en"))
+    rows.append((90, " ".join(words[10:100]), "en"))  # 90 of a hundred words
+    rows.append((91, " ".join(words[11:100]), "en"))
+    found = {r.doc_id: r.labels.split(",") for r in license_scan.scan(make(spark, rows), templates=templates).collect()}
+    assert all(["short", "hundred", "long"][k % 3] in found[k] for k in range(40))
+    assert "hundred" in found[90] and "hundred" not in found[91]
+
+
+def test_numbers_are_no_letters(spark):
+    table = make(spark, [(k, f"{prose(k, 40, EN if k % 2 else FR)}", "en" if k % 2 else "fr") for k in range(40)] + [(90, "½ ² Ⅷ ① 12", "en"), (91, "12 ª", None)])
+    found = {r.doc_id: r for r in language_id.identify(table).collect()}
+    assert (found[90].lang_pred, found[90].score) == ("und", 0.0) and found[91].lang_pred != "und"
+
+
+def test_a_sample_is_bounded_and_the_same_each_time(spark):
+    from cohortkit.llm.sampling import bounded_sample
+
+    rows = [(k % 500, "a" if k % 10 else "b", f"t{k}") for k in range(3000)] + [(None, "a", "n"), (7, None, "x")]
+    frame = spark.createDataFrame(rows, "k long, label string, t string")
+    for bound in (1, 40, 400, 5000):
+        one, two = (sorted(bounded_sample(f, "label", "k", bound, 3).collect()) if bound else [] for f in (frame.filter("k is not null"), frame.filter("k is not null").repartition(5)))
+        assert one == two
+        for label, n in (("a", 500 - 50), ("b", 50)):
+            mine = [r for r in one if r.label == label]
+            assert len(mine) == len({r.k for r in mine}) == min(bound, n)
+            assert all(r.t == min(t for k, v, t in rows if (k, v) == (r.k, label)) for r in mine)
+    assert bounded_sample(frame.limit(0), "label", "k", 5, 3).count() == 0
+
+
 def test_licenses_of_empty_and_null_tables(no_docs, null_docs):
     assert license_scan.scan(no_docs).count() == 0
     assert [(r.n_words, r.n_base, r.first_word, r.labels, r.score) for r in license_scan.scan(null_docs).collect()] == [(0, 0, None, "", 0.0)] * 3
