@@ -2,9 +2,11 @@
 
 Stages take (spark, docs, sf_dir). All but the last return the columns of
 ``docs``; the last returns the pieces of the packed sequences. Rows with a
-null text have no language and go in the first stage; rows with a null id are
-never near duplicates; repeated rows are treated alike in every stage; an
-empty table passes through. A document that contains a benchmark item goes;
+null text have no language and go in the first stage. Rows that share an id are
+one document: all of them stay or go in the second stage, by their texts' groups;
+rows without an id are none that could stand for another, so they are never
+near duplicates. Repeated rows are treated alike in every stage; an empty table
+passes through; other columns may have any names. A document that contains a benchmark item goes;
 secrets are masked in place, so no document goes for them.
 """
 
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortkit.llm import decontaminate, language_id, near_dup, packing, secret_scan
-from cohortkit.llm.common import crc_remainder, row_key, stage, table
+from cohortkit.llm.common import crc_remainder, free_name, row_key, stage, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +34,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold four fifths of a benchmark item's five-word shingles."""
     found = decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark"), n=5, percent=80)
-    leaked = stage(found.select(F.col("key").alias("_key")).distinct(), "leaked")
-    return docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text"))).join(leaked, "_key", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    key = free_name(docs, "_key")
+    leaked = stage(found.select(F.col("key").alias(key)).distinct(), "leaked")
+    return docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).join(leaked, key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
