@@ -16,12 +16,14 @@ empty text in the split; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,12 +109,11 @@ class Familiarity:
 class HierarchicalModel:
     """Families told apart by one vote of SVMs, the languages of each family by another."""
 
-    def __init__(self, x: np.ndarray, langs: np.ndarray, words: np.ndarray | None = None):
+    def __init__(self, x: np.ndarray, langs: np.ndarray, familiar: dict[str, Familiarity] | None = None):
         families = np.array([family_of(v) for v in langs])
         self.top = OneVersusOne(x, families)
         self.within = {f: OneVersusOne(x[families == f], langs[families == f]) for f in self.top.classes}
-        # one language at a time: the driver holds ``words`` as it came
-        self.familiar = {v: Familiarity(words[langs == v].astype("float32")) for v in set(langs)} if words is not None else {}
+        self.familiar = familiar or {}
         members = [self.top, *(self.within[f] for f in self.top.classes)]
         weights = np.vstack([m.weights for m in members])
         self.weights, self.bias = np.ascontiguousarray(weights[:, :-1].T), weights[:, -1]
@@ -156,13 +157,24 @@ def fit(docs: DataFrame, may_learn: Column, per_language: int = SAMPLE, judged:
                 yield pd.DataFrame({"lang": batch["lang"]} | {c: [v.astype("float16").tobytes() for v in make_x(list(batch["text"]))] for c, make_x in makers.items()})
 
     schema = ", ".join(["lang string", *(f"{c} binary" for c in makers)])
-    sample = training_sample(docs, may_learn, per_language).mapInPandas(make, schema).toPandas()
+    sample = training_sample(docs, may_learn, per_language).mapInPandas(make, schema).toArrow().combine_chunks()
     if not len(sample):
         return None
-    sample = sample.sort_values(["lang", "x"])
-    langs = sample["lang"].to_numpy(object)
-    packed = {c: np.frombuffer(b"".join(sample.pop(c)), "float16").reshape(len(langs), BUCKETS) for c in makers}
-    return HierarchicalModel(packed.pop("x").astype("float32"), langs, packed.get("words"))
+    packed, langs = {c: _matrix(sample.column(c)) for c in makers}, sample.column("lang").to_numpy()
+    del sample  # each matrix goes when it has served
+    order = sorted(range(len(langs)), key=lambda i: (langs[i], hashlib.blake2b(packed["x"][i], digest_size=16).digest()))
+    langs = langs[order]
+    words = packed.pop("words", None)
+    by_lang = {v: np.array(order)[langs == v] for v in dict.fromkeys(langs)}
+    familiar = {v: Familiarity(words[at].astype("float32")) for v, at in by_lang.items()} if judged else None
+    del words
+    return HierarchicalModel(packed.pop("x")[order].astype("float32"), langs, familiar)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of ``BUCKETS`` half-precision numbers from a column of packed rows."""
+    parts = [np.frombuffer(c.buffers()[2], "float16", BUCKETS * len(c), c.offset * BUCKETS * 2).reshape(len(c), BUCKETS) for c in column.chunks if len(c)]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def with_prediction(docs: DataFrame, model: HierarchicalModel | None, name: str, judged: bool = False) -> DataFrame:

@@ -10,20 +10,20 @@ import numpy as np
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 30, seed: int = 7) -> np.ndarray:
     """Weights (last one the bias) of an L2-regularised hinge-loss SVM; ``y`` is -1 or 1."""
     rng = np.random.default_rng(seed)
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype("float32")
-    norm, alpha, w = np.einsum("ij,ij->i", x, x), np.zeros(len(x)), np.zeros(x.shape[1], "float32")
+    norm, alpha, w, bias = np.einsum("ij,ij->i", x, x) + 1, np.zeros(len(x)), np.zeros(x.shape[1], "float32"), 0.0
     for _ in range(epochs):
         largest = 0.0
         for i in rng.permutation(len(x)):
-            slope = y[i] * float(w @ x[i]) - 1
+            slope = y[i] * (float(w @ x[i]) + bias) - 1
             step = min(max(alpha[i] - slope / norm[i], 0), cost) - alpha[i]
             if step:
                 alpha[i] += step
                 w += np.float32(step * y[i]) * x[i]
+                bias += step * y[i]
                 largest = max(largest, abs(step))
         if largest < 1e-3:
             break
-    return w
+    return np.append(w, np.float32(bias))
 
 
 class OneVersusOne:
@@ -35,7 +35,8 @@ class OneVersusOne:
         self.weights = np.zeros((len(self.pairs), x.shape[1] + 1), "float32")
         for k, (a, b) in enumerate(self.pairs):
             rows = np.isin(y, [self.classes[a], self.classes[b]])
-            self.weights[k] = fit_svm(x[rows], np.where(y[rows] == self.classes[a], 1, -1))
+            # two classes need no copy of the rows
+            self.weights[k] = fit_svm(x if rows.all() else x[rows], np.where(y[rows] == self.classes[a], 1, -1))
 
     def predict(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class numbers and confidences (0 to 1: the winner's worst duel) from the pairs' margins, a row per text."""
