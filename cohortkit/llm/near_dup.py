@@ -5,8 +5,11 @@
 2. Banded MinHash gives candidate buckets. A bucket is split by set size, as
    linked sets differ in size by the threshold at most.
 3. Every document is first compared with one pivot, the one it shares most
-   buckets with, then with the hub of its buckets, the one with most links so
-   far; the links found join most of any large group of near copies.
+   buckets with. While comparing the buckets in full would still be far more
+   work than reading them, rounds follow: in small cells of each bucket every
+   text meets one of another component, and the partner with the most equal
+   signature values is confirmed. The links found join the components of
+   large groups of near copies; a round that no longer helps is the last.
 4. Buckets that still hold several components are compared in full, except
    inside a component, where links cannot change the result. In large buckets
    (texts that drifted from one source) rare shingles decide which pairs are
@@ -44,6 +47,8 @@ ROWS, BAND_MISS = 5, 5e-7
 BATCH, MISS = 25, 1e-7
 #: Buckets above so many texts go by rare shingles: those that so many texts of such buckets have at most.
 LARGE, RARE = 64, 16
+#: Rounds go on while full comparison meets more than so many rows for each row, and a round saves this share of it; texts of a cell.
+WORTH, SAVED, CELL = 8, 0.2, 8
 _RNG = np.random.default_rng(85)
 _FACTOR = _RNG.integers(1, 2**63, 1000, dtype="u8") * np.uint64(2) + np.uint64(1)
 _FOLD = _RNG.integers(1, 2**63, ROWS, dtype="u8") * np.uint64(2) + np.uint64(1)
@@ -103,7 +108,7 @@ def least_matches(threshold: float, n: int, miss: float) -> int:
 
 
 def pruned(pairs: DataFrame, signs: DataFrame, threshold: float, total: int, miss: float = MISS, batch: int = BATCH) -> DataFrame:
-    """Candidate pairs (a, b) that pass the sequential posterior test."""
+    """Candidate pairs (a, b) that pass the sequential posterior test, with their equal signature values."""
     steps = [0, *range(batch, total, batch), total]
     bounds = [(i, k, least_matches(threshold, k, miss)) for i, k in zip(steps, steps[1:])]
 
@@ -117,10 +122,10 @@ def pruned(pairs: DataFrame, signs: DataFrame, threshold: float, total: int, mis
             for i, k, least in bounds:
                 matches[alive] += (a[alive, i:k] == b[alive, i:k]).sum(axis=1)
                 alive = alive[matches[alive] >= least]
-            yield rows.iloc[alive][["a", "b"]]
+            yield rows.iloc[alive][["a", "b"]].assign(equal=matches[alive])
 
     one = lambda c: signs.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}"))
-    return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "sig_a", "sig_b").mapInPandas(run, "a long, b long")
+    return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "sig_a", "sig_b").mapInPandas(run, "a long, b long, equal long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -188,6 +193,28 @@ def with_components(rows: DataFrame, joined: DataFrame) -> DataFrame:
     return found.withColumn("comp", F.coalesce("component", "id")).drop("component")
 
 
+def open_buckets(binned: DataFrame, joined: DataFrame) -> DataFrame:
+    """(id, n, bin, comp, major, most, all): rows of the bins that hold several components, with each bin's largest one, its rows and all rows."""
+    known = stage(with_components(binned, joined), "known")
+    sizes = known.groupBy("bin", "comp").agg(F.count(F.lit(1)).alias("c"))
+    bins = sizes.groupBy("bin").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    return stage(known.join(bins.select("bin", F.col("m.comp").alias("major"), F.col("m.c").alias("most"), "all"), "bin"), "open")
+
+
+def partners(rows: DataFrame, turn: int) -> DataFrame:
+    """(a, b, n, n2): each row of a bin and one of another component; ``turn`` deals a bin's rows over other cells.
+
+    A row meets the least component of its cell, or the greatest if it belongs to
+    the least. Cells are small, so no bin is one task, and a row makes one pair.
+    """
+    cells = F.greatest(F.ceil(F.col("all") / F.lit(CELL)), F.lit(1))
+    dealt = rows.select("id", "n", "comp", "bin", F.pmod(F.xxhash64("id", F.lit(turn)), cells).alias("cell"))
+    one = F.struct(F.col("comp").alias("comp2"), F.col("id").alias("id2"), F.col("n").alias("n2"))
+    ends = dealt.groupBy("bin", "cell").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).filter("lo.comp2 < hi.comp2")
+    met = dealt.join(ends, ["bin", "cell"]).withColumn("o", F.when(F.col("comp") == F.col("lo.comp2"), F.col("hi")).otherwise(F.col("lo")))
+    return met.select(F.least("id", "o.id2").alias("a"), F.greatest("id", "o.id2").alias("b"), "n", F.col("o.n2").alias("n2"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
@@ -224,25 +251,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     links = stage(confirmed(pruned(first, reps, threshold, total), texts, n, percent), "links")
     joined = connected_components(links)
 
-    # each document and the hub of its buckets with most links so far: joins the stars of a large group
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    starred = stage(with_components(binned, joined).join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), "starred")
-    hub = F.max(F.struct("degree", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))).alias("h")
-    hubs = starred.groupBy("bin").agg(hub, F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bin", "h.*")
-    met = starred.drop("degree").join(hubs, "bin").filter("comp != comp2").filter(near_size)
-    met = met.groupBy("id").agg(F.max(F.struct("degree", F.col("id2").alias("p"))).alias("m"))
-    second = stage(met.select(F.least("id", "m.p").alias("a"), F.greatest("id", "m.p").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "hub-pairs")
-    links = stage(links.union(confirmed(pruned(second, reps, threshold, total), texts, n, percent)), "links")
-    joined = connected_components(links)
+    # rounds: one partner of another component for each document
+    before, turn = math.inf, 0
+    while True:
+        open_rows = open_buckets(binned, joined)
+        size, work = open_rows.agg(F.count(F.lit(1)), F.sum(F.col("all") - F.col("most"))).first()
+        if (work or 0) <= WORTH * size or work > (1 - SAVED) * before:
+            break
+        before, turn = work, turn + 1
+        met = pruned(partners(open_rows, turn).filter(near_size).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), reps, threshold, total)
+        ends = stage(met.select("a", "b", "equal", F.explode(F.array("a", "b")).alias("id")), "partners")
+        chosen = ends.groupBy("id").agg(F.max(F.struct("equal", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+        chosen = stage(chosen, "chosen")
+        first = first.union(chosen)
+        more = confirmed(chosen, texts, n, percent)
+        joined = connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        binned = open_rows.select("id", "n", "bin")
 
     # what still meets across components
-    first = first.union(second)
-    known = stage(with_components(binned, joined), "known")
-    ends = known.groupBy("bin").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bin")
-    open_rows = stage(known.join(ends, "bin"), "open")
-    sizes = open_rows.groupBy("bin", "comp").agg(F.count(F.lit(1)).alias("c"))
-    major = sizes.groupBy("bin").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all")).select("bin", F.col("m.comp").alias("major"), "all")
-    open_rows = stage(open_rows.join(major, "bin"), "open")
     large = open_rows.filter(F.col("all") > LARGE)
     rare = rare_shingles(texts, large.select(F.col("id").alias("doc_id")).distinct(), n)
     rarity = rare.groupBy("id", "n").agg(F.count(F.lit(1)).alias("rare"))
@@ -251,14 +277,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     def across(rows: DataFrame, extra: Column) -> DataFrame:
         """Pairs of different components in a bucket; one side is outside its largest component."""
-        named = {c: f"{c}2" for c in rows.columns if c not in ("bin", "major", "all")}
-        met = rows.filter("comp != major").drop("major", "all").join(rows.withColumnsRenamed(named).drop("all"), "bin")
+        named = {c: f"{c}2" for c in rows.columns if c not in ("bin", "major", "all", "most")}
+        met = rows.filter("comp != major").drop("major", "all", "most").join(rows.withColumnsRenamed(named).drop("all", "most"), "bin")
         # between two minor rows the pair is met from both sides
         one = (F.col("comp") != F.col("comp2")) & ((F.col("comp2") == F.col("major")) | (F.col("id") < F.col("id2")))
         return met.filter(one & near_size & extra).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
 
     few = large.filter(F.col("rare") <= F.lit(1 - threshold + 1e-9) * F.col("n"))
-    direct = across(few, (F.col("rare") <= slack) & (F.col("rare2") <= slack2))
+    # texts of one source share most of their bins: each pair is met in the least one alone
+    few = few.join(few.groupBy("id", "n").agg(F.collect_set("bin").alias("bins")), ["id", "n"])
+    least_bin = F.array_min(F.array_intersect("bins", "bins2")) == F.col("bin")
+    direct = across(few, (F.col("rare") <= slack) & (F.col("rare2") <= slack2) & least_bin)
     small = across(open_rows.filter(F.col("all") <= LARGE), F.lit(True))
     comps = large.select("id", "n", "comp", "rare").distinct()
     told = rare.join(comps, ["id", "n"])
@@ -268,7 +297,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     by_rare = by_rare.filter((F.col("c") >= F.col("rare") - slack) & (F.col("c") >= F.col("rare2") - slack2)).select(F.col("id").alias("a"), F.col("id2").alias("b"))
     pairs = small.union(direct).union(by_rare).distinct().join(first, ["a", "b"], "left_anti")
     more = confirmed(pruned(pairs, reps, threshold, total), texts, n, percent)
-    found = connected_components(links.union(more))
+    found = connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
     named = classes.join(found.withColumnRenamed("node", "rid"), "rid", "left").select("c1", "c2", F.coalesce("component", "rid").alias("_comp"))
     out = all_rows.select("doc_id", "n_shingles", "c1", "c2").join(named, ["c1", "c2"], "left")

@@ -293,9 +293,10 @@ def plain_components(rows, n, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("n", "percent", "large"), [(3, 85, 64), (3, 85, 4), (5, 80, 4)])
-def test_near_duplicates_match_brute_force(spark, corpus, n, percent, large, monkeypatch):
+@pytest.mark.parametrize(("n", "percent", "large", "worth"), [(3, 85, 64, 8), (3, 85, 4, 1000), (3, 85, 4, 0), (5, 80, 4, 0)])
+def test_near_duplicates_match_brute_force(spark, corpus, n, percent, large, worth, monkeypatch):
     monkeypatch.setattr(near_dup, "LARGE", large)
+    monkeypatch.setattr(near_dup, "WORTH", worth)  # 1000: no rounds; 0: rounds while they help
     rng = random.Random(8)
     base = prose(66, 120, EN).split()
     near = []
@@ -313,6 +314,15 @@ def test_near_duplicates_match_brute_force(spark, corpus, n, percent, large, mon
     assert [(r.component_id, r.kept) for r in found if r.doc_id is None] == [(None, True)]
 
 
+def test_partners_belong_to_other_components_and_a_row_makes_one_pair(spark):
+    rows = [(i, 10, 1, i % 7, 0, 60, 400) for i in range(400)]  # one bin of seven components
+    open_rows = spark.createDataFrame(rows, "id long, n long, bin long, comp long, major long, most long, all long")
+    first, second = ([(r.a, r.b) for r in near_dup.partners(open_rows, turn).collect()] for turn in (1, 2))
+    assert 300 < len(first) <= 400 and all(a < b and a % 7 != b % 7 for a, b in first)
+    assert len(set(first) & set(second)) < 40
+    assert near_dup.partners(open_rows.withColumn("comp", F.lit(3)), 1).count() == 0
+
+
 def test_near_duplicates_of_empty_and_null_tables(no_docs, null_docs):
     assert near_dup.near_duplicates(no_docs).count() == 0
     assert [(r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(null_docs).collect()] == [(0, None, True)] * 3
