@@ -20,7 +20,7 @@
 5. Pairs are checked in batches of signature values: a pair whose posterior
    chance of reaching the threshold falls below ``MISS`` is pruned. All
    survivors are confirmed on their whole shingle sets.
-6. Components spread by large-star / small-star steps; nothing is collected.
+6. Components spread by steps that halve paths; nothing is collected.
 
 Defined results: null or empty texts and texts without words have an empty
 set and are linked with nothing; rows without an id are linked with nothing
@@ -168,23 +168,24 @@ def needed(threshold: float) -> Column:
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) of the nodes that ``links`` (a, b) name; component is the least node.
 
-    Alternates large-star and small-star steps until no edge changes. Each step
-    is a partially aggregated minimum and a join back, so a hub's edges are
-    never in one task; every step is written to the shared folder.
+    Every step links each node's greater neighbours with its least one and moves
+    all ends up to the parent's parent, so paths halve; a step that changes no
+    edge ends it. A step is one partially aggregated minimum and two joins with
+    it, so a hub's edges are never in one task; every step is written to the
+    shared folder.
     """
     edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "cc")
-    seen = None
     while True:
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
+        parents = edges.groupBy("u").agg(F.min("v").alias("m"))
+        hooked = edges.join(parents, "u").select("u", "v", "m")
+        above = parents.select(F.col("u").alias("m"), F.col("m").alias("top"))
+        moved = hooked.join(above, "m", "left")
+        changed = (F.col("v") != F.col("m")) | F.col("top").isNotNull()
+        moved = moved.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.coalesce("top", "m").alias("v"), changed.alias("changed"))
+        edges = stage(moved.groupBy("u", "v").agg(F.max("changed").alias("changed")), "cc")
+        if not edges.agg(F.max("changed")).first()[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
-        seen = state
-        both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        edges = stage(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        edges = edges.drop("changed")
 
 
 def with_components(rows: DataFrame, joined: DataFrame) -> DataFrame:
@@ -272,7 +273,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     large = open_rows.filter(F.col("all") > LARGE)
     rare = rare_shingles(texts, large.select(F.col("id").alias("doc_id")).distinct(), n)
     rarity = rare.groupBy("id", "n").agg(F.count(F.lit(1)).alias("rare"))
-    large = large.join(rarity, ["id", "n"], "left").withColumn("rare", F.coalesce("rare", F.lit(0)))
+    # one row of each text with its bins, two for each band at most
+    held = large.groupBy("id", "n", "comp").agg(F.collect_list(F.struct("bin", "major")).alias("at"))
+    held = stage(held.join(rarity, ["id", "n"], "left").withColumn("rare", F.coalesce("rare", F.lit(0))), "large")
     slack, slack2 = F.col("n") - needed(threshold), F.col("n2") - needed(threshold)
 
     def across(rows: DataFrame, extra: Column) -> DataFrame:
@@ -283,14 +286,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         one = (F.col("comp") != F.col("comp2")) & ((F.col("comp2") == F.col("major")) | (F.col("id") < F.col("id2")))
         return met.filter(one & near_size & extra).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
 
-    few = large.filter(F.col("rare") <= F.lit(1 - threshold + 1e-9) * F.col("n"))
     # texts of one source share most of their bins: each pair is met in the least one alone
-    few = few.join(few.groupBy("id", "n").agg(F.collect_set("bin").alias("bins")), ["id", "n"])
+    few = held.filter(F.col("rare") <= F.lit(1 - threshold + 1e-9) * F.col("n"))
+    few = few.select("id", "n", "comp", "rare", F.col("at.bin").alias("bins"), F.explode("at").alias("x")).select("id", "n", "comp", "rare", "bins", "x.*")
     least_bin = F.array_min(F.array_intersect("bins", "bins2")) == F.col("bin")
     direct = across(few, (F.col("rare") <= slack) & (F.col("rare2") <= slack2) & least_bin)
     small = across(open_rows.filter(F.col("all") <= LARGE), F.lit(True))
-    comps = large.select("id", "n", "comp", "rare").distinct()
-    told = rare.join(comps, ["id", "n"])
+    told = rare.join(held.drop("at"), ["id", "n"])
     other = told.withColumnsRenamed({c: f"{c}2" for c in ("id", "n", "comp", "rare")})
     by_rare = told.join(other, "s").filter((F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & near_size)
     by_rare = by_rare.groupBy("id", "n", "rare", "id2", "n2", "rare2").agg(F.count(F.lit(1)).alias("c"))

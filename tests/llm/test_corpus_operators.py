@@ -335,6 +335,18 @@ def test_components_of_a_long_path_and_a_hub(spark):
     assert {r.node: r.component for r in found} == {k: 0 for k in range(41)} | {k: 1000 for k in range(1000, 1051)}
 
 
+def test_components_of_random_links_and_a_hub_with_the_greatest_id(spark):
+    rng = random.Random(3)
+    links = [tuple(rng.randrange(300) for _ in "ab") for _ in range(220)] + [(999, 400 + k) for k in range(60)] + [(7, 7)]
+    least = {x: x for pair in links if pair[0] != pair[1] for x in pair}
+    for _ in least:
+        for a, b in links:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    found = near_dup.connected_components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r.node: r.component for r in found} == least and len(found) == len(least)
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     for n in (25, 50, 125):
         least = near_dup.least_matches(0.85, n, 1e-7)
