@@ -110,6 +110,31 @@ def test_no_chunk_exceeds_its_bound(spark, monkeypatch):
     assert max(r["count"] for r in sizes) <= 300 and len(sizes) > 10
 
 
+def test_chunks_widen_with_the_table():
+    from cohortkit.operators.score_line import CHUNKS, WIDEST, chunk_rows
+
+    assert chunk_rows(500, 60) == 60  # small tables keep the size asked for
+    assert chunk_rows(1_000, 200_000) == 200_000
+    for n in (10_000, 300_000, 3_000_000):
+        assert 60 < chunk_rows(n, 60) <= WIDEST and n / chunk_rows(n, 60) <= CHUNKS
+    assert chunk_rows(10**9, 60) == WIDEST  # and no task grows without bound
+
+
+def test_rounds_do_not_grow_with_the_table(spark, monkeypatch):
+    # more treated than controls: each chunk depends on all within a caliper before it
+    from cohortkit.operators import score_line
+
+    rounds = []
+    inputs = score_line._Line.inputs
+    monkeypatch.setattr(score_line._Line, "inputs", lambda self: rounds.append(len(self.chunks)) or inputs(self))
+    rng = np.random.default_rng(11)
+    n = 4000
+    x, t, ids = np.round(rng.random(n) * 10_000, 1), (rng.random(n) < 0.6).astype(int), rng.permutation(n) + 1
+    got = spark_pairs(spark, ids, t, x, 150.0, 10)
+    assert [(a, b) for _, a, b in got] == plain_greedy(ids[t == 1], x[t == 1], ids[t == 0], x[t == 0], 150.0)
+    assert rounds[0] <= 2 * score_line.CHUNKS and len(rounds) <= 12
+
+
 @pytest.mark.parametrize("rows_per_chunk", [10, 60, 100_000])
 def test_exact_on_matches_inside_strata(spark, rows_per_chunk):
     rng = np.random.default_rng(8)
