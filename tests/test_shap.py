@@ -115,3 +115,28 @@ def test_folds_are_stratified(spark):
     for y in (0, 1):
         sizes = [counts[(y, k)] for k in range(5)]
         assert max(sizes) - min(sizes) <= 1
+
+
+def test_memory_of_a_batch_does_not_grow_with_its_rows():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    n = 300
+    feats = [np.sort(rng.permutation(6)[:4]) for _ in range(n)]
+    lo = [rng.normal(-1, 1, 4) for _ in range(n)]
+    leaves = G.LeafTable(rng.normal(size=n), feats, lo, [v + 1.5 for v in lo], [rng.random(4) for _ in range(n)], 0.0, 6)
+    x = rng.normal(size=(6000, 6))
+
+    def peak(rows):
+        tracemalloc.start()
+        try:
+            found = G.shap_matrix(leaves, rows), G.interaction_vector(leaves, rows, 1, 2)
+            return found, tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    (_, _), one = peak(x[:500])
+    (phi, pair), many = peak(x)
+    assert many < 2 * one
+    at = rng.permutation(6000)[:400]
+    assert np.allclose(phi[at], G.shap_matrix(leaves, x[at]), atol=1e-12) and np.allclose(pair[at], G.interaction_vector(leaves, x[at], 1, 2), atol=1e-12)
