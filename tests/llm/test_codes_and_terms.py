@@ -216,3 +216,15 @@ def test_prefixes_below_the_threshold_go_early(spark):
 def test_audit_of_empty_and_null_tables(spark, no_docs, null_docs):
     assert prefix_audit.audit(no_docs).collect() == []
     assert prefix_audit.audit(null_docs).collect() == []
+
+
+def test_words_by_byte_masks_are_the_terms_of_the_texts():
+    rng = np.random.default_rng(4)
+    alphabet = list("aZ @[`{\x00\x7f\n09.") + ["é", "ß", "İ", "K", "語", "\U0001f600", "\x80"]
+    texts = ["", " ", "a", "Z", "..", "a.", "\x00a\x00"] + ["".join(rng.choice(alphabet, rng.integers(0, 40))) for _ in range(300)]
+    words, doc = prefix_audit.words_of([t.encode() for t in texts])
+    want = [(k, w) for k, t in enumerate(texts) for w in prefix_audit.terms_of(t)]
+    assert list(zip(doc.tolist(), words.to_pylist(), strict=True)) == want
+    made, plain = prefix_audit.word_block(words, doc, [0] * len(texts)), sorted(set(w for _, w in want))
+    assert made.terms.to_pylist() == plain
+    assert len(prefix_audit.words_of([])[0]) == 0 and len(prefix_audit.word_block(*prefix_audit.words_of([b"..", b""]), [0, 0]).terms) == 0
