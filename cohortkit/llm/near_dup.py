@@ -2,14 +2,15 @@
 
 1. Texts with equal shingle sets form one class (a third of all rows may be
    one class; only its least id goes on).
-2. Banded MinHash gives candidate buckets. A bucket is split by set size, as
-   linked sets differ in size by the threshold at most.
-3. Every document is first compared with one pivot, the one it shares most
-   buckets with. While comparing the buckets in full would still be far more
+2. Banded MinHash gives candidate buckets. Texts that share one with another
+   text are read once more; all later steps read that smaller table.
+3. Every document is compared with the pivot of each of its buckets: the text
+   that meets most others in its buckets, so the middle of a group of near
+   copies rather than any of them. The links found join the components of
+   large groups. Where comparing the buckets in full would still be far more
    work than reading them, rounds follow: in small cells of each bucket every
    text meets one of another component, and the partner with the most equal
-   signature values is confirmed. The links found join the components of
-   large groups of near copies; a round that no longer helps is the last.
+   signature values is confirmed; a round that no longer helps is the last.
 4. Buckets that still hold several components are compared in full, except
    inside a component, where links cannot change the result. In large buckets
    (texts that drifted from one source) rare shingles decide which pairs are
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortkit.llm.common import stage
@@ -46,9 +47,9 @@ ROWS, BAND_MISS = 5, 5e-7
 #: Signature values compared per step, and the miss probability of pruning a pair.
 BATCH, MISS = 25, 1e-7
 #: Buckets above so many texts go by rare shingles: those that so many texts of such buckets have at most.
-LARGE, RARE = 64, 16
-#: Rounds go on while full comparison meets more than so many rows for each row, and a round saves this share of it; texts of a cell.
-WORTH, SAVED, CELL = 8, 0.2, 8
+LARGE, RARE = 64, 64
+#: Rounds go on while full comparison looks at more than so many rows for each row (it writes few of them), and a round saves this share of it; texts of a cell.
+WORTH, SAVED, CELL = 256, 0.2, 8
 _RNG = np.random.default_rng(85)
 _FACTOR = _RNG.integers(1, 2**63, 1000, dtype="u8") * np.uint64(2) + np.uint64(1)
 _FOLD = _RNG.integers(1, 2**63, ROWS, dtype="u8") * np.uint64(2) + np.uint64(1)
@@ -202,6 +203,12 @@ def open_buckets(binned: DataFrame, joined: DataFrame) -> DataFrame:
     return stage(known.join(bins.select("bin", F.col("m.comp").alias("major"), F.col("m.c").alias("most"), "all"), "bin"), "open")
 
 
+def central_pivots(shared: DataFrame) -> DataFrame:
+    """(bin, id2, n2): of each bin's rows (id, n, bin, weight) the one with the greatest weight, of equal ones the least id."""
+    one = F.struct("weight", (-F.col("id")).alias("least"), F.col("n").alias("n2"), F.col("id").alias("id2"))
+    return shared.groupBy("bin").agg(F.max(one).alias("p")).select("bin", "p.id2", "p.n2")
+
+
 def partners(rows: DataFrame, turn: int) -> DataFrame:
     """(a, b, n, n2): each row of a bin and one of another component; ``turn`` deals a bin's rows over other cells.
 
@@ -235,21 +242,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     near_size = F.least("n", "n2") >= F.lit(threshold - 1e-9) * F.greatest("n", "n2")
 
-    # buckets of two or more, split by size: neighbouring size steps share a bin
-    keyed = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    full = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    step = F.floor(F.log("n") / F.lit(-math.log(threshold)) + F.lit(1e-9)).cast("int")
-    binned = keyed.join(full, "key").withColumn("_s", step).withColumn("_s", F.explode(F.array("_s", F.col("_s") + 1))).select("id", "n", F.xxhash64("key", "_s").alias("bin"))
-    binned = stage(binned, "bins")
-
-    # each document and the pivot with which it shares most bins
-    turn = F.struct(F.xxhash64("id", "bin").alias("h"), F.col("id").alias("id2"), F.col("n").alias("n2"))
-    pivots = binned.groupBy("bin").agg(F.min(turn).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("bin", "p.id2", "p.n2")
-    shared = binned.join(pivots, "bin").filter(F.col("id") != F.col("id2")).filter(near_size).groupBy("id", "id2").agg(F.count(F.lit(1)).alias("c"))
-    best = shared.groupBy("id").agg(F.max(F.struct("c", F.col("id2").alias("p"))).alias("m"))
-    first = best.select(F.least("id", "m.p").alias("a"), F.greatest("id", "m.p").alias("b")).distinct()
-    first = stage(first, "first-pairs")
-    links = stage(confirmed(pruned(first, reps, threshold, total), texts, n, percent), "links")
+    # buckets of two or more; a text weighs as much as the buckets that it is in (one in each band)
+    keyed = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("bin"))
+    full = keyed.groupBy("bin").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = keyed.join(full, "bin").withColumn("weight", F.sum("c").over(Window.partitionBy("id"))).drop("c")
+    shared = stage(shared, "bins")
+    met = shared.select(F.col("id").alias("doc_id")).distinct()
+    met = stage(met, "met")
+    signs = stage(reps.select("doc_id", "sig").join(met, "doc_id", "left_semi"), "signatures")
+    texts = stage(texts.join(met, "doc_id", "left_semi"), "texts")
+
+    pivots, binned = central_pivots(shared), shared.drop("weight")
+    first = binned.join(pivots, "bin").filter((F.col("id") != F.col("id2")) & near_size)
+    first = stage(first.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), "first-pairs")
+    links = stage(confirmed(pruned(first, signs, threshold, total), texts, n, percent), "links")
     joined = connected_components(links)
 
     # rounds: one partner of another component for each document
@@ -260,7 +266,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         if (work or 0) <= WORTH * size or work > (1 - SAVED) * before:
             break
         before, turn = work, turn + 1
-        met = pruned(partners(open_rows, turn).filter(near_size).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), reps, threshold, total)
+        met = pruned(partners(open_rows, turn).filter(near_size).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), signs, threshold, total)
         ends = stage(met.select("a", "b", "equal", F.explode(F.array("a", "b")).alias("id")), "partners")
         chosen = ends.groupBy("id").agg(F.max(F.struct("equal", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
         chosen = stage(chosen, "chosen")
@@ -273,7 +279,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     large = open_rows.filter(F.col("all") > LARGE)
     rare = rare_shingles(texts, large.select(F.col("id").alias("doc_id")).distinct(), n)
     rarity = rare.groupBy("id", "n").agg(F.count(F.lit(1)).alias("rare"))
-    # one row of each text with its bins, two for each band at most
+    # one row of each text with its bins, one for each band at most
     held = large.groupBy("id", "n", "comp").agg(F.collect_list(F.struct("bin", "major")).alias("at"))
     held = stage(held.join(rarity, ["id", "n"], "left").withColumn("rare", F.coalesce("rare", F.lit(0))), "large")
     slack, slack2 = F.col("n") - needed(threshold), F.col("n2") - needed(threshold)
@@ -298,7 +304,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     by_rare = by_rare.groupBy("id", "n", "rare", "id2", "n2", "rare2").agg(F.count(F.lit(1)).alias("c"))
     by_rare = by_rare.filter((F.col("c") >= F.col("rare") - slack) & (F.col("c") >= F.col("rare2") - slack2)).select(F.col("id").alias("a"), F.col("id2").alias("b"))
     pairs = small.union(direct).union(by_rare).distinct().join(first, ["a", "b"], "left_anti")
-    more = confirmed(pruned(pairs, reps, threshold, total), texts, n, percent)
+    more = confirmed(pruned(pairs, signs, threshold, total), texts, n, percent)
     found = connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
     named = classes.join(found.withColumnRenamed("node", "rid"), "rid", "left").select("c1", "c2", F.coalesce("component", "rid").alias("_comp"))

@@ -323,6 +323,32 @@ def test_partners_belong_to_other_components_and_a_row_makes_one_pair(spark):
     assert near_dup.partners(open_rows.withColumn("comp", F.lit(3)), 1).count() == 0
 
 
+def test_a_drifting_group_needs_no_rounds_and_one_row_a_band(spark, monkeypatch):
+    rng = random.Random(5)
+    base = prose(67, 150, EN).split()
+    rows = [(k, prose(900 + k, 80, EN), "en") for k in range(40)]  # alone
+    for k in range(200):  # a few words off the base each, so that many pairs are near the threshold and below
+        w = list(base)
+        for at in rng.sample(range(len(w)), rng.randrange(1, 8)):
+            w[at] = f"edit{rng.randrange(10**6)}"
+        rows.append((500 + k, " ".join(w), "en"))
+    staged = {}
+    keep = near_dup.stage
+    monkeypatch.setattr(near_dup, "stage", lambda df, name: staged.setdefault(name, []).append(keep(df, name)) or staged[name][-1])
+    found = near_dup.near_duplicates(make(spark, rows), 3, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == plain_components([(i, t) for i, t, _ in rows], 3, 85)
+    assert "partners" not in staged
+    bins = staged["bins"][0]
+    assert bins.count() <= 200 * near_dup.bands_for(0.85) and bins.groupBy("id", "bin").count().filter("count > 1").count() == 0
+    assert {r.doc_id for r in staged["texts"][0].collect()} == {r.id for r in bins.select("id").distinct().collect()} <= set(range(500, 700))
+
+
+def test_the_pivot_is_the_text_that_meets_most_others(spark):
+    rows = [(1, 10, 7, 3), (2, 10, 7, 9), (3, 11, 7, 9), (4, 10, 8, 2), (5, 10, 8, 2)]
+    found = near_dup.central_pivots(spark.createDataFrame(rows, "id long, n long, bin long, weight long")).collect()
+    assert {r.bin: (r.id2, r.n2) for r in found} == {7: (2, 10), 8: (4, 10)}
+
+
 def test_near_duplicates_of_empty_and_null_tables(no_docs, null_docs):
     assert near_dup.near_duplicates(no_docs).count() == 0
     assert [(r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(null_docs).collect()] == [(0, None, True)] * 3
