@@ -34,6 +34,8 @@ from cohortkit.llm.sampling import bounded_sample
 #: Documented bound of the training sample, per language.
 SAMPLE = 500
 BUCKETS = 4096
+#: Texts judged at a time: the tables of ``Familiarity`` take about 100 kB for each.
+JUDGED = 64
 #: Language codes of the larger European families. A code not listed is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),
@@ -189,8 +191,9 @@ def with_prediction(docs: DataFrame, model: HierarchicalModel | None, name: str,
             for part in np.array_split(at, len(at) // 512 + 1) if shared.value is not None and len(at) else []:
                 whole = [batch.iloc[i] for i in part]
                 langs[part], scores[part] = shared.value.predict(features(whole))
-                if judged:
-                    familiar[part] = shared.value.is_familiar(letters_only(whole), langs[part])
+                for k in range(0, len(part), JUDGED) if judged else []:
+                    few = part[k : k + JUDGED]
+                    familiar[few] = shared.value.is_familiar(letters_only(whole[k : k + JUDGED]), langs[few])
             yield pd.DataFrame({"lang_pred": langs, "score": scores, "familiar": familiar})
 
     return docs.withColumn(name, F.pandas_udf(score, "lang_pred string, score double, familiar boolean")(F.col("text")))

@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortkit.llm.common import stage
+from cohortkit.llm.common import small_batches, stage
 from cohortkit.llm.shingles import mix, shingle_set
 
 #: Values per band, and the chance at which a pair at the threshold may miss all bands.
@@ -228,7 +228,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     Two documents are linked when their ``n``-word shingle sets have a Jaccard
     similarity of at least ``percent`` / 100; a component keeps its least id.
+    Every step that hands texts to Python is written before this returns.
     """
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, n, percent, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     threshold = percent / 100
     bands = bands_for(threshold)
     total = bands * ROWS

@@ -16,11 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortkit.llm import decontaminate, language_id, near_dup, packing, secret_scan
-from cohortkit.llm.common import crc_remainder, free_name, row_key, stage, table
+from cohortkit.llm.common import bound_batches, crc_remainder, free_name, row_key, small_batches, stage, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents of a learned language; learns outside the held-out remainder as query op9 does."""
+    """Keep documents of a learned language; learns outside the held-out remainder as query op9 does.
+
+    The result is read when the caller writes it, so the bound on Arrow batches stays in the session.
+    """
+    bound_batches(spark)
     model = language_id.fit(docs, crc_remainder(F.col("doc_id"), 4) != 2)
     return language_id.accepted(docs, model)
 
@@ -46,7 +50,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with their places in sequences."""
-    return packing.pack_documents(docs)
+    with small_batches(spark):  # tokenizing is written in there; what is left for the caller takes no texts
+        return packing.pack_documents(docs)
 
 
 STAGES = [

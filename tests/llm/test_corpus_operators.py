@@ -6,12 +6,13 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortkit.llm import decontaminate, near_dup, packing, secret_scan, slot_shards, suffix_dedup
+from cohortkit.llm import common, decontaminate, language_id, near_dup, packing, secret_scan, slot_shards, suffix_dedup
 from cohortkit.session import scratch_path
 from tests.llm.conftest import EN, make, prose
 
@@ -426,3 +427,41 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     assert ids("decontamination") == ids("secret_scan") == ids("packing") == {*range(20), 102}
     texts = {r.doc_id: r.text for r in seen["secret_scan"]}
     assert secret not in texts[102] and texts[5] == rows[5][1]
+
+
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.assign(size=batch["text"].str.len().sum())[["size"]].head(1)
+
+    texts = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 4000).alias("text"))
+    with common.small_batches(spark):
+        found = [r["size"] for r in texts.mapInPandas(sizes, "size long").collect()]
+    assert sum(found) == 12_000_000 and max(found) <= 1.1 * common.BATCH_BYTES
+
+    seen, keep = [], near_dup.stage
+    monkeypatch.setattr(near_dup, "stage", lambda df, name: seen.append((name, spark.conf.get(key, None))) or keep(df, name))
+    assert near_dup.near_duplicates(make(spark, [(1, prose(1, 40, EN), "en"), (2, prose(1, 40, EN), "en")])).count() == 2
+    assert {"signed", "links"} <= {name for name, _ in seen} and {v for _, v in seen} == {str(common.BATCH_BYTES)}
+    assert spark.conf.get(key, None) is None
+    spark.conf.set(key, "1m")  # a bound of the session's own stays
+    with common.small_batches(spark):
+        assert spark.conf.get(key) == "1m"
+    assert spark.conf.get(key) == "1m"
+    spark.conf.unset(key)
+
+
+def test_language_filter_judges_few_texts_at_a_time(spark, monkeypatch):
+    class Few:
+        def predict(self, x):
+            return np.full(len(x), "en", object), np.ones(len(x))
+
+        def is_familiar(self, words, langs):
+            return np.full(len(words), len(words) == len(langs) <= 64)
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: SimpleNamespace(value=value))  # a local class goes with the function alone
+    docs = spark.range(0, 200, 1, 1).select(F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    assert language_id.accepted(docs, Few()).count() == 200
